@@ -9,18 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import WS, col, collapse_ws, let
+from .common import col, collapse_ws, let
 from .text import strip_base64_images, strip_script_style, unescape
 
 MARK = "\x01"
 BLOCK_TAGS = "p|h[1-6]|li|pre|td|th|blockquote|div|section|article|main|ul|ol|table|tr|body"
 BLOCK_OPEN = rf"(?i)(<(?:{BLOCK_TAGS})\b)"
-NOISE = (r"(?s)<!--.*?-->",
-         r"(?is)<head(?:\s[^>]*)?>.*?</head>",
-         r"(?is)<nav\b[^>]*>.*?</nav>",
-         r"(?is)<header\b[^>]*>.*?</header>",
-         r"(?is)<footer\b[^>]*>.*?</footer>",
-         r"(?is)<aside\b[^>]*>.*?</aside>")
+NOISE = (r"(?is)<(?:!--.*?-->|head(?:\s[^>]*)?>.*?</head>|nav\b[^>]*>.*?</nav>|header\b[^>]*>.*?</header>"
+         r"|footer\b[^>]*>.*?</footer>|aside\b[^>]*>.*?</aside>)")
+INLINE = r"(?i)<(?:a|img|b|strong|i|em|code)\b"
 LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
 BLOCK_COST = 10  # characters a block must bring to be worth keeping
 
@@ -31,10 +28,7 @@ TAG_WEIGHTS = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "article": 1.5, "section
 
 def content_html(html) -> Column:
     """Page markup without inline images, scripts, styles, comments, head and navigation."""
-    out = strip_script_style(strip_base64_images(html))
-    for pattern in NOISE:
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    return F.regexp_replace(strip_script_style(strip_base64_images(html)), NOISE, "")
 
 
 def _plain(c: Column) -> Column:
@@ -52,9 +46,9 @@ def _inline_markdown(c: Column) -> Column:
     return F.regexp_replace(out, r"(?is)<code(?:\s[^>]*)?>(.*?)</code>", "`$1`")
 
 
-def _line(segment: Column, tag: Column) -> Column:
-    flat = _plain(_inline_markdown(segment))
-    raw = F.regexp_replace(unescape(F.regexp_replace(segment, r"<[^>]*>", "")), f"^{WS}*\n|{WS}+$", "")
+def _line(segment: Column, tag: Column, text: Column) -> Column:
+    flat = F.when(segment.rlike(INLINE), _plain(_inline_markdown(segment))).otherwise(text)
+    raw = F.regexp_replace(F.rtrim(unescape(F.regexp_replace(segment, r"<[^>]*>", ""))), r"^\s*\n|\s+$", "")
     return (F.when(tag.rlike("^h[1-6]$"),
                    F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" "), flat))
             .when(tag == "li", F.concat(F.lit("- "), flat))
@@ -70,16 +64,18 @@ def page_blocks(html) -> Column:
     def block(segment: Column, idx: Column) -> Column:
         tag = F.lower(F.regexp_extract(segment, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
         tag = F.when(tag == "", "div").otherwise(tag)
-        linked = F.array_join(F.regexp_extract_all(segment, F.lit(LINK), F.lit(1)), " ")
-        return F.struct(idx.alias("idx"), tag.alias("tag"), _plain(segment).alias("text"),
-                        F.length(_plain(linked)).alias("link_chars"),
-                        F.length(segment).alias("html_chars"), _line(segment, tag).alias("md"))
-
-    with_text = F.filter(F.transform(segments, block), lambda b: b["text"] != "")
-    return F.transform(with_text, lambda b: F.struct(
-        b["idx"].alias("idx"), b["tag"].alias("tag"), b["text"].alias("text"),
-        F.length(b["text"]).alias("chars"), b["link_chars"].alias("link_chars"),
-        b["html_chars"].alias("html_chars"), b["md"].alias("md")))
+        return F.struct(idx.alias("idx"), tag.alias("tag"), _plain(segment).alias("text"), segment.alias("segment"))
+
+    def facts(b: Column) -> Column:
+        linked = F.array_join(F.regexp_extract_all(b["segment"], F.lit(LINK), F.lit(1)), " ")
+        links = F.when(b["segment"].rlike(r"(?i)<a\b"), F.length(_plain(linked))).otherwise(0)
+        return F.struct(
+            b["idx"].alias("idx"), b["tag"].alias("tag"), b["text"].alias("text"), F.length(b["text"]).alias("chars"),
+            links.alias("link_chars"), F.length(b["segment"]).alias("html_chars"),
+            _line(b["segment"], b["tag"], b["text"]).alias("md"))
+
+    # Two steps, so that a segment without text costs no more than its first look.
+    return F.transform(F.filter(F.transform(segments, block), lambda b: b["text"] != ""), facts)
 
 
 def link_density(b: Column) -> Column:

@@ -75,64 +75,80 @@ def reason_from_text(text, html=None) -> Column:
     """Q5: ordered keyword rules. Block words count below 500 characters only, timeout words below 300,
     "too short" words at any length (D16)."""
     text = col(text)
-    low, n = F.lower(text), F.length(text)
-    cloudflare = contains_any(low, R.CLOUDFLARE_TERMS)
-    blocked = contains_any(low, R.BLOCK_TERMS)
-    if html is not None:
-        markup = F.lower(F.coalesce(col(html), F.lit("")))
-        cloudflare = cloudflare | markup.contains("cloudflare")
-        blocked = blocked | contains_any(markup, R.BLOCK_TERMS)
-    return (F.when((n == 0) | n.isNull(), F.lit(None).cast("string"))
-            .when((n < 500) & cloudflare, BLOCKED_CLOUDFLARE)
-            .when((n < 500) & contains_any(low, R.REQUIRE_JS_TERMS), REQUIRE_JAVASCRIPT)
-            .when((n < 500) & blocked, BLOCKED_VERIFICATION)
-            .when((n < 300) & contains_any(low, R.TIMEOUT_TERMS), TIMEOUT)
-            .when(contains_any(low, R.TOO_SHORT_TERMS), PAGE_PARTIAL_LOAD))
+    markup = None if html is None else F.when(F.length(text) < 500, F.lower(F.coalesce(col(html), F.lit(""))))
+
+    def verdict(e: Column) -> Column:
+        low, n = e["low"], e["n"]
+        cloudflare, blocked = contains_any(low, R.CLOUDFLARE_TERMS), contains_any(low, R.BLOCK_TERMS)
+        if markup is not None:
+            cloudflare = cloudflare | e["markup"].contains("cloudflare")
+            blocked = blocked | contains_any(e["markup"], R.BLOCK_TERMS)
+        return (F.when((n == 0) | n.isNull(), F.lit(None).cast("string"))
+                .when((n < 500) & cloudflare, BLOCKED_CLOUDFLARE)
+                .when((n < 500) & contains_any(low, R.REQUIRE_JS_TERMS), REQUIRE_JAVASCRIPT)
+                .when((n < 500) & blocked, BLOCKED_VERIFICATION)
+                .when((n < 300) & contains_any(low, R.TIMEOUT_TERMS), TIMEOUT)
+                .when(contains_any(low, R.TOO_SHORT_TERMS), PAGE_PARTIAL_LOAD))
+
+    parts = [F.lower(text).alias("low"), F.length(text).alias("n")]
+    if markup is not None:
+        parts.append(markup.alias("markup"))
+    return let(F.struct(*parts), verdict)
 
 
 def content_health(text, status=None, min_len: int = 150) -> Column:
     """Q6: health verdict struct - status first, then text, then emptiness, then length."""
-    text = strip_ws(F.coalesce(col(text), F.lit("")))
-    status = F.lit(None).cast("int") if status is None else col(status)
-    n = F.length(text)
-    # One "hit|reason" string, so that the rule chain is a single common subexpression of the struct.
-    found = F.coalesce(
-        F.concat(F.lit("status_code|"), reason_from_status(status)),
-        F.concat(F.lit("blocked_keywords|"), reason_from_text(text)),
-        F.when(n == 0, f"empty_text|{PAGE_NOT_LOADED}").when(n < min_len, f"partial_text|{PAGE_PARTIAL_LOAD}"))
-    return F.struct(found.isNull().alias("ok"), F.substring_index(found, "|", -1).alias("reason"),
-                    F.substring_index(found, "|", 1).alias("hit"),
-                    n.alias("text_length"), F.lit(min_len).alias("min_text_length"),
-                    status.cast("int").alias("status_code"))
+    status = F.lit(None).cast("int") if status is None else col(status).cast("int")
+
+    def found(t: Column) -> Column:
+        n = F.length(t)
+        hit = F.coalesce(
+            F.concat(F.lit("status_code|"), reason_from_status(status)),
+            F.concat(F.lit("blocked_keywords|"), reason_from_text(t)),
+            F.when(n == 0, f"empty_text|{PAGE_NOT_LOADED}").when(n < min_len, f"partial_text|{PAGE_PARTIAL_LOAD}"))
+        return F.struct(n.alias("n"), hit.alias("hit"))
+
+    def verdict(e: Column) -> Column:
+        return F.struct(e["hit"].isNull().alias("ok"), F.substring_index(e["hit"], "|", -1).alias("reason"),
+                        F.substring_index(e["hit"], "|", 1).alias("hit"), e["n"].alias("text_length"),
+                        F.lit(min_len).alias("min_text_length"), status.alias("status_code"))
+
+    return let(let(strip_ws(F.coalesce(col(text), F.lit(""))), found), verdict)
 
 
 def probe_verdict(success, status, html, min_len: int = 100) -> Column:
     """Q8: is the recorded probe of the cheap lane good enough? Failure reasons in fixed order."""
     html = F.coalesce(col(html), F.lit(""))
-    text = strip_ws(strip_tags(html))
-    n = F.length(text)
-    blocked = (n > 0) & (contains_any(html, R.PROBE_INDICATORS) | contains_any(text, R.PROBE_INDICATORS))
     ok, code = F.coalesce(col(success), F.lit(False)), F.coalesce(col(status).cast("int"), F.lit(0))
-    why = F.array_compact(F.array(
-        F.when(~ok, "请求失败"),
-        F.when(code != 200, F.concat(F.lit("HTTP错误("), code.cast("string"), F.lit(")"))),
-        F.when(n < min_len, F.concat(F.lit("文字过少("), n.cast("string"), F.lit("字符)"))),
-        F.when(blocked, "检测到拦截/验证")))
-    return F.struct((ok & (code == 200) & (n >= min_len) & ~blocked).alias("effective"),
-                    n.alias("text_length"), blocked.alias("blocked"), why.alias("failure_reasons"))
+
+    def seen(t: Column) -> Column:
+        blocked = (t != "") & (contains_any(html, R.PROBE_INDICATORS) | contains_any(t, R.PROBE_INDICATORS))
+        return F.struct(F.length(t).alias("n"), blocked.alias("blocked"))
+
+    def verdict(e: Column) -> Column:
+        n, blocked = e["n"], e["blocked"]
+        why = F.array_compact(F.array(
+            F.when(~ok, "请求失败"),
+            F.when(code != 200, F.concat(F.lit("HTTP错误("), code.cast("string"), F.lit(")"))),
+            F.when(n < min_len, F.concat(F.lit("文字过少("), n.cast("string"), F.lit("字符)"))),
+            F.when(blocked, "检测到拦截/验证")))
+        return F.struct((ok & (code == 200) & (n >= min_len) & ~blocked).alias("effective"),
+                        n.alias("text_length"), blocked.alias("blocked"), why.alias("failure_reasons"))
+
+    return let(let(strip_ws(strip_tags(html)), seen), verdict)
 
 
 def lane_failure_cause(lane, error, markdown, html_text, status, text_length=None) -> Column:
     """Q9: why a lane failed - its own error, else block words, else status (browser lane), else short text."""
-    seen = F.lower(F.concat_ws(" ", F.coalesce(col(markdown), F.lit("")), F.coalesce(col(html_text), F.lit(""))))
+    text = F.lower(F.concat_ws(" ", F.coalesce(col(markdown), F.lit("")), F.coalesce(col(html_text), F.lit(""))))
+    by_text = let(text, lambda t: F.when(contains_any(t, R.LANE_CLOUDFLARE_TERMS), "Cloudflare 人机验证拦截")
+                  .when(contains_any(t, R.LANE_VERIFY_TERMS), "需要人机验证"))
     short = F.coalesce(col(text_length), F.lit(0)) if text_length is not None else F.lit(0)
-    return (F.when(F.coalesce(col(error), F.lit("")) != "", col(error))
-            .when(contains_any(seen, R.LANE_CLOUDFLARE_TERMS), "Cloudflare 人机验证拦截")
-            .when(contains_any(seen, R.LANE_VERIFY_TERMS), "需要人机验证")
-            .when((col(lane) == "playwright") & (col(status) >= 400),
+    rest = (F.when((col(lane) == "playwright") & (col(status) >= 400),
                   F.concat(F.lit("页面访问失败，状态码: "), col(status).cast("string")))
             .when(col(lane) == "jina", "失败，未知原因")
             .otherwise(F.concat(F.lit("质量检查失败(文本长度: "), short.cast("string"), F.lit(")"))))
+    return F.when(F.coalesce(col(error), F.lit("")) != "", col(error)).otherwise(F.coalesce(by_text, rest))
 
 
 def http_error(status) -> Column:
@@ -191,7 +207,8 @@ def spa_fingerprint(html, rules: Rules = DEFAULT_RULES) -> Column:
     n_body = F.length(strip_ws(body))
     n_script = F.regexp_count(low, F.lit(r"<script[^>]*>"))
     n_meta = sum((low.contains(m.lower()).cast("int") for m in rules.spa_metas), F.lit(0))
-    root = low.rlike(rules.spa_root_regex) if rules.spa_roots else F.lit(False)
+    tags, words = rules.spa_root_tags, rules.spa_root_words
+    root = contains_any(low, words) | (low.rlike(tags) if tags else F.lit(False))
     w = rules.spa_weights
     met = F.array_compact(F.array(
         F.when(n_body < rules.body_text_threshold, "empty_body"),

@@ -73,11 +73,13 @@ def markdown_title(md) -> Column:
 
 
 def strip_base64_images(html) -> Column:
-    """TXT5: inline images in ``<img>``, CSS ``url()`` and bare form."""
-    out = F.regexp_replace(col(html), r"""(?i)<img[^>]*src=["']data:image/[^;]+;base64,[^"']*["'][^>]*>""",
+    """TXT5: inline images in ``<img>``, CSS ``url()`` and bare form. One test spares pages without any."""
+    html = col(html)
+    out = F.regexp_replace(html, r"""(?i)<img[^>]*src=["']data:image/[^;]+;base64,[^"']*["'][^>]*>""",
                            "<!-- base64-img-removed -->")
     out = F.regexp_replace(out, r"""(?i)url\(["']?data:image/[^;]+;base64,[^)]+\)""", "url(#base64-removed)")
-    return F.regexp_replace(out, r"(?i)data:image/[a-zA-Z]+;base64,[A-Za-z0-9+/=]+", "#base64-removed")
+    out = F.regexp_replace(out, r"(?i)data:image/[a-zA-Z]+;base64,[A-Za-z0-9+/=]+", "#base64-removed")
+    return F.when(html.rlike("(?i);base64,"), out).otherwise(html)
 
 
 def strip_base64_markdown(md) -> Column:

@@ -195,15 +195,21 @@ def normalise_host(host: str) -> str:
     return host[4:] if host.startswith("www.") else host
 
 
+SELECTOR = re.compile(r'(\w+)\[(\w+)(\*?)="([^"]*)"\]')
+
+
+def _attribute_regex(attr: str, part: str, value: str) -> str:
+    value = re.escape(value.lower())
+    body = f"[^\"']*{value}" if part else f"{value}[\"']"
+    return f"\\b{attr}\\s*=\\s*[\"']{body}"
+
+
 def selector_regex(selector: str) -> str:
     """``div[id="root"]`` -> regex on the opening tag; a bare token stays a literal."""
-    m = re.fullmatch(r'(\w+)\[(\w+)(\*?)="([^"]*)"\]', selector)
+    m = SELECTOR.fullmatch(selector)
     if not m:
         return re.escape(selector.lower())
-    tag, attr, part, value = m.groups()
-    value = re.escape(value.lower())
-    body = f"[^\"']*{value}" if part else f"{value}[\"']"
-    return f"<{tag}\\b[^>]*\\b{attr}\\s*=\\s*[\"']{body}"
+    return f"<{m[1]}\\b[^>]*{_attribute_regex(*m.groups()[1:])}"
 
 
 def _unique(items) -> tuple:
@@ -241,8 +247,16 @@ class Rules:
     max_state_size: int = 10000
 
     @property
-    def spa_root_regex(self) -> str:
-        return "|".join(selector_regex(s) for s in self.spa_roots)
+    def spa_root_words(self) -> tuple:
+        return tuple(s.lower() for s in self.spa_roots if not SELECTOR.fullmatch(s))
+
+    @property
+    def spa_root_tags(self) -> str:
+        """All tag selectors as one regex that starts with ``<``, so that most characters fail at once."""
+        tags: dict[str, list] = {}
+        for m in filter(None, map(SELECTOR.fullmatch, self.spa_roots)):
+            tags.setdefault(m[1], []).append(_attribute_regex(*m.groups()[1:]))
+        return "<(?:" + "|".join(f"{t}\\b[^>]*(?:{'|'.join(a)})" for t, a in tags.items()) + ")" if tags else ""
 
 
 DEFAULT_RULES = Rules()
