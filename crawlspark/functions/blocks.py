@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import col, collapse_ws, let
-from .text import strip_base64_images, strip_script_style, unescape
+from .text import strip_base64_images, strip_script_style, strip_tags, unescape
 
 MARK = "\x01"
 BLOCK_TAGS = "p|h[1-6]|li|pre|td|th|blockquote|div|section|article|main|ul|ol|table|tr|body"
@@ -32,7 +32,7 @@ def content_html(html) -> Column:
 
 
 def _plain(c: Column) -> Column:
-    return collapse_ws(unescape(F.regexp_replace(F.regexp_replace(c, r"(?i)<br\b[^>]*>", " "), r"<[^>]*>", "")))
+    return collapse_ws(unescape(strip_tags(F.regexp_replace(c, r"(?i)<br\b[^>]*>", " "), "", r"<[^>]*>")))
 
 
 def _inline_markdown(c: Column) -> Column:
@@ -48,7 +48,7 @@ def _inline_markdown(c: Column) -> Column:
 
 def _line(segment: Column, tag: Column, text: Column) -> Column:
     flat = F.when(segment.rlike(INLINE), _plain(_inline_markdown(segment))).otherwise(text)
-    raw = F.regexp_replace(F.rtrim(unescape(F.regexp_replace(segment, r"<[^>]*>", ""))), r"^\s*\n|\s+$", "")
+    raw = F.regexp_replace(F.rtrim(unescape(strip_tags(segment, "", r"<[^>]*>"))), r"^\s*\n|\s+$", "")
     return (F.when(tag.rlike("^h[1-6]$"),
                    F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" "), flat))
             .when(tag == "li", F.concat(F.lit("- "), flat))

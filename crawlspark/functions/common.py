@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space as Python's str.strip / \s see it; Java's plain \s and Spark's trim are ASCII-only.
@@ -49,5 +49,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(df: DataFrame, array: Column, pos: str, item: str, *keep) -> DataFrame:
+    """One row per element. The outer form with a filter above it: for a plain explode Spark would infer
+    ``size(array) > 0`` below it and compute a costly array again just for that test."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def last_or_null(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(-1))

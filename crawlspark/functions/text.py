@@ -17,8 +17,15 @@ STYLE_BODY = r"(?is)<style[^>]*>.*?</style>"
 NOSCRIPT_BODY = r"(?is)<noscript[^>]*>.*?</noscript>"
 
 
-def strip_tags(html, with_: str = "") -> Column:
-    return F.regexp_replace(col(html), r"<[^>]+>", with_)
+def strip_tags(html, with_: str = "", pattern: str = r"<[^>]+>") -> Column:
+    """Replace tags. Only the text up to the last ``>`` can hold one; beyond it every ``<`` would send the regex
+    to the end of the text and back, which is quadratic on prose or code full of ``<``."""
+    def cut(t: Column) -> Column:
+        tail = F.substring_index(t, ">", -1)
+        head = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+        return F.concat(F.regexp_replace(head, pattern, with_), tail)
+
+    return let(col(html), cut)
 
 
 def visible_text(html) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..functions import quality as Q
 from ..functions import text as X
-from ..functions.common import collapse_ws
+from ..functions.common import collapse_ws, exploded, let
 from ..rules import DEFAULT_RULES, LOW_CONTENT_CHARS, SUSPICIOUS_STATUS, Rules
 
 EMPTY_BODY = "# 内容为空\n\n未获取到有效的HTML内容"  # fixed value
@@ -23,8 +23,7 @@ def with_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def main_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """TXT11: one row per text block with its statistics and whether the best range holds it."""
-    rows = with_blocks(pages.select(key, "html")).select(
-        key, "bounds", F.posexplode("blocks").alias("pos", "b"))
+    rows = exploded(with_blocks(pages.select(key, "html")), F.col("blocks"), "pos", "b", key, "bounds")
     at = F.col("pos") + 1
     return rows.select(
         key, F.col("b.idx").alias("idx"), F.col("b.tag").alias("tag"), F.col("b.text").alias("text"),
@@ -51,8 +50,7 @@ def prune_blocks(pages: DataFrame, threshold: float = 0.5, threshold_type: str =
 def bm25_blocks(pages: DataFrame, query: str = "main content", threshold: float = 1.2,
                 key: str = "page_id") -> DataFrame:
     """TXT13: blocks whose BM25 score against the query reaches the threshold."""
-    scored = pages.select(key, B.page_blocks("html").alias("blocks")).select(
-        key, F.explode(B.bm25_scores("blocks", query)).alias("s"))
+    scored = exploded(pages.select(key, B.page_blocks("html").alias("blocks")), B.bm25_scores("blocks", query), "pos", "s", key)
     return scored.select(key, F.col("s.idx").alias("idx"), F.col("s.score").alias("score")).filter(
         F.col("score") >= threshold)
 
@@ -60,7 +58,7 @@ def bm25_blocks(pages: DataFrame, query: str = "main content", threshold: float
 def split_pages(pages: DataFrame, target_kb: int = 512, overlap: int = 1024, key: str = "page_id") -> DataFrame:
     """TXT15: one row per chunk of a pre-cleaned page."""
     ready = pages.select(key, X.strip_script_style(X.strip_base64_images("html")).alias("html"))
-    spans = ready.select(key, "html", F.explode(X.split_spans("html", target_kb, overlap)).alias("s"))
+    spans = exploded(ready, X.split_spans("html", target_kb, overlap), "pos", "s", key, "html")
     return spans.select(key, F.col("s.idx").alias("idx"), F.col("s.start").alias("start"), F.col("s.end").alias("end"),
                         F.substring("html", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk"))
 
@@ -82,8 +80,6 @@ def mapreduce_clean(pages: DataFrame, target_kb: int = 512, overlap: int = 1024,
 def _chunked_markdown(html, target_kb: int, overlap: int):
     """Chunk, clean and join inside the row: same result as :func:`mapreduce_clean`, no shuffle."""
     ready = X.strip_script_style(X.strip_base64_images(html))
-    from ..functions.common import let
-
     def chunk_md(h, s):
         bl = B.page_blocks(F.substring(h, s["start"] + 1, s["end"] - s["start"]))
         return let(bl, lambda bs: B.join_markdown(B.kept_blocks(bs, B.best_range(bs))))
@@ -145,8 +141,8 @@ def block_indicator_tags(pages: DataFrame, rules: Rules = DEFAULT_RULES, key: st
     """Q12: per page, section and language the number of listed terms present, with status and length flags."""
     staged = pages.select(key, "url", "status_code", X.visible_text("html").alias("_text"),
                           X.html_title("html", None).alias("_title"))
-    rows = staged.select(
-        key, F.coalesce(F.col("status_code").isin(*SUSPICIOUS_STATUS), F.lit(False)).alias("suspicious_status"),
-        (F.length("_text") < LOW_CONTENT_CHARS).alias("low_content"),
-        F.explode(Q.block_term_hits("_text", "_title", "url", rules)).alias("h"))
+    rows = exploded(
+        staged, Q.block_term_hits("_text", "_title", "url", rules), "pos", "h", key,
+        F.coalesce(F.col("status_code").isin(*SUSPICIOUS_STATUS), F.lit(False)).alias("suspicious_status"),
+        (F.length("_text") < LOW_CONTENT_CHARS).alias("low_content"))
     return rows.select(key, "h.section", "h.language", "h.hits", "suspicious_status", "low_content")

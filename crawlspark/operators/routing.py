@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import exploded
 from ..functions.urls import host_variants, is_pdf_url, is_spa_host, norm_host
 from ..rules import DEFAULT_RULES, Rules
 
@@ -16,7 +17,7 @@ def cached_route(urls: DataFrame, host_state: DataFrame, host: str = "host") ->
     decisions, only while their measured size allows it, and splits skewed hosts otherwise.
     """
     hosts = urls.select(F.col(host).alias("_host")).distinct()
-    tried = hosts.select("_host", F.posexplode(host_variants("_host")).alias("_depth", "cache_key"))
+    tried = exploded(hosts, host_variants("_host"), "_depth", "cache_key", "_host")
     hit = tried.join(host_state.select("cache_key", "decision", "score"), "cache_key")
     nearest = hit.groupBy("_host").agg(
         F.min_by(F.struct("cache_key", "decision", "score"), F.col("_depth")).alias("_hit"))

@@ -10,7 +10,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread
+
 BASE = ("pages", "documents", "events", "orders", "supplier")
+HEAVY = ("pages", "documents", "events")  # tables that drive heavy work per row
 
 VIEWS = {
     "page_dim": """
@@ -149,7 +152,8 @@ def _needs(name: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in HEAVY else table
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in _needs(name)})
 
 

@@ -14,6 +14,7 @@ from ..functions import blocks as B
 from ..functions import quality as Q
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.common import exploded
 from ..operators import cleaning, learning, races, ranking, requests, routing, stability
 from ..rules import DEFAULT_RULES, rule_tables
 from ..session import shared_dir
@@ -124,7 +125,7 @@ def norm_host(s, d):
 
 @register
 def host_variants(s, d):
-    rows = _all_urls(s, d).select("kind", "page_id", F.posexplode(U.host_variants(U.norm_host("url"))).alias("depth", "variant"))
+    rows = exploded(_all_urls(s, d), U.host_variants(U.norm_host("url")), "depth", "variant", "kind", "page_id")
     return rows.withColumn("depth", F.col("depth").cast("long"))
 
 
@@ -282,7 +283,7 @@ def is_huge(s, d):
 
 @register
 def split_spans(s, d):
-    rows = view(s, d, "big_pages").select("page_id", F.explode(X.split_spans("html", CHUNK_KB, CHUNK_OVERLAP)).alias("s"))
+    rows = exploded(view(s, d, "big_pages"), X.split_spans("html", CHUNK_KB, CHUNK_OVERLAP), "pos", "s", "page_id")
     return rows.select("page_id", *[F.col(f"s.{c}").cast("long").alias(n) for c, n in
                                     (("idx", "idx"), ("start", "span_start"), ("end", "span_end"))])
 

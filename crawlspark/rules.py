@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 LANES = ("easyget", "jina", "playwright")  # tie order in a race
 MODES = ("normal", "fast", "playwright", "jina", "no_jina")
@@ -309,11 +309,15 @@ def load_rules(spark: SparkSession, source: str | dict) -> Rules:
 
 
 def rule_tables(spark: SparkSession, rules: Rules = DEFAULT_RULES) -> dict[str, DataFrame]:
-    """SRC3: the same rules as dimension tables (Catalyst sees their exact, tiny size)."""
-    def one(name, values):
-        return spark.createDataFrame([(v,) for v in values], T.StructType().add(name, "string"))
-
-    terms = [(s, lang, t) for (s, lang), words in rules.block_terms.items() for t in words]
+    """SRC3: the same rules as dimension tables. They are literal relations, so Catalyst knows how small they are
+    and broadcasts them by its own size check."""
+    def one(name: str, values) -> DataFrame:
+        items = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+        return spark.sql("SELECT 1 AS one").select(F.explode(items).alias(name))
+
+    terms = [F.struct(F.lit(s).alias("section"), F.lit(lang).alias("language"), F.lit(t).alias("term"))
+             for (s, lang), words in rules.block_terms.items() for t in words]
+    shape = "array<struct<section:string,language:string,term:string>>"
     return {
         "spa_hosts": one("host", rules.spa_hosts),
         "pdf_hosts": one("host", rules.pdf_hosts),
@@ -321,5 +325,5 @@ def rule_tables(spark: SparkSession, rules: Rules = DEFAULT_RULES) -> dict[str,
         "spa_patterns": one("regex", rules.spa_patterns),
         "spa_roots": one("regex", [selector_regex(s) for s in rules.spa_roots]),
         "spa_metas": one("marker", rules.spa_metas),
-        "block_terms": spark.createDataFrame(terms, "section string, language string, term string"),
+        "block_terms": spark.sql("SELECT 1 AS one").select(F.inline(F.array(*terms).cast(shape))),
     }

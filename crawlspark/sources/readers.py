@@ -23,6 +23,15 @@ def read_pages(spark: SparkSession, location: str, *columns: str, fmt: str = "pa
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than there are cores, before heavy work per row.
+
+    At scale a table has far more splits than cores and is returned as it is: no page body is shuffled then.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_bodies(spark: SparkSession, location: str, glob: str | None = None) -> DataFrame:
     """SRC4: raw bodies, one file each, with path, length, modification time and content.
 
