@@ -178,13 +178,15 @@ def cap_state(state: DataFrame, n: int = DEFAULT_RULES.max_state_size) -> DataFr
 
 def state_stats(state: DataFrame, pdf_hosts: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """One row of sizes, per-decision counts and thresholds."""
-    by = {d: F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("easyget", "playwright", "jina", "pdf", "blocked")}
-    sizes = state.agg(F.count("*").alias("cache_size"), *by.values(), F.coalesce(F.sum("score"), F.lit(0)).alias("total_score"))
-    learned = pdf_hosts.filter("learned").agg(F.count("*").alias("learned_pdf_hosts"))
+    # Both inputs go through one aggregate, so that no two one-row results need joining.
+    rows = state.select("decision", "score", F.lit(True).alias("entry")).unionByName(
+        pdf_hosts.filter("learned").select(F.lit(None).cast("string").alias("decision"), F.lit(None).cast("int").alias("score"),
+                                           F.lit(False).alias("entry")))
+    by = [F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("easyget", "playwright", "jina", "pdf", "blocked")]
+    sizes = rows.agg(F.count_if("entry").alias("cache_size"), *by, F.coalesce(F.sum("score"), F.lit(0)).alias("total_score"),
+                     F.count_if(~F.col("entry")).alias("learned_pdf_hosts"))
     fixed = {"spa_hosts": len(rules.spa_hosts), "spa_patterns": len(rules.spa_patterns), "pdf_hosts": len(rules.pdf_hosts),
              "pdf_patterns": len(rules.pdf_patterns), "body_text_threshold": rules.body_text_threshold,
              "script_count_threshold": rules.script_count_threshold, "min_criteria_match": rules.min_criteria_match,
              "pdf_learn_threshold": rules.pdf_learn_threshold}
-    one = F.lit(1).alias("_one")
-    return (sizes.select("*", one).join(learned.select("*", one), "_one").drop("_one")
-            .select("*", *[F.lit(v).alias(k) for k, v in fixed.items()]))
+    return sizes.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])

@@ -88,6 +88,11 @@ SELECT page_id, CASE page_id % 10 WHEN 0 THEN url WHEN 1 THEN concat('HTTP://WWW
             WHEN 8 THEN concat('https://www.biorxiv.org/content/10.', page_id, '/v1.full+text.pdf')
             ELSE concat('https://proceedings.mlr.press/v139/dong', page_id, 'a/a%20b+c.pdf') END AS url
 FROM {pages}""",
+    "pdf_attempts": """
+SELECT a.attempt_id, a.ts, a.success, u.url
+FROM (SELECT attempt_id, ts, success, attempt_id % (SELECT n FROM {page_count})
+             + CASE WHEN attempt_id % 2 = 0 THEN 100000000 ELSE 0 END AS at_url FROM {attempts}) a
+JOIN (SELECT page_id, url FROM {odd_urls} UNION ALL SELECT page_id + 100000000, url FROM {pdf_urls}) u ON u.page_id = a.at_url""",
     "responses": """
 SELECT r.page_id, u.url, r.html,
        CASE r.page_id % 6 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Application/PDF' WHEN 2 THEN 'application/octet-stream'

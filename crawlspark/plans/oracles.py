@@ -543,14 +543,12 @@ add("learn_scores_stream", f"""{ctes('attempts').replace('WITH ', 'WITH RECURSIV
 closed AS (SELECT * FROM attempts WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM attempts)),
 nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false), {fold('closed', 'nothing')}
 SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score FROM fin WHERE e.s > 0""")
-_pdf_attempts = f"""pu AS (SELECT page_id, url FROM odd_urls UNION ALL SELECT page_id + 100000000, url FROM pdf_urls),
-pa AS (SELECT attempt_id, ts, success, pu.url AS url, {host('pu.url')} AS host FROM attempts a JOIN pu ON pu.page_id = attempt_id % (SELECT n FROM page_count)
-  + CASE WHEN attempt_id % 2 = 0 THEN 100000000 ELSE 0 END)"""
+_pdf_attempts = f"pa AS (SELECT attempt_id, ts, success, url, {host('url')} AS host FROM pdf_attempts)"
 _learned = f"count(*) FILTER (success) >= {RULES.pdf_learn_threshold} AND host NOT IN ({', '.join(map(q, RULES.pdf_hosts))})"
-add("learn_pdf_hosts", f"""{ctes('attempts', 'odd_urls', 'pdf_urls')}, {_pdf_attempts}
+add("learn_pdf_hosts", f"""{ctes('pdf_attempts')}, {_pdf_attempts}
 SELECT host, count(*) AS total_attempts, count(*) FILTER (success) AS success_count, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us,
  {_learned} AS learned FROM pa GROUP BY host""")
-add("learn_pdf_paths", f"""{ctes('attempts', 'odd_urls', 'pdf_urls')}, {_pdf_attempts},
+add("learn_pdf_paths", f"""{ctes('pdf_attempts')}, {_pdf_attempts},
 hit AS (SELECT host, string_split({path('url')}, '/') AS ps FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, attempt_id) AS rn FROM pa WHERE success)
  WHERE rn = {RULES.pdf_learn_threshold} AND host NOT IN ({', '.join(map(q, RULES.pdf_hosts))})),
 x AS (SELECT host, ps, unnest(range(1, len(ps) + 1)) AS i FROM hit)
@@ -559,7 +557,7 @@ SELECT DISTINCT host, array_to_string(ps[:i], '/') || '/' AS pattern FROM x WHER
 add("cap_state", f"""{ctes('attempts').replace('WITH ', 'WITH RECURSIVE ', 1)}, nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false),
 {fold('attempts', 'nothing')}, u AS (SELECT host, max(ts) AS ts FROM attempts GROUP BY host)
 SELECT fin.host AS cache_key, epoch_us(ts) AS updated_us FROM fin JOIN u ON u.host = fin.host WHERE e.s > 0 ORDER BY ts DESC, fin.host LIMIT 20""")
-add("state_stats", f"""{ctes('attempts', 'odd_urls', 'pdf_urls', 'host_state')}, {_pdf_attempts}
+add("state_stats", f"""{ctes('pdf_attempts', 'host_state')}, {_pdf_attempts}
 SELECT count(*) AS cache_size, {', '.join(f"count(*) FILTER (decision = '{d}') AS n_{d}" for d in ('easyget', 'playwright', 'jina', 'pdf', 'blocked'))},
  sum(score)::BIGINT AS total_score, (SELECT count(*) FROM (SELECT host FROM pa GROUP BY host HAVING {_learned})) AS learned_pdf_hosts,
  {len(RULES.spa_hosts)}::BIGINT AS spa_hosts, {len(RULES.spa_patterns)}::BIGINT AS spa_patterns, {len(RULES.pdf_hosts)}::BIGINT AS pdf_hosts,

@@ -514,12 +514,7 @@ def _pdf_known(s):
 
 
 def _pdf_attempts(s, d):
-    a = view(s, d, "attempts")
-    u = view(s, d, "odd_urls").unionByName(view(s, d, "pdf_urls").withColumn("page_id", F.col("page_id") + 100_000_000))
-    n = view(s, d, "pages").agg(F.count("*").alias("n"))
-    base = a.select("attempt_id", "ts", "success", F.lit(1).alias("one")).join(n.withColumn("one", F.lit(1)), "one")
-    at = F.col("attempt_id") % F.col("n") + F.when(F.col("attempt_id") % 2 == 0, 100_000_000).otherwise(0)
-    return learning.pdf_events(base.withColumn("page_id", at).join(u, "page_id").select("attempt_id", "ts", "success", "url"))
+    return learning.pdf_events(view(s, d, "pdf_attempts"))
 
 
 @register
