@@ -45,18 +45,19 @@ def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
     verdict = (
         F.when(hit, F.struct(F.col("cached_decision").alias("mode"),
                              F.when(F.col("cached_decision") == "pdf", "cache_hit_pdf").otherwise("cache_hit").alias("method"),
-                             F.lit(100).alias("confidence")))
-        .when(F.col("_pdf"), _verdict("pdf", "pdf_url_pattern", 95))
-        .when(F.col("_spa"), _verdict("playwright", "domain_blacklist", 95))
-        .when(F.col("_probe"), _verdict("easyget", "easyget_test_success", 85))
-        .when(~F.col("_probe"), _verdict("playwright", "easyget_test_failed", 80))
-        .otherwise(_verdict("race", "no_probe", 0)))
+                             F.lit(100).alias("confidence"), F.concat(F.lit("缓存决策: "), F.col("matched_key")).alias("reason")))
+        .when(F.col("_pdf"), _verdict("pdf", "pdf_url_pattern", 95, "URL模式匹配为PDF文件"))
+        .when(F.col("_spa"), _verdict("playwright", "domain_blacklist", 95, "域名在SPA黑名单中"))
+        .when(F.col("_probe"), _verdict("easyget", "easyget_test_success", 85, "EasyGet有效"))
+        .when(~F.col("_probe"), _verdict("playwright", "easyget_test_failed", 80, "EasyGet失败"))
+        .otherwise(_verdict("race", "no_probe", 0, "")))
     keep = [c for c in looked.columns if not c.startswith("_") and c not in ("matched_key", "cached_decision", "cached_score")]
     return looked.select(*keep, verdict.alias("v"), hit.alias("cache_hit")).select(*keep, "v.*", "cache_hit")
 
 
-def _verdict(mode: str, method: str, confidence: int):
-    return F.struct(F.lit(mode).alias("mode"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
+def _verdict(mode: str, method: str, confidence: int, reason: str):
+    return F.struct(F.lit(mode).alias("mode"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
+                    F.lit(reason).alias("reason"))
 
 
 def route_accuracy(routes: DataFrame, winners: DataFrame, key: str = "request_id") -> DataFrame:

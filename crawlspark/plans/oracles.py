@@ -7,7 +7,7 @@ instead of folds.
 from __future__ import annotations
 
 from .. import rules as R
-from ..functions.blocks import BLOCK_COST, BLOCK_OPEN, BLOCK_TAGS, LINK, NOISE, TAG_WEIGHTS
+from ..functions.blocks import BLOCK_COST, BLOCK_OPEN, INLINE, LINK, NOISE, TAG_WEIGHTS
 from ..functions.common import WS
 from ..functions.quality import MAGIC
 from ..functions.text import ICON_RELS, NO_TITLE
@@ -286,7 +286,7 @@ def block_ctes(source: str = "pages") -> str:
     return f"""segs AS (SELECT page_id, string_split({marked}, chr(1)) AS ss FROM {source}),
 seg AS (SELECT page_id, unnest(range(len(ss))) AS idx, unnest(ss) AS seg FROM segs),
 blk AS (SELECT page_id, idx, CASE WHEN {tag} = '' THEN 'div' ELSE {tag} END AS tag, {_flat('seg')} AS text, length(seg) AS html_chars,
-        length({_flat(f"array_to_string(regexp_extract_all(seg, {q(LINK)}, 1), ' ')")}) AS link_chars FROM seg),
+        seg, length({_flat(f"array_to_string(regexp_extract_all(seg, {q(LINK)}, 1), ' ')")}) AS link_chars FROM seg),
 blocks AS (SELECT *, length(text) AS chars, CAST(row_number() OVER (PARTITION BY page_id ORDER BY idx) AS BIGINT) AS pos FROM blk WHERE text <> ''),
 worth AS (SELECT *, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN greatest(chars - 2 * link_chars - {BLOCK_COST}, 1)
                     ELSE chars - 2 * link_chars - {BLOCK_COST} END AS v FROM blocks),
@@ -319,6 +319,23 @@ sc AS (SELECT tf.page_id, idx, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f *
        FROM tf JOIN df ON df.page_id = tf.page_id AND df.w = tf.w JOIN st ON st.page_id = tf.page_id GROUP BY tf.page_id, idx)
 SELECT page_id, idx, score FROM sc WHERE score >= {P.BM25_LIMIT}""")
 
+
+
+def _inline(e: str) -> str:  # images left out: the pages hold none, and RE2 has no look-ahead
+    e = sub(e, r"""(?is)<a\b[^>]*\shref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", r"[\2](\1)")
+    for tags, mark in (("b|strong", "**"), ("i|em", "_"), ("code", "`")):
+        e = sub(e, rf"(?is)<(?:{tags})(?:\s[^>]*)?>(.*?)</(?:{tags})>", rf"{mark}\1{mark}")
+    return e
+
+
+_md = f"""CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN repeat('#', CAST(substr(tag, 2, 1) AS INT)) || ' ' || flat
+ WHEN tag = 'li' THEN '- ' || flat WHEN tag = 'blockquote' THEN '> ' || flat
+ WHEN tag = 'pre' THEN '```' || chr(10) || {sub(f"rtrim({unescape(sub('seg', '<[^>]*>'))}, ' ')", r'^[\s]*\n|[\s]+$')} || chr(10) || '```' ELSE flat END"""
+_pages_md = f"""flat_ AS (SELECT b.page_id, pos, tag, seg, CASE WHEN regexp_matches(seg, {q(INLINE)}) THEN {_flat(_inline('seg'))} ELSE text END AS flat
+ FROM blocks b JOIN rng r ON r.page_id = b.page_id WHERE pos BETWEEN first AND r.last),
+page_md AS (SELECT page_id, string_agg({_md}, chr(10) || chr(10) ORDER BY pos) AS markdown FROM flat_ GROUP BY page_id)"""
+add("blocks_markdown", f"WITH {block_ctes()}, {_pages_md} SELECT p.page_id, coalesce(markdown, '') AS markdown FROM pages p LEFT JOIN page_md m ON m.page_id = p.page_id")
+
 add("is_huge", f"{ctes('big_pages')} SELECT page_id, length(html) / 1048576.0 >= {P.HUGE_MB} AS huge FROM big_pages")
 
 
@@ -335,6 +352,13 @@ add("split_spans", f"""{ctes('big_pages').replace('WITH ', 'WITH RECURSIVE ', 1)
 SELECT page_id, CAST(idx AS BIGINT) AS idx, CAST(greatest(0, b - {P.CHUNK_OVERLAP}) AS BIGINT) AS span_start,
  CAST(least(n, i + {P.CHUNK_OVERLAP}) AS BIGINT) AS span_end FROM span WHERE idx >= 0""")
 _clean = no_scripts(no_base64("html"))
+# Chunks get an id of their own (page * 1000 + number), so that the page pipeline runs on them as it is.
+add("mapreduce_clean", f"""{ctes('big_pages').replace('WITH ', 'WITH RECURSIVE ', 1)}, ready AS (SELECT page_id, {_clean} AS html FROM big_pages), {spans('ready')},
+chunks AS (SELECT page_id * 1000 + idx AS page_id, substr(html, greatest(0, b - {P.CHUNK_OVERLAP}) + 1,
+  least(n, i + {P.CHUNK_OVERLAP}) - greatest(0, b - {P.CHUNK_OVERLAP})) AS html FROM span WHERE idx >= 0),
+{block_ctes('chunks')}, {_pages_md}
+SELECT CAST(floor(c.page_id / 1000) AS BIGINT) AS page_id, coalesce(string_agg(markdown, chr(10) || chr(10) ORDER BY c.page_id) FILTER ({collapse('markdown')} <> ''), '') AS markdown,
+ count(*) AS slices FROM chunks c LEFT JOIN page_md m ON m.page_id = c.page_id GROUP BY 1""")
 add("cleaning_stats", f"""{ctes('rich_pages')}, c AS (SELECT page_id, html, {_clean} AS cleaned FROM rich_pages)
 SELECT page_id, length(html) AS original_size, length(cleaned) AS cleaned_size, length({spaced('cleaned')}) AS text_length,
  greatest(0.0, round(CAST(length(html) - length(cleaned) AS DOUBLE) / greatest(1, length(html)) * 100, 2)) AS reduction_percentage FROM c""")
@@ -472,11 +496,12 @@ u AS (SELECT kind || '-' || page_id AS id, url, {host('url')} AS host, {is_pdf('
 st AS (SELECT * FROM host_state WHERE score > 2), {cache_lookup('u', 'id', 'st')},
 pp AS (SELECT * FROM pages WHERE page_id % 3 <> 0),
 {probe_ctes('pp', 'page_id', 'html', 'true', 'CASE WHEN page_id % 5 = 0 THEN 500 ELSE 200 END')},
-j AS (SELECT u.*, c.decision, p.effective FROM u JOIN cached c ON c.id = u.id LEFT JOIN probe p ON 'page-' || p.page_id = u.id)
+j AS (SELECT u.*, c.decision, c.cache_key, p.effective FROM u JOIN cached c ON c.id = u.id LEFT JOIN probe p ON 'page-' || p.page_id = u.id)
 SELECT id, host, {_modes} AS mode, CASE WHEN decision = 'pdf' THEN 'cache_hit_pdf' WHEN decision IS NOT NULL THEN 'cache_hit' WHEN pdf THEN 'pdf_url_pattern'
  WHEN spa THEN 'domain_blacklist' WHEN effective THEN 'easyget_test_success' WHEN NOT effective THEN 'easyget_test_failed' ELSE 'no_probe' END AS method,
  CASE WHEN decision IS NOT NULL THEN 100 WHEN pdf OR spa THEN 95 WHEN effective THEN 85 WHEN NOT effective THEN 80 ELSE 0 END::BIGINT AS confidence,
- decision IS NOT NULL AS cache_hit FROM j""")
+ CASE WHEN decision IS NOT NULL THEN '缓存决策: ' || cache_key WHEN pdf THEN 'URL模式匹配为PDF文件' WHEN spa THEN '域名在SPA黑名单中'
+ WHEN effective THEN 'EasyGet有效' WHEN NOT effective THEN 'EasyGet失败' ELSE '' END AS reason, decision IS NOT NULL AS cache_hit FROM j""")
 add("lane_plan", f"""{ctes('requests')}, l AS (SELECT request_id, CASE WHEN crawl_type = 'pdf' THEN ['pdf'] WHEN mode = 'fast' THEN ['easyget']
  WHEN mode = 'playwright' THEN ['playwright'] WHEN mode = 'jina' THEN ['jina'] WHEN mode = 'no_jina' THEN ['easyget', 'playwright']
  WHEN hint IN ('pdf', 'easyget') THEN [hint] WHEN hint = 'blocked' THEN [] ELSE ['easyget', 'playwright', 'jina'] END AS ls FROM requests)

@@ -430,7 +430,7 @@ def _routes(s, d, cache: bool = True):
 
 @register
 def route(s, d):
-    return _routes(s, d).select("id", "host", "mode", "method", F.col("confidence").cast("long").alias("confidence"), "cache_hit")
+    return _routes(s, d).select("id", "host", "mode", "method", F.col("confidence").cast("long").alias("confidence"), "reason", "cache_hit")
 
 
 @register

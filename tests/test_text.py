@@ -115,7 +115,7 @@ def test_blocks_markdown(spark):
     md = cleaning.blocks_markdown(df).first()["markdown"]
     assert md == ("# Head & more\n\nFirst **bold** paragraph with a [link](http://x/y) in running text.\n\n"
                   "Second paragraph, unclosed, long enough.\n\n- item one is here\n\n- item two is here\n\n"
-                  "```\n  code  line\n    indented\n```\n\n> quoted words here ![pic](/i.png)")
+                  "```\n  code  line\n    indented\n```\n\n> quoted words here![pic](/i.png)")
 
 
 def test_empty_and_plain_pages_keep_their_text(spark):
