@@ -12,8 +12,9 @@ chain of such maps is again of the form max(low, s + total). A stretch is theref
     alive   final entry when the first run ends with a positive score
     dead    final entry when it ends with none
 
-so a host's history is cut into short time buckets, each bucket reduced on its own, and only the bucket
-descriptions are chained. A host holding a third of all events is spread over all its buckets.
+and two adjacent descriptions combine into one. A host's history is cut into seconds, each second described on
+its own, the descriptions of an hour combined, and only the hours chained. A host holding a third of all events is
+spread over all its seconds, and what meets in one task is bounded by time, not by rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import let
 from ..functions.urls import norm_host, path
 from ..rules import DEFAULT_RULES, Rules
 
@@ -74,29 +76,53 @@ def describe(events: Column) -> Column:
 
 def chain(state: Column, d: Column) -> Column:
     """Entry after a described stretch."""
-    run_end = (F.when(state["score"] <= 0, F.greatest(d["low"], d["total"]))
-               .when(state["decision"] == d["lane"], F.greatest(d["low"], state["score"] + d["total"]))
+    def after_first_run(s: Column) -> Column:
+        end = (F.when(s["score"] <= 0, F.greatest(d["low"], d["total"]))
+               .when(s["decision"] == d["lane"], F.greatest(d["low"], s["score"] + d["total"]))
                .otherwise(d["other"]))
-    run_end = F.greatest(run_end, F.lit(0)).cast("int")
-    lone = _entry(F.when(run_end > 0, d["lane"]), run_end)
-    return F.when(d["single"], lone).when(run_end > 0, d["alive"]).otherwise(d["dead"])
+        return F.greatest(end, F.lit(0)).cast("int")
 
+    def entry(end: Column) -> Column:
+        lone = _entry(F.when(end > 0, d["lane"]), end)
+        return F.when(d["single"], lone).when(end > 0, d["alive"]).otherwise(d["dead"])
 
-def bucket_descriptions(events: DataFrame, bucket_s: int = 60) -> DataFrame:
-    """Level 1: one description per host and time bucket."""
+    return let(let(state, after_first_run), entry)
+
+
+def combine(a: Column, b: Column) -> Column:
+    """Description of two adjacent stretches."""
+    same = a["single"] & (a["lane"] == b["lane"])
+    joined = F.struct(a["lane"].alias("lane"), (a["total"] + b["total"]).alias("total"),
+                      F.greatest(b["low"], a["low"] + b["total"]).alias("low"),
+                      F.greatest(b["low"], a["other"] + b["total"]).alias("other"), b["single"].alias("single"),
+                      b["alive"].alias("alive"), b["dead"].alias("dead"))
+    alive = F.when(a["single"], _entry(a["lane"], F.lit(1))).otherwise(a["alive"])
+    dead = F.when(a["single"], _none()).otherwise(a["dead"])
+    later = F.struct(a["lane"].alias("lane"), a["total"].alias("total"), a["low"].alias("low"), a["other"].alias("other"),
+                     F.lit(False).alias("single"), chain(alive, b).alias("alive"), chain(dead, b).alias("dead"))
+    return F.when(same, joined).otherwise(later)
+
+
+def block_descriptions(events: DataFrame, bucket_s: int = 1, block_s: int = 3600) -> DataFrame:
+    """One description per host and block, made of those of its short buckets."""
     at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_s)
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lane", F.col("delta").cast("int").alias("delta"))))
-    return (events.groupBy("host", at.alias("bucket")).agg(ordered.alias("es"))
-            .select("host", "bucket", describe(F.col("es")).alias("d"), F.size("es").alias("n"),
-                    F.element_at("es", -1)["ts"].alias("updated")))
+    short = (events.groupBy("host", at.alias("bucket")).agg(ordered.alias("es"))
+             .select("host", "bucket", describe(F.col("es")).alias("d"), F.size("es").alias("n"),
+                     F.element_at("es", -1)["ts"].alias("updated")))
+    block = F.floor(F.col("bucket") * bucket_s / max(bucket_s, block_s))
+    ds = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"])
+    long = short.groupBy("host", block.alias("bucket")).agg(ds.alias("ds"), F.sum("n").alias("n"), F.max("updated").alias("updated"))
+    rest = F.slice("ds", F.lit(2), F.greatest(F.size("ds") - 1, F.lit(0)))
+    return long.select("host", "bucket", F.aggregate(rest, F.get("ds", F.lit(0)), combine).alias("d"), "n", "updated")
 
 
-def learn_scores(events: DataFrame, state0: DataFrame | None = None, bucket_s: int = 60) -> DataFrame:
+def learn_scores(events: DataFrame, state0: DataFrame | None = None, bucket_s: int = 1, block_s: int = 3600) -> DataFrame:
     """L1: learned entry per host after all its events (``host, ts, event_id, lane, delta``) in time order.
 
     ``state0`` (``cache_key, decision, score``) is the earlier state; entries whose host has no event stay.
     """
-    parts = bucket_descriptions(events, bucket_s).groupBy("host").agg(
+    parts = block_descriptions(events, bucket_s, block_s).groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias("ds"), F.sum("n").alias("events"),
         F.max("updated").alias("updated"))
     if state0 is None:

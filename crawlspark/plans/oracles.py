@@ -563,9 +563,9 @@ fin AS (SELECT host, arg_max({{'d': decision, 's': score}}, rn) AS e, max(rn) AS
 add("learn_scores", f"""{ctes('attempts', 'host_state').replace('WITH ', 'WITH RECURSIVE ', 1)}, {fold('attempts', 'host_state')}
 SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score, n::BIGINT AS events FROM fin WHERE e.s > 0
 UNION ALL SELECT cache_key, decision, score, 0 FROM host_state WHERE cache_key NOT IN (SELECT host FROM attempts)""")
-# A stream closes only minutes that end before the last event time less the watermark delay.
+# A stream closes only seconds that end before the last event time less the watermark delay.
 add("learn_scores_stream", f"""{ctes('attempts').replace('WITH ', 'WITH RECURSIVE ', 1)},
-closed AS (SELECT * FROM attempts WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM attempts)),
+closed AS (SELECT * FROM attempts WHERE date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM attempts)),
 nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false), {fold('closed', 'nothing')}
 SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score FROM fin WHERE e.s > 0""")
 _pdf_attempts = f"pa AS (SELECT attempt_id, ts, success, url, {host('url')} AS host FROM pdf_attempts)"

@@ -16,7 +16,7 @@ OUT = "cache_key string, decision string, score int, bucket timestamp"
 
 
 class ScoreFold(StatefulProcessor):
-    """Keeps (decision, score) per host and chains described minutes in time order."""
+    """Keeps (decision, score) per host and chains described windows in time order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._entry = handle.getValueState("entry", "decision string, score int")
@@ -24,9 +24,9 @@ class ScoreFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        minutes = pd.concat(list(rows)).sort_values("bucket")
+        windows = pd.concat(list(rows)).sort_values("bucket")
         lane, score = self._entry.get() if self._entry.exists() else (None, 0)
-        for m in minutes.itertuples(index=False):
+        for m in windows.itertuples(index=False):
             if score <= 0:
                 end = max(m.low, m.total)
             elif lane == m.lane:
@@ -42,15 +42,15 @@ class ScoreFold(StatefulProcessor):
                 lane, score = m.dead_decision, int(m.dead_score)
         self._entry.update((lane, score))
         yield pd.DataFrame({"cache_key": [key[0]], "decision": [lane], "score": [score],
-                            "bucket": [minutes["bucket"].iloc[-1]]})
+                            "bucket": [windows["bucket"].iloc[-1]]})
 
     def close(self) -> None:
         pass
 
 
-def learn_scores_stream(events: DataFrame, watermark: str = "10 minutes", bucket: str = "1 minute") -> DataFrame:
-    """L2: L1 on a stream. Every closed minute of a host is described by a windowed aggregate (so a busy host is
-    spread over its minutes), then chained per host in a small keyed state.
+def learn_scores_stream(events: DataFrame, watermark: str = "10 minutes", bucket: str = "1 second") -> DataFrame:
+    """L2: L1 on a stream. Every closed second of a host is described by a windowed aggregate (so a busy host is
+    spread over its seconds), then chained per host in a small keyed state.
 
     Rows arriving after the watermark are dropped; Spark counts them (``numRowsDroppedByWatermark``). Emits the
     entry of a host whenever it advanced; score 0 means the entry was removed.

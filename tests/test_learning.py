@@ -41,8 +41,8 @@ def test_bucketed_fold_equals_the_direct_fold(spark):
     for seed in range(4):
         events = make(seed, 1500, hosts)
         want, fresh = by_hand(events, start), by_hand(events, {})
-        for bucket in (1, 60, 1_000_000):
-            got = learning.learn_scores(frame(spark, events), state0, bucket)
+        for bucket, block in ((1, 3600), (1, 30), (60, 60), (1_000_000, 1)):
+            got = learning.learn_scores(frame(spark, events), state0, bucket, block)
             assert {r.cache_key: (r.decision, r.score) for r in got.collect()} == want
         got = learning.learn_scores(frame(spark, events))
         assert {r.cache_key: (r.decision, r.score) for r in got.collect()} == fresh
