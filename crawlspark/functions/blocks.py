@@ -10,13 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import col, collapse_ws, let
-from .text import strip_base64_images, strip_script_style, strip_tags, unescape
+from .text import drop_up_to, strip_base64_images, strip_script_style, strip_tags, unescape
 
 MARK = "\x01"
 BLOCK_TAGS = "p|h[1-6]|li|pre|td|th|blockquote|div|section|article|main|ul|ol|table|tr|body"
 BLOCK_OPEN = rf"(?i)(<(?:{BLOCK_TAGS})\b)"
-NOISE = (r"(?is)<(?:!--.*?-->|head(?:\s[^>]*)?>.*?</head>|nav\b[^>]*>.*?</nav>|header\b[^>]*>.*?</header>"
-         r"|footer\b[^>]*>.*?</footer>|aside\b[^>]*>.*?</aside>)")
+# What is no content, in the order of removal: pattern and how each match ends.
+NOISE = ((r"(?is)<!--.*?-->", "-->"), (r"(?is)<head(?:\s[^>]*)?>.*?</head>", "</head>"),
+         *((rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", f"</{tag}>") for tag in ("nav", "header", "footer", "aside")))
 INLINE = r"(?i)<(?:a|img|b|strong|i|em|code)\b"
 LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
 BLOCK_COST = 10  # characters a block must bring to be worth keeping
@@ -28,7 +29,10 @@ TAG_WEIGHTS = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "article": 1.5, "section
 
 def content_html(html) -> Column:
     """Page markup without inline images, scripts, styles, comments, head and navigation."""
-    return F.regexp_replace(strip_script_style(strip_base64_images(html)), NOISE, "")
+    out = strip_script_style(strip_base64_images(html))
+    for pattern, last in NOISE:
+        out = drop_up_to(out, pattern, last)
+    return out
 
 
 def _plain(c: Column) -> Column:

@@ -10,13 +10,27 @@ from .urls import absolute_link, authority, scheme
 
 NO_TITLE = "无标题"  # fixed value
 
-# Script bodies are matched by a lazy run, not by alternation per character: java.util.regex recurses on
-# the latter and overflows the stack on a 2 KB script.
+# Element patterns. Bodies are matched by a lazy run, not by alternation per character:
+# java.util.regex recurses on the latter and overflows the stack on a 2 KB script.
 SCRIPT_BODY = r"(?is)<script[^>]*>.*?</script>"
 STYLE_BODY = r"(?is)<style[^>]*>.*?</style>"
 NOSCRIPT_BODY = r"(?is)<noscript[^>]*>.*?</noscript>"
 
 
+def drop_up_to(html, pattern: str, last: str, with_: str = "") -> Column:
+    """Replace matches of ``pattern``, all of which end with ``last``.
+
+    Only the text up to its last occurrence can hold a match. Beyond it each opening tag would send the regex to the
+    end of the text in vain, which is quadratic on a page of unclosed tags.
+    """
+    def cut(t: Column) -> Column:
+        head = F.regexp_extract(t, rf"(?is)^(.*{last})", 1)
+        return F.when(head == "", t).otherwise(
+            F.concat(F.regexp_replace(head, pattern, with_), F.substring(t, F.length(head) + 1, F.length(t))))
+
+    return let(col(html), lambda t: let(cut(t), lambda u: u))
+
+
 def strip_tags(html, with_: str = "", pattern: str = r"<[^>]+>") -> Column:
     """Replace tags. Only the text up to the last ``>`` can hold one; beyond it every ``<`` would send the regex
     to the end of the text and back, which is quadratic on prose or code full of ``<``."""
@@ -30,15 +44,13 @@ def strip_tags(html, with_: str = "", pattern: str = r"<[^>]+>") -> Column:
 
 def visible_text(html) -> Column:
     """TXT1: text without script, style and tags; white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(col(html), SCRIPT_BODY, ""), STYLE_BODY, "")
+    bare = drop_up_to(drop_up_to(html, SCRIPT_BODY, "</script>"), STYLE_BODY, "</style>")
     return collapse_ws(strip_tags(bare))
 
 
-def probe_text(html, sample: int | None = None, spaced: bool = True) -> Column:
-    """TXT2: tags become spaces (or vanish); ``sample`` bounds the prefix looked at, as the probe does."""
+def probe_text(html, spaced: bool = True) -> Column:
+    """TXT2: tags become spaces (or vanish), over the whole text."""
     html = col(html)
-    if sample:
-        html = F.substring(html, 1, sample)
     return collapse_ws(strip_tags(html, " ")) if spaced else strip_ws(strip_tags(html))
 
 
@@ -80,7 +92,10 @@ def markdown_title(md) -> Column:
 
 
 def strip_base64_images(html) -> Column:
-    """TXT5: inline images in ``<img>``, CSS ``url()`` and bare form. One test spares pages without any."""
+    """TXT5: inline images in ``<img>``, CSS ``url()`` and bare form. One test spares pages without any.
+
+    Patterns and replacement texts are fixed values, as are those of :func:`strip_base64_markdown`.
+    """
     html = col(html)
     out = F.regexp_replace(html, r"""(?i)<img[^>]*src=["']data:image/[^;]+;base64,[^"']*["'][^>]*>""",
                            "<!-- base64-img-removed -->")
@@ -99,8 +114,9 @@ def strip_base64_markdown(md) -> Column:
 def strip_script_style(html) -> Column:
     """TXT7: script, style and noscript elements, then self-closed script and style tags."""
     out = col(html)
-    for pattern in (SCRIPT_BODY, STYLE_BODY, NOSCRIPT_BODY, r"(?i)<script[^>]*/>", r"(?i)<style[^>]*/>"):
-        out = F.regexp_replace(out, pattern, "")
+    for pattern, last in ((SCRIPT_BODY, "</script>"), (STYLE_BODY, "</style>"), (NOSCRIPT_BODY, "</noscript>"),
+                          (r"(?i)<script[^>]*/>", "/>"), (r"(?i)<style[^>]*/>", "/>")):
+        out = drop_up_to(out, pattern, last)
     return out
 
 
@@ -118,9 +134,9 @@ ICON_RELS = ("icon", "shortcut icon", "apple-touch-icon", "apple-touch-icon-prec
 
 
 def icon_links(html, base, k: int = 3) -> Column:
-    """TXT9: up to ``k`` absolute icon links from the document head, else ``/favicon.ico``."""
+    """TXT9: up to ``k`` absolute icon links from the whole document, else ``/favicon.ico``."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
-    tags = F.regexp_extract_all(F.substring(col(html), 1, 10000), F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<link\b[^<>]*>"), F.lit(0))
 
     def attr(tag: Column, name: str) -> Column:
         return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1)
@@ -148,8 +164,10 @@ def is_huge(html, mb: float = 8.0) -> Column:
 
 def split_spans(html, target_kb: int = 512, overlap: int = 1024) -> Column:
     """TXT15: array of (idx, start, end); a cut moves to the next safe boundary within 4096 characters."""
+    if target_kb < 64 or overlap < 0:
+        raise ValueError("a chunk holds at least 64 KB and an overlap is not negative")
     html = col(html)
-    target, overlap = max(64 * 1024, int(target_kb * 1024)), max(0, int(overlap))
+    target, overlap = int(target_kb * 1024), int(overlap)
     spans = "array<struct<start:int,end:int>>"
 
     def cut(i: Column, n: Column) -> Column:
@@ -188,7 +206,7 @@ def cleaning_stats(html, cleaned) -> Column:
 
 
 def failure_markdown(url, easyget_error=None, playwright_error=None, jina_error=None) -> Column:
-    """TXT19: the body reported for a request that failed on every lane."""
+    """TXT19: the body reported for a request that failed on every lane; its wording is a fixed value."""
     parts = [F.when(col(e) != "", F.concat(F.lit(f"{label}: "), col(e)))
              for label, e in (("EasyGet", easyget_error), ("Playwright", playwright_error), ("Jina", jina_error))
              if e is not None]

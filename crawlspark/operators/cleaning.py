@@ -63,74 +63,58 @@ def split_pages(pages: DataFrame, target_kb: int = 512, overlap: int = 1024, key
                         F.substring("html", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk"))
 
 
-def mapreduce_clean(pages: DataFrame, target_kb: int = 512, overlap: int = 1024, key: str = "page_id") -> DataFrame:
-    """TXT16: clean very large pages chunk by chunk, spread over tasks, and put them together in order.
+def mapreduce_clean(pages: DataFrame, target_kb: int = 512, key: str = "page_id") -> DataFrame:
+    """TXT16: Markdown of pages cleaned chunk by chunk and put together in order, inside the row of each page.
 
-    Meant for the huge pages only: chunks are spread by (page, chunk), so one giant page uses many tasks; what is
-    gathered again per page is its Markdown, bounded by one page.
+    Chunks do not overlap, so no text is written twice. A page without content has no slice and empty Markdown.
     """
-    chunks = split_pages(pages, target_kb, overlap, key).repartition(key, "idx")
-    cleaned = with_blocks(chunks.select(key, "idx", F.col("chunk").alias("html"))).select(
-        key, "idx", B.join_markdown(B.kept_blocks("blocks", "bounds")).alias("md"))
-    parts = F.array_sort(F.collect_list(F.struct("idx", "md")))
-    joined = F.array_join(F.filter(F.transform(parts, lambda p: p["md"]), lambda m: collapse_ws(m) != ""), "\n\n")
-    return cleaned.groupBy(key).agg(joined.alias("markdown"), F.count("*").alias("slices"))
-
-
-def _chunked_markdown(html, target_kb: int, overlap: int):
-    """Chunk, clean and join inside the row: same result as :func:`mapreduce_clean`, no shuffle."""
-    ready = X.strip_script_style(X.strip_base64_images(html))
     def chunk_md(h, s):
         bl = B.page_blocks(F.substring(h, s["start"] + 1, s["end"] - s["start"]))
         return let(bl, lambda bs: B.join_markdown(B.kept_blocks(bs, B.best_range(bs))))
 
-    parts = let(ready, lambda h: F.transform(X.split_spans(h, target_kb, overlap), lambda s: chunk_md(h, s)))
-    return F.array_join(F.filter(parts, lambda m: collapse_ws(m) != ""), "\n\n")
+    ready = pages.select(key, F.coalesce(X.strip_script_style(X.strip_base64_images("html")), F.lit("")).alias("html"))
+    parts = ready.select(key, let(F.col("html"), lambda h: F.transform(
+        X.split_spans(h, target_kb, 0), lambda s: chunk_md(h, s))).alias("parts"))
+    return parts.select(key, F.array_join(F.filter("parts", lambda m: collapse_ws(m) != ""), "\n\n").alias("markdown"),
+                        F.size("parts").cast("long").alias("slices"))
 
 
-def clean_pages(pages: DataFrame, huge_mb: float = 8.0, target_kb: int = 512, overlap: int = 1024,
-                spread_huge: bool = False, key: str = "page_id") -> DataFrame:
-    """TXT18: the cleaning cascade - too short, huge (chunked), ordinary - with statistics.
+def clean_pages(pages: DataFrame, approach: str = "range", ignore_links: bool = False, ignore_images: bool = False,
+                query: str = "main content", threshold: float | None = None, key: str = "page_id") -> DataFrame:
+    """TXT18: Markdown of each page with statistics; one pass over the input, the same for every size.
 
-    By default one pass over the input, chunks of a huge page handled inside its row. ``spread_huge`` sends the
-    huge pages through :func:`mapreduce_clean` instead, at the price of a second scan, for inputs where single
-    pages dominate.
+    ``approach`` chooses the blocks: the best contiguous ``range``, ``prune`` by score or ``bm25`` against a query.
+    A page without HTML gets a placeholder and no success; one whose blocks hold nothing a placeholder that says so.
     """
     base = pages.select(key, F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    huge, short = X.is_huge("html", huge_mb), F.length("html") < 10
-    if spread_huge:
-        big = base.filter(huge & ~short)
-        parts = mapreduce_clean(big, target_kb, overlap, key).select(key, "markdown")
-        big = big.join(parts, key, "left")
-        rest = base.filter(~huge | short)
-        cleaned = _ordinary(rest, short, None, 0, 0).unionByName(
-            big.select(key, "html", F.col("markdown"), F.lit("readability-mapreduce").alias("cleaner")))
+    if approach == "range":
+        chosen = let(B.page_blocks("html"), lambda bs: B.kept_blocks(bs, B.best_range(bs)))
+    elif approach == "prune":
+        chosen = B.pruned(B.page_blocks("html"), 0.5 if threshold is None else threshold)
+    elif approach == "bm25":
+        limit = 1.2 if threshold is None else threshold
+        chosen = let(B.page_blocks("html"), lambda bs: let(B.bm25_scores(bs, query), lambda ss: F.filter(
+            bs, lambda b, i: F.get(ss, i)["score"] >= limit)))
     else:
-        cleaned = _ordinary(base, short, huge, target_kb, overlap)
-    empty = (F.col("cleaner") != "placeholder") & (F.length(collapse_ws(F.coalesce("markdown", F.lit("")))) < 10)
-    body = F.when(empty, F.concat(F.lit(EMPTY_RESULT), F.length("html").cast("string"), F.lit(" 字符"))).otherwise(F.col("markdown"))
-    out = cleaned.select(key, "html", body.alias("markdown"), "cleaner", empty.alias("is_empty"),
-                         (F.col("cleaner") != "placeholder").alias("success"))
+        raise ValueError(f"unknown approach: {approach}")
+    markdown = B.join_markdown(chosen)
+    if ignore_links or ignore_images:
+        markdown = X.strip_md_links(markdown, images=ignore_images, links=ignore_links)
+    none = collapse_ws("html") == ""
+    staged = base.withColumn("markdown", F.when(~none, markdown)).withColumn(
+        "is_empty", none | (collapse_ws(F.coalesce("markdown", F.lit(""))) == ""))
+    body = (F.when(none, EMPTY_BODY)
+            .when(F.col("is_empty"), F.concat(F.lit(EMPTY_RESULT), F.length("html").cast("string"), F.lit(" 字符")))
+            .otherwise(F.col("markdown")))
+    label = F.when(none, "placeholder").otherwise("readability-single")
+    out = staged.select(key, "html", body.alias("markdown"), label.alias("cleaner"), "is_empty", (~none).alias("success"))
     return out.select(key, "markdown", "cleaner", "is_empty", "success",
                       X.cleaning_stats("html", "markdown").alias("stats"))
 
 
-def _ordinary(base: DataFrame, short, huge, target_kb: int, overlap: int) -> DataFrame:
-    label = F.when(short, "placeholder")
-    if huge is not None:
-        label = label.when(huge, "readability-mapreduce")
-    staged = base.withColumn("cleaner", label.otherwise("readability-single"))
-    staged = staged.withColumn("blocks", F.when(F.col("cleaner") == "readability-single", B.page_blocks("html")))
-    staged = staged.withColumn("bounds", B.best_range("blocks"))
-    md = F.when(F.col("cleaner") == "readability-single", B.join_markdown(B.kept_blocks("blocks", "bounds")))
-    if huge is not None:
-        md = md.when(F.col("cleaner") == "readability-mapreduce", _chunked_markdown("html", target_kb, overlap))
-    return staged.withColumn("markdown", md.otherwise(EMPTY_BODY)).drop("blocks", "bounds")
-
-
 def fast_lane_gate(pages: DataFrame, text_limit: int = 150, clean: bool = True, mode: str = "unicode") -> DataFrame:
     """Q3: gate error per fetched body (``html``, ``body`` and, when cleaning, ``markdown``)."""
-    plain = X.probe_text("html", 800 * 1024)
+    plain = X.probe_text("html")
     n = F.length(X.probe_text("markdown")) if clean else None
     return (pages.withColumn("plain_text", plain)
             .withColumn("gate_error", Q.lane_gate("plain_text", "body", n, text_limit, mode))

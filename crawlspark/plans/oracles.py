@@ -7,7 +7,8 @@ instead of folds.
 from __future__ import annotations
 
 from .. import rules as R
-from ..functions.blocks import BLOCK_COST, BLOCK_OPEN, INLINE, LINK, NOISE, TAG_WEIGHTS
+from ..functions.blocks import BLOCK_COST, BLOCK_OPEN, INLINE, LINK, TAG_WEIGHTS
+from ..operators.cleaning import EMPTY_BODY, EMPTY_RESULT
 from ..functions.common import WS
 from ..functions.quality import MAGIC
 from ..functions.text import ICON_RELS, NO_TITLE
@@ -258,7 +259,7 @@ add("strip_md_links", f"{ctes('markdown_docs')} SELECT doc_id, md5({_no_links(_n
 _icon_rows = " UNION ALL ".join(
     f"SELECT page_id, {i} AS rel_no, pos, href FROM tags WHERE rel = {q(rel)} AND href <> ''" for i, rel in enumerate(ICON_RELS))
 add("icon_links", rf"""{ctes('icon_pages')},
-raw AS (SELECT page_id, url, regexp_extract_all(substr(html, 1, 10000), '(?is)<link\b[^>]*>') AS ts FROM icon_pages),
+raw AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<link\b[^>]*>') AS ts FROM icon_pages),
 cut AS (SELECT page_id, unnest(range(len(ts))) AS pos, ts FROM raw),
 tags AS (SELECT page_id, pos, lower(regexp_extract(ts[pos + 1], '(?is)\srel\s*=\s*["'']([^"'']*)["'']', 1)) AS rel,
          regexp_extract(ts[pos + 1], '(?is)\shref\s*=\s*["'']([^"'']*)["'']', 1) AS href FROM cut),
@@ -273,7 +274,11 @@ add("has_pdf_embed", f"{ctes('rich_pages')} SELECT page_id, {_embed} AS embed FR
 # ---- blocks ----
 
 def _content(e: str) -> str:
-    return sub(no_scripts(no_base64(e)), NOISE)
+    e = sub(no_scripts(no_base64(e)), "(?s)<!--.*?-->")
+    e = sub(e, r"(?is)<head(?:[\s][^>]*)?>.*?</head>")
+    for tag in ("nav", "header", "footer", "aside"):
+        e = sub(e, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>")
+    return e
 
 
 def _flat(e: str) -> str:
@@ -352,19 +357,40 @@ add("split_spans", f"""{ctes('big_pages').replace('WITH ', 'WITH RECURSIVE ', 1)
 SELECT page_id, CAST(idx AS BIGINT) AS idx, CAST(greatest(0, b - {P.CHUNK_OVERLAP}) AS BIGINT) AS span_start,
  CAST(least(n, i + {P.CHUNK_OVERLAP}) AS BIGINT) AS span_end FROM span WHERE idx >= 0""")
 _clean = no_scripts(no_base64("html"))
+_short = """p AS (SELECT page_id, html FROM big_pages UNION ALL SELECT page_id + 1000000, CASE page_id % 4 WHEN 0 THEN '<p>42</p>' WHEN 1 THEN ' '
+ WHEN 2 THEN '<div><p>Yes it</p></div>' END FROM pages)"""
 # Chunks get an id of their own (page * 1000 + number), so that the page pipeline runs on them as it is.
-add("mapreduce_clean", f"""{ctes('big_pages').replace('WITH ', 'WITH RECURSIVE ', 1)}, ready AS (SELECT page_id, {_clean} AS html FROM big_pages), {spans('ready')},
-chunks AS (SELECT page_id * 1000 + idx AS page_id, substr(html, greatest(0, b - {P.CHUNK_OVERLAP}) + 1,
-  least(n, i + {P.CHUNK_OVERLAP}) - greatest(0, b - {P.CHUNK_OVERLAP})) AS html FROM span WHERE idx >= 0),
-{block_ctes('chunks')}, {_pages_md}
-SELECT CAST(floor(c.page_id / 1000) AS BIGINT) AS page_id, coalesce(string_agg(markdown, chr(10) || chr(10) ORDER BY c.page_id) FILTER ({collapse('markdown')} <> ''), '') AS markdown,
- count(*) AS slices FROM chunks c LEFT JOIN page_md m ON m.page_id = c.page_id GROUP BY 1""")
+add("mapreduce_clean", f"""{ctes('big_pages').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_short}, ready AS (SELECT page_id, {_clean} AS html FROM p), {spans('ready')},
+chunks AS (SELECT page_id * 1000 + idx AS page_id, substr(html, b + 1, i - b) AS html FROM span WHERE idx >= 0),
+{block_ctes('chunks')}, {_pages_md},
+whole AS (SELECT CAST(floor(c.page_id / 1000) AS BIGINT) AS page_id, string_agg(markdown, chr(10) || chr(10) ORDER BY c.page_id) FILTER ({collapse('markdown')} <> '') AS markdown,
+ count(*) AS slices FROM chunks c LEFT JOIN page_md m ON m.page_id = c.page_id GROUP BY 1)
+SELECT p.page_id, coalesce(markdown, '') AS markdown, coalesce(slices, 0) AS slices FROM p LEFT JOIN whole w ON w.page_id = p.page_id""")
 add("cleaning_stats", f"""{ctes('rich_pages')}, c AS (SELECT page_id, html, {_clean} AS cleaned FROM rich_pages)
 SELECT page_id, length(html) AS original_size, length(cleaned) AS cleaned_size, length({spaced('cleaned')}) AS text_length,
  greatest(0.0, round(CAST(length(html) - length(cleaned) AS DOUBLE) / greatest(1, length(html)) * 100, 2)) AS reduction_percentage FROM c""")
-add("clean_pages", f"""{ctes('big_pages')}, p AS (SELECT page_id, CASE WHEN page_id % 17 = 5 THEN '<p>x</p>' ELSE html END AS html FROM big_pages)
-SELECT page_id, CASE WHEN length(html) < 10 THEN 'placeholder' WHEN length(html) / 1048576.0 >= {P.HUGE_MB} THEN 'readability-mapreduce' ELSE 'readability-single' END AS cleaner,
- length(html) >= 10 AS success, length(html) >= 10 AND length({visible('html')}) < 10 AS is_empty, length(html) AS original_size FROM p""")
+add("clean_pages", f"""{ctes('big_pages')}, {_short}, {block_ctes('p')}, {_pages_md},
+m AS (SELECT p.page_id, coalesce(html, '') AS html, coalesce(markdown, '') AS md FROM p LEFT JOIN page_md g ON g.page_id = p.page_id),
+o AS (SELECT page_id, html, md, {collapse('html')} = '' AS blank, {collapse('md')} = '' AS hollow FROM m),
+r AS (SELECT page_id, html, blank, hollow, CASE WHEN blank THEN {q(EMPTY_BODY)} WHEN hollow THEN concat({q(EMPTY_RESULT)}, length(html), ' 字符') ELSE md END AS markdown FROM o)
+SELECT page_id, markdown, CASE WHEN blank THEN 'placeholder' ELSE 'readability-single' END AS cleaner, NOT blank AS success, blank OR hollow AS is_empty,
+ length(html) AS original_size, length(markdown) AS cleaned_size FROM r""")
+
+
+def _chosen_md(where: str) -> str:
+    """Markdown of the blocks chosen by a table ``pick`` (page_id, idx)."""
+    return f"""flat_ AS (SELECT b.page_id, pos, tag, seg, CASE WHEN regexp_matches(seg, {q(INLINE)}) THEN {_flat(_inline('seg'))} ELSE text END AS flat
+ FROM blocks b JOIN {where} k ON k.page_id = b.page_id AND k.idx = b.idx),
+page_md AS (SELECT page_id, string_agg({_md}, chr(10) || chr(10) ORDER BY pos) AS markdown FROM flat_ GROUP BY page_id),
+m AS (SELECT p.page_id, length(html) AS n, coalesce(markdown, '') AS md FROM pages p LEFT JOIN page_md g ON g.page_id = p.page_id)
+SELECT page_id, CASE WHEN {collapse('md')} = '' THEN concat({q(EMPTY_RESULT)}, n, ' 字符') ELSE md END AS markdown, {collapse('md')} = '' AS is_empty FROM m"""
+
+
+add("clean_pages_prune", f"WITH {block_ctes()}, pick AS (SELECT page_id, idx FROM blocks WHERE {_score} >= 0.5), {_chosen_md('pick')}")
+add("clean_pages_bm25", ORACLES["bm25_blocks"].replace("SELECT page_id, idx, score FROM sc WHERE", "pick AS (SELECT page_id, idx FROM sc WHERE").replace(
+    "       FROM tf JOIN df ON df.page_id = tf.page_id AND df.w = tf.w JOIN st ON st.page_id = tf.page_id GROUP BY tf.page_id, idx)\n",
+    "       FROM tf JOIN df ON df.page_id = tf.page_id AND df.w = tf.w JOIN st ON st.page_id = tf.page_id GROUP BY tf.page_id, idx),\n")
+    + f"), {_chosen_md('pick')}")
 add("failure_markdown", f"""{ctes('lane_results')} SELECT attempt_id, concat('# 爬取失败', chr(10), chr(10), '**URL:** ', url, chr(10), chr(10), '**失败原因:** ',
  coalesce(nullif(concat_ws(' | ', 'EasyGet: ' || easyget_error, 'Playwright: ' || playwright_error, 'Jina: ' || jina_error), ''), '未知错误')) AS markdown
 FROM lane_results""")

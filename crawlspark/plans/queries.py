@@ -205,7 +205,7 @@ def visible_text(s, d):
 
 @register
 def probe_text(s, d):
-    return view(s, d, "pages").select("page_id", X.probe_text("html").alias("spaced"), X.probe_text("html", 800 * 1024, False).alias("tight"))
+    return view(s, d, "pages").select("page_id", X.probe_text("html").alias("spaced"), X.probe_text("html", False).alias("tight"))
 
 
 @register
@@ -288,9 +288,16 @@ def split_spans(s, d):
                                     (("idx", "idx"), ("start", "span_start"), ("end", "span_end"))])
 
 
+def _with_short_pages(s, d):
+    """All big pages, and short, blank and missing ones besides."""
+    more = view(s, d, "pages").select((F.col("page_id") + 1_000_000).alias("page_id"), F.when(F.col("page_id") % 4 == 0, "<p>42</p>")
+                                      .when(F.col("page_id") % 4 == 1, " ").when(F.col("page_id") % 4 == 2, "<div><p>Yes it</p></div>").alias("html"))
+    return view(s, d, "big_pages").select("page_id", "html").unionByName(more)
+
+
 @register
 def mapreduce_clean(s, d):
-    return cleaning.mapreduce_clean(view(s, d, "big_pages"), CHUNK_KB, CHUNK_OVERLAP)
+    return cleaning.mapreduce_clean(_with_short_pages(s, d), CHUNK_KB)
 
 
 @register
@@ -303,9 +310,19 @@ def cleaning_stats(s, d):
 
 @register
 def clean_pages(s, d):
-    p = view(s, d, "big_pages").withColumn("html", F.when(F.col("page_id") % 17 == 5, "<p>x</p>").otherwise(F.col("html")))
-    return cleaning.clean_pages(p, HUGE_MB, CHUNK_KB, CHUNK_OVERLAP).select(
-        "page_id", "cleaner", "success", "is_empty", F.col("stats.original_size").cast("long").alias("original_size"))
+    return cleaning.clean_pages(_with_short_pages(s, d)).select(
+        "page_id", "markdown", "cleaner", "success", "is_empty", F.col("stats.original_size").cast("long").alias("original_size"),
+        F.col("stats.cleaned_size").cast("long").alias("cleaned_size"))
+
+
+@register
+def clean_pages_prune(s, d):
+    return cleaning.clean_pages(view(s, d, "pages"), "prune").select("page_id", "markdown", "is_empty")
+
+
+@register
+def clean_pages_bm25(s, d):
+    return cleaning.clean_pages(view(s, d, "pages"), "bm25", query=BM25_QUERY, threshold=BM25_LIMIT).select("page_id", "markdown", "is_empty")
 
 
 @register
