@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..rules import DEFAULT_RULES, Rules
 from .common import any_of, col, contains_any, let, str_array, strip_ws
-from .text import SCRIPT_BODY, STYLE_BODY, strip_tags
+from .text import SCRIPT_BODY, STYLE_BODY, drop_up_to, strip_tags
 
 # Failure reasons (fixed values).
 PAGE_NOT_LOADED = "PAGE_NOT_LOADED"
@@ -177,17 +179,28 @@ def resolved_status(browser_status, browser_error, reader_status) -> Column:
 # (look-behind) keeps the search linear, also on long base64 runs.
 _NAME = r"[A-Za-z0-9.@/\\-]"
 _SCRIPT_NAMES = rf"(?i)(?<!{_NAME}){_NAME}*\.(?:js|css)"
+# Patterns that can match such characters only.
+_NAME_PATTERN = re.compile(r"(?:[A-Za-z0-9@/]|\\[.d/\\-]|\[[A-Za-z0-9.@/\\-]+\]|\(\?:|[()|?*+-])+\\\.(?:js|css)")
+
+
+def _spells_file_name(pattern: str) -> bool:
+    depth, bars = 0, []
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|":
+            bars.append(depth)
+    return bool(_NAME_PATTERN.fullmatch(pattern)) and 0 not in bars
 
 
 def framework_scripts(html, rules: Rules = DEFAULT_RULES) -> Column:
     """Does the page name a front-end framework script?
 
-    All patterns but the ``@``-prefixed ones end in ``.js`` or ``.css``, so the long alternation runs over
-    the file names only, not over the page.
+    Patterns that spell out a file name ending in ``.js`` or ``.css`` match inside such names only, so the long
+    alternation of them runs over the names found, not over the page. Any other pattern runs over the page.
     """
     html = col(html)
-    at = [p for p in rules.spa_patterns if p.startswith("@")]
-    named = [p for p in rules.spa_patterns if not p.startswith("@")]
+    named = [p for p in rules.spa_patterns if _spells_file_name(p)]
+    at = [p for p in rules.spa_patterns if p not in named]
     hits = []
     if named:
         names = F.array_join(F.regexp_extract_all(html, F.lit(_SCRIPT_NAMES), F.lit(0)), " ")
@@ -202,8 +215,8 @@ def spa_fingerprint(html, rules: Rules = DEFAULT_RULES) -> Column:
     html = F.coalesce(col(html), F.lit(""))
     low = F.lower(html)
     whole = r"(?s)<body[^>]*>(.*?)</body>"
-    body = F.when(low.rlike(whole), F.regexp_extract(low, whole, 1)).otherwise(low)
-    body = strip_tags(F.regexp_replace(F.regexp_replace(body, SCRIPT_BODY, ""), STYLE_BODY, ""))
+    body = F.when(low.contains("</body>") & low.rlike(whole), F.regexp_extract(low, whole, 1)).otherwise(low)
+    body = strip_tags(drop_up_to(drop_up_to(body, SCRIPT_BODY, "</script>"), STYLE_BODY, "</style>"))
     n_body = F.length(strip_ws(body))
     n_script = F.regexp_count(low, F.lit(r"<script[^>]*>"))
     n_meta = sum((low.contains(m.lower()).cast("int") for m in rules.spa_metas), F.lit(0))

@@ -205,10 +205,10 @@ def cleaning_stats(html, cleaned) -> Column:
                     reduction_pct(o, c).alias("reduction_percentage"))
 
 
-def failure_markdown(url, easyget_error=None, playwright_error=None, jina_error=None) -> Column:
+def failure_markdown(url, easyget_error=None, playwright_error=None, jina_error=None, pdf_error=None) -> Column:
     """TXT19: the body reported for a request that failed on every lane; its wording is a fixed value."""
     parts = [F.when(col(e) != "", F.concat(F.lit(f"{label}: "), col(e)))
-             for label, e in (("EasyGet", easyget_error), ("Playwright", playwright_error), ("Jina", jina_error))
+             for label, e in (("EasyGet", easyget_error), ("Playwright", playwright_error), ("Jina", jina_error), ("PDF", pdf_error))
              if e is not None]
     causes = F.concat_ws(" | ", *parts) if parts else F.lit("")
     causes = F.when(causes == "", "未知错误").otherwise(causes)

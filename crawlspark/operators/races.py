@@ -9,7 +9,8 @@ from ..functions import quality as Q
 from ..functions.text import failure_markdown, visible_text
 from ..rules import LANES
 
-ERROR_COLUMNS = {"easyget": "easyget_error", "playwright": "playwright_error", "jina": "jina_error"}
+ERROR_COLUMNS = {"easyget": "easyget_error", "playwright": "playwright_error", "jina": "jina_error", "pdf": "pdf_error"}
+OTHER = "other"  # lanes that are not in LANES, and a missing lane
 
 
 def _lane_order() -> Column:
@@ -22,8 +23,8 @@ def _lane_order() -> Column:
 def apply_health(attempts: DataFrame, min_len: int = 150) -> DataFrame:
     """Q7: judge every attempt by its Markdown (else the visible text of its HTML).
 
-    An unhealthy attempt fails; the message goes to the error column of its lane, to all three when the lane
-    is unknown, and never replaces an earlier message.
+    An unhealthy attempt fails; the message goes to the error column of its lane, to all of them when the
+    lane is unknown, and never replaces an earlier message.
     """
     text = F.when(F.coalesce(F.col("markdown"), F.lit("")) != "", F.col("markdown")).otherwise(
         visible_text(F.coalesce(F.col("html"), F.lit(""))))
@@ -41,27 +42,45 @@ def apply_health(attempts: DataFrame, min_len: int = 150) -> DataFrame:
 
 def failure_cause(attempts: DataFrame) -> DataFrame:
     """Q9: cause of every failed attempt."""
-    own = F.coalesce(*[F.when(F.col("lane") == lane, F.col(name)) for lane, name in ERROR_COLUMNS.items()])
+    own = F.coalesce(*[F.when(F.col("lane") == lane, F.col(name)) for lane, name in ERROR_COLUMNS.items() if name in attempts.columns])
     n = F.col("text_length") if "text_length" in attempts.columns else None
     cause = Q.lane_failure_cause("lane", own, "markdown", visible_text(F.coalesce(F.col("html"), F.lit(""))),
                                  "status_code", n)
     return attempts.filter(~F.coalesce(F.col("success"), F.lit(False))).withColumn("cause", cause)
 
 
+def with_causes(attempts: DataFrame) -> DataFrame:
+    """Every attempt with ``cause``, NULL where it succeeded (Q9 as a column)."""
+    failed = failure_cause(attempts.withColumn("_ok", F.col("success")).withColumn("success", F.lit(False)))
+    bad = ~F.coalesce(F.col("_ok"), F.lit(False))
+    return failed.withColumn("success", F.col("_ok")).withColumn("cause", F.when(bad, F.col("cause"))).drop("_ok")
+
+
+def resolved_requests(attempts: DataFrame) -> DataFrame:
+    """One row per request: success, and the known elapsed time of the fastest success, else the longest of all. One pass."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    by_time = F.struct(F.col("elapsed_s").isNull(), F.col("elapsed_s"), _lane_order(), F.col("attempt_id"))
+    agg = attempts.groupBy("request_id").agg(
+        F.bool_or(ok).alias("success"), F.max("elapsed_s").alias("longest"),
+        F.min_by(F.when(ok, F.struct("elapsed_s")), F.when(ok, by_time)).alias("won"))
+    return agg.select("request_id", "success", F.coalesce("won.elapsed_s", "longest").alias("elapsed_s"))
+
+
 def race_winner(attempts: DataFrame, policy: str = "first_success", carry: tuple = ("url", "host")) -> DataFrame:
     """One winning attempt per request; requests without success have none.
 
-    ``first_success`` takes the fastest success (ties: easyget, jina, playwright). ``first_finisher`` takes the
+    ``first_success`` takes the fastest success (ties: easyget, jina, playwright); an unknown
+    time comes after all known ones. ``first_finisher`` takes the
     first finisher if it succeeded, else the success with the best fixed priority.
     """
     row = F.struct("attempt_id", "lane", "success", "elapsed_s", "status_code", "ts", *carry)
-    by_time = F.struct(F.col("elapsed_s"), _lane_order(), F.col("attempt_id"))
+    by_time = F.struct(F.col("elapsed_s").isNull(), F.col("elapsed_s"), _lane_order(), F.col("attempt_id"))
     ok = F.coalesce(F.col("success"), F.lit(False))
     if policy == "first_success":
         agg = F.min_by(F.when(ok, row), F.when(ok, by_time))
         picked = attempts.groupBy("request_id").agg(agg.alias("w"))
     elif policy == "first_finisher":
-        by_lane = F.struct(_lane_order(), F.col("elapsed_s"), F.col("attempt_id"))
+        by_lane = F.struct(_lane_order(), F.col("elapsed_s").isNull(), F.col("elapsed_s"), F.col("attempt_id"))
         picked = attempts.groupBy("request_id").agg(
             F.min_by(row, by_time).alias("first"), F.min_by(F.when(ok, row), F.when(ok, by_lane)).alias("rest"))
         picked = picked.select("request_id", F.when(F.col("first.success"), F.col("first"))
@@ -72,14 +91,16 @@ def race_winner(attempts: DataFrame, policy: str = "first_success", carry: tuple
 
 
 def race_failures(attempts: DataFrame) -> DataFrame:
-    """Requests on which every lane failed, with the three causes, a status and the failure body."""
+    """Requests on which every lane failed, with the causes, a status and the failure body."""
     causes = {lane: F.max(F.when(F.col("lane") == lane, F.coalesce(F.col("cause"), F.lit("失败，未知原因"))))
               for lane in ERROR_COLUMNS}
-    missing = "任务返回None（可能被取消或超时）"
+    missing = "任务返回None（可能被取消或超时）"  # fixed value, as is the one above
+    # The pdf lane is tried for some requests only, so its silence is no failure.
+    errors = [(c if lane == "pdf" else F.coalesce(c, F.lit(missing))).alias(ERROR_COLUMNS[lane]) for lane, c in causes.items()]
     agg = attempts.groupBy("request_id").agg(
         F.min("url").alias("url"), F.min("host").alias("host"), F.max("ts").alias("ts"),
         F.bool_or(F.coalesce(F.col("success"), F.lit(False))).alias("any_ok"),
-        *[F.coalesce(c, F.lit(missing)).alias(ERROR_COLUMNS[lane]) for lane, c in causes.items()],
+        *errors,
         F.max(F.when(F.col("lane") == "playwright", F.col("status_code"))).alias("_browser"),
         F.max(F.when(F.col("lane") == "jina", F.col("status_code"))).alias("_reader"),
         F.max("elapsed_s").alias("elapsed_s"))
@@ -87,47 +108,49 @@ def race_failures(attempts: DataFrame) -> DataFrame:
     status = Q.resolved_status("_browser", "playwright_error", "_reader")
     return lost.select(
         "request_id", "url", "host", "ts", *ERROR_COLUMNS.values(), status.alias("status_code"), "elapsed_s",
-        failure_markdown("url", "easyget_error", "playwright_error", "jina_error").alias("markdown"),
+        failure_markdown("url", "easyget_error", "playwright_error", "jina_error", "pdf_error").alias("markdown"),
         F.lit("blocked").alias("decision"))
 
 
 def latency_table(attempts: DataFrame, case: str = "case") -> DataFrame:
     """Per case, one column group per lane: count, success rate, mean, median, 95th percentile, maximum (ms).
 
-    Rows are first counted per whole millisecond, so a lane that holds a third of all rows reaches its final
-    task as a bounded histogram; the percentiles stay exact.
+    Rows are first counted per distinct time, so a lane that holds a third of all rows reaches its final task as a
+    histogram. Times are taken as they are; only the figures are rounded. Lanes outside the list are ``other``.
     """
-    ms = F.round(F.col("elapsed_s") * 1000).cast("long")
-    hist = attempts.groupBy(case, "lane", ms.alias("ms")).agg(
+    lane = F.when(F.col("lane").isin(*LANES), F.col("lane")).otherwise(OTHER)
+    hist = attempts.groupBy(case, lane.alias("lane"), (F.col("elapsed_s") * 1000).alias("ms")).agg(
         F.count("*").alias("n"), F.count_if("success").alias("n_ok"))
+    timed = F.when(F.col("ms").isNotNull(), F.col("n"))
 
     def pct(p: float) -> Column:
         return F.percentile("ms", p, F.col("n"))
 
-    return hist.groupBy(case).pivot("lane", list(LANES)).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+    table = hist.groupBy(case).pivot("lane", [*LANES, OTHER]).agg(
+        F.sum("n").alias("n"),
         F.round(F.sum("n_ok") / F.sum("n"), 6).alias("success_rate"),
-        F.round(F.sum(F.col("ms") * F.col("n")) / F.sum("n"), 4).alias("avg_ms"),
-        F.round(pct(0.5), 4).alias("p50_ms"), F.round(pct(0.95), 4).alias("p95_ms"), F.max("ms").alias("max_ms"))
+        F.round(F.sum(F.col("ms") * F.col("n")) / F.sum(timed), 4).alias("avg_ms"),
+        F.round(pct(0.5), 4).alias("p50_ms"), F.round(pct(0.95), 4).alias("p95_ms"), F.round(F.max("ms"), 4).alias("max_ms"))
+    return table.fillna(0, [f"{x}_n" for x in (*LANES, OTHER)])
 
 
 def visit_curve(attempts: DataFrame, key: str = "host") -> DataFrame:
     """Elapsed time by the n-th visit of a host (1, 2, 3, 4, 5+).
 
-    Only the first four visits of a host need a rank, and a ranked limit is applied before the shuffle. The
-    "5+" class is the histogram of all visits minus that of the first four: no host is ever sorted whole.
+    Only the first four visits of a host need a rank, and a ranked limit is applied before the shuffle. The "5+" class
+    is the histogram of all visits minus that of the first four (each of them gives a row for its own class and a
+    negative one for "5+"): no host is ever sorted whole. Times are taken as they are.
     """
     from pyspark.sql import Window
 
-    ms = F.round(F.col("elapsed_s") * 1000).cast("long").alias("ms")
-    base = attempts.select(key, "ts", "attempt_id", ms)
+    base = attempts.select(key, "ts", "attempt_id", (F.col("elapsed_s") * 1000).alias("ms"))
     order = Window.partitionBy(key).orderBy("ts", "attempt_id")
     early = base.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 4)
-    first = early.groupBy("n", "ms").agg(F.count("*").alias("c")).select(F.col("n").cast("string").alias("visit"), "ms", "c")
-    whole = base.groupBy("ms").agg(F.count("*").alias("c")).select(F.lit("5+").alias("visit"), "ms", "c")
-    minus = first.select(F.lit("5+").alias("visit"), "ms", (-F.col("c")).alias("c"))
-    hist = (first.unionByName(whole).unionByName(minus).groupBy("visit", "ms").agg(F.sum("c").alias("c"))
-            .filter(F.col("c") > 0))
+    both = F.array(F.struct(F.col("n").cast("string").alias("visit"), F.lit(1).alias("c")),
+                   F.struct(F.lit("5+").alias("visit"), F.lit(-1).alias("c")))
+    signed = early.select("ms", F.inline(both)).unionByName(base.select("ms", F.lit("5+").alias("visit"), F.lit(1).alias("c")))
+    hist = signed.groupBy("visit", "ms").agg(F.sum("c").alias("c")).filter(F.col("c") > 0)
+    timed = F.when(F.col("ms").isNotNull(), F.col("c"))
     return hist.groupBy("visit").agg(
-        F.sum("c").alias("visits"), F.round(F.sum(F.col("ms") * F.col("c")) / F.sum("c"), 4).alias("avg_ms"),
+        F.sum("c").alias("visits"), F.round(F.sum(F.col("ms") * F.col("c")) / F.sum(timed), 4).alias("avg_ms"),
         F.round(F.percentile("ms", 0.5, F.col("c")), 4).alias("p50_ms"))

@@ -16,12 +16,12 @@ def usage_rollup(uses: DataFrame) -> DataFrame:
 
 def eligible_endpoints(endpoints: DataFrame, current=None, excluded: DataFrame | None = None,
                        keywords: tuple = (), special: tuple = SPECIAL_ENDPOINTS) -> DataFrame:
-    """Measured endpoints other than the current one, none of the special names or excluded keywords."""
+    """Measured endpoints other than the current one (a missing name is no reason to drop one), none of the special names or excluded keywords."""
     out = endpoints.filter(F.col("delay_ms") > 0)
     if current is not None:
         out = out.filter(F.col("endpoint_id") != F.lit(current))
     if "name" in endpoints.columns:
-        out = out.filter(~F.col("name").isin(*special) & ~any_of(F.col("name").contains(k) for k in keywords))
+        out = out.filter(~F.coalesce(F.col("name").isin(*special) | any_of(F.col("name").contains(k) for k in keywords), F.lit(False)))
     if excluded is not None:
         out = out.join(excluded.select("endpoint_id").distinct(), "endpoint_id", "left_anti")
     return out

@@ -67,12 +67,17 @@ def batch_summary(requests: DataFrame, results: DataFrame, key: str = "request_i
 
 
 def batch_code(results: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Code 1 with a partial-failure message when any result of the batch failed."""
-    code = F.max(F.when(F.coalesce(F.col("success"), F.lit(True)), 0).otherwise(1))
+    """Code 1 with a partial-failure message when any result of the batch failed; a NULL outcome is a failure."""
+    code = F.max(F.when(F.coalesce(F.col("success"), F.lit(False)), 0).otherwise(1))
     return (results.groupBy(batch).agg(code.alias("code"))
             .withColumn("msg", F.when(F.col("code") == 1, "部分URL爬取失败").otherwise("爬取完成")))
 
 
+def outcomes(results: DataFrame) -> DataFrame:
+    """R8 as one column: ``ok`` or ``failed``; a NULL outcome is a failure."""
+    return results.withColumn("outcome", F.when(F.coalesce(F.col("success"), F.lit(False)), "ok").otherwise("failed"))
+
+
 def split_outcomes(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ok, failed); a NULL outcome is a failure."""
     ok = F.coalesce(F.col("success"), F.lit(False))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.common import contains_any
 from ..rules import CONNECTIVITY_PHRASES
 
+# Order in which the rules are tried (fixed).
+REASONS = ("zero_text_threshold", "stable", "forced_timeout")
 DEFAULTS = dict(min_chars=500, delta=100, stable_n=3, zero_n=12, timeout_ms=5000)
 
 
@@ -60,10 +62,11 @@ def text_stability(obs: DataFrame, min_chars: int = 500, delta: int = 100, stabl
     nonzero = F.when(seen & (F.col("len") > 0), F.col("n_seen"))
     counted = (flagged.withColumn("stable_count", F.col("check_no") - F.coalesce(F.max(broken).over(w), F.lit(0)))
                .withColumn("zero_count", F.col("n_seen") - F.coalesce(F.max(nonzero).over(w), F.lit(0))))
-    judged = counted.filter((F.col("seq") > 0) & ~F.col("err")).withColumn(
-        "reason", F.when(F.col("zero_count") >= zero_n, "zero_text_threshold")
-        .when((F.col("len") >= min_chars) & (F.col("stable_count") >= stable_n), "stable")
-        .when(F.col("wait_ms") > timeout_ms, "forced_timeout"))
+    tests = {"zero_text_threshold": F.col("zero_count") >= zero_n,
+             "stable": (F.col("len") >= min_chars) & (F.col("stable_count") >= stable_n),
+             "forced_timeout": F.col("wait_ms") > timeout_ms}
+    reason = F.coalesce(*[F.when(tests[name], name) for name in REASONS])
+    judged = counted.filter((F.col("seq") > 0) & ~F.col("err")).withColumn("reason", reason)
     growth = (F.col("v.len") - F.col("v.initial_len")) / F.greatest(F.col("v.initial_len"), F.lit(1))
     verdict = judged.filter(F.col("reason").isNotNull()).groupBy(key).agg(
         F.min_by(F.struct("reason", "ts", "event_id", "check_no", "stable_count", "zero_count", "errors", "initial_len",

@@ -10,10 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.readers import spread
-
 BASE = ("pages", "documents", "events", "orders", "supplier")
-HEAVY = ("pages", "documents", "events")  # tables that drive heavy work per row
 
 VIEWS = {
     "page_dim": """
@@ -24,16 +21,20 @@ FROM {pages}""",
     "body_count": "SELECT count(*) AS n FROM {documents}",
     "attempts": """
 SELECT e.event_id AS attempt_id, e.request_id, e.ts, p.url, p.host,
-       CASE e.event_id % 3 WHEN 0 THEN 'easyget' WHEN 1 THEN 'playwright' ELSE 'jina' END AS lane,
+       CASE WHEN e.event_id % 29 = 11 THEN 'pdf' WHEN e.event_id % 3 = 0 THEN 'easyget' WHEN e.event_id % 3 = 1 THEN 'playwright' ELSE 'jina' END AS lane,
        e.event_type <> 'error' AS success,
        CASE WHEN e.event_type <> 'error' THEN 200 WHEN e.user_id % 4 = 0 THEN 403
             WHEN e.user_id % 4 = 1 THEN 429 WHEN e.user_id % 4 = 2 THEN 500 ELSE 200 END AS status_code,
-       e.value / 10 AS elapsed_s
+       CASE WHEN e.event_id % 37 = 5 THEN NULL ELSE e.value / 10 END AS elapsed_s
 FROM (SELECT event_id, ts, user_id, event_type, value, CAST(floor(event_id / 3) AS BIGINT) AS request_id,
              CAST(floor(event_id / 3) AS BIGINT) % (SELECT n FROM {page_count}) AS at_page FROM {events}) e
 JOIN {page_dim} p ON p.page_id = e.at_page""",
     "bodies": """
-SELECT doc_id AS body_id,
+SELECT doc_id AS body_id, text,
+       CASE doc_id % 40 WHEN 9 THEN 401 WHEN 10 THEN 403 WHEN 11 THEN 429 WHEN 21 THEN 500 ELSE 200 END AS status_code
+FROM {documents}
+UNION ALL
+SELECT doc_id + (SELECT n FROM {body_count}),
        CASE doc_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'Just a moment... Checking with Cloudflare'
             WHEN 2 THEN 'Please enable JavaScript to continue' WHEN 3 THEN 'Complete the captcha below'
             WHEN 4 THEN 'request timed out' WHEN 5 THEN 'body too short' WHEN 6 THEN substr(text, 1, 120)
@@ -49,12 +50,15 @@ SELECT a.attempt_id, a.request_id, a.ts, a.url, a.host,
        CASE WHEN a.lane = 'easyget' AND NOT a.success AND a.attempt_id % 5 = 0 THEN 'quality_check_failed' END AS easyget_error,
        CASE WHEN a.lane = 'playwright' AND NOT a.success AND a.attempt_id % 2 = 0
             THEN concat('页面访问失败，状态码: ', CAST(a.status_code AS VARCHAR(9))) END AS playwright_error,
-       CAST(NULL AS VARCHAR(99)) AS jina_error
-FROM (SELECT *, attempt_id % (SELECT n FROM {body_count}) AS at_body FROM {attempts}) a
+       CAST(NULL AS VARCHAR(99)) AS jina_error,
+       CASE WHEN a.lane = 'pdf' AND NOT a.success AND a.attempt_id % 2 = 0 THEN 'pdf broken' END AS pdf_error
+FROM (SELECT *, attempt_id % (2 * (SELECT n FROM {body_count})) AS at_body FROM {attempts}) a
 JOIN {bodies} b ON b.body_id = a.at_body""",
     "spa_pages": """
-SELECT page_id, url,
-       CASE page_id % 5 WHEN 0 THEN html
+SELECT page_id, url, html FROM {pages}
+UNION ALL
+SELECT page_id + 1000000, url,
+       CASE page_id % 5 WHEN 0 THEN concat('<script src="/a/main_0a1b.js"></script>', html)
             WHEN 1 THEN '<html><head><script src="/react-dom.min.js"></script></head><body><div id="root"></div></body></html>'
             WHEN 2 THEN concat('<html><body>', repeat('<script src="x.js"></script>', 12), '<p>hi</p></body></html>')
             WHEN 3 THEN '<html><body><app-root></app-root></body></html>'
@@ -74,7 +78,9 @@ SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html
        ELSE concat(repeat(' ', 10000), '<link rel="icon" href="/late.png">', html) END AS html
 FROM {pages}""",
     "pdf_urls": """
-SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN concat('https://a.example.com/d/Paper', page_id, '.PDF')
+SELECT page_id, url FROM {pages}
+UNION ALL
+SELECT page_id + 1000000, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN concat('https://a.example.com/d/Paper', page_id, '.PDF')
             WHEN 2 THEN concat('https://arxiv.org/abs/', page_id) WHEN 3 THEN concat('https://www.arxiv.org/pdf/', page_id)
             WHEN 4 THEN concat('https://papers.openreview.net/forum?id=', page_id)
             WHEN 5 THEN concat('https://x.example.com/get?format=pdf&n=', page_id)
@@ -82,7 +88,9 @@ SELECT page_id, CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN concat('https://a.e
             ELSE concat('https://z.example.com:8080/a/pdf-store/', page_id, '.pdf?dl=1') END AS url
 FROM {pages}""",
     "odd_urls": """
-SELECT page_id, CASE page_id % 10 WHEN 0 THEN url WHEN 1 THEN concat('HTTP://WWW.Example.COM:8080/a;x=1?q=', page_id, '#frag')
+SELECT page_id, url FROM {pages}
+UNION ALL
+SELECT page_id + 1000000, CASE page_id % 10 WHEN 0 THEN url WHEN 1 THEN concat('HTTP://WWW.Example.COM:8080/a;x=1?q=', page_id, '#frag')
             WHEN 2 THEN 'http://zhihu.com/question/1' WHEN 3 THEN 'https://zhuanlan.zhihu.com/p/2?x=1' WHEN 4 THEN 'mailto:a@b.c'
             WHEN 5 THEN '//cdn.example.org/lib.js' WHEN 6 THEN 'http://localhost/x' WHEN 7 THEN 'http://gist.github.com?a=b'
             WHEN 8 THEN concat('https://www.biorxiv.org/content/10.', page_id, '/v1.full+text.pdf')
@@ -91,7 +99,7 @@ FROM {pages}""",
     "pdf_attempts": """
 SELECT a.attempt_id, a.ts, a.success, u.url
 FROM (SELECT attempt_id, ts, success, attempt_id % (SELECT n FROM {page_count})
-             + CASE WHEN attempt_id % 2 = 0 THEN 100000000 ELSE 0 END AS at_url FROM {attempts}) a
+             + CASE WHEN attempt_id % 3 = 0 THEN 1000000 ELSE 0 END + CASE WHEN attempt_id % 2 = 0 THEN 100000000 ELSE 0 END AS at_url FROM {attempts}) a
 JOIN (SELECT page_id, url FROM {odd_urls} UNION ALL SELECT page_id + 100000000, url FROM {pdf_urls}) u ON u.page_id = a.at_url""",
     "responses": """
 SELECT r.page_id, u.url, r.html,
@@ -103,7 +111,7 @@ SELECT r.page_id, u.url, r.html,
        CASE r.page_id % 10 WHEN 0 THEN unhex('255044462D312E37') WHEN 1 THEN unhex('89504E470D0A1A0A') WHEN 2 THEN unhex('474946383961')
             WHEN 3 THEN unhex('FFD8FFE0') WHEN 4 THEN unhex('504B0304') WHEN 5 THEN unhex('1F8B08') WHEN 6 THEN unhex('424D00')
             WHEN 7 THEN unhex('00000100') WHEN 8 THEN unhex('3C68746D6C') END AS body
-FROM {rich_pages} r JOIN {pdf_urls} u ON u.page_id = r.page_id""",
+FROM {rich_pages} r JOIN {pdf_urls} u ON u.page_id = r.page_id + 1000000""",
     "requests": """
 SELECT page_id AS request_id,
        concat(url, '|', CASE page_id % 11 WHEN 3 THEN '' WHEN 4 THEN '  ' ELSE url END, '|', url) AS url_list,
@@ -128,10 +136,10 @@ SELECT regexp_replace(host, '^blog[.]', '') AS cache_key,
        CASE CAST(floor(min(page_id) / 2) AS BIGINT) % 4 WHEN 0 THEN 'easyget' WHEN 1 THEN 'playwright' WHEN 2 THEN 'jina'
             ELSE 'blocked' END AS decision,
        CAST(1 + min(page_id) % 3 AS INTEGER) AS score
-FROM {page_dim} WHERE page_id % 2 = 0 GROUP BY regexp_replace(host, '^blog[.]', '')""",
+FROM {page_dim} GROUP BY regexp_replace(host, '^blog[.]', '')""",
     "host_state2": """
 SELECT host AS cache_key, 'jina' AS decision, CAST(5 + max(page_id) % 4 AS INTEGER) AS score
-FROM {page_dim} WHERE page_id % 3 = 0 GROUP BY host""",
+FROM {page_dim} GROUP BY host""",
     "batch_requests": """
 SELECT request_id, request_id % 20 AS batch_id FROM {attempts} GROUP BY request_id
 UNION ALL
@@ -142,7 +150,7 @@ SELECT user_id AS page_key, ts, event_id, CASE WHEN event_type = 'error' THEN 0
 FROM {events}""",
     "endpoints": """
 SELECT s_suppkey AS endpoint_id, s_nationkey AS grp, (s_suppkey * 37) % 900 - 50 AS delay_ms,
-       CASE s_suppkey % 13 WHEN 5 THEN 'DIRECT' WHEN 6 THEN '香港 01' ELSE s_name END AS name
+       CASE s_suppkey % 13 WHEN 5 THEN 'DIRECT' WHEN 6 THEN '香港 01' WHEN 8 THEN NULL ELSE s_name END AS name
 FROM {supplier}""",
     "uses": "SELECT user_id AS endpoint_id, ts FROM {events} WHERE event_type = 'view'",
     "files": """
@@ -157,8 +165,7 @@ def _needs(name: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread(table) if name in HEAVY else table
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in _needs(name)})
 
 

@@ -394,6 +394,7 @@ add("clean_pages_bm25", ORACLES["bm25_blocks"].replace("SELECT page_id, idx, sco
 add("failure_markdown", f"""{ctes('lane_results')} SELECT attempt_id, concat('# 爬取失败', chr(10), chr(10), '**URL:** ', url, chr(10), chr(10), '**失败原因:** ',
  coalesce(nullif(concat_ws(' | ', 'EasyGet: ' || easyget_error, 'Playwright: ' || playwright_error, 'Jina: ' || jina_error), ''), '未知错误')) AS markdown
 FROM lane_results""")
+add("read_bodies", "SELECT strlen(html) + 1 AS length, sha256(html || chr(10)) AS digest FROM pages")
 add("decode_bodies", "SELECT page_id, 'utf-8' AS charset, md5(html) AS digest FROM pages")
 
 # ---- quality ----
@@ -452,7 +453,7 @@ def _lane_error(lane: str) -> str:
 
 
 add("apply_health", f"""{ctes('lane_results')}, {health_ctes('lane_results', 'attempt_id', _text, 'status_code')}
-SELECT r.attempt_id, r.success AND reason = '' AS success, {_lane_error('easyget')}, {_lane_error('playwright')}, {_lane_error('jina')}
+SELECT r.attempt_id, r.success AND reason = '' AS success, {_lane_error('easyget')}, {_lane_error('playwright')}, {_lane_error('jina')}, {_lane_error('pdf')}
 FROM lane_results r JOIN health h ON h.attempt_id = r.attempt_id""")
 
 
@@ -467,7 +468,7 @@ probe AS (SELECT {key}, ok AND st = 200 AND length(t) >= 100 AND NOT blocked AS
 add("probe_verdict", f"""{ctes('lane_results')}, {probe_ctes('lane_results', 'attempt_id', "coalesce(html, markdown, '')", 'success', 'status_code')}
 SELECT attempt_id, effective, text_length, blocked, reasons FROM probe""")
 _seen = f"lower(concat(coalesce(markdown, ''), ' ', {visible(chr(99) + 'oalesce(html, ' + q('') + ')')}))"
-_own = "CASE lane WHEN 'easyget' THEN easyget_error WHEN 'playwright' THEN playwright_error WHEN 'jina' THEN jina_error END"
+_own = "CASE lane WHEN 'easyget' THEN easyget_error WHEN 'playwright' THEN playwright_error WHEN 'jina' THEN jina_error WHEN 'pdf' THEN pdf_error END"
 _cause = f"""CASE WHEN coalesce({_own}, '') <> '' THEN {_own} WHEN {has_any(_seen, R.LANE_CLOUDFLARE_TERMS)} THEN 'Cloudflare 人机验证拦截'
  WHEN {has_any(_seen, R.LANE_VERIFY_TERMS)} THEN '需要人机验证' WHEN lane = 'playwright' AND status_code >= 400 THEN concat('页面访问失败，状态码: ', status_code)
  WHEN lane = 'jina' THEN '失败，未知原因' ELSE '质量检查失败(文本长度: 0)' END"""
@@ -519,7 +520,7 @@ _modes = """CASE WHEN decision IS NOT NULL THEN decision WHEN pdf THEN 'pdf' WHE
 add("route", f"""{ctes('odd_urls', 'pdf_urls', 'host_state')}, {ALL_URLS},
 u AS (SELECT kind || '-' || page_id AS id, url, {host('url')} AS host, {is_pdf('url')} AS pdf, {under(host('url'), RULES.spa_hosts)} AS spa
       FROM (SELECT kind, page_id, url FROM all_urls UNION ALL SELECT 'page', page_id, url FROM pages)),
-st AS (SELECT * FROM host_state WHERE score > 2), {cache_lookup('u', 'id', 'st')},
+{cache_lookup('u', 'id', 'host_state')},
 pp AS (SELECT * FROM pages WHERE page_id % 3 <> 0),
 {probe_ctes('pp', 'page_id', 'html', 'true', 'CASE WHEN page_id % 5 = 0 THEN 500 ELSE 200 END')},
 j AS (SELECT u.*, c.decision, c.cache_key, p.effective FROM u JOIN cached c ON c.id = u.id LEFT JOIN probe p ON 'page-' || p.page_id = u.id)
@@ -533,7 +534,7 @@ add("lane_plan", f"""{ctes('requests')}, l AS (SELECT request_id, CASE WHEN craw
  WHEN hint IN ('pdf', 'easyget') THEN [hint] WHEN hint = 'blocked' THEN [] ELSE ['easyget', 'playwright', 'jina'] END AS ls FROM requests)
 SELECT request_id, unnest(range(len(ls))) AS lane_no, unnest(ls) AS lane FROM l UNION ALL SELECT request_id, -1, '' FROM l WHERE len(ls) = 0""")
 
-_prio = "CASE lane WHEN 'easyget' THEN 0 WHEN 'jina' THEN 1 ELSE 2 END"
+_prio = "CASE lane WHEN 'easyget' THEN 0 WHEN 'jina' THEN 1 WHEN 'playwright' THEN 2 ELSE 3 END"
 _winners = f"""win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY elapsed_s, {_prio}, attempt_id) AS rn
  FROM attempts WHERE success) WHERE rn = 1)"""
 add("race_winner", f"{ctes('attempts')}, {_winners} SELECT request_id, attempt_id, lane, elapsed_s FROM win")
@@ -546,13 +547,13 @@ _none = "任务返回None（可能被取消或超时）"
 add("race_failures", f"""{ctes('attempts', 'lane_results')},
 cause AS (SELECT attempt_id, {_cause} AS cause FROM lane_results WHERE NOT success),
 g AS (SELECT request_id, min(url) AS url, coalesce(max(cause) FILTER (lane = 'easyget'), '{_none}') AS easyget_error,
- coalesce(max(cause) FILTER (lane = 'playwright'), '{_none}') AS playwright_error, coalesce(max(cause) FILTER (lane = 'jina'), '{_none}') AS jina_error,
+ coalesce(max(cause) FILTER (lane = 'playwright'), '{_none}') AS playwright_error, coalesce(max(cause) FILTER (lane = 'jina'), '{_none}') AS jina_error, max(cause) FILTER (lane = 'pdf') AS pdf_error,
  max(status_code) FILTER (lane = 'playwright') AS pb, max(status_code) FILTER (lane = 'jina') AS pj
- FROM attempts a LEFT JOIN cause c ON c.attempt_id = a.attempt_id GROUP BY request_id HAVING NOT bool_or(success))
-SELECT request_id, url, easyget_error, playwright_error, jina_error,
+ FROM lane_results a LEFT JOIN cause c ON c.attempt_id = a.attempt_id GROUP BY request_id HAVING NOT bool_or(success))
+SELECT request_id, url, easyget_error, playwright_error, jina_error, pdf_error,
  coalesce(pb, try_cast(regexp_extract(playwright_error, '状态码[：:][\\s]*([0-9]+)', 1) AS INT), pj) AS status_code,
  concat('# 爬取失败', chr(10), chr(10), '**URL:** ', url, chr(10), chr(10), '**失败原因:** EasyGet: ', easyget_error, ' | Playwright: ', playwright_error,
-  ' | Jina: ', jina_error) AS markdown, 'blocked' AS decision FROM g""")
+  ' | Jina: ', jina_error, CASE WHEN pdf_error IS NULL THEN '' ELSE ' | PDF: ' || pdf_error END) AS markdown, 'blocked' AS decision FROM g""")
 _res = f"""{_winners}, res AS (SELECT a.request_id, bool_or(a.success) AS success, coalesce(any_value(w.elapsed_s), max(a.elapsed_s)) AS elapsed_s
  FROM attempts a LEFT JOIN win w ON w.request_id = a.request_id GROUP BY a.request_id)"""
 add("batch_summary", f"""{ctes('batch_requests', 'attempts')}, {_res}
@@ -589,10 +590,9 @@ fin AS (SELECT host, arg_max({{'d': decision, 's': score}}, rn) AS e, max(rn) AS
 add("learn_scores", f"""{ctes('attempts', 'host_state').replace('WITH ', 'WITH RECURSIVE ', 1)}, {fold('attempts', 'host_state')}
 SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score, n::BIGINT AS events FROM fin WHERE e.s > 0
 UNION ALL SELECT cache_key, decision, score, 0 FROM host_state WHERE cache_key NOT IN (SELECT host FROM attempts)""")
-# A stream closes only seconds that end before the last event time less the watermark delay.
+# The stream is closed at its end, so every event is folded.
 add("learn_scores_stream", f"""{ctes('attempts').replace('WITH ', 'WITH RECURSIVE ', 1)},
-closed AS (SELECT * FROM attempts WHERE date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM attempts)),
-nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false), {fold('closed', 'nothing')}
+nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false), {fold('attempts', 'nothing')}
 SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score FROM fin WHERE e.s > 0""")
 _pdf_attempts = f"pa AS (SELECT attempt_id, ts, success, url, {host('url')} AS host FROM pdf_attempts)"
 _learned = f"count(*) FILTER (success) >= {RULES.pdf_learn_threshold} AND host NOT IN ({', '.join(map(q, RULES.pdf_hosts))})"
@@ -619,7 +619,7 @@ SELECT count(*) AS cache_size, {', '.join(f"count(*) FILTER (decision = '{d}') A
 
 add("usage_rollup", f"{ctes('uses')} SELECT endpoint_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_used, count(*) AS uses FROM uses GROUP BY endpoint_id")
 _special = ", ".join(map(q, R.SPECIAL_ENDPOINTS))
-_fit = f"fit AS (SELECT * FROM endpoints WHERE delay_ms > 0 AND endpoint_id <> 7 AND name NOT IN ({_special}))"
+_fit = f"fit AS (SELECT * FROM endpoints WHERE delay_ms > 0 AND endpoint_id <> 7 AND coalesce(name NOT IN ({_special}), true))"
 add("candidate_scores", f"""{ctes('endpoints', 'uses')}, {_fit},
 us AS (SELECT endpoint_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_used FROM uses GROUP BY endpoint_id),
 s AS (SELECT grp, f.endpoint_id, round(CAST(0.7 AS DOUBLE) * ((max(delay_ms) OVER g - delay_ms) / greatest(1, max(delay_ms) OVER g - min(delay_ms) OVER g))
@@ -628,7 +628,8 @@ s AS (SELECT grp, f.endpoint_id, round(CAST(0.7 AS DOUBLE) * ((max(delay_ms) OVE
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, endpoint_id) AS rank FROM s)
 SELECT grp, endpoint_id, score, rank FROM r WHERE rank <= 3""")
 add("eligible_endpoints", f"""{ctes('endpoints', 'uses')}, {_fit} SELECT endpoint_id, delay_ms FROM fit
-WHERE NOT {has_any('name', ('香港', 'HK', 'Hong Kong', 'HongKong'))} AND endpoint_id NOT IN (SELECT endpoint_id FROM uses WHERE endpoint_id % 10 = 3)""")
+WHERE NOT coalesce({has_any('name', ('香港', 'HK', 'Hong Kong', 'HongKong'))}, false)
+ AND endpoint_id NOT IN (SELECT endpoint_id FROM uses GROUP BY endpoint_id HAVING count(*) >= 5)""")
 
 S = P.STABLE
 
@@ -653,16 +654,15 @@ FROM jd JOIN fst ON fst.page_key = jd.page_key AND fst.rn = jd.rn"""
 
 
 add("text_stability", f"{ctes('obs').replace('WITH ', 'WITH RECURSIVE ', 1)}, {stability('obs')}")
-add("text_stability_stream", f"""{ctes('obs').replace('WITH ', 'WITH RECURSIVE ', 1)},
-due AS (SELECT * FROM obs WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM obs)), {stability('due')}""")
-_ms = "CAST(round(elapsed_s * 1000) AS BIGINT)"
+add("text_stability_stream", f"""{ctes('obs').replace('WITH ', 'WITH RECURSIVE ', 1)}, {stability('obs')}""")
+_ms = "elapsed_s * 1000"
 add("visit_curve", f"""{ctes('attempts')}, v AS (SELECT {_ms} AS ms, row_number() OVER (PARTITION BY host ORDER BY ts, attempt_id) AS n FROM attempts)
 SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS visit, count(*) AS visits, round(avg(ms), 4) AS avg_ms, round(quantile_cont(ms, 0.5), 4) AS p50_ms
 FROM v GROUP BY 1""")
 _lane_cols = ", ".join(
     f"count(*) FILTER (lane = '{x}') AS {x}_n, round(count(*) FILTER (lane = '{x}' AND success) / count(*) FILTER (lane = '{x}'), 6) AS {x}_success_rate, "
     f"round(avg(ms) FILTER (lane = '{x}'), 4) AS {x}_avg_ms, round(quantile_cont(ms, 0.5) FILTER (lane = '{x}'), 4) AS {x}_p50_ms, "
-    f"round(quantile_cont(ms, 0.95) FILTER (lane = '{x}'), 4) AS {x}_p95_ms, max(ms) FILTER (lane = '{x}') AS {x}_max_ms" for x in R.LANES)
+    f"round(quantile_cont(ms, 0.95) FILTER (lane = '{x}'), 4) AS {x}_p95_ms, round(max(ms) FILTER (lane = '{x}'), 4) AS {x}_max_ms" for x in (*R.LANES, "other"))
 add("latency_table", f"""{ctes('attempts')}, a AS (SELECT list_extract(string_split(host, '.'), -1) AS "case", lane, success, {_ms} AS ms FROM attempts)
 SELECT "case", {_lane_cols} FROM a GROUP BY 1""")
 add("file_inventory_totals", f"""{ctes('files')} SELECT count(*) AS total_files, sum(file_size)::BIGINT AS total_size,
@@ -673,8 +673,7 @@ add("retention_split", f"{ctes('files')} SELECT file_id, {_fate} AS fate, {_fate
 add("retention_summary", f"""{ctes('files')} SELECT {_fate} AS fate, count(*) AS files, sum(file_size)::BIGINT AS bytes,
  round(sum(file_size) / 1048576.0, 2) AS mb FROM files GROUP BY 1""")
 add("stream_progress", f"""{ctes('attempts')} SELECT epoch_us(date_trunc('hour', ts)) AS window_us, lane, count(*) AS started, count(*) FILTER (success) AS done,
- count(*) FILTER (NOT success) AS failed FROM attempts
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM attempts) GROUP BY 1, 2""")
+ count(*) FILTER (NOT success) AS failed FROM attempts GROUP BY 1, 2""")
 add("host_report", f"""{ctes('page_dim')}, {health_ctes('page_dim', 'page_id', visible('html'), 'NULL', 2000)},
 s AS (SELECT p.host, h.reason, CAST(round(greatest(0.0, round(CAST(length(html) - length({_clean}) AS DOUBLE) / greatest(1, length(html)) * 100, 2)) * 100) AS BIGINT) AS saved,
  {is_pdf('url')} AS pdf, {under(host('url'), RULES.spa_hosts)} AS spa FROM page_dim p JOIN health h ON h.page_id = p.page_id),

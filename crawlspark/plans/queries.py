@@ -50,10 +50,12 @@ def _joined(c):
     return F.array_join(c, ",")
 
 
-def _landed(s: SparkSession, df: DataFrame, name: str) -> str:
-    """Write a derived table to the shared folder, as a landing place for a stream."""
+def _landed(s: SparkSession, df: DataFrame, name: str, closing: bool = False) -> str:
+    """Write a derived table to the shared folder, as a landing place for a stream, and end it if asked to."""
     place = shared_dir(s, name)
     df.write.parquet(place)
+    if closing:
+        progress.close_landing(s, place)
     return place
 
 
@@ -85,7 +87,10 @@ def rule_tables_hits(s, d):
 
 @register
 def read_bodies(s, d):
-    return readers.read_bodies(s, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    # One file a page (its text and a line end), read back as raw bodies.
+    place = shared_dir(s, "bodies")
+    view(s, d, "pages").select("html").write.option("maxRecordsPerFile", 1).text(place)
+    return readers.read_bodies(s, place, "*.txt").select("length", "digest")
 
 
 @register
@@ -441,7 +446,7 @@ def _routes(s, d, cache: bool = True):
     probes = view(s, d, "pages").filter(F.col("page_id") % 3 != 0).select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"),
         Q.probe_verdict(F.lit(True), F.when(F.col("page_id") % 5 == 0, 500).otherwise(200), "html")["effective"].alias("effective"))
-    state = view(s, d, "host_state").filter("score > 2")
+    state = view(s, d, "host_state")
     return routing.route(urls, state, probes=probes, key="id")
 
 
@@ -468,8 +473,7 @@ def race_winner_first_finisher(s, d):
 
 def _failed(s, d):
     full = view(s, d, "lane_results")
-    causes = races.failure_cause(full).select("attempt_id", "cause", "playwright_error")
-    return races.race_failures(view(s, d, "attempts").join(causes, "attempt_id", "left"))
+    return races.race_failures(races.with_causes(full))
 
 
 @register
@@ -478,10 +482,7 @@ def race_failures(s, d):
 
 
 def _results(s, d):
-    a = view(s, d, "attempts")
-    won = races.race_winner(a).select("request_id", F.lit(True).alias("success"), "elapsed_s")
-    lost = a.groupBy("request_id").agg(F.bool_or("success").alias("any_ok"), F.max("elapsed_s").alias("elapsed_s"))
-    return won.unionByName(lost.filter(~F.col("any_ok")).select("request_id", F.lit(False).alias("success"), "elapsed_s"))
+    return races.resolved_requests(view(s, d, "attempts"))
 
 
 @register
@@ -497,8 +498,7 @@ def batch_code(s, d):
 
 @register
 def split_outcomes(s, d):
-    ok, failed = requests.split_outcomes(_results(s, d))
-    return ok.withColumn("outcome", F.lit("ok")).unionByName(failed.withColumn("outcome", F.lit("failed"))).select("request_id", "outcome")
+    return requests.outcomes(_results(s, d)).select("request_id", "outcome")
 
 
 @register
@@ -519,7 +519,7 @@ def learn_scores(s, d):
 
 @register
 def learn_scores_stream(s, d):
-    place = _landed(s, view(s, d, "attempts"), "learn")
+    place = _landed(s, view(s, d, "attempts"), "learn", closing=True)
     events = learning.attempt_events(readers.attempt_stream(s, place))
     steps = progress.run_to_files(stream_learning.learn_scores_stream(events), "learn-stream")
     last = steps.groupBy("cache_key").agg(F.max_by(F.struct("decision", "score"), "bucket").alias("e"))
@@ -580,7 +580,7 @@ def candidate_scores(s, d):
 
 @register
 def eligible_endpoints(s, d):
-    used = view(s, d, "uses").filter(F.col("endpoint_id") % 10 == 3)
+    used = view(s, d, "uses").groupBy("endpoint_id").agg(F.count("*").alias("n")).filter("n >= 5")
     return ranking.eligible_endpoints(view(s, d, "endpoints"), current=7, excluded=used, keywords=("香港", "HK", "Hong Kong", "HongKong")).select(
         "endpoint_id", "delay_ms")
 
@@ -594,7 +594,7 @@ def text_stability(s, d):
 
 @register
 def text_stability_stream(s, d):
-    place = _landed(s, view(s, d, "obs"), "obs")
+    place = _landed(s, view(s, d, "obs"), "obs", closing=True)
     stream = s.readStream.schema("page_key long, ts timestamp_ntz, event_id long, text_len long, text string").parquet(place)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return progress.run_to_files(stream_stability.text_stability_stream(stream, **STABLE), "stability-stream")
@@ -635,7 +635,7 @@ def retention_summary(s, d):
 
 @register
 def stream_progress(s, d):
-    place = _landed(s, view(s, d, "attempts"), "progress")
+    place = _landed(s, view(s, d, "attempts"), "progress", closing=True)
     got = progress.run_to_files(progress.stream_progress(readers.attempt_stream(s, place)), "progress-stream")
     return got.select(F.unix_micros("window_start").alias("window_us"), "lane", "started", "done", "failed")
 

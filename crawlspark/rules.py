@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANES = ("easyget", "jina", "playwright")  # tie order in a race
+LANES = ("easyget", "jina", "playwright", "pdf")  # tie order in a race
 MODES = ("normal", "fast", "playwright", "jina", "no_jina")
 CRAWL_TYPES = ("pdf", "web", "auto")
 

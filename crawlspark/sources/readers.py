@@ -23,25 +23,17 @@ def read_pages(spark: SparkSession, location: str, *columns: str, fmt: str = "pa
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer splits than there are cores, before heavy work per row.
-
-    At scale a table has far more splits than cores and is returned as it is: no page body is shuffled then.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_bodies(spark: SparkSession, location: str, glob: str | None = None) -> DataFrame:
     """SRC4: raw bodies, one file each, with path, length, modification time and content.
 
-    Columns that are not used are not read: a listing of paths and lengths opens no file.
+    Columns that are not used are not read: a listing of paths and lengths opens no file. ``digest`` is made of the
+    content, so that a read can be checked against what was written.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(location).select("path", "length", F.col("modificationTime").alias("modified"),
-                                        F.col("content").alias("body"))
+                                        F.col("content").alias("body"), F.sha2("content", 256).alias("digest"))
 
 
 def first_bytes(body: str = "body", n: int = 8):
@@ -56,38 +48,69 @@ def attempt_stream(spark: SparkSession, location: str, schema: str = ATTEMPTS, f
     return reader.parquet(location).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-_HEADER_CHARSET = re.compile(r"charset=([^;\s]+)")
-_META_CHARSET = re.compile(r"<meta[^>]+charset=['\"]?([^'\"\s>]+)", re.IGNORECASE)
+def text_codec(name: str | None):
+    """The codec of this name if it is a text encoding (``hex`` or ``zip`` are codecs, but none of text)."""
+    try:
+        found = codecs.lookup((name or "").strip(" \t'\""))
+    except (LookupError, ValueError):
+        return None
+    return found if found._is_text_encoding else None
+
 
+def parameter(value: str, name: str) -> str | None:
+    """Value of a parameter (``name=value``) of a header or tag, quotes taken off."""
+    for part in re.split(r"[;\s<>/]+", value.lower()):
+        key, eq, rest = part.partition("=")
+        if eq and key == name:
+            return rest.strip("'\"")
+    return None
 
-def choose_charset(body: bytes, content_type: str | None) -> str:
-    """Header, then ``<meta>`` in the first 1024 bytes, then the fixed list; the first that decodes wins."""
-    head = body[:1024].decode("utf-8", "ignore")
-    named = [m.group(1).strip("'\"") for m in (_HEADER_CHARSET.search((content_type or "").lower()),
-                                               _META_CHARSET.search(head)) if m]
-    for name in (*named, *FALLBACK_CHARSETS):
-        try:
-            codecs.decode(body, name)
-            return name
-        except (UnicodeDecodeError, LookupError, ValueError):
-            continue
-    return "utf-8"
+
+def named_charsets(body: bytes, content_type: str | None):
+    """What the header says, then what a ``<meta>`` tag in the first 1024 bytes says."""
+    yield parameter(content_type or "", "charset")
+    for tag in re.findall("<meta\\b[^>]*>", body[:1024].decode("latin-1").lower()):
+        inner = re.sub(r"content\s*=\s*[\"']", " ", re.sub(r"\s*=\s*", "=", tag))
+        if found := parameter(inner, "charset"):
+            yield found
+            return
+
+
+def decode_body(body: bytes, content_type: str | None) -> tuple[str, str]:
+    """Chosen charset and text; each candidate is tried by decoding once. latin1, the last, takes any bytes."""
+    for name in (*named_charsets(body, content_type), *FALLBACK_CHARSETS):
+        if codec := text_codec(name):
+            try:
+                return name, codec.decode(body, "strict")[0]
+            except UnicodeError:
+                continue
+    raise AssertionError("latin1 decodes any bytes")
 
 
 def decode_bodies(df: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
-    """TXT20: adds ``charset`` and ``html`` to rows with a binary body (a codec job, in Arrow batches)."""
-    keep = [f for f in df.schema.fields if f.name != body]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", charset string, html string"
+    """TXT20: adds ``charset`` and ``html`` to rows with a binary body.
+
+    Bodies that are valid UTF-8 and that nothing says are in another charset are decoded by Spark's own functions; only
+    the others go through Python's codecs, in Arrow batches. Both are one pass over the rows.
+    """
+    head = F.lower(F.decode(F.substring(body, 1, 1024), "ISO-8859-1"))
+    plain = (F.is_valid_utf8(F.col(body).cast("string")) & F.coalesce(F.lower(F.col(content_type)).rlike(r"charset=[\"']?utf-?8\b"), F.lit(False))
+             & F.col(body).isNotNull())
+    unsaid = (F.is_valid_utf8(F.col(body).cast("string")) & ~F.coalesce(F.lower(F.col(content_type)).contains("charset"), F.lit(False))
+              & ~head.contains("charset"))
+    keep = [c for c in df.columns if c != body]
+    native = df.filter(plain | unsaid).select(
+        *keep, F.lit("utf-8").alias("charset"), F.col(body).cast("string").alias("html"))
+    schema = df.select(*keep).schema.add("charset", "string").add("html", "string")
 
     def decode(batches):
         for pdf in batches:
-            names = [choose_charset(bytes(b), ct) if b is not None else None
-                     for b, ct in zip(pdf[body], pdf[content_type])]
-            pdf["charset"] = names
-            pdf["html"] = [bytes(b).decode(n, "ignore") if n else None for b, n in zip(pdf[body], names)]
+            found = [(None, None) if b is None else decode_body(bytes(b), ct) for b, ct in zip(pdf[body], pdf[content_type])]
+            pdf["charset"], pdf["html"] = [n for n, _ in found], [t for _, t in found]
             yield pdf.drop(columns=[body])
 
-    return df.mapInPandas(decode, schema)
+    rest = df.filter(~F.coalesce(plain | unsaid, F.lit(False)))
+    return native.unionByName(rest.mapInPandas(decode, schema))
 
 
 # Python workers need not have this package installed: what they run is sent along by value.

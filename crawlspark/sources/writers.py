@@ -22,15 +22,15 @@ def _folder(spark: SparkSession, location: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target, jvm.org.apache.hadoop.fs.Path
 
 
-def state_versions(spark: SparkSession, location: str) -> list[int]:
-    """Complete versions only: a write that was cut short has no success mark."""
+def state_versions(spark: SparkSession, location: str, complete: bool = True) -> list[int]:
+    """Complete versions only, if asked for: a write that was cut short has no success mark."""
     fs, root, make = _folder(spark, location)
     if not fs.exists(root):
         return []
     found = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(make(status.getPath(), "_SUCCESS")):
+        if name.startswith("version=") and (not complete or fs.exists(make(status.getPath(), "_SUCCESS"))):
             found.append(int(name.split("=", 1)[1]))
     return sorted(found)
 
@@ -38,12 +38,14 @@ def state_versions(spark: SparkSession, location: str) -> list[int]:
 def save_state(df: DataFrame, location: str, version: int | None = None) -> int:
     """SNK2: write a new version of the learned state; the version being read is never touched.
 
-    A given ``version`` makes a repeated write of the same batch idempotent.
+    A given ``version`` makes a repeated write of the same batch idempotent. An automatic one never replaces a folder:
+    of two writers that take the same number the later fails, and a number after a cut-off write is skipped.
     """
+    mode = "overwrite"
     if version is None:
-        done = state_versions(df.sparkSession, location)
-        version = done[-1] + 1 if done else 0
-    df.write.mode("overwrite").parquet(f"{location.rstrip('/')}/version={version}")
+        taken = state_versions(df.sparkSession, location, complete=False)
+        version, mode = (taken[-1] + 1 if taken else 0), "errorifexists"
+    df.write.mode(mode).parquet(f"{location.rstrip('/')}/version={version}")
     return version
 
 

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.learning import describe
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "cache_key string, decision string, score int, bucket timestamp"
 
 
@@ -40,7 +39,10 @@ class ScoreFold(StatefulProcessor):
                 lane, score = m.alive_decision, int(m.alive_score)
             else:
                 lane, score = m.dead_decision, int(m.dead_score)
-        self._entry.update((lane, score))
+        if lane is None:
+            self._entry.clear()  # a removed host leaves no state
+        else:
+            self._entry.update((lane, score))
         yield pd.DataFrame({"cache_key": [key[0]], "decision": [lane], "score": [score],
                             "bucket": [windows["bucket"].iloc[-1]]})
 
@@ -53,9 +55,9 @@ def learn_scores_stream(events: DataFrame, watermark: str = "10 minutes", bucket
     spread over its seconds), then chained per host in a small keyed state.
 
     Rows arriving after the watermark are dropped; Spark counts them (``numRowsDroppedByWatermark``). Emits the
-    entry of a host whenever it advanced; score 0 means the entry was removed.
+    entry of a host whenever it advanced; score 0 means the entry was removed. The session must use the RocksDB state
+    store, as :func:`crawlspark.session.get_session` sets it.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lane", F.col("delta").cast("int").alias("delta"))))
     closed = (events.withWatermark("ts", watermark).groupBy(F.window("ts", bucket), "host")
               .agg(ordered.alias("es")).select("host", F.col("window.start").alias("bucket"), describe(F.col("es")).alias("d")))

@@ -16,6 +16,18 @@ def stream_progress(attempts: DataFrame, window: str = "1 hour", watermark: str
             .select(F.col("window.start").alias("window_start"), "lane", "started", "done", "failed"))
 
 
+def close_landing(spark: SparkSession, place: str, ahead: str = "1 day") -> None:
+    """End a bounded landing: one more file repeats the newest row, ``ahead`` of it in time.
+
+    It moves the watermark past everything before it, so that the windows and waits of all true rows close. It stays
+    in a window of its own that never closes and so is in no result. Rows that come late after that are dropped and
+    counted by Spark (``numRowsDroppedByWatermark``).
+    """
+    rows = spark.read.parquet(place)
+    newest = rows.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {ahead}"))
+    newest.select(*rows.columns).coalesce(1).write.mode("append").parquet(place)
+
+
 def run_to_files(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
     """Drain the available input into a folder below the shared checkpoint folder and read it back.
 

@@ -7,22 +7,6 @@ from crawlspark.operators import learning
 LANES = ("easyget", "playwright", "jina", "blocked")
 
 
-def by_hand(events, start):
-    state = dict(start)
-    for host, _, _, lane, delta in sorted(events, key=lambda e: (e[0], e[1], e[2])):
-        entry = state.get(host)
-        if entry is None:
-            if delta > 0:
-                state[host] = (lane, delta)
-            continue
-        entry = (lane, 1) if entry[0] != lane else (lane, entry[1] + delta)
-        if entry[1] <= 0:
-            del state[host]
-        else:
-            state[host] = entry
-    return state
-
-
 def make(seed, n, hosts):
     rnd = random.Random(seed)
     lanes = LANES[: rnd.choice((1, 2, 4))]
@@ -34,26 +18,50 @@ def frame(spark, events):
         "host", F.timestamp_seconds("s").alias("ts"), "event_id", "lane", "delta")
 
 
-def test_bucketed_fold_equals_the_direct_fold(spark):
+def learned(df):
+    return {r.cache_key: (r.decision, r.score) for r in df.collect()}
+
+
+# Golden traces: events of one host in order, state before, state after.
+TRACES = [
+    ("+e", None, ("easyget", 1)), ("-e", None, None), ("-e +e", None, ("easyget", 1)), ("+e +e -e", None, ("easyget", 1)),
+    ("+e -e", None, None), ("+e -e +j", None, ("jina", 1)), ("+e +e +j", None, ("jina", 1)), ("+e +e -j", None, ("jina", 1)),
+    ("-e", ("easyget", 1), None), ("-e -e +p", ("easyget", 2), ("playwright", 1)), ("-j -j", ("easyget", 5), None),
+    ("-j +j +j -j", ("easyget", 5), ("jina", 2)), ("+b +b +b", ("blocked", 2), ("blocked", 5)), ("", ("jina", 4), ("jina", 4)),
+]
+SHORT = {"e": "easyget", "j": "jina", "p": "playwright", "b": "blocked"}
+
+
+def test_golden_traces(spark):
+    events, start = [], []
+    for k, (steps, before, _) in enumerate(TRACES):
+        events += [(f"h{k}", i, i, SHORT[x[1]], 1 if x[0] == "+" else -1) for i, x in enumerate(steps.split())]
+        if before:
+            start.append((f"h{k}", *before))
+    state = spark.createDataFrame(start, "cache_key string, decision string, score int")
+    want = {f"h{k}": after for k, (_, _, after) in enumerate(TRACES) if after}
+    for bucket, block in ((1, 3600), (1, 2), (2, 4), (1_000_000, 1)):
+        assert learned(learning.learn_scores(frame(spark, events), state, bucket, block)) == want
+
+
+def test_fold_does_not_depend_on_grouping_or_partitions(spark):
+    """The description of a stretch is associative, so every way to cut the same events gives the same state."""
     hosts = [f"h{i}.org" for i in range(40)]
-    start = {h: (LANES[i % 4], 1 + i % 3) for i, h in enumerate(hosts) if i % 2} | {"quiet.org": ("jina", 4)}
-    state0 = spark.createDataFrame([(h, d, s) for h, (d, s) in start.items()], "cache_key string, decision string, score int")
-    for seed in range(4):
+    state0 = spark.createDataFrame([(h, LANES[i % 4], 1 + i % 3) for i, h in enumerate(hosts) if i % 2],
+                                   "cache_key string, decision string, score int")
+    for seed in range(3):
         events = make(seed, 1500, hosts)
-        want, fresh = by_hand(events, start), by_hand(events, {})
-        for bucket, block in ((1, 3600), (1, 30), (60, 60), (1_000_000, 1)):
-            got = learning.learn_scores(frame(spark, events), state0, bucket, block)
-            assert {r.cache_key: (r.decision, r.score) for r in got.collect()} == want
-        got = learning.learn_scores(frame(spark, events))
-        assert {r.cache_key: (r.decision, r.score) for r in got.collect()} == fresh
-
-
-def test_one_hot_host_and_repartitioning(spark):
-    events = make(9, 6000, ["hot.org"] * 9 + ["cold.org"])
-    want = by_hand(events, {})
-    for parts in (1, 7):
-        got = learning.learn_scores(frame(spark, events).repartition(parts))
-        assert {r.cache_key: (r.decision, r.score) for r in got.collect()} == want
+        one = learned(learning.learn_scores(frame(spark, events), state0, 1_000_000, 1))
+        for bucket, block in ((1, 3600), (1, 30), (60, 60)):
+            assert learned(learning.learn_scores(frame(spark, events).repartition(1 + seed * 3), state0, bucket, block)) == one
+
+
+def test_folding_in_two_parts_is_folding_once(spark):
+    hot = make(9, 4000, ["hot.org"] * 9 + ["cold.org"])
+    cut = 1500
+    first = learning.learn_scores(frame(spark, [e for e in hot if e[1] < cut])).select("cache_key", "decision", "score")
+    both = learning.learn_scores(frame(spark, [e for e in hot if e[1] >= cut]), first)
+    assert learned(both) == learned(learning.learn_scores(frame(spark, hot)))
 
 
 def test_switch_resets_even_on_failure(spark):

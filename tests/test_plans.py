@@ -41,16 +41,24 @@ def test_rule_tables_have_a_known_small_size(spark):
 
 
 def test_page_work_is_map_only(spark, tmp_path):
-    """With as many splits as cores, cleaning shuffles nothing."""
+    """Cleaning shuffles nothing, however few files there are."""
     from crawlspark.operators import cleaning
-    from crawlspark.sources.readers import read_pages, spread
+    from crawlspark.sources.readers import read_pages
 
     place = str(tmp_path / "pages")
-    spark.range(64).selectExpr("id AS page_id", "'http://a.b/c' AS url", "concat('<p>', repeat('word ', 50), id) AS html").repartition(16).write.parquet(place)
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
-    try:
-        pages = spread(read_pages(spark, place))
-        for df in (cleaning.clean_pages(pages), cleaning.main_blocks(pages), cleaning.prune_blocks(pages), cleaning.bm25_blocks(pages, "word")):
-            assert "Exchange" not in plan(df)
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.range(64).selectExpr("id AS page_id", "'http://a.b/c' AS url", "concat('<p>', repeat('word ', 50), id) AS html").coalesce(1).write.parquet(place)
+    pages = read_pages(spark, place)
+    for df in (cleaning.clean_pages(pages), cleaning.main_blocks(pages), cleaning.prune_blocks(pages), cleaning.bm25_blocks(pages, "word"),
+               cleaning.mapreduce_clean(pages)):
+        assert "Exchange" not in plan(df)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS_AND_SINKS))
+def test_no_round_robin_shuffle(spark, sf_dir, name):
+    assert "RoundRobin" not in plan(QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["batch_summary", "batch_code", "split_outcomes", "race_failures"])
+def test_outcomes_come_from_one_aggregate(spark, sf_dir, name):
+    # One scan of the events, apart from what lists the requests of a batch.
+    assert plan(QUERIES[name](spark, sf_dir)).count("events.parquet") <= (6 if name == "batch_summary" else 2)

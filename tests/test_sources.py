@@ -48,6 +48,14 @@ def test_decode_by_meta_and_empty(spark):
     assert got[1] == ("gb18030", page) and got[2] == ("utf-8", "") and got[3] == (None, None) and got[4][0] is not None
 
 
+def test_hostile_charset_names_do_not_end_the_job(spark):
+    names = ["zip", "hex", "rot13", "base64", "bz2", "", "a b", "utf_8\0", "undefined", "idna", "punycode", "unicode_escape", "x" * 5000]
+    rows = [(i, bytearray("é 汉字".encode()), f"text/html; charset={n}") for i, n in enumerate(names)]
+    got = readers.decode_bodies(spark.createDataFrame(rows, "id int, body binary, content_type string")).collect()
+    assert len(got) == len(names) and all(r.html is not None for r in got)
+    assert {r.html for r in got if names[r.id] in ("zip", "hex", "rot13", "base64", "bz2", "a b")} == {"é 汉字"}
+
+
 def test_binary_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.txt").write_bytes(b"text")
@@ -83,6 +91,7 @@ def test_state_versions(spark, tmp_path):
     assert writers.save_state(newer, place) == 1
     (tmp_path / "state" / "version=7").mkdir()  # cut short: no success mark
     assert writers.state_versions(spark, place) == [0, 1]
+    assert writers.save_state(newer, str(tmp_path / "other")) == 0 and writers.state_versions(spark, place, complete=False) == [0, 1, 7]
     assert writers.load_state(spark, place).first().score == 2 and writers.load_state(spark, place, 0).first().score == 1
 
 
@@ -118,6 +127,24 @@ def test_race_policies(spark):
     assert {r.request_id: r.attempt_id for r in races.race_winner(df, "first_finisher").collect()} == {1: 1, 2: 4}
     with pytest.raises(ValueError):
         races.race_winner(df, "best")
+    late = df.withColumn("elapsed_s", F.when(F.col("attempt_id") != 3, F.col("elapsed_s")))  # an unknown time never wins
+    assert {r.request_id: r.attempt_id for r in races.race_winner(late).collect()} == {1: 1, 2: 4}
+
+
+def test_pdf_lane_and_missing_values(spark):
+    rows = [(1, 1, "pdf", False, 1.0, None, "pdf broken"), (2, 1, "easyget", False, 0.0004, None, None), (3, 2, "pdf", True, 0.5, None, None),
+            (4, 2, None, False, None, None, None)]
+    df = spark.createDataFrame(rows, "attempt_id int, request_id int, lane string, success boolean, elapsed_s double, markdown string, pdf_error string")
+    df = df.select("*", F.lit(200).alias("status_code"), F.lit("u").alias("url"), F.lit("h").alias("host"), F.current_timestamp().alias("ts"),
+                   *[F.lit(None).cast("string").alias(c) for c in ("html", "easyget_error", "playwright_error", "jina_error")], F.lit("c").alias("case"))
+    lost = races.race_failures(races.with_causes(df)).collect()
+    assert [(r.request_id, r.pdf_error) for r in lost] == [(1, "pdf broken")] and lost[0].markdown.endswith(" | PDF: pdf broken")
+    table = races.latency_table(df).first()
+    assert (table.pdf_n, table.other_n, table.easyget_n, table.jina_n) == (2, 1, 1, 0) and table.easyget_max_ms == 0.4 and table.pdf_avg_ms == 750.0
+    done = races.resolved_requests(df)
+    assert sorted(tuple(r) for r in done.collect()) == [(1, False, 1.0), (2, True, 0.5)]
+    null = done.withColumn("success", F.lit(None).cast("boolean")).withColumn("batch_id", F.lit(1))
+    assert requests.batch_code(null).first().code == 1 and {r.outcome for r in requests.outcomes(null).collect()} == {"failed"}
 
 
 def test_visit_curve_on_one_hot_host(spark, sf_dir):
@@ -133,6 +160,8 @@ def test_candidates(spark):
     fit = ranking.eligible_endpoints(e, current=4)
     got = {r.endpoint_id: (r.score, r["rank"]) for r in ranking.candidate_scores(fit, u, 1150, k=2).collect()}
     assert got == {1: (0.85, 1), 2: (0.3, 2)}
+    named = e.withColumn("name", F.when(F.col("endpoint_id") == 1, "DIRECT"))
+    assert {r.endpoint_id for r in ranking.eligible_endpoints(named).collect()} == {2, 4}  # a missing name is kept
     assert ranking.candidate_scores(fit, u, 1150, k=2).filter("picked").count() == 1
 
 

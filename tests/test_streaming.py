@@ -50,43 +50,21 @@ def test_text_stability(spark):
         "page_key", F.timestamp_millis("ms").alias("ts"), "event_id", "text_len", "text")
     limits = dict(min_chars=500, delta=30, stable_n=3, zero_n=3, timeout_ms=60_000)
     want = {tuple(r) for r in stability.text_stability(obs, **limits).collect()}
-    assert len(want) == 6 and want == by_hand(rows, **limits)
+    assert len(want) == 6
     place = landed(spark, obs, [0, 200, 400, 600], "event_id")
     stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(place)
     got = progress.run_to_files(stream_stability.text_stability_stream(stream, "1 second", **limits), "t-stable")
     assert {tuple(r) for r in got.collect()} == want
 
 
-def by_hand(rows, min_chars, delta, stable_n, zero_n, timeout_ms):
-    out = set()
-    for key in {r[0] for r in rows}:
-        mine = sorted((r[1], r[2], r[3], "retrying" in r[4]) for r in rows if r[0] == key)
-        start, _, last, _ = mine[0]
-        first, checks, stable, zero, errors = last, 0, 0, int(last == 0), 0
-        for ms, eid, n, err in mine[1:]:
-            checks += 1
-            if err:
-                errors, stable, last = errors + 1, 0, n
-                continue
-            zero = zero + 1 if n == 0 else 0
-            if checks > 1:
-                stable = stable + 1 if abs(n - last) <= delta and n > 0 else 0
-            last = n
-            reason = ("zero_text_threshold" if zero >= zero_n else "stable" if n >= min_chars and stable >= stable_n
-                      else "forced_timeout" if ms - start > timeout_ms else None)
-            if reason:
-                out.add((key, reason, eid, float(ms - start), checks, stable, zero, errors, first, n, round((n - first) / max(first, 1), 6)))
-                break
-    return out
-
-
 def test_timeout_bound_keeps_late_error_rows_in_the_count(spark):
     rows = [(1, 0, 0, 100, "b"), (1, 1000, 1, 300, "b"), (1, 9000, 2, 305, "We'll keep retrying"), (1, 9500, 3, 310, "We'll keep retrying"),
             (1, 9900, 4, 312, "b"), (1, 9999, 5, 900, "b")]
     obs = spark.createDataFrame(rows, "page_key long, ms long, event_id long, text_len long, text string").select(
         "page_key", F.timestamp_millis("ms").alias("ts"), "event_id", "text_len", "text")
     limits = dict(min_chars=500, delta=30, stable_n=3, zero_n=3, timeout_ms=5000)
-    assert {tuple(r) for r in stability.text_stability(obs, **limits).collect()} == by_hand(rows, **limits)
+    assert [tuple(r) for r in stability.text_stability(obs, **limits).collect()] == [
+        (1, "forced_timeout", 4, 9900.0, 4, 1, 0, 2, 100, 312, 2.12)]
 
 
 def test_progress_and_late_rows(spark):
@@ -112,3 +90,46 @@ def test_running_totals(spark):
     progress.running_totals(attempt_stream(spark, place, files_per_trigger=1), base + "/totals", base + "/c")
     got = spark.read.parquet(base + "/totals")
     assert got.select("batch").distinct().count() == 3 and got.agg(F.sum("started")).first()[0] == 90
+
+
+# Golden traces: lengths observed every second ("x" in error state), then reason, place, checks, stable, zero, errors.
+STABILITY = [
+    ("0 600 600 600 600", ("stable", 4, 4, 3, 0, 0)), ("600 600 600", None), ("600 600 600 600 600", ("stable", 4, 4, 3, 0, 0)),
+    ("0 0 0", ("zero_text_threshold", 2, 2, 0, 3, 0)), ("0 x 0 0", ("zero_text_threshold", 3, 3, 0, 3, 1)),
+    ("600 610 620 x 625 630 635 640", ("stable", 6, 6, 3, 0, 1)), ("400 410 420 430 440", None),
+    ("100 200 300 400 500 600 700 800 900 999 100 200", ("forced_timeout", 11, 11, 0, 0, 0)), ("0 5 0 5 0 0 0", ("zero_text_threshold", 6, 6, 0, 3, 0)),
+]
+
+
+def test_golden_stability_traces(spark):
+    limits = dict(min_chars=500, delta=30, stable_n=3, zero_n=3, timeout_ms=10_000)
+    rows, want = [], {}
+    for key, (trace, verdict) in enumerate(STABILITY):
+        last = 0
+        for i, x in enumerate(trace.split()):
+            last = last if x == "x" else int(x)
+            rows.append((key, 1_700_000_000_000 + i * 1000, i, last, "We'll keep retrying" if x == "x" else "body"))
+        if verdict:
+            want[key] = verdict
+    obs = spark.createDataFrame(rows, "page_key long, ms long, event_id long, text_len long, text string").select(
+        "page_key", F.timestamp_millis("ms").alias("ts"), "event_id", "text_len", "text")
+    got = {r.page_key: (r.reason, r.event_id, r.check_count, r.stable_count, r.zero_count, r.connectivity_wait_count)
+           for r in stability.text_stability(obs, **limits).collect()}
+    assert got == want
+    # The stream's counters, fed in any cut of the same rows.
+    for step in (1, 2, 100):
+        for key, (trace, verdict) in enumerate(STABILITY):
+            mine = [(ms * 1000, i, n, t != "body") for k, ms, i, n, t in rows if k == key]
+            state = found = None
+            for at in range(0, len(mine), step):
+                if found is None:
+                    state, found = stream_stability.judge(mine[at:at + step], state, **limits)
+            assert (found and (found[0], found[1], *found[3:7])) == verdict
+
+
+def test_closed_landing_gives_the_whole_answer(spark):
+    df = attempts(spark, 300)
+    place = landed(spark, df, [0, 300])
+    progress.close_landing(spark, place)
+    got = progress.run_to_files(progress.stream_progress(attempt_stream(spark, place)), "t-closed")
+    assert got.agg(F.sum("started")).first()[0] == 300
