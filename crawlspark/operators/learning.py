@@ -148,12 +148,14 @@ def attempt_events(attempts: DataFrame) -> DataFrame:
 
 
 def resolved_events(winners: DataFrame, failures: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One event per resolved request (D3): the winning lane, or ``blocked`` when every lane failed."""
+    """One event per resolved request (D2, D3, D5): +1 for the winning lane; where every lane failed +1 for ``blocked``,
+    or, for a URL that looks like a PDF, -1 for ``pdf``."""
     from ..functions.urls import is_pdf_url
 
     won = winners.select("host", "ts", F.col("request_id").alias("event_id"), "lane", F.lit(1).alias("delta"))
-    lost = failures.filter(~is_pdf_url("url", rules)).select(
-        "host", "ts", F.col("request_id").alias("event_id"), F.lit("blocked").alias("lane"), F.lit(1).alias("delta"))
+    pdf = is_pdf_url("url", rules)
+    lost = failures.select("host", "ts", F.col("request_id").alias("event_id"), F.when(pdf, "pdf").otherwise("blocked").alias("lane"),
+                           F.when(pdf, -1).otherwise(1).alias("delta"))
     return won.unionByName(lost)
 
 
@@ -197,8 +199,8 @@ def merge_state(older: DataFrame, newer: DataFrame) -> DataFrame:
     return both.groupBy("cache_key").agg(F.max_by(F.struct(*cols), F.col("_src")).alias("e")).select("cache_key", "e.*")
 
 
-def cap_state(state: DataFrame, n: int = DEFAULT_RULES.max_state_size) -> DataFrame:
-    """The ``n`` newest entries."""
+def cap_state(state: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest entries. A cut of learned state must be asked for, so ``n`` has no default."""
     return state.orderBy(F.desc("updated"), "cache_key").limit(n)
 
 

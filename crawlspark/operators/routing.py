@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import exploded
-from ..functions.urls import host_variants, is_pdf_url, is_spa_host, norm_host
+from ..functions.urls import host_variants, is_pdf_url, is_spa_host, norm_host, url_template
 from ..rules import DEFAULT_RULES, Rules
 
 
@@ -26,17 +26,52 @@ def cached_route(urls: DataFrame, host_state: DataFrame, host: str = "host") ->
                       F.col("_hit.decision").alias("cached_decision"), F.col("_hit.score").alias("cached_score"))
 
 
-def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
-          probes: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+def learned_pdf(urls: DataFrame, hosts: DataFrame | None, patterns: DataFrame | None, key: str = "page_id") -> DataFrame:
+    """Keys of the URLs that learned PDF hosts (L3, ``host``) or learned paths (L4, ``pattern``) make PDFs.
+
+    Hosts are looked up by their variants. A pattern starts and ends with a slash, so it occurs in a URL just if it is
+    a run of whole segments of it: both become equi-joins, whose learned side may be of any size.
+    """
+    found = []
+    if hosts is not None:
+        named = urls.select(key, norm_host("url").alias("_host"))
+        tried = exploded(named.select("_host").distinct(), host_variants("_host"), "_depth", "host", "_host")
+        hit = tried.join(hosts.select("host").distinct(), "host", "left_semi").select("_host").distinct()
+        found.append(named.join(hit, "_host", "left_semi").select(key))
+    if patterns is not None:
+        inner = F.slice(F.split(F.lower("url"), "/"), 2, F.greatest(F.size(F.split("url", "/")) - 2, F.lit(0)))
+        ends = F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda j: F.when(F.get("_parts", j - 1).contains("pdf"), j))
+        runs = F.flatten(F.transform(F.filter(ends, lambda j: j.isNotNull()), lambda j: F.transform(
+            F.sequence(F.lit(1), j), lambda i: F.concat(F.lit("/"), F.array_join(F.slice("_parts", i, j - i + 1), "/"), F.lit("/")))))
+        rows = urls.select(key, inner.alias("_parts")).filter(F.size("_parts") > 0)
+        tried = exploded(rows, runs, "_n", "pattern", key)
+        found.append(tried.join(patterns.select(F.lower("pattern").alias("pattern")).distinct(), "pattern", "left_semi").select(key))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES, probes: DataFrame | None = None,
+          key: str = "page_id", pdf_hosts: DataFrame | None = None, pdf_patterns: DataFrame | None = None) -> DataFrame:
     """R2: recommended mode per URL - learned state, PDF rule, SPA host, probe, else a race.
 
-    ``probes`` holds one row per ``key`` with a boolean ``effective``.
+    ``probes`` holds one row per ``key`` with a boolean ``effective``. ``pdf_hosts`` and ``pdf_patterns`` are learned
+    ones (L3, L4) beside those of the rules. An entry for the URL's own ``host:template`` (L8) comes before its host's.
     """
     # Rules are judged before the joins, on the URL alone; page bodies never enter a shuffle here.
     judged = urls.select(*[c for c in urls.columns if c not in ("host", "html")],
                          norm_host("url").alias("host"), is_pdf_url("url", rules).alias("_pdf"),
                          is_spa_host("url", rules).alias("_spa"))
+    if pdf_hosts is not None or pdf_patterns is not None:
+        more = learned_pdf(urls, pdf_hosts, pdf_patterns, key).withColumn("_learned", F.lit(True))
+        judged = judged.join(more, key, "left").withColumn("_pdf", F.col("_pdf") | F.col("_learned").isNotNull()).drop("_learned")
     looked = cached_route(judged, host_state)
+    own = host_state.filter(F.col("cache_key").contains(":")).select(
+        F.col("cache_key").alias("_tkey"), F.col("decision").alias("_tdecision"))
+    looked = (looked.withColumn("_tkey", F.concat("host", F.lit(":"), url_template("url"))).join(own, "_tkey", "left")
+              .withColumn("matched_key", F.when(F.col("_tdecision").isNotNull(), F.col("_tkey")).otherwise(F.col("matched_key")))
+              .withColumn("cached_decision", F.coalesce("_tdecision", "cached_decision")))
     if probes is not None:
         looked = looked.join(probes.select(key, F.col("effective").alias("_probe")), key, "left")
     else:

@@ -681,3 +681,26 @@ r AS (SELECT host, reason, count(*) AS n, row_number() OVER (PARTITION BY host O
 SELECT s.host, count(*) AS pages, count(*) FILTER (s.reason = '') AS healthy, coalesce(any_value(r.reason), '') AS top_reason,
  round(sum(saved) / count(*) / 100, 4) AS mean_reduction, CASE WHEN bool_or(pdf) THEN 'pdf' WHEN bool_or(spa) THEN 'playwright' ELSE 'race' END AS route
 FROM s LEFT JOIN r ON r.host = s.host AND r.rn = 1 GROUP BY s.host""")
+
+_re = f"""win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY elapsed_s, {_prio}, attempt_id) AS rn FROM attempts WHERE success) WHERE rn = 1),
+lost AS (SELECT request_id, min(url) AS url, min(host) AS host, max(ts) AS ts FROM attempts GROUP BY request_id HAVING NOT bool_or(success)),
+re AS (SELECT host, ts, request_id AS attempt_id, lane, true AS success FROM win
+ UNION ALL SELECT host, ts, request_id, CASE WHEN {is_pdf('url')} THEN 'pdf' ELSE 'blocked' END, NOT ({is_pdf('url')}) FROM lost)"""
+add("resolved_events", f"""{ctes('attempts')}, {_re} SELECT host, attempt_id AS event_id, lane, CASE WHEN success THEN 1 ELSE -1 END::BIGINT AS delta, epoch_us(ts) AS ts_us FROM re""")
+add("learn_scores_resolved", f"""{ctes('attempts', 'host_state').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_re}, {fold('re', 'host_state')}
+SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score, n::BIGINT AS events FROM fin WHERE e.s > 0
+UNION ALL SELECT cache_key, decision, score, 0 FROM host_state WHERE cache_key NOT IN (SELECT host FROM re)""")
+add("route_learned", f"""{ctes('odd_urls', 'pdf_urls', 'host_state')}, {ALL_URLS},
+lh AS (SELECT host FROM ({ORACLES['learn_pdf_hosts']}) WHERE learned), lp AS (SELECT DISTINCT pattern FROM ({ORACLES['learn_pdf_paths']})),
+tk AS (SELECT DISTINCT {host('url')} || ':' || {template('url')} AS cache_key FROM pdf_urls WHERE {is_pdf('url')} AND {template('url')} <> {path('url')}),
+u AS (SELECT kind || '-' || page_id AS id, url, {host('url')} AS host, {is_pdf('url')} AS pdf0, {under(host('url'), RULES.spa_hosts)} AS spa FROM all_urls),
+v AS (SELECT *, pdf0 OR (contains(host, '.') AND EXISTS (SELECT 1 FROM lh WHERE contains(lh.host, '.') AND (u.host = lh.host OR ends_with(u.host, '.' || lh.host))))
+  OR EXISTS (SELECT 1 FROM lp WHERE contains(lower(u.url), lower(lp.pattern))) AS pdf, host || ':' || {template('url')} AS tkey FROM u),
+{cache_lookup('v', 'id', 'host_state')},
+j AS (SELECT v.*, coalesce(CASE WHEN t.cache_key IS NOT NULL THEN 'pdf' END, c.decision) AS decision, coalesce(t.cache_key, c.cache_key) AS hit, NULL::BOOLEAN AS effective
+ FROM v JOIN cached c ON c.id = v.id LEFT JOIN tk t ON t.cache_key = v.tkey)
+SELECT id, {_modes} AS mode, CASE WHEN decision = 'pdf' THEN 'cache_hit_pdf' WHEN decision IS NOT NULL THEN 'cache_hit' WHEN pdf THEN 'pdf_url_pattern'
+ WHEN spa THEN 'domain_blacklist' ELSE 'no_probe' END AS method,
+ CASE WHEN decision IS NOT NULL THEN '缓存决策: ' || hit WHEN pdf THEN 'URL模式匹配为PDF文件' WHEN spa THEN '域名在SPA黑名单中' ELSE '' END AS reason FROM j""")
+add("running_totals", f"""{ctes('attempts')} SELECT lane, count(*) AS started, count(*) FILTER (success) AS done, count(*) FILTER (NOT success) AS failed FROM attempts GROUP BY lane""")
+add("candidate_picks", f"SELECT grp, count(*) AS best, 1 AS picked FROM ({ORACLES['candidate_scores']}) GROUP BY grp")

@@ -455,6 +455,19 @@ def route(s, d):
     return _routes(s, d).select("id", "host", "mode", "method", F.col("confidence").cast("long").alias("confidence"), "reason", "cache_hit")
 
 
+@register
+def route_learned(s, d):
+    """Routes with what was learned: PDF hosts, PDF paths and ``host:template`` entries."""
+    urls = _all_urls(s, d).withColumn("id", F.concat_ws("-", "kind", F.col("page_id").cast("string"))).select("id", "url")
+    keys = view(s, d, "pdf_urls").select(U.cache_key("url").alias("k")).select("k.cache_key").filter("cache_key LIKE '%:%'").distinct()
+    state = view(s, d, "host_state").select("cache_key", "decision", "score").unionByName(
+        keys.select("cache_key", F.lit("pdf").alias("decision"), F.lit(3).alias("score")))
+    hosts = learning.learn_pdf_hosts(_pdf_attempts(s, d), _pdf_known(s)).filter("learned")
+    paths = learning.learn_pdf_paths(_pdf_attempts(s, d), _pdf_known(s))
+    out = routing.route(urls, state, key="id", pdf_hosts=hosts, pdf_patterns=paths)
+    return out.select("id", "mode", "method", "reason")
+
+
 @register
 def lane_plan(s, d):
     return requests.lane_plan(view(s, d, "requests"), "hint").select(
@@ -517,6 +530,22 @@ def learn_scores(s, d):
         "cache_key", "decision", F.col("score").cast("long").alias("score"), F.col("events").cast("long").alias("events"))
 
 
+def _resolved(s, d):
+    a = view(s, d, "attempts")
+    return learning.resolved_events(races.race_winner(a), races.race_failures(a.withColumn("cause", F.lit(None).cast("string"))))
+
+
+@register
+def resolved_events(s, d):
+    return _resolved(s, d).select("host", "event_id", "lane", F.col("delta").cast("long").alias("delta"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@register
+def learn_scores_resolved(s, d):
+    return learning.learn_scores(_resolved(s, d), view(s, d, "host_state")).select(
+        "cache_key", "decision", F.col("score").cast("long").alias("score"), F.col("events").cast("long").alias("events"))
+
+
 @register
 def learn_scores_stream(s, d):
     place = _landed(s, view(s, d, "attempts"), "learn", closing=True)
@@ -633,6 +662,21 @@ def retention_summary(s, d):
         view(s, d, "files"), F.lit(RETENTION_NOW).cast("timestamp_ntz"), RETENTION_HOURS))
 
 
+@register
+def running_totals(s, d):
+    base, place = shared_dir(s, "totals"), _landed(s, view(s, d, "attempts"), "totals-in")
+    progress.running_totals(readers.attempt_stream(s, place), f"{base}/out", f"{base}/checkpoint")
+    return s.read.parquet(f"{base}/out").groupBy("lane").agg(*[F.sum(c).alias(c) for c in ("started", "done", "failed")])
+
+
+@register
+def candidate_picks(s, d):
+    """Groups with the number of candidates among the best and of those picked (the pick itself is a hash)."""
+    fit = ranking.eligible_endpoints(view(s, d, "endpoints"), current=7)
+    out = ranking.candidate_scores(fit, ranking.usage_rollup(view(s, d, "uses")), NOW_EPOCH, cooldown=86400 * 3, k=3)
+    return out.groupBy("grp").agg(F.count("*").alias("best"), F.count_if("picked").alias("picked"))
+
+
 @register
 def stream_progress(s, d):
     place = _landed(s, view(s, d, "attempts"), "progress", closing=True)

@@ -7,7 +7,7 @@ import pytest
 from crawlspark.plans.queries import QUERIES
 from crawlspark.rules import rule_tables
 
-STREAMS_AND_SINKS = {"attempt_stream", "write_results", "save_load_state", "learn_scores_stream", "text_stability_stream", "stream_progress"}
+STREAMS_AND_SINKS = {"attempt_stream", "write_results", "save_load_state", "learn_scores_stream", "text_stability_stream", "stream_progress", "running_totals"}
 PYTHON = {"decode_bodies"}
 
 
