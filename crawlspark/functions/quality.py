@@ -79,6 +79,10 @@ def reason_from_text(text, html=None) -> Column:
     text = col(text)
     markup = None if html is None else F.when(F.length(text) < 500, F.lower(F.coalesce(col(html), F.lit(""))))
 
+    # Above 500 characters only these terms count: one look at the text as it is, for those that hold no other.
+    apart = [t for t in R.TOO_SHORT_TERMS if not any(o != t and o in t for o in R.TOO_SHORT_TERMS)]
+    too_short = text.rlike("(?iu)" + "|".join(map(re.escape, apart)))
+
     def verdict(e: Column) -> Column:
         low, n = e["low"], e["n"]
         cloudflare, blocked = contains_any(low, R.CLOUDFLARE_TERMS), contains_any(low, R.BLOCK_TERMS)
@@ -90,9 +94,10 @@ def reason_from_text(text, html=None) -> Column:
                 .when((n < 500) & contains_any(low, R.REQUIRE_JS_TERMS), REQUIRE_JAVASCRIPT)
                 .when((n < 500) & blocked, BLOCKED_VERIFICATION)
                 .when((n < 300) & contains_any(low, R.TIMEOUT_TERMS), TIMEOUT)
-                .when(contains_any(low, R.TOO_SHORT_TERMS), PAGE_PARTIAL_LOAD))
+                .when(F.when(n < 500, contains_any(low, R.TOO_SHORT_TERMS)).otherwise(e["short"]), PAGE_PARTIAL_LOAD))
 
-    parts = [F.lower(text).alias("low"), F.length(text).alias("n")]
+    long = F.length(text) >= 500
+    parts = [F.when(~long, F.lower(text)).alias("low"), F.length(text).alias("n"), F.when(long, too_short).alias("short")]
     if markup is not None:
         parts.append(markup.alias("markup"))
     return let(F.struct(*parts), verdict)

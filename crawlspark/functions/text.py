@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,13 +56,34 @@ def probe_text(html, spaced: bool = True) -> Column:
     return collapse_ws(strip_tags(html, " ")) if spaced else strip_ws(strip_tags(html))
 
 
+# Names of HTML character references, from the standard library's table, and the one XML adds.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+
+
+def _reference(name: Column) -> Column:
+    """The character that a reference (without ``&`` and ``;``) stands for; NULL if it is none."""
+    number = F.when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 9).try_cast("int")).when(
+        name.rlike("^#[xX][0-9A-Fa-f]+$"), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("int"))
+    number = F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), 0xFFFD).otherwise(number)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    return F.when(name.startswith("#"), char).otherwise(F.try_element_at(named, name))
+
+
 def unescape(c) -> Column:
-    """Common HTML entities; ``&amp;`` last so that nothing is decoded twice."""
-    out = col(c)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                         ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Character references, named and numeric, each decoded once: what decoding yields is not looked at again."""
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,30});", 1)
+        char = F.when(name != "", _reference(name))
+        return F.when(char.isNotNull(), F.concat(char, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(
+            F.concat(F.lit("&"), part))
+
+    def whole(t: Column) -> Column:
+        parts = F.split(t, "&")
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), decoded)
+        return F.when(t.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(t)
+
+    return let(col(c), whole)
 
 
 def html_title(html, default: str | None = NO_TITLE) -> Column:

@@ -109,14 +109,19 @@ def _with_pdf(name: Column) -> Column:
     return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
+NAME_LIMIT = 60   # characters of a stem; file systems take 255 bytes
+ID_DIGITS = 16    # hex digits of the id
+
+
 def _safe(name: Column) -> Column:
-    return F.substring(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", ""), 1, 50)
+    return F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "")
 
 
 def pdf_filename(url, original=None, style: str = "plain", custom=None) -> Column:
     """URL6: file name for a PDF. ``plain`` keeps the base name, ``site`` uses per-site naming plus an id.
 
-    The id is derived from the URL instead of drawn at random, so a re-run gives the same name.
+    The id is derived from the URL instead of drawn at random, so a re-run gives the same name. A stem that is cut to
+    what a file name may hold always carries the id, a custom one too, so that no two URLs share a name by the cut.
     """
     url = col(url)
     original = F.lit(None).cast("string") if original is None else col(original)
@@ -150,13 +155,14 @@ def pdf_filename(url, original=None, style: str = "plain", custom=None) -> Colum
         .otherwise(F.when(F.length(last) >= 3, last).otherwise(net_name))
     )
     safe = _safe(name)
-    tagged = F.concat(F.when(safe == "", "pdf_file").otherwise(safe), F.lit("_"),
-                      F.substring(F.sha2(url, 256), 1, 8), F.lit(".pdf"))
+    tag = F.concat(F.lit("_"), F.substring(F.sha2(url, 256), 1, ID_DIGITS), F.lit(".pdf"))
+    tagged = F.concat(F.when(safe == "", "pdf_file").otherwise(F.substring(safe, 1, NAME_LIMIT)), tag)
     if custom is None:
         return tagged
     custom = col(custom)
     mine = _safe(custom)
-    mine = F.when(mine.endswith(".pdf"), mine).otherwise(F.concat(mine, F.lit(".pdf")))
+    mine = F.when(F.length(mine) <= NAME_LIMIT, F.concat(mine, F.lit(".pdf"))).otherwise(
+        F.concat(F.substring(mine, 1, NAME_LIMIT), tag))
     return F.when(F.coalesce(custom, F.lit("")) != "", mine).otherwise(tagged)
 
 

@@ -190,10 +190,10 @@ _site = f"""CASE WHEN {_orig} IS NOT NULL THEN regexp_replace({_orig}, '[.][^.]*
  WHEN contains({net('url')}, 'proceedings.mlr.press') THEN
    CASE WHEN contains({path('url')}, '/v') AND len({_pmlr}) >= 3 THEN 'pmlr_' || {_pmlr}[1] || '_' || {_pmlr}[2] ELSE 'pmlr_paper' END
  WHEN length({_last}) >= 3 THEN {_last} ELSE replace({net('url')}, '.', '_') END"""
-_safe = f"substr({sub(f'({_site})', '[^\\p{L}\\p{N}_-]')}, 1, 50)"
+_safe = f"substr({sub(f'({_site})', '[^\\p{L}\\p{N}_-]')}, 1, 60)"
 add("pdf_filename", over_urls(
     f"{_plain} AS plain, CASE WHEN {_orig} IS NOT NULL THEN {_with_pdf(sub(_orig, _unsafe, '_'))} ELSE {_plain} END AS named, "
-    f"(CASE WHEN {_safe} = '' THEN 'pdf_file' ELSE {_safe} END) || '_' || substr(sha256(url), 1, 8) || '.pdf' AS site"))
+    f"(CASE WHEN {_safe} = '' THEN 'pdf_file' ELSE {_safe} END) || '_' || substr(sha256(url), 1, 16) || '.pdf' AS site"))
 _direct = "(ends_with(lower(url), '.pdf') OR contains(lower(url), '.pdf?') OR contains(lower(url), '.pdf#'))"
 add("url_type", over_urls(f"CASE WHEN {_direct} THEN 'direct_pdf' WHEN {has_any('lower(url)', R.PDF_VIEWER_SITES)} THEN 'pdf_viewer' ELSE 'unknown' END AS url_type"))
 add("is_pdf_url", over_urls(f"{is_pdf('url')} AS is_pdf"))

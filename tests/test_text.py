@@ -50,6 +50,12 @@ def test_idempotent(spark, sf_dir, fn):
     assert df.filter(fn("a") != F.col("a")).count() == 0
 
 
+def test_character_references(spark):
+    cases = {"Caf&eacute; &#8211; it&#x27;s &copy;": "Café – it's ©", "&amp;lt; &amp;amp;": "&lt; &amp;", "a & b &nosuch; &;": "a & b &nosuch; &;",
+             "&#0;&#xD800;&#1114112;": "\ufffd" * 3, "&#128512;&lt": "😀&lt", "&nbsp;&apos;&hearts;": "\xa0'♥", "": "", "&": "&", "&#x;&#;": "&#x;&#;"}
+    assert col1(spark, list(cases), X.unescape) == list(cases.values())
+
+
 def test_titles(spark):
     assert col1(spark, ["<title> A &amp;amp; B\n</TITLE>", "<title></title>", "none", None], X.html_title) == ["A &amp; B", "无标题", "无标题", "无标题"]
     docs = ["Title: T \nx", "\nHead\n\n===============\n# no", "intro\n## Two", "URL Source: u\nMarkdown Content:\n first", "", "===============\n# One", "#no\nx"]

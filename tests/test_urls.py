@@ -78,7 +78,7 @@ def test_url_template(spark, url, out):
     ("https://h.org/a%20b+c.pdf", "a b+c.pdf", "a20bc"), ("https://h.org:80/", "h.org_80.pdf", "h_org80")])
 def test_pdf_filename(spark, url, plain, site):
     assert one(spark, url, U.pdf_filename) == plain
-    tag = hashlib.sha256(url.encode()).hexdigest()[:8]
+    tag = hashlib.sha256(url.encode()).hexdigest()[:16]
     assert one(spark, url, lambda u: U.pdf_filename(u, style="site")) == f"{site}_{tag}.pdf"
 
 
