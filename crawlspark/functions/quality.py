@@ -244,10 +244,37 @@ def spa_fingerprint(html, rules: Rules = DEFAULT_RULES) -> Column:
     return let(met, verdict)
 
 
-def block_term_hits(text, title, url, rules: Rules = DEFAULT_RULES) -> Column:
+def selector_hits(html, rules: Rules = DEFAULT_RULES) -> Column:
+    """Q12: how many of the listed selectors occur in the page's tags.
+
+    Plain classes and ids are looked up among the values that tags carry, all in one pass each; the few others are
+    searched for as attributes.
+    """
+    html = F.coalesce(col(html), F.lit(""))
+    parts = [R.selector_parts(s) for s in rules.block_selectors]
+
+    def values(attr: str) -> Column:
+        found = F.regexp_extract_all(html, F.lit(rf"""(?i)<[a-z][^<>]*\s{attr}\s*=\s*["']([^"'<>]*)["']"""), F.lit(1))
+        return F.split(F.lower(F.array_join(found, " ")), r"\s+")
+
+    hits = F.lit(0)
+    for attr in ("class", "id"):
+        plain = [p[3] for p in parts if p[0] == attr and not p[1]]
+        if plain:
+            hits = hits + F.size(F.array_intersect(values(attr), str_array(plain)))
+    for kind, tag, attr, value, match in parts:
+        if kind == "attr" or tag:
+            inner = {"part": rf"""[^"'<>]*{re.escape(value)}""", "whole": rf"""{re.escape(value)}["']""",
+                     "word": rf"""(?:[^"'<>]*\s)?{re.escape(value)}[\s"']"""}[match]
+            hits = hits + html.rlike(rf"""(?i)<{tag or '[a-z][a-z0-9]*'}\b[^<>]*\s{attr}\s*=\s*["']{inner}""").cast("int")
+    return hits
+
+
+def block_term_hits(text, title, url, html=None, rules: Rules = DEFAULT_RULES) -> Column:
     """Q12: array of (section, language, hits) - how many listed terms occur in each part of the page.
 
-    The term lists are bounded literals, so no join is needed. Services are looked for in the text.
+    The term lists are bounded literals, so no join is needed. Services are looked for in the text; with ``html``
+    there is also a row for the selectors.
     """
     where = {"text": text, "title": title, "url": url, "service": text}
 
@@ -255,5 +282,8 @@ def block_term_hits(text, title, url, rules: Rules = DEFAULT_RULES) -> Column:
         hay = F.lower(F.coalesce(col(where[section]), F.lit("")))
         return let(hay, lambda h: F.size(F.filter(str_array(words), lambda t: F.contains(h, t))))
 
-    return F.array(*[F.struct(F.lit(s).alias("section"), F.lit(lang).alias("language"), hits(s, words).alias("hits"))
-                     for (s, lang), words in sorted(rules.block_terms.items())])
+    rows = [F.struct(F.lit(s).alias("section"), F.lit(lang).alias("language"), hits(s, words).alias("hits"))
+            for (s, lang), words in sorted(rules.block_terms.items())]
+    if html is not None:
+        rows.append(F.struct(F.lit("selector").alias("section"), F.lit("any").alias("language"), selector_hits(html, rules).alias("hits")))
+    return F.array(*rows)

@@ -123,10 +123,10 @@ def fast_lane_gate(pages: DataFrame, text_limit: int = 150, clean: bool = True,
 
 def block_indicator_tags(pages: DataFrame, rules: Rules = DEFAULT_RULES, key: str = "page_id") -> DataFrame:
     """Q12: per page, section and language the number of listed terms present, with status and length flags."""
-    staged = pages.select(key, "url", "status_code", X.visible_text("html").alias("_text"),
+    staged = pages.select(key, "url", "status_code", "html", X.visible_text("html").alias("_text"),
                           X.html_title("html", None).alias("_title"))
     rows = exploded(
-        staged, Q.block_term_hits("_text", "_title", "url", rules), "pos", "h", key,
+        staged, Q.block_term_hits("_text", "_title", "url", "html", rules), "pos", "h", key,
         F.coalesce(F.col("status_code").isin(*SUSPICIOUS_STATUS), F.lit(False)).alias("suspicious_status"),
         (F.length("_text") < LOW_CONTENT_CHARS).alias("low_content"))
     return rows.select(key, "h.section", "h.language", "h.hits", "suspicious_status", "low_content")

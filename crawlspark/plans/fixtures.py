@@ -68,6 +68,7 @@ FROM {pages}""",
 SELECT page_id, url,
        concat('<link rel="icon" href="/i/', page_id, '.png"><img alt="a" src="data:image/png;base64,QUJD">',
               '<noscript>n</noscript><script src="a.js"/>',
+              CASE WHEN page_id % 3 = 0 THEN '<div class="x g-recaptcha BLOCKED" id="captcha"><iframe src="https://a/recaptcha/api"></iframe></div>' ELSE '' END,
               CASE WHEN page_id % 4 = 0 THEN '<embed type="application/pdf">' ELSE '' END, html) AS html
 FROM {pages}""",
     "icon_pages": """

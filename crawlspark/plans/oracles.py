@@ -489,12 +489,25 @@ SELECT page_id, concat_ws(',', CASE WHEN c1 THEN 'empty_body' END, CASE WHEN c2
 
 _terms = " UNION ALL ".join(f"SELECT {q(s)} AS section, {q(lang)} AS language, unnest({lst(words)}) AS term"
                             for (s, lang), words in RULES.block_terms.items())
+def _by_selector(selector: str) -> str:
+    """One selector as one regex on the page."""
+    if selector[0] in ".#":
+        attr, name = ("class", selector[1:]) if selector[0] == "." else ("id", selector[1:])
+        return rf"""(?i)<[a-z][^<>]*[\s]{attr}[\s]*=[\s]*["'](?:[^"'<>]*[\s])?{name}(?:[\s][^"'<>]*)?["']"""
+    tag, rest = selector.split("[", 1)
+    attr, value = rest.rstrip("]").split("*=")
+    return rf"""(?i)<{tag or '[a-z][a-z0-9]*'}\b[^<>]*[\s]{attr}[\s]*=[\s]*["'][^"'<>]*{value.strip('"')}"""
+
+
+_selectors = " + ".join(f"regexp_matches(html, {q(_by_selector(x))})::BIGINT" for x in RULES.block_selectors)
 add("block_indicator_tags", f"""{ctes('responses')}, terms AS ({_terms}),
 t AS (SELECT page_id, url, status_code, {visible('html')} AS txt, {_title} AS title FROM responses),
 sec AS (SELECT page_id, unnest(['text', 'title', 'url', 'service']) AS section, unnest([txt, title, url, txt]) AS hay,
         status_code IN (403, 429, 503, 509) AS suspicious_status, length(txt) < 100 AS low_content FROM t)
 SELECT page_id, s.section, language, count(*) FILTER (contains(lower(hay), term)) AS hits, suspicious_status, low_content
-FROM sec s JOIN terms k ON k.section = s.section GROUP BY page_id, s.section, language, suspicious_status, low_content""")
+FROM sec s JOIN terms k ON k.section = s.section GROUP BY page_id, s.section, language, suspicious_status, low_content
+UNION ALL
+SELECT r.page_id, 'selector', 'any', {_selectors}, any_value(suspicious_status), any_value(low_content) FROM responses r JOIN sec s ON s.page_id = r.page_id GROUP BY r.page_id, html""")
 _quoted = "coalesce(try_cast(regexp_extract(playwright_error, '状态码[：:][\\s]*([0-9]+)', 1) AS BIGINT), 0)"
 add("status_from_error", f"""{ctes('lane_results')} SELECT attempt_id, {_quoted} AS quoted,
  CASE WHEN attempt_id % 3 = 0 THEN status_code WHEN {_quoted} <> 0 THEN {_quoted} ELSE 418 END::BIGINT AS resolved FROM lane_results""")

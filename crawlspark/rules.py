@@ -195,6 +195,18 @@ def normalise_host(host: str) -> str:
     return host[4:] if host.startswith("www.") else host
 
 
+# Selectors of block pages. Those on an element's text are left out; the text section covers them.
+BLOCK_SELECTORS = (
+    'iframe[src*="recaptcha"]', ".g-recaptcha", '[data-callback*="recaptcha"]', ".captcha", "#captcha",
+    ".security-check", ".human-verification", ".bot-detection", ".access-denied", ".blocked", ".rate-limited",
+    ".too-many-requests", ".please-wait", ".checking-browser", ".perimeterx", ".datadome", ".cloudflare", ".akamai",
+    ".imperva", ".bot-protection", ".anti-bot", ".security-verification", ".device-verification",
+    ".ip-verification", ".location-verification", ".traffic-analysis", ".behavioral-analysis",
+    ".fingerprint-verification", ".device-fingerprinting", ".browser-fingerprinting", ".canvas-fingerprinting",
+    ".webgl-fingerprinting", ".audio-fingerprinting", ".font-fingerprinting", ".screen-fingerprinting",
+    ".timezone-fingerprinting", ".language-fingerprinting", ".plugin-fingerprinting", ".hardware-fingerprinting",
+)
+
 SELECTOR = re.compile(r'(\w+)\[(\w+)(\*?)="([^"]*)"\]')
 
 
@@ -212,6 +224,19 @@ def selector_regex(selector: str) -> str:
     return f"<{m[1]}\\b[^>]*{_attribute_regex(*m.groups()[1:])}"
 
 
+def selector_parts(selector: str) -> tuple[str, str, str, str, str]:
+    """``tag.class``, ``#id`` or ``tag[attr*="part"]`` as (kind, tag, attribute, value, match); tag may be empty."""
+    m = re.fullmatch(r"""(\w*)(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)(\*?)=["']([^"']*)["']\])""", selector.strip())
+    if not m:
+        raise ValueError(f"not a simple selector: {selector}")
+    tag, cls, ident, attr, part, value = m.groups()
+    if cls:
+        return "class", tag, "class", cls.lower(), "word"
+    if ident:
+        return "id", tag, "id", ident.lower(), "whole"
+    return "attr", tag, attr.lower(), value.lower(), "part" if part else "whole"
+
+
 def _unique(items) -> tuple:
     return tuple(dict.fromkeys(items))
 
@@ -240,6 +265,7 @@ class Rules:
     spa_metas: tuple = SPA_METAS
     spa_weights: dict = field(default_factory=lambda: dict(SPA_WEIGHTS))
     block_terms: dict = field(default_factory=_default_block_terms)
+    block_selectors: tuple = BLOCK_SELECTORS
     body_text_threshold: int = 500
     script_count_threshold: int = 10
     min_criteria_match: int = 2
@@ -292,6 +318,7 @@ def rules_from_dict(config: dict) -> Rules:
         pdf_patterns=_unique(p.lower() for p in pdf.get("pdf_path_patterns") or () if ".*" not in p),
         pdf_query_indicators=tuple(pdf.get("pdf_query_indicators") or ()),
         block_terms=terms,
+        block_selectors=_unique(x for x in marks.get("css_selectors") or () if ":" not in x),
         body_text_threshold=int(limits.get("body_text_threshold") or 500),
         script_count_threshold=int(limits.get("script_count_threshold") or 10),
         min_criteria_match=int(spa.get("min_criteria_match") or 2),
