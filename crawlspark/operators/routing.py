@@ -56,7 +56,8 @@ def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
           key: str = "page_id", pdf_hosts: DataFrame | None = None, pdf_patterns: DataFrame | None = None) -> DataFrame:
     """R2: recommended mode per URL - learned state, PDF rule, SPA host, probe, else a race.
 
-    ``probes`` holds one row per ``key`` with a boolean ``effective``. ``pdf_hosts`` and ``pdf_patterns`` are learned
+    ``probes`` holds one row per ``key`` with a boolean ``effective``; its ``text_length``, ``status_code``,
+    ``elapsed_s`` and ``failure_reasons`` go into the reason where they are given. ``pdf_hosts`` and ``pdf_patterns`` are learned
     ones (L3, L4) beside those of the rules. An entry for the URL's own ``host:template`` (L8) comes before its host's.
     """
     # Rules are judged before the joins, on the URL alone; page bodies never enter a shuffle here.
@@ -73,9 +74,9 @@ def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
               .withColumn("matched_key", F.when(F.col("_tdecision").isNotNull(), F.col("_tkey")).otherwise(F.col("matched_key")))
               .withColumn("cached_decision", F.coalesce("_tdecision", "cached_decision")))
     if probes is not None:
-        looked = looked.join(probes.select(key, F.col("effective").alias("_probe")), key, "left")
+        looked = looked.join(probes.select(key, F.col("effective").alias("_probe"), _probe_reason(probes).alias("_why")), key, "left")
     else:
-        looked = looked.withColumn("_probe", F.lit(None).cast("boolean"))
+        looked = looked.withColumn("_probe", F.lit(None).cast("boolean")).withColumn("_why", F.lit(None).cast("string"))
     hit = F.col("cached_decision").isNotNull()
     verdict = (
         F.when(hit, F.struct(F.col("cached_decision").alias("mode"),
@@ -83,16 +84,30 @@ def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
                              F.lit(100).alias("confidence"), F.concat(F.lit("缓存决策: "), F.col("matched_key")).alias("reason")))
         .when(F.col("_pdf"), _verdict("pdf", "pdf_url_pattern", 95, "URL模式匹配为PDF文件"))
         .when(F.col("_spa"), _verdict("playwright", "domain_blacklist", 95, "域名在SPA黑名单中"))
-        .when(F.col("_probe"), _verdict("easyget", "easyget_test_success", 85, "EasyGet有效"))
-        .when(~F.col("_probe"), _verdict("playwright", "easyget_test_failed", 80, "EasyGet失败"))
+        .when(F.col("_probe"), _verdict("easyget", "easyget_test_success", 85, F.col("_why")))
+        .when(~F.col("_probe"), _verdict("playwright", "easyget_test_failed", 80, F.col("_why")))
         .otherwise(_verdict("race", "no_probe", 0, "")))
     keep = [c for c in looked.columns if not c.startswith("_") and c not in ("matched_key", "cached_decision", "cached_score")]
     return looked.select(*keep, verdict.alias("v"), hit.alias("cache_hit")).select(*keep, "v.*", "cache_hit")
 
 
-def _verdict(mode: str, method: str, confidence: int, reason: str):
+def _verdict(mode: str, method: str, confidence: int, reason):
+    reason = F.lit(reason) if isinstance(reason, str) else reason
     return F.struct(F.lit(mode).alias("mode"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"),
-                    F.lit(reason).alias("reason"))
+                    reason.alias("reason"))
+
+
+def _probe_reason(probes: DataFrame):
+    """What a probe found, in words that are fixed values; figures where the probe has them."""
+    have = set(probes.columns)
+    figures = [F.concat(F.lit(before), text(F.col(name)), F.lit(after)) for name, before, after, text in (
+        ("text_length", "文字", "字符", lambda c: c.cast("string")), ("status_code", "状态", "", lambda c: c.cast("string")),
+        ("elapsed_s", "耗时", "s", lambda c: F.format_string("%.1f", c))) if name in have]
+    good = F.concat(F.lit("EasyGet有效("), F.concat_ws("，", *figures), F.lit(")")) if figures else F.lit("EasyGet有效")
+    bad = F.lit("EasyGet失败")
+    if "failure_reasons" in have:
+        bad = F.concat(F.lit("EasyGet失败: "), F.array_join("failure_reasons", ", "))
+    return F.when(F.col("effective"), good).otherwise(bad)
 
 
 def route_accuracy(routes: DataFrame, winners: DataFrame, key: str = "request_id") -> DataFrame:

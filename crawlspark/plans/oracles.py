@@ -536,12 +536,13 @@ u AS (SELECT kind || '-' || page_id AS id, url, {host('url')} AS host, {is_pdf('
 {cache_lookup('u', 'id', 'host_state')},
 pp AS (SELECT * FROM pages WHERE page_id % 3 <> 0),
 {probe_ctes('pp', 'page_id', 'html', 'true', 'CASE WHEN page_id % 5 = 0 THEN 500 ELSE 200 END')},
-j AS (SELECT u.*, c.decision, c.cache_key, p.effective FROM u JOIN cached c ON c.id = u.id LEFT JOIN probe p ON 'page-' || p.page_id = u.id)
+j AS (SELECT u.*, c.decision, c.cache_key, p.effective, p.text_length AS pn, replace(p.reasons, ',', ', ') AS pr, p.page_id AS pid FROM u JOIN cached c ON c.id = u.id LEFT JOIN probe p ON 'page-' || p.page_id = u.id)
 SELECT id, host, {_modes} AS mode, CASE WHEN decision = 'pdf' THEN 'cache_hit_pdf' WHEN decision IS NOT NULL THEN 'cache_hit' WHEN pdf THEN 'pdf_url_pattern'
  WHEN spa THEN 'domain_blacklist' WHEN effective THEN 'easyget_test_success' WHEN NOT effective THEN 'easyget_test_failed' ELSE 'no_probe' END AS method,
  CASE WHEN decision IS NOT NULL THEN 100 WHEN pdf OR spa THEN 95 WHEN effective THEN 85 WHEN NOT effective THEN 80 ELSE 0 END::BIGINT AS confidence,
  CASE WHEN decision IS NOT NULL THEN '缓存决策: ' || cache_key WHEN pdf THEN 'URL模式匹配为PDF文件' WHEN spa THEN '域名在SPA黑名单中'
- WHEN effective THEN 'EasyGet有效' WHEN NOT effective THEN 'EasyGet失败' ELSE '' END AS reason, decision IS NOT NULL AS cache_hit FROM j""")
+ WHEN effective THEN concat('EasyGet有效(文字', pn, '字符，状态', CASE WHEN pid % 5 = 0 THEN 500 ELSE 200 END, '，耗时', printf('%.1f', pid % 30 / 10.0), 's)')
+ WHEN NOT effective THEN 'EasyGet失败: ' || pr ELSE '' END AS reason, decision IS NOT NULL AS cache_hit FROM j""")
 add("lane_plan", f"""{ctes('requests')}, l AS (SELECT request_id, CASE WHEN crawl_type = 'pdf' THEN ['pdf'] WHEN mode = 'fast' THEN ['easyget']
  WHEN mode = 'playwright' THEN ['playwright'] WHEN mode = 'jina' THEN ['jina'] WHEN mode = 'no_jina' THEN ['easyget', 'playwright']
  WHEN hint IN ('pdf', 'easyget') THEN [hint] WHEN hint = 'blocked' THEN [] ELSE ['easyget', 'playwright', 'jina'] END AS ls FROM requests)

@@ -443,9 +443,11 @@ def cached_route(s, d):
 def _routes(s, d, cache: bool = True):
     urls = view(s, d, "pages").select("page_id", "url").withColumn("kind", F.lit("page")).unionByName(_all_urls(s, d).select("page_id", "url", "kind"))
     urls = urls.withColumn("id", F.concat_ws("-", "kind", F.col("page_id").cast("string"))).select("id", "url")
-    probes = view(s, d, "pages").filter(F.col("page_id") % 3 != 0).select(
-        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"),
-        Q.probe_verdict(F.lit(True), F.when(F.col("page_id") % 5 == 0, 500).otherwise(200), "html")["effective"].alias("effective"))
+    status = F.when(F.col("page_id") % 5 == 0, 500).otherwise(200)
+    probes = view(s, d, "pages").filter(F.col("page_id") % 3 != 0).select(  # a third of the pages was never probed
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), Q.probe_verdict(F.lit(True), status, "html").alias("v"),
+        status.alias("status_code"), (F.col("page_id") % 30 / 10).alias("elapsed_s"))
+    probes = probes.select("id", "v.effective", "v.text_length", "status_code", "elapsed_s", "v.failure_reasons")
     state = view(s, d, "host_state")
     return routing.route(urls, state, probes=probes, key="id")
 
