@@ -6,8 +6,8 @@ a document of a pattern is good. These probabilities are the labels of a logisti
 shapes of words and ranges of the measures.
 
 The votes and features of all documents are computed once and written; there are at most 3 to the power of the
-labellers many patterns, whatever the input. The scorer is trained on a sample of at most ``SAMPLE`` documents with
-the smallest hash of doc_id.
+labellers many patterns, whatever the input. The scorer is trained on a sample of about ``SAMPLE`` documents (all, if
+they are fewer), drawn by a hash.
 
 Defined cases: a null or empty text has no word, is voted bad by the length labeller and gets a score like any other;
 with a single pattern every document has the prior; repeated rows and equal doc_ids stay as rows; an empty table gives
@@ -159,8 +159,11 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE, threshold: float = THR
     patterns = sorted((tuple(r.votes), r.n) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect())
     _, _, good = label_model(patterns) if patterns else (PRIOR, None, [])
     posterior = {p: float(g) for (p, _), g in zip(patterns, good)}
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at").limit(sample).select("votes", "at", "value").collect()
-    weights = train([(r["at"], r["value"], posterior[tuple(r["votes"])]) for r in chosen])
+    # The share of the hashes that holds about ``sample`` rows: no task or driver sorts candidates of all partitions.
+    share = min(1.0, sample / max(1, sum(n for _, n in patterns)))
+    drawn = F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 30)) <= int(share * (1 << 30))
+    chosen = sorted(map(tuple, rows.filter(drawn).select("votes", "at", "value").collect()))
+    weights = train([(at, value, posterior[tuple(votes)]) for votes, at, value in chosen])
     shared = spark.sparkContext.broadcast((weights, posterior))  # BUCKETS numbers; one for each pattern
 
     def score(batches):
