@@ -30,8 +30,8 @@ from ..session import shared_dir
 from .common import kept_in_worker, per_text
 
 MAGIC, PLANES, BLOCK_BITS = b"WVM1", 16, 512
-FILE_TOKENS = 1 << 20    # a file closes at the first document that reaches it
-KEPT_WORDS = 400_000
+FILE_TOKENS = 1 << 18    # a file closes at the first document that reaches it
+KEPT_WORDS = 800_000
 END_ID = 2
 
 # Fixed by the byte-level vocabulary: printable Latin-1 stands for itself, other bytes for letters from U+0100 on. A
@@ -66,7 +66,8 @@ class WordEncoder:
         self.find = regex.compile(pattern + r"|\n").findall
         self.latin = re.compile("[!-~\u00a1-\u024f]*").fullmatch
         self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.kept, self.words, self.pieces = kept, {}, {}
+        self.stop = re.compile(rb"(?<=[a-z0-9])[.,](?=[\x20\t-\r])").sub
+        self.kept, self.pieces = kept, {}
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -87,32 +88,36 @@ class WordEncoder:
         return out
 
     def _learn(self, new: list[bytes]) -> None:
-        plain, cut, held = [], [], []
+        """Ids of pieces that are not known yet. A word is its own piece, so both share one table."""
+        known = self.pieces
+        letters = [p for p in new if p.isalpha()]  # ASCII letters: one word
+        known.update(zip(letters, self._encode_words([p.decode() for p in letters])))
+        plain, held, cut = [], [], []
         for piece in new:
+            if piece in known:
+                continue
             string = piece.decode("utf-8", "replace")
-            if self.latin(string):
+            if string.isascii() and string.isprintable() or self.latin(string):
                 plain.append(piece)
                 held.append(string)
             else:
-                self.pieces[piece] = self._encode_whole(string)
+                known[piece] = self._encode_whole(string)
         found = iter(self.find("\n".join(held).lower()))
         for _ in plain:
             words = []
             for w in found:
                 if w == "\n":
                     break
-                words.append(w)
+                words.append(w.encode())
             cut.append(words)
-        known = self.words
         fresh = [w for w in set().union(*cut) if w not in known]
-        known.update(zip(fresh, self._encode_words(fresh)))
-        self.pieces.update(zip(plain, [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut]))
+        known.update(zip(fresh, self._encode_words([w.decode() for w in fresh])))
+        known.update(zip(plain, [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut]))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         special = [any(a in t for a in self.added) for t in texts]
-        split = [[] if s else t.split() for t, s in zip(texts, special)]
-        if len(self.words) > self.kept:
-            self.words = {}
+        # Case and a full stop or comma after a letter do not change where words are cut; without them pieces repeat.
+        split = [[] if s else self.stop(rb" \g<0>", t.lower()).split() for t, s in zip(texts, special)]
         if len(self.pieces) > self.kept:
             self.pieces = {}
         known = self.pieces
@@ -222,8 +227,8 @@ class WaveletMatrix:
         for level in reversed(range(PLANES)):
             bits = np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n).view(bool)
             up, z = np.empty_like(row), self.zeros[level]
-            up[~bits] = row[:z]
-            up[bits] = row[z:] | np.uint16(1 << (PLANES - 1 - level))
+            up[np.flatnonzero(~bits)] = row[:z]
+            up[np.flatnonzero(bits)] = row[z:] | np.uint16(1 << (PLANES - 1 - level))
             row = up
         return row
 
