@@ -27,10 +27,10 @@ def drop_up_to(html, pattern: str, last: str, with_: str = "") -> Column:
     """
     def cut(t: Column) -> Column:
         head = F.regexp_extract(t, rf"(?is)^(.*{last})", 1)
-        return F.when(head == "", t).otherwise(
-            F.concat(F.regexp_replace(head, pattern, with_), F.substring(t, F.length(head) + 1, F.length(t))))
+        return let(head, lambda h: F.when(h == "", t).otherwise(
+            F.concat(F.regexp_replace(h, pattern, with_), F.substring(t, F.length(h) + 1, F.length(t)))))
 
-    return let(col(html), lambda t: let(cut(t), lambda u: u))
+    return let(col(html), cut)
 
 
 def strip_tags(html, with_: str = "", pattern: str = r"<[^>]+>") -> Column:
@@ -58,6 +58,8 @@ def probe_text(html, spaced: bool = True) -> Column:
 
 # Names of HTML character references, from the standard library's table, and the one XML adds.
 ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+# One literal instead of hundreds, which every planning rule would have to walk through.
+_ENTITY_TABLE = ";" + "".join(f"{name}={char};" for name, char in ENTITIES.items())
 
 
 def _reference(name: Column) -> Column:
@@ -66,22 +68,23 @@ def _reference(name: Column) -> Column:
         name.rlike("^#[xX][0-9A-Fa-f]+$"), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("int"))
     number = F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), 0xFFFD).otherwise(number)
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    return F.when(name.startswith("#"), char).otherwise(F.try_element_at(named, name))
+    at = F.position(F.concat(F.lit(";"), name, F.lit("=")), F.lit(_ENTITY_TABLE))
+    named = F.when(at > 0, F.substring(F.lit(_ENTITY_TABLE), at + F.length(name) + 2, F.lit(1)))
+    return F.when(name.startswith("#"), char).otherwise(named)
 
 
 def unescape(c) -> Column:
     """Character references, named and numeric, each decoded once: what decoding yields is not looked at again."""
     def decoded(part: Column) -> Column:
         name = F.regexp_extract(part, "^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,30});", 1)
-        char = F.when(name != "", _reference(name))
-        return F.when(char.isNotNull(), F.concat(char, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(
-            F.concat(F.lit("&"), part))
+        return let(name, lambda n: let(F.when(n != "", _reference(n)), lambda char: F.when(
+            char.isNotNull(), F.concat(char, F.substring(part, F.length(n) + 2, F.length(part)))).otherwise(
+                F.concat(F.lit("&"), part))))
 
     def whole(t: Column) -> Column:
-        parts = F.split(t, "&")
-        rest = F.transform(F.slice(parts, 2, F.size(parts)), decoded)
-        return F.when(t.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(t)
+        joined = let(F.split(t, "&"), lambda parts: F.concat(
+            F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), "")))
+        return F.when(t.contains("&"), joined).otherwise(t)
 
     return let(col(c), whole)
 
