@@ -35,11 +35,15 @@ def slabs(column: pa.Array, limit: int = SLAB_BYTES) -> Iterator[tuple[int, int]
 
 
 def kept_in_worker(key, make: Callable):
-    """An object that a Python worker keeps between its tasks; a lost worker makes it anew, with the same content."""
+    """An object that a Python worker keeps between its tasks; a lost worker makes it anew, with the same content.
+
+    A worker keeps one at a time: the tables of an earlier operator or model go when another one starts.
+    """
     store = sys.modules.setdefault("crawlspark_worker_store", types.ModuleType("crawlspark_worker_store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get("key") != key:
+        store.clear()
+        store.update(key=key, value=make())
+    return store["value"]
 
 
 def struct_of(ddl: str) -> StructType:
