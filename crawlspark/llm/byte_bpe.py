@@ -31,7 +31,7 @@ from .common import kept_in_worker, per_text
 SLAB = 6 << 20           # bytes of text whose distinct words are encoded together
 LONG_WORD = 200          # bytes
 QUERY_BYTES = 1 << 19    # token-position rows of one query
-KEPT_WORDS = 400_000     # encoded words that a worker remembers
+KEPT_WORDS = 250_000     # encoded words that a worker remembers
 BREAK = "\u2028"         # white space that separates pieces while they are cut
 WHITE = r"\t-\r \x85\xa0  -     　"
 GID = (1 << 40) - 1

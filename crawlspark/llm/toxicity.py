@@ -28,7 +28,7 @@ from .common import keep_texts, kept_in_worker, per_text, texts_of
 WINDOW, BUCKETS, DIM, SHORTEST, LONGEST = 2, 1 << 16, 8, 3, 5
 PER_CLASS, EPOCHS, WARM_UP, RATE, DAMPING, SEED = 1500, 24, 5, 5.0, 0.02, 1
 THRESHOLD = 0.7
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FOLDS, HELD_OUT = 3, 1
 
