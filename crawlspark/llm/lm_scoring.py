@@ -1,11 +1,13 @@
 """Masked pseudo-likelihood by a bidirectional window network trained in numpy.
 
 Every token is predicted from the two tokens before and the two after it: their embeddings, weighted for each place,
-are added, pass a tanh layer and predict first a class of words and then the word in its class, so that probabilities
+are added, pass a tanh layer and predict first a class of rows and then the row in its class, so that probabilities
 are exact and cheap. A document's score is the sum of the conditional log-probabilities of its tokens.
 
-Vocabulary: the most frequent words of the whole corpus, by counts over all documents; every other word is one of
-``HASHED`` buckets. Training goes over all documents: in each round every partition trains its own copy from the
+Vocabulary: the most frequent words of the whole corpus have a row each; every other word shares one of ``HASHED`` rows
+(buckets), and its probability is that of the bucket times count(word) / count(bucket) over all documents, so the
+probabilities of all words of the corpus sum to one. At most ``KNOWN`` words bring their shares to the scoring map; the
+rare rest gets its counts by a join with the table of all word counts. Training goes over all documents: in each round every partition trains its own copy from the
 common start, in its ``STRIDE``-th positions (every document, another offset each round), and sends its weights; Spark
 sums them, weighted by tokens, in whole numbers, so that the order of arrival does not matter. The driver holds one
 network, whose size is fixed by the parameters.
@@ -18,6 +20,7 @@ read.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,12 @@ from .common import per_text, slabs, texts_of
 FREQUENT, HASHED, DIM, REACH = 768, 255, 16, 2
 ROUNDS, STRIDE, RATE, BATCH, SEED = 2, 8, 3.0, 1024, 5
 ROWS = 1024                      # FREQUENT words, HASHED buckets and the mark of an end
+KNOWN = 1 << 17                  # words whose shares of their buckets are broadcast
 CLASSES = 32
 IN_CLASS = ROWS // CLASSES
 EDGE = ROWS - 1
 STEPS = 1 << 24                  # weights are summed as whole multiples of 1 / STEPS
+LOG_STEPS = 1 << 28              # and logarithms of counts as those of 1 / LOG_STEPS
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 
 
@@ -57,13 +62,44 @@ class Vocabulary:
 
 def padded(vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts with marks around each, the places of the tokens, and the tokens of each text."""
+    flat, sizes = split_words(texts)
+    return *laid_out(vocabulary(flat), sizes), sizes
+
+
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, one after the other, and their number in each text."""
     split = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], dtype=np.int64)
-    flat = vocabulary([w for words in split for w in words])
-    places = np.arange(len(flat)) + REACH + 2 * REACH * np.repeat(np.arange(len(split)), sizes)
-    row = np.full(len(flat) + 2 * REACH * len(split), EDGE, dtype=np.int64)
-    row[places] = flat
-    return row, places, sizes
+    return [w for words in split for w in words], np.array([len(w) for w in split], dtype=np.int64)
+
+
+def laid_out(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with marks around each text, and the places of the tokens."""
+    places = np.arange(len(ids)) + REACH + 2 * REACH * np.repeat(np.arange(len(sizes)), sizes)
+    row = np.full(len(ids) + 2 * REACH * len(sizes), EDGE, dtype=np.int64)
+    row[places] = ids
+    return row, places
+
+
+class Shares:
+    """Rows of words and the logarithms of their shares of these rows, where the counts are at hand."""
+
+    def __init__(self, vocabulary: Vocabulary, known: list[tuple[bytes, int]], buckets: np.ndarray):
+        self.vocabulary = vocabulary
+        known = [(w, 1) for w in vocabulary.ids] + [(w, n) for w, n in known if w not in vocabulary.ids]
+        self.numbers = {w: k for k, (w, _) in enumerate(known)}
+        self.rows = vocabulary([w for w, _ in known])
+        self.log_buckets = np.log(np.maximum(buckets, 1))  # 0 for the rows of frequent words, which have no share
+        self.shares = np.log(np.array([n for _, n in known], dtype=np.float64)) - self.log_buckets[self.rows]
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, log-shares (without log(count) for unknown words), and the numbers of the unknown words."""
+        get = self.numbers.get
+        found = np.array([get(w, -1) for w in words], dtype=np.int64)
+        unknown = np.flatnonzero(found < 0)
+        rows, shares = (x[found] if len(x) else np.zeros(len(found), x.dtype) for x in (self.rows, self.shares))
+        rows[unknown] = self.vocabulary([words[i] for i in unknown.tolist()])
+        shares[unknown] = -self.log_buckets[rows[unknown]]
+        return rows, shares, unknown
 
 
 class Network:
@@ -196,8 +232,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[list[bytes], np.ndarray]:
-    """The frequent words and the weights of the trained network."""
+@dataclass(frozen=True)
+class Fitted:
+    """The frequent words, the weights, the counts of the buckets' rows, the known words with counts, and all counts."""
+
+    frequent: list[bytes]
+    weights: np.ndarray
+    buckets: np.ndarray
+    known: list[tuple[bytes, int]]
+    counts: DataFrame
+
+
+def known_words(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``limit``; of those with the same count all or none."""
+    top = 1 << 16  # counts from here on are taken together, so that the histogram is bounded
+    held, least = 0, None
+    for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).count().orderBy(F.desc("n")).collect():
+        held += r["count"]
+        if held > limit:
+            break
+        least = r.n
+    return [] if least is None else [(bytes(r.word), r.n) for r in counts.filter(F.col("n") >= least).collect()]
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> Fitted:
+    """The network trained on the documents, and the words' counts."""
     spark = docs.sparkSession
     home = shared_dir(spark, "lm")
     word_counts(docs).write.parquet(f"{home}/words")
@@ -205,11 +264,16 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[li
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()  # FREQUENT rows
     frequent = [bytes(r.word) for r in top]
     vocabulary = Vocabulary(frequent)
+    # The same hash as the vocabulary's; the frequent words are taken out of their buckets again.
+    rest = vocabulary.rest
+    buckets = np.zeros(ROWS)
+    for r in counts.groupBy((F.crc32("word") % len(rest)).alias("k")).agg(F.sum("n").alias("n")).collect():
+        buckets[rest[r.k]] = r.n
     unigrams = np.zeros(ROWS)
     for r in top:
         unigrams[vocabulary.ids[bytes(r.word)]] = r.n
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    unigrams[vocabulary.rest] = max(0.0, total - unigrams.sum()) / len(vocabulary.rest)
+        buckets[rest[zlib.crc32(bytes(r.word)) % len(rest)]] -= r.n
+    unigrams += buckets
     weights = Network.start(unigrams).vector()
     schema = pa.schema([("place", pa.int32()), ("step", pa.int64()), ("tokens", pa.int64())])
     for turn in range(rounds):
@@ -238,28 +302,44 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[li
         for r in spark.read.parquet(f"{home}/weights-{turn}").toLocalIterator():
             new[r.place] += float(r.step) / r.tokens / STEPS
         weights = new.astype(np.float32)
-    return frequent, weights
+    return Fitted(frequent, weights, buckets, known_words(counts, known), counts)
 
 
-def score(docs: DataFrame, frequent: list[bytes], weights: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, sum_logprob, mean_logprob."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, weights))
+def score(docs: DataFrame, model: Fitted) -> DataFrame:
+    """doc_id, n_tokens, sum_logprob, mean_logprob of the documents that the model was fitted to."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.frequent, model.weights, model.known, model.buckets))
 
     def start():
-        words, vector = shared.value
-        lookup, network = Vocabulary(words), Network.from_vector(vector)
+        words, vector, known, buckets = shared.value
+        lookup, network = Shares(Vocabulary(words), known, buckets), Network.from_vector(vector)
 
         def run(texts):
-            row, places, sizes = padded(lookup, texts)
-            each = network.log_probabilities(row, places)
-            ends = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(sizes)))]
-            sums = [round(float(x), 4) for x in np.diff(ends)]
-            return [sizes, sums, [s / n if n else None for s, n in zip(sums, sizes.tolist())]]
+            flat, sizes = split_words(texts)
+            rows, shares, unknown = lookup(flat)
+            each = network.log_probabilities(*laid_out(rows, sizes)) + shares
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            sums = np.diff(np.concatenate(([0], np.cumsum(each)))[bounds])
+            cuts = np.searchsorted(unknown, bounds).tolist()
+            rare = [flat[i] for i in unknown.tolist()]
+            return [sizes, sums, [rare[a:b] for a, b in zip(cuts, cuts[1:])]]
 
         return run
 
-    return per_text(docs, "n_tokens long, sum_logprob double, mean_logprob double", start)
-
-
-def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
-    return score(docs, *fit(docs, rounds, stride))
+    home = shared_dir(spark, "lm-scores")
+    # Numbers of rows differ between attempts, so they are written before they are used twice.
+    (per_text(docs, "n_tokens long, part double, rare array<binary>", start)
+     .withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{home}/parts"))
+    parts = spark.read.parquet(f"{home}/parts")
+    # A rare word is outside the KNOWN most frequent ones, so none has a large part of the rows.
+    logs = model.counts.select("word", F.round(F.log("n") * LOG_STEPS).cast("long").alias("log_n"))
+    rest = (parts.select("row", F.explode("rare").alias("word")).join(logs, "word")
+            .groupBy("row").agg(F.sum("log_n").alias("logs")))
+    total = F.round(F.col("part") + F.coalesce("logs", F.lit(0)) / LOG_STEPS, 4)
+    return (parts.select("row", "doc_id", "n_tokens", "part").join(rest, "row", "left")
+            .select("doc_id", "n_tokens", total.alias("sum_logprob"),
+                    F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob")))
+
+
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> DataFrame:
+    return score(docs, fit(docs, rounds, stride, known))

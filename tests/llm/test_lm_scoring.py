@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -63,3 +64,18 @@ def test_odd_rows(odd, none):
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD_TEXTS)
     assert all((r.sum_logprob, r.mean_logprob) == (0.0, None) for r in got if r.doc_id in (1, 2, 3))
     assert L.pseudo_likelihood(none).count() == 0
+
+
+def test_words_of_a_bucket_have_their_own_probabilities(spark):
+    """Alike but for one word of the same bucket, two texts differ by the logarithm of the words' counts."""
+    frequent = [f"w{k}" for k in range(L.FREQUENT)]
+    a, b = "rare", next(w for k in range(10**6) if zlib.crc32((w := f"x{k}").encode()) % L.HASHED == zlib.crc32(b"rare") % L.HASHED)
+    texts = [" ".join(frequent)] * 6 + [f"w1 w2 {w} w3 w4" for w in (a, b)] + [a, f"{a} {a}", None, f"other {a}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    by_join = {r.doc_id: r.sum_logprob for r in L.pseudo_likelihood(df, known=0).collect()}
+    for known in (L.FREQUENT, L.KNOWN):
+        found = {r.doc_id: r.sum_logprob for r in L.pseudo_likelihood(df, known=known).collect()}
+        assert all(abs(found[i] - by_join[i]) < 2e-4 for i in by_join) and len(found) == len(texts)
+    assert abs(by_join[6] - by_join[7] - np.log(5)) < 3e-4
+    model = L.fit(df)
+    assert model.buckets.sum() == 7 and len(L.known_words(model.counts, L.FREQUENT + 1)) == L.FREQUENT + 1
