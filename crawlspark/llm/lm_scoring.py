@@ -7,8 +7,10 @@ are exact and cheap. A document's score is the sum of the conditional log-probab
 Vocabulary: the most frequent words of the whole corpus have a row each; every other word shares one of ``HASHED`` rows
 (buckets), and its probability is that of the bucket times count(word) / count(bucket) over all documents, so the
 probabilities of all words of the corpus sum to one. At most ``KNOWN`` words bring their shares to the scoring map; the
-rare rest gets its counts by a join with the table of all word counts. Training goes over all documents: in each round every partition trains its own copy from the
-common start, in its ``STRIDE``-th positions (every document, another offset each round), and sends its weights; Spark
+rare rest gets its counts by a join with the table of all word counts.
+
+Training goes once over every position of all documents: in each of ``ROUNDS`` rounds every partition trains its own
+copy from the common start, in every ``ROUNDS``-th position (another offset each round), and sends its weights; Spark
 sums them, weighted by tokens, in whole numbers, so that the order of arrival does not matter. The driver holds one
 network, whose size is fixed by the parameters.
 
@@ -31,7 +33,7 @@ from ..session import shared_dir
 from .common import per_text, slabs, texts_of
 
 FREQUENT, HASHED, DIM, REACH = 768, 255, 16, 2
-ROUNDS, STRIDE, RATE, BATCH, SEED = 2, 8, 3.0, 1024, 5
+ROUNDS, RATE, BATCH, SEED = 2, 3.0, 1024, 5
 ROWS = 1024                      # FREQUENT words, HASHED buckets and the mark of an end
 KNOWN = 1 << 17                  # words whose shares of their buckets are broadcast
 CLASSES = 32
@@ -138,7 +140,7 @@ class Network:
     def hidden(self, row, at):
         total = np.repeat(self.w["bias"][None, :], len(at), axis=0)
         for k, offset in enumerate(OFFSETS):
-            total += self.w["embed"][row[at + offset]] * self.w["place"][k]
+            total += self.w["embed"].take(row[at + offset], axis=0) * self.w["place"][k]
         return np.tanh(total, out=total)
 
     def log_probabilities(self, row: np.ndarray, places: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
@@ -170,38 +172,47 @@ class Network:
         """One pass of mini-batch gradient descent over the places, in their order."""
         w = self.w
         for i in range(0, len(places), batch):
+            # In the order of the rows, so that each class is a stretch, padded to the longest for one product.
             at = places[i:i + batch]
-            h = self.hidden(row, at)
-            target = row[at]
-            group, inner = target // IN_CLASS, target % IN_CLASS
-            z = h @ w["cls"] + w["cls_bias"]
-            p = np.exp(z - log_sum(z)[:, None])
-            p[np.arange(len(at)), group] -= 1
-            step = rate / len(at)
+            at = at[np.argsort(row[at], kind="stable")]
+            group, inner = row[at] // IN_CLASS, row[at] % IN_CLASS
+            h, every, step = self.hidden(row, at), np.arange(len(at)), rate / len(at)
+            p = soft_max(h @ w["cls"] + w["cls_bias"])
+            p[every, group] -= 1
             d_h = p @ w["cls"].T
             w["cls"] -= step * (h.T @ p)
             w["cls_bias"] -= step * p.sum(0)
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                some = order[cuts[c]:cuts[c + 1]]
-                if len(some):
-                    hs = h[some]
-                    z = hs @ w["word"][c] + w["word_bias"][c]
-                    p = np.exp(z - log_sum(z)[:, None])
-                    p[np.arange(len(some)), inner[some]] -= 1
-                    d_h[some] += p @ w["word"][c].T
-                    w["word"][c] -= step * (hs.T @ p)
-                    w["word_bias"][c] -= step * p.sum(0)
+            slot = every - np.searchsorted(group, np.arange(CLASSES))[group]
+            width = int(slot.max()) + 1
+            slot += group * width
+            hs = np.zeros((CLASSES * width, DIM), dtype=np.float32)
+            hs[slot] = h
+            hs = hs.reshape(CLASSES, width, DIM)
+            z = (hs @ w["word"] + w["word_bias"][:, None, :]).reshape(-1, IN_CLASS).take(slot, axis=0)
+            some = soft_max(z)
+            some[every, inner] -= 1
+            p = np.zeros((CLASSES * width, IN_CLASS), dtype=np.float32)
+            p[slot] = some
+            p = p.reshape(CLASSES, width, IN_CLASS)
+            d_h += (p @ w["word"].transpose(0, 2, 1)).reshape(-1, DIM).take(slot, axis=0)
+            w["word"] -= step * (hs.transpose(0, 2, 1) @ p)
+            w["word_bias"] -= step * p.sum(1)
             d = d_h * (1 - h * h)
             w["bias"] -= step * d.sum(0)
             for k, offset in enumerate(OFFSETS):
                 words = row[at + offset]
-                d_place = (d * w["embed"][words]).sum(0)
-                add_rows(w["embed"], words, d * w["place"][k] * -step)
+                d_place = (d * w["embed"].take(words, axis=0)).sum(0)
+                add_rows(w["embed"], words, d * (w["place"][k] * -step))
                 w["place"][k] -= step * d_place
 
 
+def soft_max(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1)[:, None]
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
+    return z
+
+
 def log_sum(z: np.ndarray) -> np.ndarray:
     top = z.max(axis=1)
     return np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
@@ -212,7 +223,12 @@ def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1))
-    table[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    table[rows[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
+
+
+def chosen_places(places: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places that a round learns from; over all rounds each place is chosen once."""
+    return places[turn::rounds]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -255,7 +271,7 @@ def known_words(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
     return [] if least is None else [(bytes(r.word), r.n) for r in counts.filter(F.col("n") >= least).collect()]
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> Fitted:
+def fit(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> Fitted:
     """The network trained on the documents, and the words' counts."""
     spark = docs.sparkSession
     home = shared_dir(spark, "lm")
@@ -285,7 +301,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int
             for batch in batches:
                 for lo, hi in slabs(batch.column(0)):
                     row, places, _ = padded(lookup, texts_of(batch.column(0).slice(lo, hi - lo)))
-                    chosen = places[(turn * (stride // 2)) % stride::stride]
+                    chosen = chosen_places(places, turn, rounds)
                     # An order apart from that of the texts, the same in every attempt of the task.
                     network.learn(row, np.random.default_rng(SEED + turn).permutation(chosen))
                     tokens += len(places)
@@ -341,5 +357,5 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
                     F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob")))
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> DataFrame:
-    return score(docs, fit(docs, rounds, stride, known))
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
+    return score(docs, fit(docs, rounds, known))

@@ -79,3 +79,20 @@ def test_words_of_a_bucket_have_their_own_probabilities(spark):
     assert abs(by_join[6] - by_join[7] - np.log(5)) < 3e-4
     model = L.fit(df)
     assert model.buckets.sum() == 7 and len(L.known_words(model.counts, L.FREQUENT + 1)) == L.FREQUENT + 1
+
+
+def test_every_position_is_trained_on_once(spark, tmp_path, monkeypatch):
+    """Texts of one to twenty words, each word once, so that the targets name the positions."""
+    words = iter(range(10**6))
+    texts = [" ".join(f"w{next(words)}" for _ in range(n)) for n in [1, 1, 2, 3, 20, 7, 1, 5, 6]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+
+    class Noted(L.Network):
+        def learn(self, row, places, *more):
+            with open(tmp_path / "targets", "a") as f:
+                f.writelines(f"{i}\n" for i in row[places].tolist())
+
+    monkeypatch.setattr(L, "Network", Noted)
+    model = L.fit(df)
+    learnt = Counter(map(int, (tmp_path / "targets").read_text().split()))
+    assert learnt == Counter(L.Vocabulary(model.frequent).ids.values()) and sum(learnt.values()) == next(words)
