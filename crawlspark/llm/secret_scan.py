@@ -40,12 +40,14 @@ BASE_RULES = (
     Rule("hex", rb"[0-9a-f]+", 0, 24),
 )
 MORE_RULES = (
-    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # Anything up to the END line, but not past another key's BEGIN line, so that a text is read once.
+    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]|-(?!----(?:BEGIN|END) [A-Z ]*PRIVATE KEY))*+"
+                        rb"-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?"),
     Rule("github", rb"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"),
     Rule("slack", rb"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", rb"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", rb"://[^\s/:@]{1,64}:[^\s/:@]{4,64}@"),
+    Rule("url_login", rb"://[^\s/:@]+:[^\s/:@]{4,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

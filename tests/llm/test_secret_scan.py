@@ -69,3 +69,22 @@ def test_redaction(spark, odd):
     assert out[11].text == "my [assign] and [access] é [hex]" or "abc123def" not in out[11].text
     assert out[11].n_chars == len(out[11].text) and out[0].text == dict(ODD_TEXTS)[0] and out[1].text is None
     assert S.find_secrets(S.redact_secrets(odd)).filter("spans <> ''").count() == 0
+
+
+def test_long_logins_and_keys_with_headers_are_whole(spark):
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123-45\n\n"
+    rsa = f"-----BEGIN RSA PRIVATE KEY-----\n{head}MIIabc+/=\n-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-1\n\nlQabc=\n=ab\n-----END PGP PRIVATE KEY BLOCK-----"
+    lone = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [f"a {rsa} b {pgp} c {lone} d {rsa}"]
+    texts += [f"see ://{'u' * n}:{'p-' * n}@host" for n in (32, 33, 64, 65, 84, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.redact_secrets(df).collect()}
+    assert out[0] == "a [private_key] b [private_key] c [private_key] d [private_key]"
+    assert all(out[i] == "see [url_login]host" for i in range(1, len(texts)))
+
+
+def test_many_open_keys_and_logins_are_read_once():
+    texts = [b"-----BEGIN RSA PRIVATE KEY-----\nabc " * 50_000, b"-----BEGIN RSA PRIVATE KEY-----" + b"x-" * 3_000_000,
+             b"://aaaa:bbbb" * 100_000, b"://" + b"a" * 3_000_000]
+    assert [len(x) for x in S.scanner(S.MORE_RULES)(texts)] == [50_000, 1, 0, 0]
