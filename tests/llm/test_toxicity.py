@@ -80,3 +80,18 @@ def test_accuracy_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     rows = X.toxicity_scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.85
+
+
+def held_out_rates(spark, folder):
+    """Recall of the toxic class and false positive rate of the other on held-out documents."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = X.toxicity_scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == k] for k in (1, 0))
+    print(folder, "recall", sum(toxic), len(toxic), "false positives", sum(clean), len(clean))
+    return sum(toxic) / len(toxic), sum(clean) / len(clean)
+
+
+def test_recall_and_false_positives_on_held_out_documents(spark):
+    """Accuracy alone would pass a model that finds nothing."""
+    recall, wrong = held_out_rates(spark, "/root/testdata/sf0.1")
+    assert recall >= 0.8 and wrong <= 0.05
