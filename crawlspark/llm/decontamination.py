@@ -1,8 +1,7 @@
 """Benchmark decontamination: which test items stand, nearly whole, in which documents.
 
-Containment is the share of an item's distinct five-word shingles that occur anywhere in the document. Items are parted
-by their number of shingles. In each part an item with n shingles is represented by its k smallest shingle hashes,
-with k one more than the shingles it may lack (n - ceil(0.8 n) + 1), so that a document which contains the item holds
+Containment is the share of an item's distinct five-word shingles that occur anywhere in the document. There are no
+size partitions: an item with n shingles is represented in one sorted table by its k smallest shingle hashes, with k one more than the shingles it may lack (n - ceil(0.8 n) + 1), so that a document which contains the item holds
 at least one of these minima: the search loses nothing. A document that is found to hold enough of an item's minima is
 verified by exact containment of the shingles themselves.
 
@@ -10,7 +9,7 @@ Documents are long and many, items short: documents are read once and never shuf
 blocks of a bounded number of shingles, a pass over the documents for each block.
 
 Words are runs of bytes other than ASCII characters that are neither letters nor digits, with A-Z in lower case; a
-text of fewer than five words is one shingle. Defined cases: null or empty items match nothing, null or empty
+text of fewer than five words is one shingle, so an item of fewer than five is found only in a text of as many words. Defined cases: null or empty items match nothing, null or empty
 documents hold nothing; equal ids stay as rows of their own (pairs repeat); empty tables give an empty result; other
 columns are not read.
 """
@@ -68,7 +67,7 @@ class ItemBlock:
                     vocabulary.setdefault(w, len(vocabulary))
         self.vocabulary = vocabulary
         self.keys = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary] or [0], dtype=np.uint64)
-        # Size part (shingles an item may lack) -> signature: hashes in order, and for each the items that have it.
+        # The minima of all items: hashes in order, and for each the items that have it. Size sets their number only.
         rows = []
         for number, found in enumerate(self.shingles):
             hashes = sorted(self.hash_shingle(s) for s in found)
