@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontamination, lm_scoring, quality_rules, secret_scan, sharding, simhash, toxicity, wavelet,
-               weak_quality)
+from . import (byte_bpe, decontamination, lexical_search, license_scan, lm_scoring, quality_rules, secret_scan, sharding,
+               simhash, spelling, toxicity, wavelet, weak_quality)
 from .common import documents
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -60,5 +60,18 @@ def op10_simhash(spark, sf_dir) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lexical_search(spark, sf_dir) -> DataFrame:
+    return lexical_search.best_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark, sf_dir) -> DataFrame:
+    return license_scan.find_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+def op13_spelling(spark, sf_dir) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_decontamination, op4_byte_bpe, op5_secret_scan,
-                                   op6_sharding, op7_toxicity, op8_weak_quality, op9_wavelet_tokens, op10_simhash)}
+                                   op6_sharding, op7_toxicity, op8_weak_quality, op9_wavelet_tokens, op10_simhash,
+                                   op11_lexical_search, op12_license_scan, op13_spelling)}
