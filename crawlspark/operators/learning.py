@@ -117,11 +117,8 @@ def block_descriptions(events: DataFrame, bucket_s: int = 1, block_s: int = 3600
     return long.select("host", "bucket", F.aggregate(rest, F.get("ds", F.lit(0)), combine).alias("d"), "n", "updated")
 
 
-def learn_scores(events: DataFrame, state0: DataFrame | None = None, bucket_s: int = 1, block_s: int = 3600) -> DataFrame:
-    """L1: learned entry per host after all its events (``host, ts, event_id, lane, delta``) in time order.
-
-    ``state0`` (``cache_key, decision, score``) is the earlier state; entries whose host has no event stay.
-    """
+def fold_scores(events: DataFrame, state0: DataFrame | None = None, bucket_s: int = 1, block_s: int = 3600) -> DataFrame:
+    """The entry of every host of the events or of ``state0`` after all events; score 0 where it has none any more."""
     parts = block_descriptions(events, bucket_s, block_s).groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "d"))).alias("ds"), F.sum("n").alias("events"),
         F.max("updated").alias("updated"))
@@ -136,10 +133,17 @@ def learn_scores(events: DataFrame, state0: DataFrame | None = None, bucket_s: i
     end = F.aggregate(F.coalesce("ds", F.array().cast(parts.schema["ds"].dataType)),
                       F.col("s0"), lambda s, x: chain(s, x["d"]))
     return (joined.select("cache_key", end.alias("e"), F.coalesce("events", F.lit(0)).alias("events"), "updated")
-            .filter(F.col("e.score") > 0)
             .select("cache_key", F.col("e.decision").alias("decision"), F.col("e.score").alias("score"), "events", "updated"))
 
 
+def learn_scores(events: DataFrame, state0: DataFrame | None = None, bucket_s: int = 1, block_s: int = 3600) -> DataFrame:
+    """L1: learned entry per host after all its events (``host, ts, event_id, lane, delta``) in time order.
+
+    ``state0`` (``cache_key, decision, score``) is the earlier state; entries whose host has no event stay.
+    """
+    return fold_scores(events, state0, bucket_s, block_s).filter(F.col("score") > 0)
+
+
 def attempt_events(attempts: DataFrame) -> DataFrame:
     """One +1 or -1 event per recorded attempt; lane names are kept."""
     lane = F.when(F.col("lane") == "easyget_pdf", "pdf").otherwise(F.col("lane"))

@@ -148,6 +148,8 @@ add("write_results", f"{ctes('attempts')} SELECT request_id, attempt_id AS pos,
 _merge = """SELECT coalesce(b.cache_key, a.cache_key) AS cache_key, coalesce(b.decision, a.decision) AS decision,
        coalesce(b.score, a.score) AS score FROM host_state a FULL JOIN host_state2 b ON a.cache_key = b.cache_key"""
 add("save_load_state", f"{ctes('host_state', 'host_state2')} {_merge}")
+add("state_deltas", f"""{ctes('host_state', 'host_state2')} SELECT cache_key, decision, score FROM host_state2 UNION ALL
+SELECT cache_key, decision, score FROM host_state WHERE length(cache_key) % 3 <> 1 AND cache_key NOT IN (SELECT cache_key FROM host_state2)""")
 add("merge_state", f"{ctes('host_state', 'host_state2')} {_merge}")
 
 # ---- URLs ----
@@ -688,6 +690,10 @@ add("retention_summary", f"""{ctes('files')} SELECT {_fate} AS fate, count(*) AS
  round(sum(file_size) / 1048576.0, 2) AS mb FROM files GROUP BY 1""")
 add("stream_progress", f"""{ctes('attempts')} SELECT epoch_us(date_trunc('hour', ts)) AS window_us, lane, count(*) AS started, count(*) FILTER (success) AS done,
  count(*) FILTER (NOT success) AS failed FROM attempts GROUP BY 1, 2""")
+add("progress_with_late", f"""{ctes('attempts')}, mark AS (SELECT max(ts) - INTERVAL 10 minutes AS m FROM attempts WHERE attempt_id % 10 <> 3),
+a AS (SELECT *, attempt_id % 10 = 3 AND ts < m AS late FROM attempts, mark)
+SELECT epoch_us(date_trunc('hour', ts)) AS window_us, lane, count(*) FILTER (NOT late) AS started, count(*) FILTER (NOT late AND success) AS done,
+ count(*) FILTER (NOT late AND NOT success) AS failed, count(*) FILTER (late) AS late FROM a GROUP BY 1, 2""")
 add("host_report", f"""{ctes('page_dim')}, {health_ctes('page_dim', 'page_id', visible('html'), 'NULL', 2000)},
 s AS (SELECT p.host, h.reason, CAST(round(greatest(0.0, round(CAST(length(html) - length({_clean}) AS DOUBLE) / greatest(1, length(html)) * 100, 2)) * 100) AS BIGINT) AS saved,
  {is_pdf('url')} AS pdf, {under(host('url'), RULES.spa_hosts)} AS spa FROM page_dim p JOIN health h ON h.page_id = p.page_id),

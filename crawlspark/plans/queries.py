@@ -19,6 +19,7 @@ from ..operators import cleaning, learning, races, ranking, requests, routing, s
 from ..rules import DEFAULT_RULES, rule_tables
 from ..session import shared_dir
 from ..sources import readers, writers
+from ..sources.versions import Versions
 from ..streaming import learning as stream_learning
 from ..streaming import progress, stability as stream_stability
 from .fixtures import view
@@ -552,9 +553,9 @@ def learn_scores_resolved(s, d):
 def learn_scores_stream(s, d):
     place = _landed(s, view(s, d, "attempts"), "learn", closing=True)
     events = learning.attempt_events(readers.attempt_stream(s, place))
-    steps = progress.run_to_files(stream_learning.learn_scores_stream(events), "learn-stream")
-    last = steps.groupBy("cache_key").agg(F.max_by(F.struct("decision", "score"), "bucket").alias("e"))
-    return last.filter("e.score > 0").select("cache_key", "e.decision", F.col("e.score").cast("long").alias("score"))
+    place = shared_dir(s, "learn-stream")
+    got = stream_learning.learn_scores_stream(events, f"{place}/state", f"{place}/checkpoint")
+    return got.select("cache_key", "decision", F.col("score").cast("long").alias("score"))
 
 
 def _pdf_known(s):
@@ -577,6 +578,22 @@ def learn_pdf_paths(s, d):
     return learning.learn_pdf_paths(_pdf_attempts(s, d), _pdf_known(s))
 
 
+@register
+def state_deltas(s, d):
+    """The older state as a base, the newer as two deltas, compacted in between; a third of the base is removed."""
+    schema, keys = "cache_key string, decision string, score int", ["cache_key"]
+    store = Versions(s, shared_dir(s, "deltas"))
+    cut = F.length("cache_key") % 3
+    columns = ["cache_key", "decision", F.col("score").cast("int").alias("score")]
+    base, newer = (view(s, d, name).select(*columns, F.lit(False).alias("removed")) for name in ("host_state", "host_state2"))
+    store.append("state", base)
+    store.append("state", newer.filter(cut == 0))
+    store.append("state", base.filter(cut == 1).withColumn("removed", F.lit(True)))
+    store.compact("state", schema, keys)
+    store.append("state", newer.filter(cut > 0))
+    return store.latest("state", schema, keys).select("cache_key", "decision", F.col("score").cast("long").alias("score"))
+
+
 @register
 def merge_state(s, d):
     return learning.merge_state(view(s, d, "host_state"), view(s, d, "host_state2"))
@@ -628,7 +645,8 @@ def text_stability_stream(s, d):
     place = _landed(s, view(s, d, "obs"), "obs", closing=True)
     stream = s.readStream.schema("page_key long, ts timestamp_ntz, event_id long, text_len long, text string").parquet(place)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return progress.run_to_files(stream_stability.text_stability_stream(stream, **STABLE), "stability-stream")
+    place = shared_dir(s, "stability-stream")
+    return stream_stability.text_stability_stream(stream, f"{place}/state", f"{place}/checkpoint", **STABLE)
 
 
 @register
@@ -686,6 +704,17 @@ def stream_progress(s, d):
     return got.select(F.unix_micros("window_start").alias("window_us"), "lane", "started", "done", "failed")
 
 
+@register
+def progress_with_late(s, d):
+    """A second file repeats nothing but comes late: its rows count as late unless within ten minutes of the newest."""
+    rows, place = view(s, d, "attempts"), shared_dir(s, "late-in")
+    for is_second in (False, True):
+        rows.filter((F.col("attempt_id") % 10 == 3) == is_second).coalesce(1).write.mode("append").parquet(place)
+    base = shared_dir(s, "late")
+    got = progress.progress_with_late(readers.attempt_stream(s, place, files_per_trigger=1), f"{base}/state", f"{base}/checkpoint")
+    return got.select(F.unix_micros("window_start").alias("window_us"), "lane", "started", "done", "failed", "late")
+
+
 # ---- the first end-to-end report ----
 
 @register

@@ -2,71 +2,36 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.learning import describe
-
-OUT = "cache_key string, decision string, score int, bucket timestamp"
-
 
-class ScoreFold(StatefulProcessor):
-    """Keeps (decision, score) per host and chains described windows in time order."""
+from ..operators.learning import fold_scores
+from ..sources.versions import Versions
+from .folds import Batch, run_folds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._entry = handle.getValueState("entry", "decision string, score int")
+STATE = "cache_key string, decision string, score int, events long, updated timestamp"
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
 
-        windows = pd.concat(list(rows)).sort_values("bucket")
-        lane, score = self._entry.get() if self._entry.exists() else (None, 0)
-        for m in windows.itertuples(index=False):
-            if score <= 0:
-                end = max(m.low, m.total)
-            elif lane == m.lane:
-                end = max(m.low, score + m.total)
-            else:
-                end = m.other
-            end = max(0, int(end))
-            if m.single:
-                lane, score = (m.lane, end) if end > 0 else (None, 0)
-            elif end > 0:
-                lane, score = m.alive_decision, int(m.alive_score)
-            else:
-                lane, score = m.dead_decision, int(m.dead_score)
-        if lane is None:
-            self._entry.clear()  # a removed host leaves no state
-        else:
-            self._entry.update((lane, score))
-        yield pd.DataFrame({"cache_key": [key[0]], "decision": [lane], "score": [score],
-                            "bucket": [windows["bucket"].iloc[-1]]})
-
-    def close(self) -> None:
-        pass
+def learn_scores_stream(events: DataFrame, location: str, checkpoint: str, watermark: str = "10 minutes") -> DataFrame:
+    """L2: L1 on a stream (``host, ts, event_id, lane, delta``), drained; returns the learned state.
 
+    Each micro-batch folds the events that the watermark has passed onto the entries of their hosts and adds a delta of
+    those entries; a host whose entry ends is removed. Events that come after the watermark are kept in the table ``late``.
+    """
+    rows = events.select("host", "ts", "event_id", "lane", "delta")
 
-def learn_scores_stream(events: DataFrame, watermark: str = "10 minutes", bucket: str = "1 second") -> DataFrame:
-    """L2: L1 on a stream. Every closed second of a host is described by a windowed aggregate (so a busy host is
-    spread over its seconds), then chained per host in a small keyed state.
+    def fold(batch: Batch) -> None:
+        due = batch.final(batch.rows)
+        old = batch.latest("state", STATE, ["cache_key"])
+        old = old.join(due.select("host").distinct(), old["cache_key"] == due["host"], "left_semi")
+        entries = fold_scores(due, old).withColumn("removed", F.coalesce(F.col("score"), F.lit(0)) <= 0)
+        batch.add("state", entries, f"{STATE}, removed boolean")
+        batch.hold(batch.waiting(batch.rows))
 
-    Rows arriving after the watermark are dropped; Spark counts them (``numRowsDroppedByWatermark``). Emits the
-    entry of a host whenever it advanced; score 0 means the entry was removed. The session must use the RocksDB state
-    store, as :func:`crawlspark.session.get_session` sets it.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lane", F.col("delta").cast("int").alias("delta"))))
-    closed = (events.withWatermark("ts", watermark).groupBy(F.window("ts", bucket), "host")
-              .agg(ordered.alias("es")).select("host", F.col("window.start").alias("bucket"), describe(F.col("es")).alias("d")))
-    flat = closed.select("host", "bucket", "d.lane", "d.total", "d.low", "d.other", "d.single",
-                         F.col("d.alive.decision").alias("alive_decision"), F.col("d.alive.score").alias("alive_score"),
-                         F.col("d.dead.decision").alias("dead_decision"), F.col("d.dead.score").alias("dead_score"))
-    return flat.groupBy("host").transformWithStateInPandas(
-        statefulProcessor=ScoreFold(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    run_folds(rows, location, checkpoint, fold, watermark, compact={"state": (STATE, ["cache_key"])})
+    return learned_state(events.sparkSession, location)
 
 
-# Python workers need not have this package installed: what they run is sent along by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def learned_state(spark: SparkSession, location: str) -> DataFrame:
+    """The entries that the stream has learned so far."""
+    return Versions(spark, location).latest("state", STATE, ["cache_key"])

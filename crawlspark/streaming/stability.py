@@ -2,132 +2,45 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..functions.common import contains_any
-from ..operators.stability import REASONS
-from ..rules import CONNECTIVITY_PHRASES
-
-OUT = ("page_key long, reason string, event_id long, wait_ms double, check_count long, stable_count long, "
-       "zero_count long, connectivity_wait_count long, initial_length long, final_length long, growth_ratio double")
-_COUNTERS = ("start_us long, initial long, last long, checks long, stable long, zero long, errors long, done boolean")
-
-
-class StabilityWait(StatefulProcessor):
-    """Waits per page: rows are held until the watermark passes them, then judged in time order."""
-
-    def __init__(self, limits, forget_ms=None):
-        self.limits, self.forget_ms = limits, forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._held = handle.getListState("held", "us long, event_id long, len long, err boolean")
-        self._wait = handle.getValueState("wait", _COUNTERS)
-
-    def handleInputRows(self, key, rows, timerValues):
-        if not (self._wait.exists() and self._wait.get()[-1]):
-            held = [(int(r.us), int(r.event_id), int(r.len), bool(r.err)) for pdf in rows for r in pdf.itertuples(index=False)]
-            self._held.appendList(held)
-            # A timer at the earliest held row fires once the watermark has passed that row.
-            self._handle.registerTimer(min(r[0] for r in held) // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-
-        state = self._wait.get() if self._wait.exists() else None
-        if state is not None and state[-1]:
-            if self.forget_ms is not None:
-                self._wait.clear()  # judged long enough ago: the page may be waited for anew
-            return
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self._held.get()) if self._held.exists() else []
-        due, rest = [r for r in rows if r[0] < now * 1000], [r for r in rows if r[0] >= now * 1000]
-        if not due:
-            return
-        state, verdict = judge(due, state and tuple(state)[:-1], **self.limits)
-        if verdict is not None:
-            rest = []
-            if self.forget_ms is not None:
-                self._handle.registerTimer(now + self.forget_ms)
-        if rest:
-            self._held.put(rest)
-            self._handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self._held.clear()
-        self._wait.update((*state, verdict is not None))
-        if verdict is not None:
-            yield pd.DataFrame([(key[0], *verdict)], columns=[c.split()[0] for c in OUT.split(", ")])
 
-    def close(self) -> None:
-        pass
+from ..operators.stability import text_stability
+from ..sources.versions import Versions
+from .folds import Batch, run_folds
 
+VERDICT = ("page_key long, reason string, event_id long, wait_ms double, check_count long, stable_count long, "
+           "zero_count long, connectivity_wait_count long, initial_length long, final_length long, growth_ratio double")
+JUDGED = "page_key long, us long"
 
-def runs(broken, carried):
-    """Length of the run that ends at each place: places since the last broken one, which counts 0."""
-    import numpy as np
 
-    at = np.arange(len(broken))
-    last = np.maximum.accumulate(np.where(broken, at, -1)) if len(broken) else at
-    return np.where(last < 0, carried + at + 1, at - last)
+def text_stability_stream(obs: DataFrame, location: str, checkpoint: str, watermark: str = "10 minutes", min_chars: int = 500,
+                          delta: int = 100, stable_n: int = 3, zero_n: int = 12, timeout_ms: int = 5000,
+                          forget_ms: int | None = None) -> DataFrame:
+    """W4 on a stream (``page_key, ts, event_id, text_len``, optionally ``text``), drained; returns the verdicts.
 
-
-def judge(due, state, min_chars, delta, stable_n, zero_n, timeout_ms):
-    """Counters of W4 over the rows that are due, continued from ``state``, and the first row that a rule ends.
-
-    ``state`` is (start_us, initial, last, checks, stable, zero, errors) or None before the first row.
+    A page's observations wait until the watermark has passed them, and stay until a rule ends the wait, so the result
+    does not depend on how rows fall into micro-batches. Later rows of a judged page are ignored; with ``forget_ms`` only
+    until the watermark has moved on by that much.
     """
-    import numpy as np
-
-    if state is None:
-        us, _, n, _ = due[0]
-        state, due = (us, n, n, 0, 0, int(n == 0), 0), due[1:]
-    if not due:
-        return state, None
-    start, initial, last, checks, stable, zero, errors = state
-    us, event_id, size, err = (np.array(x) for x in zip(*due))
-    err = err.astype(bool)
-    check = checks + 1 + np.arange(len(due))
-    change = np.abs(size - np.concatenate(([last], size[:-1])))
-    stable_run = runs((check < 2) | err | (change > delta) | (size == 0), stable)
-    # Rows in error state neither lengthen nor end a run of empty texts.
-    zero_live = runs(size[~err] > 0, zero)
-    zero_run = np.concatenate(([zero], zero_live))[np.cumsum(~err)]
-    failed, wait = errors + np.cumsum(err), (us - start) / 1000
-    tests = {"zero_text_threshold": zero_run >= zero_n, "stable": (size >= min_chars) & (stable_run >= stable_n),
-             "forced_timeout": wait > timeout_ms}
-    ends = np.flatnonzero(~err & np.logical_or.reduce([tests[name] for name in REASONS]))
-    k = int(ends[0]) if len(ends) else len(due) - 1
-    state = (start, initial, int(size[k]), int(check[k]), int(stable_run[k]), int(zero_run[k]), int(failed[k]))
-    if not len(ends):
-        return state, None
-    reason = next(name for name in REASONS if tests[name][k])
-    return state, (reason, int(event_id[k]), float(wait[k]), state[3], state[4], state[5], state[6], initial, state[2],
-                   round((state[2] - initial) / max(initial, 1), 6))
-
-
-def text_stability_stream(obs: DataFrame, watermark: str = "10 minutes", min_chars: int = 500, delta: int = 100,
-                          stable_n: int = 3, zero_n: int = 12, timeout_ms: int = 5000, forget_ms: int | None = None) -> DataFrame:
-    """W4 on a stream (``page_key, ts, event_id, text_len``, optionally ``text``).
-
-    Event-time timers replace the polling timeout: a row is judged once the watermark has passed it, so the
-    result does not depend on how rows fall into micro-batches. Later rows of a judged page are ignored; with
-    ``forget_ms`` only until that much event time has passed, after which its state is cleared.
-    """
-    err = F.coalesce(contains_any("text", CONNECTIVITY_PHRASES), F.lit(False)) if "text" in obs.columns else F.lit(False)
-    rows = obs.withWatermark("ts", watermark).select(
-        F.col("page_key").cast("long").alias("page_key"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"),
-        F.col("text_len").cast("long").alias("len"), err.alias("err"))
-    return rows.groupBy("page_key").transformWithStateInPandas(
-        statefulProcessor=StabilityWait(dict(min_chars=min_chars, delta=delta, stable_n=stable_n, zero_n=zero_n,
-                                             timeout_ms=timeout_ms), forget_ms),
-        outputStructType=OUT, outputMode="Append", timeMode="EventTime")
-
-
-# Python workers need not have this package installed: what they run is sent along by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    limits = dict(min_chars=min_chars, delta=delta, stable_n=stable_n, zero_n=zero_n, timeout_ms=timeout_ms)
+    kept = ["page_key", "ts", "event_id", "text_len", *(["text"] if "text" in obs.columns else [])]
+    rows = obs.select(F.col("page_key").cast("long").alias("page_key"), *kept[1:])
+
+    def fold(batch: Batch) -> None:
+        judged = batch.latest("judged", JUDGED, ["page_key"])
+        if forget_ms is not None:
+            judged = judged.filter(F.col("us") + forget_ms * 1000 > batch.mark)
+        open_rows = batch.rows.join(judged.select("page_key"), "page_key", "left_anti")
+        found = batch.add("verdicts", text_stability(batch.final(open_rows), **limits), VERDICT)
+        marked = found.select("page_key", F.lit(batch.mark).alias("us"), F.lit(False).alias("removed"))
+        batch.add("judged", marked, f"{JUDGED}, removed boolean")
+        batch.hold(open_rows.join(found.select("page_key"), "page_key", "left_anti").select(*kept))
+
+    run_folds(rows, location, checkpoint, fold, watermark, compact={"judged": (JUDGED, ["page_key"])})
+    return verdicts(obs.sparkSession, location)
+
+
+def verdicts(spark: SparkSession, location: str) -> DataFrame:
+    """The verdicts that the stream has given so far."""
+    return Versions(spark, location).rows("verdicts", VERDICT).drop("_seq")
