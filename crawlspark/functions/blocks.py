@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import col, collapse_ws, let
+from .common import col, collapse_ws, let, scan
 from .text import drop_up_to, strip_base64_images, strip_script_style, strip_tags, unescape
 
 MARK = "\x01"
@@ -124,6 +124,125 @@ def join_markdown(blocks) -> Column:
     return F.array_join(F.transform(col(blocks), lambda b: b["md"]), "\n\n")
 
 
+# Where lists and tables open, end and are divided, besides the blocks.
+STRUCTURE = rf"(?i)(<(?:{BLOCK_TAGS})\b|</(?:ul|ol|li|table|tr|td|th)\b)"
+_STACK = "array<struct<kind:string,n:int,pad:int,fresh:boolean>>"
+
+
+def _structure(html) -> Column:
+    """Every stretch between structural tags: idx, tag (``/`` before that of an end), text, and its parts for Markdown."""
+    segments = F.split(F.regexp_replace(content_html(html), STRUCTURE, MARK + "$1"), MARK)
+
+    def look(segment: Column, idx: Column) -> Column:
+        tag = F.lower(F.regexp_extract(segment, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
+        return F.struct(idx.alias("idx"), F.when(tag == "", "div").otherwise(tag).alias("tag"), _plain(segment).alias("text"),
+                        segment.alias("segment"))
+
+    def facts(b: Column) -> Column:
+        flat = F.when(b["segment"].rlike(INLINE), _plain(_inline_markdown(b["segment"]))).otherwise(b["text"])
+        linked = F.array_join(F.regexp_extract_all(b["segment"], F.lit(LINK), F.lit(1)), " ")
+        links = F.when(b["segment"].rlike(r"(?i)<a\b"), F.length(_plain(linked))).otherwise(0)
+        md = F.when(b["tag"] == "li", flat).otherwise(_line(b["segment"], b["tag"], b["text"]))
+        return F.struct(b["idx"].alias("idx"), b["tag"].alias("tag"), b["text"].alias("text"),
+                        F.length(b["text"]).alias("chars"), links.alias("link_chars"),
+                        F.when(b["text"] == "", "").otherwise(flat).alias("flat"), F.when(b["text"] == "", "").otherwise(md).alias("md"))
+
+    return F.transform(F.transform(segments, look), facts)
+
+
+def _lists(stack: Column, b: Column) -> Column:
+    """The stack of open lists after the tag of a stretch; ``fresh``: the item has no text yet."""
+    top, depth, tag = F.try_element_at(stack, F.lit(-1)), F.size(stack), b["tag"]
+
+    def entry(kind, n, pad, fresh) -> Column:
+        return F.array(F.struct(kind.alias("kind"), n.cast("int").alias("n"), pad.cast("int").alias("pad"), fresh.alias("fresh")))
+
+    def below(n: int) -> Column:
+        return F.slice(stack, F.lit(1), F.greatest(depth - n, F.lit(0)))
+
+    opened = entry(tag, F.lit(0), F.when(depth > 0, top["pad"] + _marker_width(top)).otherwise(0), F.lit(False))
+    item = entry(top["kind"], top["n"] + 1, top["pad"], F.lit(True))
+    return (F.when(tag.isin("ul", "ol"), F.concat(stack, opened)).when(tag.isin("/ul", "/ol"), below(1))
+            .when((tag == "li") & (depth > 0), F.concat(below(1), item)).otherwise(stack).cast(_STACK))
+
+
+def _marker_width(top: Column) -> Column:
+    return F.when(top["kind"] == "ol", F.length(top["n"].cast("string")) + 2).otherwise(2)
+
+
+def _listed(s: Column, stack: Column, b: Column) -> Column:
+    """A stretch outside tables: state and Markdown."""
+    top, depth, has = F.try_element_at(stack, F.lit(-1)), F.size(stack), b["md"] != ""
+    in_item = (depth > 0) & (top["n"] > 0)
+    marker = F.when(top["kind"] == "ol", F.concat(top["n"].cast("string"), F.lit(". "))).otherwise("- ")
+    item = F.concat(F.when((s["prev"] == "item") & top["fresh"], "\n").otherwise("\n\n"), F.repeat(F.lit(" "), top["pad"]),
+                    F.when(top["fresh"], marker).otherwise(F.repeat(F.lit(" "), _marker_width(top))), b["md"])
+    lone = F.concat(F.lit("\n\n"), F.when(b["tag"] == "li", "- ").otherwise(""), b["md"])
+    used = F.concat(F.slice(stack, F.lit(1), F.greatest(depth - 1, F.lit(0))), F.array(F.struct(
+        top["kind"].alias("kind"), top["n"].alias("n"), top["pad"].alias("pad"), F.lit(False).alias("fresh")))).cast(_STACK)
+    prev = (F.when((depth == 0) & (F.size(s["stack"]) > 0), "block").when(~has, s["prev"]).when(in_item, "item").otherwise("block"))
+    return F.struct(_layout(F.when(has & in_item, used).otherwise(stack), s["tables"], s["row"], s["col"], prev).alias("state"),
+                    F.when(~has, "").when(in_item, item).otherwise(lone).alias("out"))
+
+
+def _layout(stack, tables, row, col_, prev) -> Column:
+    return F.struct(stack.alias("stack"), tables.cast("int").alias("tables"), row.cast("int").alias("row"),
+                    col_.cast("int").alias("col"), prev.cast("string").alias("prev"))
+
+
+def _tabled(s: Column, b: Column) -> Column:
+    """A stretch inside a table, or a tag that opens one: what stands inside a cell is one line of it."""
+    tag, zero = b["tag"], F.lit(0)
+    outer = s["tables"] == 1
+    ends = (outer & tag.isin("tr", "/tr", "/table") | (tag == "/end")) & (s["col"] > 0)
+    row_end = F.concat(F.lit(" |"), F.when(s["row"] == 1, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), s["col"]))).otherwise(""))
+    cell = outer & tag.isin("td", "th") & b["inside"]
+    text = F.replace(b["flat"], F.lit("|"), F.lit("\\|"))
+    has = text != ""
+    first = F.when(s["col"] > 0, " | ").when(s["row"] > 0, "\n| ").otherwise("\n\n| ")
+    more = F.concat(F.when(s["prev"] == "cell", " ").otherwise(""), text)
+    row = F.when((tag == "table") & (s["tables"] == 0), zero).when(cell & (s["col"] == 0), s["row"] + 1).otherwise(s["row"])
+    tables = F.when(tag == "table", s["tables"] + 1).when(tag == "/table", F.greatest(s["tables"] - 1, zero)).otherwise(s["tables"])
+    at = F.when(ends | ((tag == "table") & (s["tables"] == 0)), zero).when(cell, s["col"] + 1).otherwise(s["col"])
+    outside = has & (s["col"] == 0) & ~cell  # a caption, or text between rows
+    prev = F.when(cell, F.when(has, "cell").otherwise("empty")).when(at == 0, "block").when(has, "cell").otherwise(s["prev"])
+    out = (F.when(cell, F.concat(first, text))
+           .when(ends, F.concat(row_end, F.when(has, F.concat(F.lit("\n\n"), b["md"])).otherwise("")))
+           .when(outside, F.concat(F.lit("\n\n"), b["md"])).when(has, more).otherwise(""))
+    # Text between the rows parts the table: what follows it is a table of its own.
+    return F.struct(_layout(s["stack"], tables, F.when(outside | ends & has, zero).otherwise(row), at, prev).alias("state"), out.alias("out"))
+
+
+def nested_markdown(html, best: bool = True) -> Column:
+    """TXT11: Markdown with nested and numbered lists and with tables, of the best contiguous blocks or of all.
+
+    One fold over the page's stretches carries the stack of open lists and the place in the open table, so the work grows
+    with the page. Lists and tables inside a cell become text of the cell; a first row is the head of its table.
+    """
+    def bounds(blocks: Column) -> Column:
+        if not best:
+            return F.struct(F.lit(0).alias("first"), F.lit(1 << 30).alias("last"))
+        return let(F.filter(blocks, lambda b: b["text"] != ""), lambda held: let(best_range(held), lambda r: F.struct(
+            F.get(held, r["first"] - 1)["idx"].alias("first"), F.get(held, r["last"] - 1)["idx"].alias("last"))))
+
+    def marked(blocks: Column) -> Column:
+        def one(b: Column, r: Column) -> Column:
+            inside = F.coalesce(b["idx"].between(r["first"], r["last"]), F.lit(False))
+            return F.struct(b["tag"].alias("tag"), inside.alias("inside"), F.when(inside, b["flat"]).otherwise("").alias("flat"),
+                            F.when(inside, b["md"]).otherwise("").alias("md"))
+
+        end = F.struct(F.lit("/end").alias("tag"), F.lit(False).alias("inside"), F.lit("").alias("flat"), F.lit("").alias("md"))
+        return let(bounds(blocks), lambda r: F.concat(F.transform(blocks, lambda b: one(b, r)), F.array(end)))
+
+    def step(s: Column, b: Column) -> Column:
+        in_table = (s["tables"] > 0) | (b["tag"] == "table")
+        return F.when(in_table, _tabled(s, b)).otherwise(let(_lists(s["stack"], b), lambda stack: _listed(s, stack, b)))
+
+    start = _layout(F.array().cast(_STACK), F.lit(0), F.lit(0), F.lit(0), F.lit("block"))
+    parts = let(_structure(html), lambda blocks: scan(marked(blocks), start, "string", step))
+    return F.ltrim(F.array_join(parts, ""), F.lit("\n"))
+
+
 def prune_score(b: Column) -> Column:
     """Text share of the block's markup x (1 - link density) x tag weight."""
     weights = F.create_map(*[F.lit(x) for pair in TAG_WEIGHTS.items() for x in pair])

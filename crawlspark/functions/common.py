@@ -50,6 +50,30 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(items: Column, state: Column, out_type: str, step, size: int = 256) -> Column:
+    """What a fold gives out at each element: ``step(state, element)`` is a struct of the next ``state`` and ``out``.
+
+    An array that grows by one is copied each time, so the fold runs over stretches of ``size`` elements, and what each
+    gives out is one element of the outer fold: the work grows with the array, not with its square.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        return let(step(acc["state"], x), lambda r: F.struct(
+            r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    def outer(acc: Column, stretch: Column) -> Column:
+        done = F.aggregate(stretch, F.struct(acc["state"].alias("state"), none.alias("outs")), inner)
+        return let(done, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")))
+
+    def cut(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(size))
+        return F.transform(starts, lambda i: F.slice(xs, i + 1, F.lit(size)))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("outs"))
+    return F.flatten(F.aggregate(let(items, cut), start, outer, lambda acc: acc["outs"]))
+
+
 def exploded(df: DataFrame, array: Column, pos: str, item: str, *keep) -> DataFrame:
     """One row per element. The outer form with a filter above it: for a plain explode Spark would infer
     ``size(array) > 0`` below it and compute a costly array again just for that test."""

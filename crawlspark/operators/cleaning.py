@@ -32,6 +32,11 @@ def main_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
         ((at >= F.col("bounds.first")) & (at <= F.col("bounds.last"))).alias("kept"))
 
 
+def nested_markdown(pages: DataFrame, key: str = "page_id", html: str = "html", best: bool = True) -> DataFrame:
+    """TXT11: Markdown with nested and numbered lists and tables; a map-only step, linear in the page."""
+    return pages.select(key, F.coalesce(B.nested_markdown(html, best), F.lit("")).alias("markdown"))
+
+
 def blocks_markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """TXT11: Markdown of each page's best contiguous blocks, in order."""
     return with_blocks(pages.select(key, F.col(html).alias("html"))).select(

@@ -70,6 +70,12 @@ SELECT page_id, url,
               '<noscript>n</noscript><script src="a.js"/>',
               CASE WHEN page_id % 3 = 0 THEN '<div class="x g-recaptcha BLOCKED" id="captcha"><iframe src="https://a/recaptcha/api"></iframe></div>' ELSE '' END,
               CASE WHEN page_id % 4 = 0 THEN '<embed type="application/pdf">' ELSE '' END, html) AS html
+FROM {pages}""",
+    "listed_pages": """
+SELECT page_id, html AS plain,
+       concat('<article><h2>L', page_id, '</h2><UL><li>a', page_id, '<ol start="1"><li>x<li>y', page_id, '<ul><li>z</ul><li><p>w</p></ol></li>',
+              '<li>b</UL><table class="t"><tr><th>k<th>v|w</tr><tr><td>', page_id, '<td></td></tr><tr><td>p<ul><li>q</ul></td><td>',
+              length(html), '</table></article>', html) AS html
 FROM {pages}""",
     "icon_pages": """
 SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html

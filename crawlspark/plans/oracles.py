@@ -606,6 +606,12 @@ fin AS (SELECT host, arg_max({{'d': decision, 's': score}}, rn) AS e, max(rn) AS
 add("learn_scores", f"""{ctes('attempts', 'host_state').replace('WITH ', 'WITH RECURSIVE ', 1)}, {fold('attempts', 'host_state')}
 SELECT host AS cache_key, e.d AS decision, e.s::BIGINT AS score, n::BIGINT AS events FROM fin WHERE e.s > 0
 UNION ALL SELECT cache_key, decision, score, 0 FROM host_state WHERE cache_key NOT IN (SELECT host FROM attempts)""")
+add("nested_markdown", f"""WITH {block_ctes()}, {_pages_md},
+every AS (SELECT page_id, string_agg({_md}, chr(10) || chr(10) ORDER BY pos) AS markdown FROM
+ (SELECT page_id, pos, tag, seg, CASE WHEN regexp_matches(seg, {q(INLINE)}) THEN {_flat(_inline('seg'))} ELSE text END AS flat FROM blocks) GROUP BY page_id)
+SELECT p.page_id, replace(concat('## L', p.page_id, '~~- a', p.page_id, '~  1. x~  2. y', p.page_id, '~     - z~  3. w~- b~~| k | v\\|w |~| --- | --- |~| ',
+ p.page_id, ' |  |~| p q | ', length(p.html), ' |'), '~', chr(10)) || coalesce(chr(10) || chr(10) || e.markdown, '') AS markdown, coalesce(m.markdown, '') AS main
+FROM pages p LEFT JOIN every e ON e.page_id = p.page_id LEFT JOIN page_md m ON m.page_id = p.page_id""")
 # The stream is closed at its end, so every event is folded.
 add("learn_scores_stream", f"""{ctes('attempts').replace('WITH ', 'WITH RECURSIVE ', 1)},
 nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false), {fold('attempts', 'nothing')}

@@ -268,6 +268,13 @@ def blocks_markdown(s, d):
     return cleaning.blocks_markdown(view(s, d, "pages"))
 
 
+@register
+def nested_markdown(s, d):
+    """Lists and tables put before every page, whole; and the best part of the page as it is."""
+    return view(s, d, "listed_pages").select("page_id", B.nested_markdown("html", best=False).alias("markdown"),
+                                             B.nested_markdown("plain").alias("main"))
+
+
 @register
 def prune_blocks(s, d):
     p = view(s, d, "pages")
