@@ -292,6 +292,16 @@ def bm25_scores(blocks, query: str, k1: float = 1.2, b: float = 0.75) -> Column:
         bs, lambda x: F.struct(x["idx"].alias("idx"), score(x, e).alias("score")))))
 
 
+def query_counts(blocks, words: list[str]) -> Column:
+    """Per block: idx, its number of words, and how often each query word stands in it. No text is left."""
+    def count(ts: Column, w: str) -> Column:
+        return F.size(F.filter(ts, lambda t: t == w)).cast("long")
+
+    return F.transform(col(blocks), lambda x: let(tokens(x["text"]), lambda ts: F.struct(
+        x["idx"].alias("idx"), F.size(ts).cast("long").alias("length"),
+        F.array(*[count(ts, w) for w in words]).cast("array<bigint>").alias("tf"))))
+
+
 def _query_words(query: str) -> list[str]:
     word, out = "", []
     for ch in query.lower() + " ":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import quality as Q
 from ..functions import text as X
 from ..functions.common import collapse_ws, exploded, let
 from ..rules import DEFAULT_RULES, LOW_CONTENT_CHARS, SUSPICIOUS_STATUS, Rules
+from ..session import shared_dir
 
 EMPTY_BODY = "# 内容为空\n\n未获取到有效的HTML内容"  # fixed value
 EMPTY_RESULT = "# 页面内容\n\n清理服务返回空内容，原始HTML长度: "  # fixed value, followed by the length
@@ -60,6 +63,40 @@ def bm25_blocks(pages: DataFrame, query: str = "main content", threshold: float
         F.col("score") >= threshold)
 
 
+def bm25_corpus(pages: DataFrame, query: str, threshold: float = 1.2, key: str = "page_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """TXT13 over the corpus: BM25 of every block with the frequencies of all blocks of all pages.
+
+    Pages are parsed once, into counts of the query's words, which are written; one sum over them gives the number of
+    blocks, their mean length and each word's document frequency, and a map scores. No page text is shuffled.
+    """
+    spark = pages.sparkSession
+    words = list(dict.fromkeys(B._query_words(query)))
+    place = shared_dir(spark, "bm25")
+    pages.select(key, B.query_counts(B.page_blocks("html"), words).alias("blocks")).write.parquet(place)
+    counts = spark.read.parquet(place)
+
+    def held(i: int):
+        return F.size(F.filter("blocks", lambda x: x["tf"][i] > 0))
+
+    figures = counts.agg(F.sum(F.size("blocks")).alias("n"), F.sum(F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["length"])).alias("total"),
+                         F.array(*[F.sum(held(i)) for i in range(len(words))]).cast("array<bigint>").alias("df"))
+    # One row, whose size is that of the query.
+    f = figures.first()
+    mean = (f.total or 0) / max(f.n or 0, 1)
+    idf = [math.log(1 + (f.n - d + 0.5) / (d + 0.5)) for d in f.df] if f.n else []
+
+    def score(x):
+        total = F.lit(0.0)
+        for i, weight in enumerate(idf):
+            norm = k1 * (1 - b + b * x["length"] / F.lit(mean or 1.0))
+            total = total + F.lit(weight) * x["tf"][i] * (k1 + 1) / (x["tf"][i] + norm)
+        return F.round(total, 6)
+
+    scored = F.transform("blocks", lambda x: F.struct(x["idx"].alias("idx"), score(x).alias("score")))
+    rows = exploded(counts, F.filter(scored, lambda x: x["score"] >= threshold), "pos", "s", key)
+    return rows.select(key, F.col("s.idx").alias("idx"), F.col("s.score").alias("score"))
+
+
 def split_pages(pages: DataFrame, target_kb: int = 512, overlap: int = 1024, key: str = "page_id") -> DataFrame:
     """TXT15: one row per chunk of a pre-cleaned page."""
     ready = pages.select(key, X.strip_script_style(X.strip_base64_images("html")).alias("html"))

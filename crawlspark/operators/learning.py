@@ -103,16 +103,25 @@ def combine(a: Column, b: Column) -> Column:
     return F.when(same, joined).otherwise(later)
 
 
-def block_descriptions(events: DataFrame, bucket_s: int = 1, block_s: int = 3600) -> DataFrame:
-    """One description per host and block, made of those of its short buckets."""
+PIECE = 1 << 14  # events that meet in one array
+
+
+def block_descriptions(events: DataFrame, bucket_s: int = 1, block_s: int = 3600, piece: int = PIECE) -> DataFrame:
+    """One description per host and block, made of those of its short buckets.
+
+    A bucket is cut into pieces of ``piece`` events by their number in it (a sort that spills), so that a bucket with
+    millions of events, as where times are dates only, is in no array; a block's array holds its pieces.
+    """
     at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_s)
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lane", F.col("delta").cast("int").alias("delta"))))
-    short = (events.groupBy("host", at.alias("bucket")).agg(ordered.alias("es"))
-             .select("host", "bucket", describe(F.col("es")).alias("d"), F.size("es").alias("n"),
-                     F.element_at("es", -1)["ts"].alias("updated")))
+    rows = events.select("host", at.alias("bucket"), "ts", "event_id", "lane", F.col("delta").cast("int").alias("delta"))
+    number = F.row_number().over(Window.partitionBy("host", "bucket").orderBy("ts", "event_id", "lane", "delta"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "lane", "delta")))
+    pieces = (rows.withColumn("piece", F.floor((number - 1) / piece)).groupBy("host", "bucket", "piece").agg(ordered.alias("es"))
+              .select("host", "bucket", "piece", describe(F.col("es")).alias("d"), F.size("es").alias("n"),
+                      F.element_at("es", -1)["ts"].alias("updated")))
     block = F.floor(F.col("bucket") * bucket_s / max(bucket_s, block_s))
-    ds = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"])
-    long = short.groupBy("host", block.alias("bucket")).agg(ds.alias("ds"), F.sum("n").alias("n"), F.max("updated").alias("updated"))
+    ds = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "piece", "d"))), lambda x: x["d"])
+    long = pieces.groupBy("host", block.alias("bucket")).agg(ds.alias("ds"), F.sum("n").alias("n"), F.max("updated").alias("updated"))
     rest = F.slice("ds", F.lit(2), F.greatest(F.size("ds") - 1, F.lit(0)))
     return long.select("host", "bucket", F.aggregate(rest, F.get("ds", F.lit(0)), combine).alias("d"), "n", "updated")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
@@ -134,6 +137,38 @@ def latency_table(attempts: DataFrame, case: str = "case") -> DataFrame:
     return table.fillna(0, [f"{x}_n" for x in (*LANES, OTHER)])
 
 
+SKETCH_ERROR = 0.01
+
+
+def latency_sketch(attempts: DataFrame, case: str = "case", error: float = SKETCH_ERROR) -> DataFrame:
+    """W7 as a mergeable sketch: per case and lane, counts of times in buckets that each span ``error`` either way.
+
+    Bucket k holds the times from g**(k - 1) to g**k milliseconds, g = (1 + error) / (1 - error); times of zero or less
+    have the bucket NULL. The buckets of a span of nine decades are about 1,000 at an error of 0.01, whatever the rows. Sketches of
+    parts of the attempts are merged by :func:`merge_sketches`.
+    """
+    lane = F.when(F.col("lane").isin(*LANES), F.col("lane")).otherwise(OTHER)
+    ms = F.col("elapsed_s") * 1000
+    bucket = F.when(ms > 0, F.ceil(F.log(ms) / math.log((1 + error) / (1 - error))))
+    return attempts.filter(ms.isNotNull()).groupBy(F.col(case).alias("case"), lane.alias("lane"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    both = reduce(DataFrame.unionByName, sketches)
+    return both.groupBy("case", "lane", "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_percentiles(sketch: DataFrame, shares: tuple[float, ...] = (0.5, 0.95), error: float = SKETCH_ERROR) -> DataFrame:
+    """case, lane, n and for each share the time at rank ceil(share * n), off by at most ``error`` of it."""
+    g = (1 + error) / (1 - error)
+    order = Window.partitionBy("case", "lane").orderBy(F.asc_nulls_first("bucket"))
+    whole = Window.partitionBy("case", "lane")
+    rows = sketch.withColumn("_upto", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(whole))
+    value = F.coalesce(F.lit(2.0) * F.pow(F.lit(g), F.col("bucket")) / (g + 1), F.lit(0.0))
+    found = [F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_all")), value)).alias(f"p{round(100 * p)}_ms") for p in shares]
+    return rows.groupBy("case", "lane").agg(F.sum("n").alias("n"), *found)
+
+
 def visit_curve(attempts: DataFrame, key: str = "host") -> DataFrame:
     """Elapsed time by the n-th visit of a host (1, 2, 3, 4, 5+).
 

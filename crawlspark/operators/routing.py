@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import exploded
@@ -10,20 +10,79 @@ from ..functions.urls import host_variants, is_pdf_url, is_spa_host, norm_host,
 from ..rules import DEFAULT_RULES, Rules
 
 
-def cached_route(urls: DataFrame, host_state: DataFrame, host: str = "host") -> DataFrame:
+def cached_route(urls: DataFrame, host_state: DataFrame, host: str = "host", hot: int = 0) -> DataFrame:
     """Decision learned for the host or its nearest parent.
 
     The lookup runs on distinct hosts. Neither side is hinted: Spark broadcasts the state, or the found
-    decisions, only while their measured size allows it, and splits skewed hosts otherwise.
+    decisions, only while their measured size allows it, and splits skewed hosts otherwise. With ``hot`` the URLs are
+    counted by host first, and those of the ``hot`` most frequent hosts are answered from a map of literals where they
+    are read; only the others are joined.
     """
-    hosts = urls.select(F.col(host).alias("_host")).distinct()
+    nearest = nearest_entries(urls.select(F.col(host).alias("_host")).distinct(), host_state)
+    columns = [F.col(c) for c in urls.columns]
+
+    def answered(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns, F.col("_hit.cache_key").alias("matched_key"), F.col("_hit.decision").alias("cached_decision"),
+                           F.col("_hit.score").alias("cached_score"))
+
+    names = frequent_hosts(urls, hot, host) if hot else []
+    if not names:
+        return answered(urls.join(nearest, urls[host] == nearest["_host"], "left"))
+    known = nearest_entries(urls.sparkSession.createDataFrame([(n,) for n in names], "_host string"), host_state)
+    entries = {r._host: r._hit for r in known.collect()}  # at most ``hot`` rows
+    entry = host_state.select("cache_key", "decision", "score").schema
+
+    def literal(hit) -> Column:
+        return F.struct(*[F.lit(hit[f.name] if hit else None).cast(f.dataType).alias(f.name) for f in entry.fields])
+
+    table = F.create_map(*[x for n in names for x in (F.lit(n), literal(entries.get(n)))])
+    is_hot = F.coalesce(F.col(host).isin(names), F.lit(False))
+    rest = urls.filter(~is_hot)
+    return answered(urls.filter(is_hot).withColumn("_hit", table[F.col(host)])).unionByName(
+        answered(rest.join(nearest, rest[host] == nearest["_host"], "left")))
+
+
+def nearest_entries(hosts: DataFrame, host_state: DataFrame) -> DataFrame:
+    """_host and the entry (``_hit``) of the host itself or its nearest parent that has one."""
     tried = exploded(hosts, host_variants("_host"), "_depth", "cache_key", "_host")
     hit = tried.join(host_state.select("cache_key", "decision", "score"), "cache_key")
-    nearest = hit.groupBy("_host").agg(
-        F.min_by(F.struct("cache_key", "decision", "score"), F.col("_depth")).alias("_hit"))
-    out = urls.join(nearest, urls[host] == nearest["_host"], "left")
-    return out.select(*[urls[c] for c in urls.columns], F.col("_hit.cache_key").alias("matched_key"),
-                      F.col("_hit.decision").alias("cached_decision"), F.col("_hit.score").alias("cached_score"))
+    return hit.groupBy("_host").agg(F.min_by(F.struct("cache_key", "decision", "score"), F.col("_depth")).alias("_hit"))
+
+
+def frequent_hosts(urls: DataFrame, most: int, host: str = "host", share: float = 0.001) -> list[str]:
+    """The most frequent hosts, at most ``most``, each with at least ``share`` of all URLs."""
+    counts = urls.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).count()
+    total = counts.agg(F.sum("count").alias("n")).first().n or 0
+    return [r.host for r in counts.filter(F.col("count") >= max(1, share * total)).orderBy(F.desc("count"), "host").limit(most).collect()]
+
+
+GRAM = 3  # characters of the grams that URLs and patterns share
+
+
+def containing(urls: DataFrame, patterns: DataFrame, key: str = "page_id", url: str = "url", pattern: str = "pattern") -> DataFrame:
+    """URL8 for any number of loaded patterns: ``key`` and ``pattern`` for every pattern that stands in a URL, case aside.
+
+    A pattern stands in a URL only if its rarest gram does, so the URLs' grams are joined with one gram of each pattern,
+    the one that the fewest URLs hold, and ``contains`` verifies. A pattern with a gram that no URL holds drops out before
+    the join. Shorter patterns are a gram of their own length; an empty one stands in no URL.
+    """
+    rows = urls.select(key, F.lower(url).alias("_url"))
+    names = patterns.select(F.lower(pattern).alias("_pattern")).filter("_pattern <> ''").distinct()
+
+    def grams(c: str, size) -> Column:
+        ends = F.length(c) - size + 1
+        cut = F.transform(F.sequence(F.lit(1), ends), lambda i: F.substring(F.col(c), i, F.lit(size) if isinstance(size, int) else size))
+        return F.coalesce(F.array_distinct(F.when(ends > 0, cut)), F.array().cast("array<string>"))
+
+    own = names.select("_pattern", F.explode(grams("_pattern", F.least(F.length("_pattern"), F.lit(GRAM)))).alias("_gram"))
+    parts = F.array_union(grams("_url", GRAM), F.array_union(grams("_url", 2), grams("_url", 1)))
+    held = rows.select(key, "_url", F.explode(parts).alias("_gram"))
+    wanted = held.select("_gram").join(own.select("_gram").distinct(), "_gram", "left_semi")
+    counts = wanted.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = (own.join(counts, "_gram", "left").groupBy("_pattern")
+              .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"), F.min(F.coalesce("_n", F.lit(0))).alias("_least"))
+              .filter("_least > 0").select("_pattern", "_gram"))
+    return held.join(rarest, "_gram").filter(F.col("_url").contains(F.col("_pattern"))).select(key, F.col("_pattern").alias("pattern"))
 
 
 def learned_pdf(urls: DataFrame, hosts: DataFrame | None, patterns: DataFrame | None, key: str = "page_id") -> DataFrame:

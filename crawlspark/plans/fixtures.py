@@ -71,6 +71,10 @@ SELECT page_id, url,
               CASE WHEN page_id % 3 = 0 THEN '<div class="x g-recaptcha BLOCKED" id="captcha"><iframe src="https://a/recaptcha/api"></iframe></div>' ELSE '' END,
               CASE WHEN page_id % 4 = 0 THEN '<embed type="application/pdf">' ELSE '' END, html) AS html
 FROM {pages}""",
+    "url_patterns": """
+SELECT DISTINCT CASE page_id % 6 WHEN 0 THEN upper(substr(url, 9 + page_id % 17, 3 + page_id % 9)) WHEN 1 THEN substr(url, 20, 12)
+       WHEN 2 THEN concat('nowhere-', page_id) WHEN 3 THEN substr(url, 12, 2) WHEN 4 THEN substr(url, 10 + page_id % 13, 5) ELSE '' END AS pattern
+FROM {pdf_urls}""",
     "listed_pages": """
 SELECT page_id, html AS plain,
        concat('<article><h2>L', page_id, '</h2><UL><li>a', page_id, '<ol start="1"><li>x<li>y', page_id, '<ul><li>z</ul><li><p>w</p></ol></li>',

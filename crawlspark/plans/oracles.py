@@ -51,6 +51,12 @@ def spaced(e: str) -> str:
     return collapse(sub(e, r"<[^>]+>", " "))
 
 
+def _bucketed(e: str) -> str:
+    """The middle of the sketch's bucket that holds the exact percentile."""
+    g = 1.01 / 0.99
+    return f"CASE WHEN {e} > 0 THEN round(2.0 * pow({g!r}::DOUBLE, ceil(ln({e}) / ln({g!r}::DOUBLE))) / ({g!r}::DOUBLE + 1), 4) ELSE 0.0 END"
+
+
 def no_scripts(e: str) -> str:
     for p in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>",
               r"(?i)<script[^>]*/>", r"(?i)<style[^>]*/>"):
@@ -612,6 +618,18 @@ every AS (SELECT page_id, string_agg({_md}, chr(10) || chr(10) ORDER BY pos) AS
 SELECT p.page_id, replace(concat('## L', p.page_id, '~~- a', p.page_id, '~  1. x~  2. y', p.page_id, '~     - z~  3. w~- b~~| k | v\\|w |~| --- | --- |~| ',
  p.page_id, ' |  |~| p q | ', length(p.html), ' |'), '~', chr(10)) || coalesce(chr(10) || chr(10) || e.markdown, '') AS markdown, coalesce(m.markdown, '') AS main
 FROM pages p LEFT JOIN every e ON e.page_id = p.page_id LEFT JOIN page_md m ON m.page_id = p.page_id""")
+add("bm25_corpus", ORACLES["bm25_blocks"].replace("st AS (SELECT page_id, count(*) AS n, avg(len(ts)) AS mean FROM tk GROUP BY page_id)",
+    "st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM tk)").replace("SELECT page_id, w, count(*) FILTER (f > 0) AS d FROM tf GROUP BY page_id, w",
+    "SELECT w, count(*) FILTER (f > 0) AS d FROM tf GROUP BY w").replace("JOIN df ON df.page_id = tf.page_id AND df.w = tf.w JOIN st ON st.page_id = tf.page_id",
+    "JOIN df ON df.w = tf.w CROSS JOIN st"))
+add("loaded_patterns", f"""{ctes('pdf_urls', 'url_patterns')} SELECT page_id, p.pattern FROM pdf_urls,
+ (SELECT DISTINCT lower(pattern) AS pattern FROM url_patterns WHERE pattern <> '') p WHERE contains(lower(url), p.pattern)""")
+add("cached_route_hot", ORACLES["cached_route"])
+add("latency_sketch", f"""{ctes('attempts')}, a AS (SELECT list_extract(string_split(host, '.'), -1) AS "case", CASE WHEN lane IN ('easyget', 'playwright', 'jina', 'pdf') THEN lane ELSE 'other' END AS lane,
+ elapsed_s * 1000 AS ms FROM attempts WHERE elapsed_s IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "case", lane ORDER BY ms) AS k, count(*) OVER (PARTITION BY "case", lane) AS n FROM a),
+p AS (SELECT "case", lane, any_value(n) AS n, min(ms) FILTER (k >= ceil(0.5 * n)) AS p50, min(ms) FILTER (k >= ceil(0.95 * n)) AS p95 FROM r GROUP BY 1, 2)
+SELECT "case", lane, n, {_bucketed('p50')} AS p50_ms, {_bucketed('p95')} AS p95_ms FROM p""")
 # The stream is closed at its end, so every event is folded.
 add("learn_scores_stream", f"""{ctes('attempts').replace('WITH ', 'WITH RECURSIVE ', 1)},
 nothing AS (SELECT '' AS cache_key, '' AS decision, 0 AS score WHERE false), {fold('attempts', 'nothing')}

@@ -656,6 +656,35 @@ def text_stability_stream(s, d):
     return stream_stability.text_stability_stream(stream, f"{place}/state", f"{place}/checkpoint", **STABLE)
 
 
+@register
+def bm25_corpus(s, d):
+    return cleaning.bm25_corpus(view(s, d, "pages"), BM25_QUERY, BM25_LIMIT).withColumn("idx", F.col("idx").cast("long"))
+
+
+@register
+def loaded_patterns(s, d):
+    """Patterns cut from the URLs themselves, in other case, with some that stand nowhere."""
+    return routing.containing(view(s, d, "pdf_urls"), view(s, d, "url_patterns"))
+
+
+@register
+def cached_route_hot(s, d):
+    urls = _all_urls(s, d).select("kind", "page_id", U.norm_host("url").alias("host"))
+    more = view(s, d, "page_dim").select(F.lit("page").alias("kind"), "page_id", "host")
+    out = routing.cached_route(urls.unionByName(more), view(s, d, "host_state"), hot=8)
+    return out.select("kind", "page_id", F.coalesce("matched_key", F.lit("")).alias("matched_key"),
+                      F.coalesce("cached_decision", F.lit("")).alias("cached_decision"))
+
+
+@register
+def latency_sketch(s, d):
+    """Sketches of two halves of the attempts, merged."""
+    rows = view(s, d, "attempts").withColumn("case", F.substring_index("host", ".", -1))
+    halves = [races.latency_sketch(rows.filter(F.col("attempt_id") % 2 == k)) for k in (0, 1)]
+    got = races.sketch_percentiles(races.merge_sketches(*halves))
+    return got.select("case", "lane", "n", F.round("p50_ms", 4).alias("p50_ms"), F.round("p95_ms", 4).alias("p95_ms"))
+
+
 @register
 def visit_curve(s, d):
     return races.visit_curve(view(s, d, "attempts"))
