@@ -19,7 +19,7 @@ BLOCK_OPEN = rf"(?i)(<(?:{BLOCK_TAGS})\b)"
 NOISE = ((r"(?is)<!--.*?-->", "-->"), (r"(?is)<head(?:\s[^>]*)?>.*?</head>", "</head>"),
          *((rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", f"</{tag}>") for tag in ("nav", "header", "footer", "aside")))
 INLINE = r"(?i)<(?:a|img|b|strong|i|em|code)\b"
-LINK = r"(?is)<a\b[^>]*>(.*?)</a>"
+LINK = r"(?is)<a\b[^<>]*>(.*?)</a>"
 BLOCK_COST = 10  # characters a block must bring to be worth keeping
 
 TAG_WEIGHTS = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "article": 1.5, "section": 1.0, "main": 1.5,
@@ -41,13 +41,18 @@ def _plain(c: Column) -> Column:
 
 def _inline_markdown(c: Column) -> Column:
     """Links, images, emphasis and code become Markdown before the remaining tags go."""
-    q = r"""["']([^"']*)["']"""
-    out = F.regexp_replace(c, rf"(?is)<img\b(?=[^>]*\ssrc\s*=\s*{q})(?=[^>]*\salt\s*=\s*{q})[^>]*>", "![$2]($1)")
-    out = F.regexp_replace(out, rf"(?is)<img\b(?=[^>]*\ssrc\s*=\s*{q})[^>]*>", "![]($1)")
-    out = F.regexp_replace(out, rf"(?is)<a\b[^>]*\shref\s*=\s*{q}[^>]*>(.*?)</a>", "[$2]($1)")
-    out = F.regexp_replace(out, r"(?is)<(?:b|strong)(?:\s[^>]*)?>(.*?)</(?:b|strong)>", "**$1**")
-    out = F.regexp_replace(out, r"(?is)<(?:i|em)(?:\s[^>]*)?>(.*?)</(?:i|em)>", "_$1_")
-    return F.regexp_replace(out, r"(?is)<code(?:\s[^>]*)?>(.*?)</code>", "`$1`")
+    q = r"""["']([^"'<>]*)["']"""
+    out = F.regexp_replace(c, rf"(?is)<img\b(?=[^<>]*\ssrc\s*=\s*{q})(?=[^<>]*\salt\s*=\s*{q})[^<>]*>", "![$2]($1)")
+    out = F.regexp_replace(out, rf"(?is)<img\b(?=[^<>]*\ssrc\s*=\s*{q})[^<>]*>", "![]($1)")
+    out = drop_up_to(out, rf"(?is)<a\b[^<>]*\shref\s*=\s*{q}[^<>]*>(.*?)</a>", "</a>", "[$2]($1)")
+    out = drop_up_to(out, r"(?is)<(?:b|strong)(?:\s[^<>]*)?>(.*?)</(?:b|strong)>", "</(?:b|strong)>", "**$1**")
+    out = drop_up_to(out, r"(?is)<(?:i|em)(?:\s[^<>]*)?>(.*?)</(?:i|em)>", "</(?:i|em)>", "_$1_")
+    return drop_up_to(out, r"(?is)<code(?:\s[^<>]*)?>(.*?)</code>", "</code>", "`$1`")
+
+
+def _linked(segment: Column) -> Column:
+    """What stands inside the links; none ends beyond the last end of a link."""
+    return F.array_join(F.regexp_extract_all(F.regexp_extract(segment, r"(?is)^(.*</a>)", 1), F.lit(LINK), F.lit(1)), " ")
 
 
 def _line(segment: Column, tag: Column, text: Column) -> Column:
@@ -71,8 +76,7 @@ def page_blocks(html) -> Column:
         return F.struct(idx.alias("idx"), tag.alias("tag"), _plain(segment).alias("text"), segment.alias("segment"))
 
     def facts(b: Column) -> Column:
-        linked = F.array_join(F.regexp_extract_all(b["segment"], F.lit(LINK), F.lit(1)), " ")
-        links = F.when(b["segment"].rlike(r"(?i)<a\b"), F.length(_plain(linked))).otherwise(0)
+        links = F.when(b["segment"].rlike(r"(?i)<a\b"), F.length(_plain(_linked(b["segment"])))).otherwise(0)
         return F.struct(
             b["idx"].alias("idx"), b["tag"].alias("tag"), b["text"].alias("text"), F.length(b["text"]).alias("chars"),
             links.alias("link_chars"), F.length(b["segment"]).alias("html_chars"),
@@ -140,8 +144,7 @@ def _structure(html) -> Column:
 
     def facts(b: Column) -> Column:
         flat = F.when(b["segment"].rlike(INLINE), _plain(_inline_markdown(b["segment"]))).otherwise(b["text"])
-        linked = F.array_join(F.regexp_extract_all(b["segment"], F.lit(LINK), F.lit(1)), " ")
-        links = F.when(b["segment"].rlike(r"(?i)<a\b"), F.length(_plain(linked))).otherwise(0)
+        links = F.when(b["segment"].rlike(r"(?i)<a\b"), F.length(_plain(_linked(b["segment"])))).otherwise(0)
         md = F.when(b["tag"] == "li", flat).otherwise(_line(b["segment"], b["tag"], b["text"]))
         return F.struct(b["idx"].alias("idx"), b["tag"].alias("tag"), b["text"].alias("text"),
                         F.length(b["text"]).alias("chars"), links.alias("link_chars"),

@@ -91,7 +91,8 @@ def unescape(c) -> Column:
 
 def html_title(html, default: str | None = NO_TITLE) -> Column:
     """TXT3: first ``<title>``, unescaped and collapsed."""
-    title = collapse_ws(unescape(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    held = F.regexp_extract(col(html), r"(?is)^(.*</title>)", 1)  # beyond it no title ends
+    title = collapse_ws(unescape(F.regexp_extract(held, r"(?is)<title[^<>]*>(.*?)</title>", 1)))
     return title if default is None else F.when(title == "", default).otherwise(F.coalesce(title, F.lit(default)))
 
 
@@ -132,8 +133,9 @@ def strip_base64_images(html) -> Column:
 
 def strip_base64_markdown(md) -> Column:
     """TXT6: inline images in Markdown image, link and bare form."""
-    out = F.regexp_replace(col(md), r"(?i)!\[([^\]]*)\]\(data:image/[^;]+;base64,[^\)]+\)", "![图片已移除]")
-    out = F.regexp_replace(out, r"(?i)\[[^\]]*\]\(data:image/[^;]+;base64,[^\)]+\)", "[base64-link-removed]")
+    # No class runs over another opening bracket, so each place is looked at from few starts.
+    out = F.regexp_replace(col(md), r"(?i)!\[([^\[\]]*)\]\(data:image/[^;()\[\]]+;base64,[^()\[\]]+\)", "![图片已移除]")
+    out = F.regexp_replace(out, r"(?i)\[[^\[\]]*\]\(data:image/[^;()\[\]]+;base64,[^()\[\]]+\)", "[base64-link-removed]")
     return F.regexp_replace(out, r"(?i)data:image/[a-zA-Z]+;base64,[A-Za-z0-9+/=]+", "#base64-removed")
 
 
@@ -147,13 +149,31 @@ def strip_script_style(html) -> Column:
 
 
 def strip_md_links(md, images: bool = True, links: bool = True) -> Column:
-    """TXT8: drop Markdown images and/or links, label included."""
-    out = col(md)
+    """TXT8: drop Markdown images and/or links, label included.
+
+    A link lies in a line. Each line is searched up to the first ``)`` after the last ``](`` that has one behind it: before
+    that ``](`` every bracket opens a match, which is then passed over; behind it none does.
+    """
+    def without(pattern: str):
+        def one(line: Column) -> Column:
+            closed = F.substring(line, F.lit(1), F.length(line) - F.length(F.substring_index(line, ")", -1)))
+
+            def cut(h: Column) -> Column:
+                rest = F.substring_index(h, "](", -1)
+                size = F.length(h) - F.length(rest) + F.locate(")", rest)
+                return F.when(~h.contains("]("), line).otherwise(let(size, lambda n: F.concat(
+                    F.regexp_replace(F.substring(line, F.lit(1), n), pattern, ""), F.substring(line, n + 1, F.length(line)))))
+
+            return let(closed, cut)
+
+        return one
+
+    lines = F.split(col(md), "\n")
     if images:
-        out = F.regexp_replace(out, r"!\[[^\n]*?\]\([^\n]*?\)", "")
+        lines = F.transform(lines, without(r"!\[[^\n]*?\]\([^\n]*?\)"))
     if links:
-        out = F.regexp_replace(out, r"(?<!!)\[[^\n]*?\]\([^\n]*?\)", "")
-    return out
+        lines = F.transform(lines, without(r"(?<!!)\[[^\n]*?\]\([^\n]*?\)"))
+    return F.array_join(lines, "\n")
 
 
 ICON_RELS = ("icon", "shortcut icon", "apple-touch-icon", "apple-touch-icon-precomposed")  # fixed order
@@ -179,8 +199,8 @@ def icon_links(html, base, k: int = 3) -> Column:
 def has_pdf_embed(html) -> Column:
     """TXT10: an embed or object of PDF type, or a frame whose source is a PDF."""
     html = col(html)
-    return (html.rlike(r"""(?is)<(?:embed|object)\b[^>]*\stype\s*=\s*["']application/pdf["']""")
-            | html.rlike(r"""(?is)<iframe\b[^>]*\ssrc\s*=\s*["'][^"'>]*\.pdf"""))
+    return (html.rlike(r"""(?is)<(?:embed|object)\b[^<>]*\stype\s*=\s*["']application/pdf["']""")
+            | html.rlike(r"""(?is)<iframe\b[^<>]*\ssrc\s*=\s*["'][^"'<>]*\.pdf"""))
 
 
 def is_huge(html, mb: float = 8.0) -> Column:

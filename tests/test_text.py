@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -226,3 +228,30 @@ def test_framework_script_search_equals_the_full_alternation(spark):
              "https://cdn/npm/next.js?v=1", "page.js", "es6.js", "jquery.js", "data/jQuery3.js bundle.js.map", "emotion.css"]
     full = "(?i)" + "|".join(Q.DEFAULT_RULES.spa_patterns)
     assert col1(spark, names, Q.framework_scripts) == col1(spark, names, lambda c: F.col(c).rlike(full))
+
+
+@pytest.mark.parametrize("name, unit, make", [
+    ("title", "<title>", X.html_title), ("title tag", "<title ", X.html_title), ("image", "![a", X.strip_base64_markdown),
+    ("data", "![a](data:image/", X.strip_base64_markdown), ("data body", "![a](data:image/png;base64,QUJD", X.strip_base64_markdown),
+    ("label", "[a", X.strip_md_links), ("link", "[a](", X.strip_md_links), ("closed", "[a)", X.strip_md_links), ("images", "[a ![", X.strip_md_links), ("embed", "<embed ", X.has_pdf_embed),
+    ("frame", "<iframe src='", X.has_pdf_embed), ("anchor", "<a href='x'>t", B._inline_markdown), ("bold", "<b>t", B._inline_markdown),
+    ("img", "<img ", B._inline_markdown), ("linked", "<a href='x'>t", B._linked)])
+def test_a_megabyte_of_open_marks_takes_linear_time(spark, name, unit, make):
+    def seconds(n, end):
+        df = spark.createDataFrame([(unit * (n // len(unit)) + end,)], "t string").select(make(F.col("t")).alias("r"))
+        start = time.perf_counter()
+        df.collect()
+        return time.perf_counter() - start
+
+    seconds(1000, "")
+    assert seconds(1_000_000, "") < 6 and seconds(1_000_000, " ](x) </title></a></b> >") < 6
+
+
+def test_links_go_as_the_plain_patterns_say(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices(["[", "]", "(", ")", "](", "!", "a", "\n", " "], k=rnd.randrange(30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(X.strip_md_links("t").alias("x"), X.strip_md_links("t", links=False).alias("y"), X.strip_md_links("t", images=False).alias("z"), "t").collect()
+    image, link = r"!\[[^\n]*?\]\([^\n]*?\)", r"(?<!!)\[[^\n]*?\]\([^\n]*?\)"
+    for r in got:
+        assert (r.x, r.y, r.z) == (re.sub(link, "", re.sub(image, "", r.t)), re.sub(image, "", r.t), re.sub(link, "", r.t))
