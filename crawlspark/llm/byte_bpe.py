@@ -3,10 +3,12 @@
 A text is cut by the pattern into words. A word that is in the vocabulary is its own token; the other distinct words
 become token-position rows. Each step of the recursion joins the rows' pairs with the merge table and contracts, in
 every word, the leftmost pair of lowest rank; a word without such a pair leaves as it is. Decoding joins the ids with the
-vocabulary and aggregates the bytes in the order of the positions.
+vocabulary and aggregates the bytes in the order of the positions; every distinct word is held against what its ids
+decode to. A document's bytes are decoded from its own ids, by the same vocabulary and order.
 
-Words longer than ``LONG_WORD`` bytes take a second query: a step contracts all separate occurrences of the lowest pair
-at once, but only for tokens of which no pair has a lower rank, where the order within the step cannot matter.
+Words longer than ``LONG_WORD`` bytes are merged by a heap of (rank, position) over a linked list of tokens, the same
+contractions in the same order in n log n steps and some hundred bytes of memory for each byte of the word. Their ids are
+decoded by the same query as those of the others, in blocks of rows.
 
 The cuts before single spaces depend on nothing else, so pieces between spaces are cut once each; texts with other white
 space next to a space are cut as a whole. Both forms give the same words.
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+from array import array
 
 import duckdb
 import numpy as np
@@ -26,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import kept_in_worker, per_text
+from .common import Remembered, kept_in_worker, per_text
 
 SLAB = 6 << 20           # bytes of text whose distinct words are encoded together
-LONG_WORD = 200          # bytes
+LONG_WORD = 64           # bytes
 QUERY_BYTES = 1 << 19    # token-position rows of one query
 KEPT_WORDS = 250_000     # encoded words that a worker remembers
 BREAK = "\u2028"         # white space that separates pieces while they are cut
@@ -56,31 +60,6 @@ WITH RECURSIVE state(word, gid, tok, live) AS (
 SELECT word, gid, tok FROM state WHERE NOT live
 """
 
-LONG_SQL = """
-WITH RECURSIVE state(word, gid, tok, live) AS (
-  SELECT word, gid, tok, true FROM start
-  UNION ALL
-  SELECT word, gid, tok, live FROM (
-    WITH pairs AS (
-      SELECT word, gid, tok, row_number() OVER w AS idx, tok::BIGINT * 65536 + lead(tok) OVER w AS pair
-      FROM state WHERE live WINDOW w AS (PARTITION BY word ORDER BY gid)),
-    ranked AS MATERIALIZED (
-      SELECT p.word, p.gid, p.idx, p.tok, m.rank, m.safe FROM pairs p LEFT JOIN merges m ON p.pair = m.pair),
-    lowest AS (SELECT word, min(rank) AS low FROM ranked GROUP BY word),
-    places AS (
-      SELECT r.word, r.idx, l.low, r.safe, row_number() OVER (PARTITION BY r.word ORDER BY r.idx) AS k
-      FROM ranked r JOIN lowest l ON r.word = l.word AND r.rank = l.low),
-    chosen AS (
-      SELECT word, idx, low FROM (SELECT *, k - min(k) OVER (PARTITION BY word, idx - k) AS step FROM places)
-      WHERE step % 2 = 0 AND (safe OR k = 1))
-    SELECT r.word, r.gid, coalesce(a.low, r.tok) AS tok, l.low IS NOT NULL AS live
-    FROM ranked r JOIN lowest l USING (word)
-    LEFT JOIN chosen a ON a.word = r.word AND a.idx = r.idx
-    LEFT JOIN chosen b ON b.word = r.word AND b.idx = r.idx - 1
-    WHERE b.idx IS NULL))
-SELECT word, gid, tok FROM state WHERE NOT live
-"""
-
 # Decoding: the bytes of the ids in the order of the positions, in blocks of words.
 DECODE_SQL = """
 SELECT d.word >> 10 AS block, string_agg(v.hex, '' ORDER BY d.gid) AS hex
@@ -95,16 +74,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """Every pair of tokens whose bytes together are a token, with its rank, which is also its id.
-
-    ``safe``: no pair that holds the merged token has a lower rank.
-    """
+    """Every pair of tokens whose bytes together are a token, with its rank, which is also its id."""
     rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks]
     left, right, rank = (np.array(x, dtype=np.int64) for x in zip(*rows)) if rows else (np.empty(0, np.int64),) * 3
-    safe = np.ones(max(ranks.values(), default=0) + 1, dtype=bool)
-    safe[left[left >= rank]] = safe[right[right >= rank]] = False
-    return pa.table({"pair": left * 65536 + right, "rank": rank.astype(np.int32), "safe": safe[rank]})
+    return pa.table({"pair": left * 65536 + right, "rank": rank.astype(np.int32)})
 
 
 def word_pattern(pattern: str) -> regex.Pattern:
@@ -122,7 +96,11 @@ class Codec:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.lengths = np.zeros(65536, dtype=np.int64)
         self.lengths[list(ranks.values())] = [len(t) for t in ranks]
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.letters = np.frombuffer(b"".join([t for _, t in sorted((i, t) for t, i in ranks.items())]), dtype=np.uint8)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.merge_rows, self.merges = merges, None
         self.db.register("merge_rows", merges)
         self.db.register("vocabulary_rows", pa.table({"tok": pa.array(ranks.values(), pa.int32()),
                                                       "hex": [t.hex() for t in ranks]}))
@@ -136,50 +114,98 @@ class Codec:
         for i, w in enumerate(words):
             whole = self.ranks.get(w)
             if whole is not None:
-                out[i] = (whole.to_bytes(4, "little"), w)
+                out[i] = (whole.to_bytes(4, "little"), self.tokens[whole])
             elif w:
                 (short if len(w) <= LONG_WORD else long).append(i)
             else:
                 out[i] = (b"", b"")
-        for chosen, query in ((short, SHORT_SQL), (long, LONG_SQL)):
-            held, size = [], 0
-            for i in chosen:
-                if held and size + len(words[i]) > QUERY_BYTES:
-                    self._run(query, words, held, out)
-                    held, size = [], 0
-                held.append(i)
-                size += len(words[i])
-            if held:
-                self._run(query, words, held, out)
+        held, size = [], 0
+        # Words of about the same length take about as many steps, so a query ends with all its words.
+        for i in sorted(short, key=lambda i: len(words[i])):
+            if held and size + len(words[i]) > QUERY_BYTES:
+                self._run(words, held, out)
+                held, size = [], 0
+            held.append(i)
+            size += len(words[i])
+        if held:
+            self._run(words, held, out)
+        for i in long:
+            ids = self._merge_long(words[i])
+            plain = b"".join([self._decode(np.zeros(len(ids[k:k + QUERY_BYTES]), np.int32), ids[k:k + QUERY_BYTES])
+                              for k in range(0, len(ids), QUERY_BYTES)])
+            out[i] = (ids.astype("<u4").tobytes(), plain)
         return out
 
-    def _run(self, query: str, words, chosen, out) -> None:
+    def decode(self, encoded: list[bytes]) -> list[bytes]:
+        """The bytes of each list of ids: those of its tokens, in the order of their positions."""
+        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
+        sizes = self.lengths[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)
+        plain = self.letters[at].tobytes()
+        cuts = ends[np.concatenate(([0], np.cumsum([len(x) // 4 for x in encoded], dtype=np.int64)))].tolist()
+        return [plain[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _run(self, words, chosen, out) -> None:
         sizes = [len(words[i]) for i in chosen]
         raw = np.frombuffer(b"".join([words[i] for i in chosen]), dtype=np.uint8)
         self.db.register("start", pa.table({"word": np.repeat(np.arange(len(chosen), dtype=np.int32), sizes),
                                             "gid": np.arange(len(raw), dtype=np.int64), "tok": self.single[raw]}))
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE done AS {query}")
+        found = self.db.sql(f"SELECT word, tok FROM ({SHORT_SQL}) ORDER BY gid").fetchnumpy()
         self.db.unregister("start")
-        found = self.db.sql("SELECT word, tok FROM done ORDER BY gid").fetchnumpy()
-        ids = np.asarray(found["tok"]).astype("<u4")
-        plain = bytes.fromhex("".join(h for _, h in self.db.sql(DECODE_SQL).fetchall()))
-        counts = np.bincount(np.asarray(found["word"]), minlength=len(chosen))
+        word, ids = np.asarray(found["word"]), np.asarray(found["tok"])
+        plain = self._decode(word, ids)
+        counts = np.bincount(word, minlength=len(chosen))
         ends = np.concatenate(([0], np.cumsum(counts)))
         places = np.concatenate(([0], np.cumsum(self.lengths[ids])))[ends].tolist()
-        stream, ends = ids.tobytes(), (4 * ends).tolist()
+        stream, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
         for k, i in enumerate(chosen):
             out[i] = (stream[ends[k]:ends[k + 1]], plain[places[k]:places[k + 1]])
 
+    def _decode(self, word: np.ndarray, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, in their order."""
+        self.db.register("done", pa.table({"word": word, "gid": np.arange(len(ids)), "tok": ids}))
+        plain = bytes.fromhex("".join(h for _, h in self.db.sql(DECODE_SQL).fetchall()))
+        self.db.unregister("done")
+        return plain
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of a long word: the leftmost pair of lowest rank is contracted until there is none."""
+        if self.merges is None:
+            self.merges = dict(zip(self.merge_rows["pair"].to_pylist(), self.merge_rows["rank"].to_pylist()))
+        rank_of, n = self.merges.get, len(word)
+        tok = array("i", self.single[np.frombuffer(word, np.uint8)].tolist())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        # rank and position in one number; a pair that has changed since is passed over.
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(tok[i] << 16 | tok[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if tok[i] < 0 or j >= n or rank_of(tok[i] << 16 | tok[j]) != rank:
+                continue
+            k, tok[i], tok[j] = after[j], rank, -1
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r := rank_of(rank << 16 | tok[k])) is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(tok[h] << 16 | rank)) is not None:
+                heapq.heappush(heap, r << 32 | h)
+        ids = np.frombuffer(tok, dtype=np.int32)
+        return ids[ids >= 0]
+
 
 class TextCodec:
     """Whole texts, by way of their distinct pieces and words."""
 
     def __init__(self, codec: Codec, pattern: str, kept: int = KEPT_WORDS):
-        self.codec, self.kept = codec, kept
+        self.codec = codec
         self.find = word_pattern(pattern).findall
         self.white = regex.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))
-        self.words: dict[str, bytes] = {}
-        self.pieces_kept: dict[str, bytes] = {}
+        self.words, self.pieces_kept = Remembered(kept), Remembered(kept)
 
     def pieces(self, text: str) -> list[str]:
         """Parts that the pattern cuts alone: what stands between single spaces, else the whole text."""
@@ -207,23 +233,21 @@ class TextCodec:
 
     def __call__(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         texts = [self.pieces(t.decode("utf-8", "replace")) if t else [] for t in texts]
-        if len(self.words) > self.kept:
-            self.words = {}
-        if len(self.pieces_kept) > self.kept:
-            self.pieces_kept = {}
+        self.words.rest()
+        self.pieces_kept.rest()
         known, whole = self.words, self.pieces_kept
-        parts = [p for p in set().union(*texts) if p not in whole]
+        parts = whole.unknown(set().union(*texts))
         cut = self.cut(parts)
-        new = [w for w in set().union(*cut) if w not in known]
+        new = known.unknown(set().union(*cut))
         for w, (ids, plain) in zip(new, self.codec.encode([w.encode() for w in new])):
             known[w] = ids
             if plain != w.encode():
                 raise ValueError(f"the ids of {w!r} decode to {plain!r}")
-        # What a piece decodes to is what its words were decoded to, in their order.
         for p, words in zip(parts, cut):
             whole[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         get = whole.__getitem__
-        return [(b"".join(map(get, ps)), "".join(ps).encode()) for ps in texts]
+        encoded = [b"".join(map(get, ps)) for ps in texts]
+        return list(zip(encoded, self.codec.decode(encoded)))
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, fields: str, derive) -> DataFrame:

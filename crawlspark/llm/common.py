@@ -46,6 +46,31 @@ def kept_in_worker(key, make: Callable):
     return store["value"]
 
 
+class Remembered(dict):
+    """A table of two halves: when the young one is full it becomes the old one; what is found there again is young again.
+
+    So what is used often stays, and what is not goes. A key must be added before it is looked up.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = max(1, most // 2), {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def unknown(self, keys) -> list:
+        old = self.old
+        return [k for k in keys if k not in self and k not in old]
+
+    def rest(self) -> None:
+        """To be called between uses: the young half grows old if it is full."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 def struct_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 

@@ -39,6 +39,7 @@ KNOWN = 1 << 17                  # words whose shares of their buckets are broad
 CLASSES = 32
 IN_CLASS = ROWS // CLASSES
 EDGE = ROWS - 1
+SMALL = np.int16                 # rows fit, and 16-bit numbers are sorted by radix
 STEPS = 1 << 24                  # weights are summed as whole multiples of 1 / STEPS
 LOG_STEPS = 1 << 28              # and logarithms of counts as those of 1 / LOG_STEPS
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
@@ -174,8 +175,9 @@ class Network:
         for i in range(0, len(places), batch):
             # In the order of the rows, so that each class is a stretch, padded to the longest for one product.
             at = places[i:i + batch]
-            at = at[np.argsort(row[at], kind="stable")]
-            group, inner = row[at] // IN_CLASS, row[at] % IN_CLASS
+            at = at[np.argsort(row[at].astype(SMALL), kind="stable")]
+            target = row[at]
+            group, inner = target // IN_CLASS, target % IN_CLASS
             h, every, step = self.hidden(row, at), np.arange(len(at)), rate / len(at)
             p = soft_max(h @ w["cls"] + w["cls_bias"])
             p[every, group] -= 1
@@ -199,28 +201,40 @@ class Network:
             w["word_bias"] -= step * p.sum(1)
             d = d_h * (1 - h * h)
             w["bias"] -= step * d.sum(0)
-            for k, offset in enumerate(OFFSETS):
-                words = row[at + offset]
-                d_place = (d * w["embed"].take(words, axis=0)).sum(0)
-                add_rows(w["embed"], words, d * (w["place"][k] * -step))
-                w["place"][k] -= step * d_place
+            words = row[at[None, :] + np.array(OFFSETS)[:, None]]
+            d_place = (d[None] * w["embed"].take(words, axis=0)).sum(1)
+            # All places of the window at once, equal words summed.
+            add_rows(w["embed"], words.ravel(), (d[None] * (w["place"] * -step)[:, None]).reshape(-1, DIM))
+            w["place"] -= step * d_place
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z - top), its row sums, and top: the largest of all values, or of each row where rows lie too far apart."""
+    ones = np.ones(z.shape[1], dtype=z.dtype)
+    top = z.max(keepdims=True)
+    e = np.exp(z - top)
+    sums = e @ ones
+    if sums.min() < 1e-25:
+        top = z.max(axis=1, keepdims=True)
+        e = np.exp(z - top)
+        sums = e @ ones
+    return e, sums, top
 
 
 def soft_max(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1)[:, None]
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], dtype=z.dtype))[:, None]
-    return z
+    e, sums, _ = exponentials(z)
+    e /= sums[:, None]
+    return e
 
 
 def log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+    _, sums, top = exponentials(z)
+    return np.log(sums) + top[:, 0]
 
 
 def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """table[rows] += values, equal rows summed."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(SMALL), kind="stable")
     rows = rows[order]
     first = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1))
     table[rows[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
@@ -260,7 +274,10 @@ class Fitted:
 
 
 def known_words(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``limit``; of those with the same count all or none."""
+    """The most frequent words, at most ``limit``; of those with the same count all or none.
+
+    Where more than ``limit`` words are in the class of the largest counts, the first of it by count and word are taken.
+    """
     top = 1 << 16  # counts from here on are taken together, so that the histogram is bounded
     held, least = 0, None
     for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).count().orderBy(F.desc("n")).collect():
@@ -268,7 +285,10 @@ def known_words(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
         if held > limit:
             break
         least = r.n
-    return [] if least is None else [(bytes(r.word), r.n) for r in counts.filter(F.col("n") >= least).collect()]
+    if least is None:
+        first = counts.filter(F.col("n") >= top).orderBy(F.desc("n"), "word").limit(limit) if held > limit else counts.limit(0)
+        return [(bytes(r.word), r.n) for r in first.collect()]
+    return [(bytes(r.word), r.n) for r in counts.filter(F.col("n") >= least).collect()]
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> Fitted:

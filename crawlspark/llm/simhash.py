@@ -216,13 +216,27 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are their component's id, all columns as they are; rows without doc_id stay.
+    """One row of each group of near duplicates, all columns as they are.
 
-    Rows that share a doc_id are one document, of which one row stays.
+    It is the row of the smallest doc_id, rows without one last, then of the smallest digest of the text; of rows that
+    share both one stays. So rows that share a doc_id but not a group are a document each, and no group loses all its rows.
     """
-    found = near_duplicates(docs)
-    firsts = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__copies"))
-    kept = docs.join(firsts.select(F.col("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    if not firsts.filter("__copies > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    spark = docs.sparkSession
+    home = shared_dir(spark, "simhash-one")
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    (per_text(keyed, "fp long", lambda: lambda texts: [[fingerprint(t) for t in texts]], keep=("doc_id", "digest"))
+     .write.parquet(f"{home}/fingerprints"))
+    rows = spark.read.parquet(f"{home}/fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
+    points = rows.groupBy("fp").agg(first)
+    roots = components(fingerprint_links(points.select("fp")), home).withColumnRenamed("node", "fp")
+    groups = points.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    groups.select(F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest")).write.parquet(f"{home}/firsts")
+    firsts = spark.read.parquet(f"{home}/firsts")
+
+    def chosen(rows: DataFrame, digest) -> DataFrame:
+        return rows.join(firsts, rows["doc_id"].eqNullSafe(firsts["first_id"]) & (digest == firsts["first_digest"]), "left_semi")
+
+    kept = chosen(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    repeated = chosen(rows, rows["digest"]).groupBy("doc_id", "digest").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

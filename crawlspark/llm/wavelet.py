@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import kept_in_worker, per_text
+from .common import Remembered, kept_in_worker, per_text
 
 MAGIC, PLANES, BLOCK_BITS = b"WVM1", 16, 512
 FILE_TOKENS = 1 << 18    # a file closes at the first document that reaches it
@@ -67,7 +67,7 @@ class WordEncoder:
         self.latin = re.compile("[!-~\u00a1-\u024f]*").fullmatch
         self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.stop = re.compile(rb"(?<=[a-z0-9])[.,](?=[\x20\t-\r])").sub
-        self.kept, self.pieces = kept, {}
+        self.pieces = Remembered(kept)
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -110,7 +110,7 @@ class WordEncoder:
                     break
                 words.append(w.encode())
             cut.append(words)
-        fresh = [w for w in set().union(*cut) if w not in known]
+        fresh = known.unknown(set().union(*cut))
         known.update(zip(fresh, self._encode_words([w.decode() for w in fresh])))
         known.update(zip(plain, [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut]))
 
@@ -118,10 +118,9 @@ class WordEncoder:
         special = [any(a in t for a in self.added) for t in texts]
         # Case and a full stop or comma after a letter do not change where words are cut; without them pieces repeat.
         split = [[] if s else self.stop(rb" \g<0>", t.lower()).split() for t, s in zip(texts, special)]
-        if len(self.pieces) > self.kept:
-            self.pieces = {}
         known = self.pieces
-        self._learn([p for p in set().union(*split) if p not in known])
+        known.rest()
+        self._learn(known.unknown(set().union(*split)))
         get = known.__getitem__
         return [self._encode_whole(t.decode("utf-8", "replace")) if s else b"".join(map(get, ps))
                 for t, s, ps in zip(texts, special, split)]

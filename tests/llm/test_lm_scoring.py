@@ -96,3 +96,11 @@ def test_every_position_is_trained_on_once(spark, tmp_path, monkeypatch):
     model = L.fit(df)
     learnt = Counter(map(int, (tmp_path / "targets").read_text().split()))
     assert learnt == Counter(L.Vocabulary(model.frequent).ids.values()) and sum(learnt.values()) == next(words)
+
+
+def test_more_frequent_words_than_can_be_known(spark):
+    rows = [(w.encode(), n) for w, n in [("a", 70000), ("b", 90000), ("c", 70000), ("d", 65536), ("e", 3)]]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    assert L.known_words(counts, 2) == [(b"b", 90000), (b"a", 70000)]
+    assert {w for w, _ in L.known_words(counts, 4)} == {b"a", b"b", b"c", b"d"}
+    assert len(L.known_words(counts, 9)) == 5 and L.known_words(counts.limit(0), 2) == []

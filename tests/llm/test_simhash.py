@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 from conftest import ODD_TEXTS  # noqa: F401
+from pyspark.sql import functions as F
 
 from crawlspark.llm import simhash as H
 
@@ -55,7 +56,8 @@ def test_odd_rows(odd, none):
     kept = H.one_of_each(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(i for i in ids if i is not None)) and None in ids
+    named = [i for i in ids if i is not None and i != 15]
+    assert sorted(named) == sorted(set(named)) and None in ids and ids.count(15) == 2  # two texts have the id 15
     assert 15 in ids and 16 not in ids and 17 not in ids and 1 in ids and 2 not in ids
 
 
@@ -101,3 +103,13 @@ def test_counts_bound_the_distance():
     y[::2] = x[::2] ^ np.uint64(5)
     lower = np.bitwise_count(H.counts_array(x) ^ H.counts_array(y))
     assert (lower <= np.bitwise_count(x ^ y)).all()
+
+
+def test_no_group_loses_all_its_rows(spark):
+    t, u = "some words of one text", "wholly other content here"
+    rows = [(15, t), (16, t), (15, u), (None, t), (None, "a text without an id"), (None, "a text without an id"), (7, u + " and so on"), (7, u + " and so on")]
+    for seed in range(3):
+        docs = spark.createDataFrame([(i, x, 1) for i, x in rows], "doc_id long, text string, digest int").orderBy(F.rand(seed)).repartition(3)
+        kept = H.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(15, t), (15, u), (0, "a text without an id"), (7, u + " and so on")])
