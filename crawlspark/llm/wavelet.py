@@ -31,7 +31,7 @@ from .common import Remembered, kept_in_worker, per_text
 
 MAGIC, PLANES, BLOCK_BITS = b"WVM1", 16, 512
 FILE_TOKENS = 1 << 18    # a file closes at the first document that reaches it
-KEPT_WORDS = 800_000
+KEPT_WORDS = 1_200_000
 END_ID = 2
 
 # Fixed by the byte-level vocabulary: printable Latin-1 stands for itself, other bytes for letters from U+0100 on. A
@@ -66,9 +66,14 @@ class WordEncoder:
         self.find = regex.compile(pattern + r"|\n").findall
         self.latin = re.compile("[!-~\u00a1-\u024f]*").fullmatch
         self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.stop = re.compile(rb"(?<=[a-z0-9])[.,](?=[\x20\t-\r])").sub
+        self.stops = [(re.compile(rb"(?<=[a-z0-9])" + re.escape(c) + rb"(?=[\x20\t-\r])").sub, b" " + c) for c in (b".", b",")]
         self.pieces = Remembered(kept)
 
+    def apart(self, text: bytes) -> bytes:
+        for put, stop in self.stops:
+            text = put(stop, text)
+        return text
+
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
@@ -117,7 +122,7 @@ class WordEncoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         special = [any(a in t for a in self.added) for t in texts]
         # Case and a full stop or comma after a letter do not change where words are cut; without them pieces repeat.
-        split = [[] if s else self.stop(rb" \g<0>", t.lower()).split() for t, s in zip(texts, special)]
+        split = [[] if s else self.apart(t.lower()).split() for t, s in zip(texts, special)]
         known = self.pieces
         known.rest()
         self._learn(known.unknown(set().union(*split)))
