@@ -10,7 +10,7 @@ probabilities of all words of the corpus sum to one. At most ``KNOWN`` words bri
 rare rest gets its counts by a join with the table of all word counts.
 
 Training goes once over every position of all documents: in each of ``ROUNDS`` rounds every partition trains its own
-copy from the common start, in every ``ROUNDS``-th position (another offset each round), and sends its weights; Spark
+copy from the common start, on every ``ROUNDS``-th of its documents (others each round), and sends its weights; Spark
 sums them, weighted by tokens, in whole numbers, so that the order of arrival does not matter. The driver holds one
 network, whose size is fixed by the parameters.
 
@@ -22,7 +22,9 @@ read.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +55,11 @@ class Vocabulary:
         taken = set(self.ids.values()) | {EDGE}
         self.rest = np.array([i for i in range(ROWS) if i not in taken])
 
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        get, hashed = self.ids.get, zlib.crc32
-        out = np.array([get(w, -1) for w in words], dtype=np.int64)
-        other = np.flatnonzero(out < 0)
-        if len(other):
-            codes = np.array([hashed(words[i]) for i in other.tolist()], dtype=np.int64)
-            out[other] = self.rest[codes % len(self.rest)]
+        out = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        other = out < 0
+        out[other] = self.rest[np.fromiter(map(zlib.crc32, compress(words, other.tolist())), np.int64) % len(self.rest)]
         return out
 
 
@@ -96,8 +96,7 @@ class Shares:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, log-shares (without log(count) for unknown words), and the numbers of the unknown words."""
-        get = self.numbers.get
-        found = np.array([get(w, -1) for w in words], dtype=np.int64)
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(found < 0)
         rows, shares = (x[found] if len(x) else np.zeros(len(found), x.dtype) for x in (self.rows, self.shares))
         rows[unknown] = self.vocabulary([words[i] for i in unknown.tolist()])
@@ -138,12 +137,6 @@ class Network:
     def vector(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.SHAPES])
 
-    def hidden(self, row, at):
-        total = np.repeat(self.w["bias"][None, :], len(at), axis=0)
-        for k, offset in enumerate(OFFSETS):
-            total += self.w["embed"].take(row[at + offset], axis=0) * self.w["place"][k]
-        return np.tanh(total, out=total)
-
     def log_probabilities(self, row: np.ndarray, places: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
         """log P(token | window) of every place."""
         out = np.empty(len(places), dtype=np.float64)
@@ -171,19 +164,25 @@ class Network:
 
     def learn(self, row: np.ndarray, places: np.ndarray, rate: float = RATE, batch: int = BATCH) -> None:
         """One pass of mini-batch gradient descent over the places, in their order."""
-        w = self.w
+        w, offsets, dims = self.w, np.array(OFFSETS)[:, None], np.arange(DIM, dtype=np.int32)
+        row = row.astype(SMALL)  # a quarter of the memory that is read in no order
         for i in range(0, len(places), batch):
             # In the order of the rows, so that each class is a stretch, padded to the longest for one product.
             at = places[i:i + batch]
-            at = at[np.argsort(row[at].astype(SMALL), kind="stable")]
-            target = row[at]
+            at = at.take(np.argsort(row.take(at), kind="stable"))
+            target = row.take(at).astype(np.int64)
             group, inner = target // IN_CLASS, target % IN_CLASS
-            h, every, step = self.hidden(row, at), np.arange(len(at)), rate / len(at)
+            every, ones, step = np.arange(len(at)), np.ones(len(at), np.float32), rate / len(at)
+            near = row.take(at + offsets)
+            seen = w["embed"].take(near, axis=0)
+            h = (seen * w["place"][:, None]).sum(axis=0)
+            h += w["bias"]
+            np.tanh(h, out=h)
             p = soft_max(h @ w["cls"] + w["cls_bias"])
             p[every, group] -= 1
             d_h = p @ w["cls"].T
             w["cls"] -= step * (h.T @ p)
-            w["cls_bias"] -= step * p.sum(0)
+            w["cls_bias"] -= step * (ones @ p)
             slot = every - np.searchsorted(group, np.arange(CLASSES))[group]
             width = int(slot.max()) + 1
             slot += group * width
@@ -198,13 +197,15 @@ class Network:
             p = p.reshape(CLASSES, width, IN_CLASS)
             d_h += (p @ w["word"].transpose(0, 2, 1)).reshape(-1, DIM).take(slot, axis=0)
             w["word"] -= step * (hs.transpose(0, 2, 1) @ p)
-            w["word_bias"] -= step * p.sum(1)
+            w["word_bias"] -= step * (np.ones(width, np.float32) @ p)
             d = d_h * (1 - h * h)
-            w["bias"] -= step * d.sum(0)
-            words = row[at[None, :] + np.array(OFFSETS)[:, None]]
-            d_place = (d[None] * w["embed"].take(words, axis=0)).sum(1)
+            w["bias"] -= step * (ones @ d)
+            seen *= d
+            d_place = ones @ seen
             # All places of the window at once, equal words summed.
-            add_rows(w["embed"], words.ravel(), (d[None] * (w["place"] * -step)[:, None]).reshape(-1, DIM))
+            cells = (near.reshape(-1, 1).astype(np.int32) * DIM + dims).ravel()
+            moved = (d * (w["place"] * -step)[:, None]).ravel()
+            w["embed"] += np.bincount(cells, moved, minlength=ROWS * DIM).reshape(ROWS, DIM).astype(np.float32)
             w["place"] -= step * d_place
 
 
@@ -232,19 +233,6 @@ def log_sum(z: np.ndarray) -> np.ndarray:
     return np.log(sums) + top[:, 0]
 
 
-def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """table[rows] += values, equal rows summed."""
-    order = np.argsort(rows.astype(SMALL), kind="stable")
-    rows = rows[order]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(rows)) + 1))
-    table[rows[first]] += np.add.reduceat(values.take(order, axis=0), first, axis=0)
-
-
-def chosen_places(places: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """The places that a round learns from; over all rounds each place is chosen once."""
-    return places[turn::rounds]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """Counts of every word of every document: counted in each task, then summed by Spark."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -252,10 +240,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             for lo, hi in slabs(batch.column(0), 16 << 20):
-                seen: dict[bytes, int] = {}
+                seen: Counter[bytes] = Counter()
                 for text in texts_of(batch.column(0).slice(lo, hi - lo)):
-                    for w in text.lower().split():
-                        seen[w] = seen.get(w, 0) + 1
+                    seen.update(text.lower().split())
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
                                                  schema=schema)
 
@@ -317,13 +304,14 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> Fitted:
 
         def train(batches, shared=shared, turn=turn):
             words, start = shared.value
-            lookup, network, tokens = Vocabulary(words), Network.from_vector(start.copy()), 0
+            lookup, network, tokens, before = Vocabulary(words), Network.from_vector(start.copy()), 0, 0
             for batch in batches:
                 for lo, hi in slabs(batch.column(0)):
-                    row, places, _ = padded(lookup, texts_of(batch.column(0).slice(lo, hi - lo)))
-                    chosen = chosen_places(places, turn, rounds)
+                    texts = texts_of(batch.column(0).slice(lo, hi - lo))
+                    row, places, _ = padded(lookup, texts[(turn - before) % rounds::rounds])
+                    before += len(texts)
                     # An order apart from that of the texts, the same in every attempt of the task.
-                    network.learn(row, np.random.default_rng(SEED + turn).permutation(chosen))
+                    network.learn(row, np.random.default_rng(SEED + turn).permutation(places))
                     tokens += len(places)
             if tokens:
                 moved = np.rint((network.vector().astype(np.float64) - start) * STEPS).astype(np.int64)
