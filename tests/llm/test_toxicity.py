@@ -95,3 +95,27 @@ def test_recall_and_false_positives_on_held_out_documents(spark):
     """Accuracy alone would pass a model that finds nothing."""
     recall, wrong = held_out_rates(spark, "/root/testdata/sf0.1")
     assert recall >= 0.8 and wrong <= 0.05
+
+
+def test_long_clean_texts_and_shifted_words(spark):
+    """More windows do not make a clean text toxic, and a word more in front turns no verdict."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.Model.from_bytes(X.fit(docs, labels))
+    rows = docs.join(labels.filter("toxic IS NOT NULL"), "doc_id").filter(X.held_out(docs.doc_id)).orderBy("doc_id").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    toxic = np.array([r.toxic for r in rows])
+    found = model(texts) >= X.THRESHOLD
+    assert (found != (model([b"word " + t for t in texts]) >= X.THRESHOLD)).mean() < 0.005
+    clean = [t for t, k in zip(texts, toxic) if k == 0]
+    for many in (5, 20, 60):
+        joined = [b" ".join(clean[i:i + many]) for i in range(0, len(clean) - many + 1, many)]
+        assert (model(joined) >= X.THRESHOLD).mean() <= 0.05, many
+    assert found[toxic == 1].mean() >= 0.85 and found[toxic == 0].mean() <= 0.02
+
+
+def test_one_word_and_no_word():
+    texts, labels, _ = toy()
+    model = X.train([*texts, b"", b"gorblex"], np.append(labels, [0, 1]))
+    empty, one, pair = model([b"", b"gorblex", b"gorblex gorblex"])
+    assert one == pair > empty == X.sigmoid(model.offset)
