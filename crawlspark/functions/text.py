@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,30 +56,60 @@ def probe_text(html, spaced: bool = True) -> Column:
     return collapse_ws(strip_tags(html, " ")) if spaced else strip_ws(strip_tags(html))
 
 
-# Names of HTML character references, from the standard library's table, and the one XML adds.
-ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-# One literal instead of hundreds, which every planning rule would have to walk through.
-_ENTITY_TABLE = ";" + "".join(f"{name}={char};" for name, char in ENTITIES.items())
+# Names of character references, from the standard library's HTML5 table; LEGACY are those that need no semicolon.
+LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# One literal text for each initial, ``;name=value`` and a zero: planning rules would walk through a map of thousands.
+_INITIALS = [chr(c) for c in range(ord("A"), ord("z") + 1)]
+_TABLES = ["".join(f";{n[:-1]}={html5[n]}\0" for n in sorted(html5) if n[0] == i and n.endswith(";")) for i in _INITIALS]
+# Numbers 0x80 to 0x9F mean what they are in windows-1252, where it has a character.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_C1_READ = "".join(bytes([c]).decode("cp1252") if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(c) for c in range(0x80, 0xA0))
 
 
-def _reference(name: Column) -> Column:
-    """The character that a reference (without ``&`` and ``;``) stands for; NULL if it is none."""
-    number = F.when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 9).try_cast("int")).when(
-        name.rlike("^#[xX][0-9A-Fa-f]+$"), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("int"))
+def _numbered(number: Column) -> Column:
+    """The character of a number: U+FFFD for none, nothing for those that are no characters of a document."""
     number = F.when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), 0xFFFD).otherwise(number)
+    void = (number.between(1, 8) | (number == 0x0B) | number.between(0x0E, 0x1F) | (number == 0x7F)
+            | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    at = F.position(F.concat(F.lit(";"), name, F.lit("=")), F.lit(_ENTITY_TABLE))
-    named = F.when(at > 0, F.substring(F.lit(_ENTITY_TABLE), at + F.length(name) + 2, F.lit(1)))
-    return F.when(name.startswith("#"), char).otherwise(named)
+    return F.when(void, "").otherwise(F.translate(char, _C1, _C1_READ))
+
+
+def _named(name: Column) -> Column:
+    """The characters that a name stands for; NULL if it is none."""
+    table = F.get(F.array(*map(F.lit, _TABLES)), F.ascii(name) - ord("A"))
+    return let(table, lambda t: let(F.position(F.concat(F.lit(";"), name, F.lit("=")), t), lambda at: F.when(
+        at > 0, F.substring_index(F.substring(t, at + F.length(name) + 2, F.lit(4)), "\0", 1))))
 
 
 def unescape(c) -> Column:
-    """Character references, named and numeric, each decoded once: what decoding yields is not looked at again."""
+    """Character references as HTML5 reads them: named ones, those without a semicolon too, and numeric ones.
+
+    Each is decoded once: what decoding yields is not looked at again.
+    """
+    def but(part: Column, held: Column) -> Column:
+        return F.substring(part, F.length(held) + 1, F.length(part))
+
+    def numeric(part: Column) -> Column:
+        def read(held: Column) -> Column:
+            value = F.regexp_replace(held, "^#[xX]?0*|;$", "")
+            number = F.when(value == "", 0).when(F.length(value) > 8, 0x110000).otherwise(
+                F.when(held.rlike("^#[xX]"), F.conv(value, 16, 10)).otherwise(value).try_cast("long"))
+            return F.when(held == "", F.concat(F.lit("&"), part)).otherwise(F.concat(_numbered(number), but(part, held)))
+
+        return let(F.regexp_extract(part, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0), read)
+
+    def legacy(part: Column) -> Column:
+        return let(F.regexp_extract(part, f"^(?:{'|'.join(LEGACY)})", 0), lambda held: F.when(
+            held == "", F.concat(F.lit("&"), part)).otherwise(F.concat(_named(held), but(part, held))))
+
+    def named(part: Column) -> Column:
+        whole = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]{1,31});", 1)
+        return let(whole, lambda n: let(F.when(n != "", _named(n)), lambda chars: F.when(
+            chars.isNotNull(), F.concat(chars, F.substring(part, F.length(n) + 2, F.length(part)))).otherwise(legacy(part))))
+
     def decoded(part: Column) -> Column:
-        name = F.regexp_extract(part, "^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,30});", 1)
-        return let(name, lambda n: let(F.when(n != "", _reference(n)), lambda char: F.when(
-            char.isNotNull(), F.concat(char, F.substring(part, F.length(n) + 2, F.length(part)))).otherwise(
-                F.concat(F.lit("&"), part))))
+        return F.when(part.startswith("#"), numeric(part)).otherwise(named(part))
 
     def whole(t: Column) -> Column:
         joined = let(F.split(t, "&"), lambda parts: F.concat(

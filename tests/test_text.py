@@ -1,6 +1,8 @@
+import html
 import random
 import re
 import time
+from html.entities import html5
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -54,8 +56,18 @@ def test_idempotent(spark, sf_dir, fn):
 
 def test_character_references(spark):
     cases = {"Caf&eacute; &#8211; it&#x27;s &copy;": "Café – it's ©", "&amp;lt; &amp;amp;": "&lt; &amp;", "a & b &nosuch; &;": "a & b &nosuch; &;",
-             "&#0;&#xD800;&#1114112;": "\ufffd" * 3, "&#128512;&lt": "😀&lt", "&nbsp;&apos;&hearts;": "\xa0'♥", "": "", "&": "&", "&#x;&#;": "&#x;&#;"}
-    assert col1(spark, list(cases), X.unescape) == list(cases.values())
+             "&#0;&#xD800;&#1114112;": "\ufffd" * 3, "&#128512;&lt": "😀<", "&nbsp;&apos;&hearts;": "\xa0'♥", "": "", "&": "&", "&#x;&#;": "&#x;&#;",
+             "&notit; &notin; &copyx &ampamp;": "¬it; ∉ ©x &amp;", "&#128;&#x9f;&#65x&#000000000065;&#1;|&#99999999999;": "€ŸAxA|\ufffd",
+             "&NotEqualTilde;&CounterClockwiseContourIntegral;&semi;&equals;&bne;": "≂̸∳;==⃥"}
+    assert col1(spark, list(cases), X.unescape) == list(cases.values()) == [html.unescape(t) for t in cases]
+    every = ["x&" + name + "y" for name in html5] + [f"&#{n};&#x{n:X}z" for n in (*range(0x100), 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF)]
+    assert col1(spark, every, X.unescape) == [html.unescape(t) for t in every]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="&#xX;19aAmplttgno ", max_size=30), min_size=1, max_size=30))
+def test_character_references_are_those_of_html(spark, texts):
+    assert col1(spark, texts, X.unescape) == [html.unescape(t) for t in texts]
 
 
 def test_titles(spark):
