@@ -400,10 +400,13 @@ add("clean_pages_bm25", ORACLES["bm25_blocks"].replace("SELECT page_id, idx, sco
     "       FROM tf JOIN df ON df.page_id = tf.page_id AND df.w = tf.w JOIN st ON st.page_id = tf.page_id GROUP BY tf.page_id, idx),\n")
     + f"), {_chosen_md('pick')}")
 add("failure_markdown", f"""{ctes('lane_results')} SELECT attempt_id, concat('# 爬取失败', chr(10), chr(10), '**URL:** ', url, chr(10), chr(10), '**失败原因:** ',
- coalesce(nullif(concat_ws(' | ', 'EasyGet: ' || easyget_error, 'Playwright: ' || playwright_error, 'Jina: ' || jina_error), ''), '未知错误')) AS markdown
+ coalesce(nullif(concat_ws(' | ', 'EasyGet: ' || easyget_error, 'Playwright: ' || playwright_error, 'Jina: ' || jina_error, 'PDF: ' || pdf_error), ''), '未知错误')) AS markdown
 FROM lane_results""")
 add("read_bodies", "SELECT strlen(html) + 1 AS length, sha256(html || chr(10)) AS digest FROM pages")
 add("decode_bodies", "SELECT page_id, 'utf-8' AS charset, md5(html) AS digest FROM pages")
+add("decode_legacy_bodies", """WITH p AS (SELECT page_id, html, CASE WHEN html IS NULL OR strlen(html) <> length(html) THEN -1 ELSE page_id % 6 END AS kind FROM pages)
+SELECT page_id, CASE WHEN html IS NULL THEN NULL ELSE ['utf-8', 'gbk', 'big5', 'iso-8859-1', 'gb18030', 'utf-8', 'utf-16le'][kind + 2] END AS charset,
+ md5(['', '中文', '中文', 'é', '<meta charset="gb18030">中文', '中文', '中文'][kind + 2] || html) AS digest FROM p""")
 
 # ---- quality ----
 

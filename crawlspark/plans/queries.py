@@ -341,7 +341,8 @@ def clean_pages_bm25(s, d):
 @register
 def failure_markdown(s, d):
     a = view(s, d, "lane_results")
-    return a.select("attempt_id", X.failure_markdown("url", "easyget_error", "playwright_error", "jina_error").alias("markdown"))
+    return a.select("attempt_id", X.failure_markdown(
+        "url", "easyget_error", "playwright_error", "jina_error", "pdf_error").alias("markdown"))
 
 
 @register
@@ -353,6 +354,26 @@ def decode_bodies(s, d):
     return readers.decode_bodies(p).select("page_id", "charset", F.md5("html").alias("digest"))
 
 
+@register
+def decode_legacy_bodies(s, d):
+    """Every page, most in a charset other than UTF-8, named by header or tag, or named wrongly."""
+    pages, kind = view(s, d, "pages"), F.col("page_id") % 6
+    text = F.encode("html", "UTF-8")
+    # The same two characters in GBK (GB18030 too), Big5 and UTF-16, and one letter in latin1 (fixed values).
+    forms = [("text/html; charset=GBK", F.concat(F.unhex(F.lit("D6D0CEC4")), text)),
+             ("text/html;charset='big5'", F.concat(F.unhex(F.lit("A4A4A4E5")), text)),
+             ("text/html; charset=ISO-8859-1", F.concat(F.unhex(F.lit("E9")), text)),
+             (None, F.concat(F.encode(F.lit('<meta charset="gb18030">'), "UTF-8"), F.unhex(F.lit("D6D0CEC4")), text)),
+             ("text/html; charset=zip", F.concat(F.unhex(F.lit("E4B8ADE69687")), text)),
+             ("text/html; charset=utf-16le", F.concat(F.unhex(F.lit("2D4E8765")), F.encode("html", "UTF-16LE")))]
+    ascii_only = F.octet_length("html") == F.length("html")
+    body, header = F.when(~ascii_only, text), F.when(~ascii_only, "text/html; charset=rot13")
+    for k, (named, made) in enumerate(forms):
+        body, header = body.when(kind == k, made), header.when(kind == k, F.lit(named))
+    return readers.decode_bodies(pages.select("page_id", body.alias("body"), header.alias("content_type"))).select(
+        "page_id", "charset", F.md5("html").alias("digest"))
+
+
 # ---- quality ----
 
 @register

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 PAGES = "page_id long, url string, html string"
 ATTEMPTS = ("attempt_id long, request_id long, ts timestamp_ntz, url string, host string, lane string, "
             "success boolean, status_code int, elapsed_s double")
+LATIN1 = r"(?:^|[;\s<>/])charset=['\"]*(iso-8859-1|latin-?1)['\"]*(?:$|[;\s<>/])"
 FALLBACK_CHARSETS = ("utf-8", "gbk", "gb18030", "big5", "latin1")
 
 
@@ -90,17 +91,23 @@ def decode_body(body: bytes, content_type: str | None) -> tuple[str, str]:
 def decode_bodies(df: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
     """TXT20: adds ``charset`` and ``html`` to rows with a binary body.
 
-    Bodies that are valid UTF-8 and that nothing says are in another charset are decoded by Spark's own functions; only
-    the others go through Python's codecs, in Arrow batches. Both are one pass over the rows.
+    Bodies that are valid UTF-8 and that nothing says are in another charset, and those whose header names latin1, are
+    decoded by Spark's own functions; only the others go through Python's codecs, in Arrow batches. Each body is decoded
+    once; the two kinds are filters of the same input, which is read for each.
     """
     head = F.lower(F.decode(F.substring(body, 1, 1024), "ISO-8859-1"))
     plain = (F.is_valid_utf8(F.col(body).cast("string")) & F.coalesce(F.lower(F.col(content_type)).rlike(r"charset=[\"']?utf-?8\b"), F.lit(False))
              & F.col(body).isNotNull())
     unsaid = (F.is_valid_utf8(F.col(body).cast("string")) & ~F.coalesce(F.lower(F.col(content_type)).contains("charset"), F.lit(False))
               & ~head.contains("charset"))
+    header = F.lower(F.coalesce(F.col(content_type), F.lit("")))
+    latin1 = F.when(F.regexp_count(header, F.lit("charset")) == 1, F.regexp_extract(header, LATIN1, 1)).otherwise("")
+    is_latin1 = (latin1 != "") & F.col(body).isNotNull()
     keep = [c for c in df.columns if c != body]
-    native = df.filter(plain | unsaid).select(
-        *keep, F.lit("utf-8").alias("charset"), F.col(body).cast("string").alias("html"))
+    in_spark = F.coalesce(plain | unsaid, F.lit(False)) | is_latin1
+    native = df.filter(in_spark).select(
+        *keep, F.when(is_latin1, latin1).otherwise("utf-8").alias("charset"),
+        F.when(is_latin1, F.decode(body, "ISO-8859-1")).otherwise(F.col(body).cast("string")).alias("html"))
     schema = df.select(*keep).schema.add("charset", "string").add("html", "string")
 
     def decode(batches):
@@ -109,7 +116,7 @@ def decode_bodies(df: DataFrame, body: str = "body", content_type: str = "conten
             pdf["charset"], pdf["html"] = [n for n, _ in found], [t for _, t in found]
             yield pdf.drop(columns=[body])
 
-    rest = df.filter(~F.coalesce(plain | unsaid, F.lit(False)))
+    rest = df.filter(~in_spark)
     return native.unionByName(rest.mapInPandas(decode, schema))
 
 
