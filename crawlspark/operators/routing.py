@@ -46,7 +46,8 @@ def nearest_entries(hosts: DataFrame, host_state: DataFrame) -> DataFrame:
     """_host and the entry (``_hit``) of the host itself or its nearest parent that has one."""
     tried = exploded(hosts, host_variants("_host"), "_depth", "cache_key", "_host")
     hit = tried.join(host_state.select("cache_key", "decision", "score"), "cache_key")
-    return hit.groupBy("_host").agg(F.min_by(F.struct("cache_key", "decision", "score"), F.col("_depth")).alias("_hit"))
+    return hit.groupBy("_host").agg(F.min_by(
+        F.struct("cache_key", "decision", "score"), F.struct("_depth", -F.col("score"), "decision")).alias("_hit"))
 
 
 def frequent_hosts(urls: DataFrame, most: int, host: str = "host", share: float = 0.001) -> list[str]:
@@ -117,7 +118,8 @@ def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
 
     ``probes`` holds one row per ``key`` with a boolean ``effective``; its ``text_length``, ``status_code``,
     ``elapsed_s`` and ``failure_reasons`` go into the reason where they are given. ``pdf_hosts`` and ``pdf_patterns`` are learned
-    ones (L3, L4) beside those of the rules. An entry for the URL's own ``host:template`` (L8) comes before its host's.
+    ones (L3, L4) beside those of the rules. An entry for the URL's own ``host:template`` (L8) comes before its host's; of
+    entries with the same key the one of the highest score counts.
     """
     # Rules are judged before the joins, on the URL alone; page bodies never enter a shuffle here.
     judged = urls.select(*[c for c in urls.columns if c not in ("host", "html")],
@@ -127,8 +129,8 @@ def route(urls: DataFrame, host_state: DataFrame, rules: Rules = DEFAULT_RULES,
         more = learned_pdf(urls, pdf_hosts, pdf_patterns, key).withColumn("_learned", F.lit(True))
         judged = judged.join(more, key, "left").withColumn("_pdf", F.col("_pdf") | F.col("_learned").isNotNull()).drop("_learned")
     looked = cached_route(judged, host_state)
-    own = host_state.filter(F.col("cache_key").contains(":")).select(
-        F.col("cache_key").alias("_tkey"), F.col("decision").alias("_tdecision"))
+    own = host_state.filter(F.col("cache_key").contains(":")).groupBy(F.col("cache_key").alias("_tkey")).agg(
+        F.max_by("decision", F.struct("score", "decision")).alias("_tdecision"))
     looked = (looked.withColumn("_tkey", F.concat("host", F.lit(":"), url_template("url"))).join(own, "_tkey", "left")
               .withColumn("matched_key", F.when(F.col("_tdecision").isNotNull(), F.col("_tkey")).otherwise(F.col("matched_key")))
               .withColumn("cached_decision", F.coalesce("_tdecision", "cached_decision")))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from crawlspark.functions.urls import url_template
 from crawlspark.operators import races, ranking, requests, routing
 from crawlspark.plans.fixtures import view
 from crawlspark.rules import DEFAULT_RULES, load_rules, rule_tables, rules_from_dict
@@ -110,6 +111,18 @@ def test_parent_lookup_takes_the_nearest(spark):
     assert got == {1: "jina", 2: "jina", 3: "pdf", 4: None, 5: None, 6: None}
 
 
+def test_repeated_state_entries_multiply_no_urls(spark):
+    state = spark.createDataFrame([("h.org:/a/{id}", "jina", 1), ("h.org:/a/{id}", "pdf", 5), ("h.org", "easyget", 1), ("h.org", "playwright", 3)],
+                                  "cache_key string, decision string, score int")
+    urls = spark.createDataFrame([(1, "https://h.org/b"), (2, "https://h.org/c")], "page_id int, url string")
+    got = {r.page_id: r["mode"] for r in routing.route(urls, state).collect()}
+    assert got == {1: "playwright", 2: "playwright"} and routing.route(urls, state).count() == 2
+    key = urls.select(url_template("url").alias("t")).first().t
+    own = spark.createDataFrame([(f"h.org:{key}", "jina", 1), (f"h.org:{key}", "pdf", 5)], state.schema)
+    assert [(r.page_id, r["mode"]) for r in routing.route(urls, own).orderBy("page_id").collect()][0] == (1, "pdf")
+    assert routing.route(urls, own).count() == 2
+
+
 def test_route_order(spark):
     urls = spark.createDataFrame([(1, "http://s.org/x.pdf"), (2, "http://n.org/x.pdf"), (3, "http://github.com/a"), (4, "http://n.org/a"), (5, "http://n.org/b"),
                                   (6, "http://n.org/c"), (7, "http://dead.org/")], "page_id int, url string")
