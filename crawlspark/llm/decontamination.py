@@ -1,15 +1,18 @@
 """Benchmark decontamination: which test items stand, nearly whole, in which documents.
 
-Containment is the share of an item's distinct five-word shingles that occur anywhere in the document. There are no
-size partitions: an item with n shingles is represented in one sorted table by its k smallest shingle hashes, with k one more than the shingles it may lack (n - ceil(0.8 n) + 1), so that a document which contains the item holds
-at least one of these minima: the search loses nothing. A document that is found to hold enough of an item's minima is
-verified by exact containment of the shingles themselves.
+Containment is the share of an item's distinct five-word shingles that occur anywhere in the document. Items are parted
+by size: a part holds the items of ``low`` to ``2 * low - 1`` shingles, with a MinHash index of its own in which each item
+is represented by its k smallest shingle hashes. k belongs to the part; it is one more than the shingles that its largest
+item may lack, so a document which contains an item holds at least one of its minima, and at least k less what the item
+may lack: the search loses nothing. A part is asked only by documents with the shingles its smallest items need. What
+is found is verified by exact containment of the shingles themselves.
 
 Documents are long and many, items short: documents are read once and never shuffled. Items go to the documents in
 blocks of a bounded number of shingles, a pass over the documents for each block.
 
 Words are runs of bytes other than ASCII characters that are neither letters nor digits, with A-Z in lower case; a
-text of fewer than five words is one shingle, so an item of fewer than five is found only in a text of as many words. Defined cases: null or empty items match nothing, null or empty
+text of fewer than five words is one shingle, so an item of fewer than five is found only in a text of as many words; such
+items are parts of their own, by their number of words. Defined cases: null or empty items match nothing, null or empty
 documents hold nothing; equal ids stay as rows of their own (pairs repeat); empty tables give an empty result; other
 columns are not read.
 """
@@ -49,17 +52,38 @@ def minima_count(n: int, share: float = SHARE) -> int:
     return n - needed(n, share) + 1
 
 
+class SizePart:
+    """The MinHash index of the items with ``low`` to ``2 * low - 1`` shingles of ``width`` words."""
+
+    def __init__(self, width: int, low: int, signatures: list[tuple[int, list[int]]], share: float):
+        self.width, self.least = width, needed(low, share)
+        k = minima_count(2 * low - 1, share)
+        rows = sorted((h, number) for number, hashes in signatures for h in hashes[:k])
+        self.hashes = np.array([h for h, _ in rows], dtype=np.uint64)
+        self.items_at = np.array([i for _, i in rows], dtype=np.int64)
+        self.least_hits = {number: max(1, min(k, len(hashes)) - (len(hashes) - needed(len(hashes), share)))
+                           for number, hashes in signatures}
+
+    def candidates(self, hit: np.ndarray) -> list[int]:
+        """Items of which enough minima are among the distinct hashes ``hit``."""
+        first, last = np.searchsorted(self.hashes, hit), np.searchsorted(self.hashes, hit, side="right")
+        numbers = np.concatenate([self.items_at[a:b] for a, b in zip(first, last)] or [self.items_at[:0]])
+        items, hits = np.unique(numbers, return_counts=True)
+        return [i for i, n in zip(items.tolist(), hits.tolist()) if n >= self.least_hits[i]]
+
+
 class ItemBlock:
     """A block of items, ready to be searched for in texts."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int = WIDTH, share: float = SHARE):
         self.width, self.share = width, share
-        self.ids, self.shingles = [], []
+        self.ids, self.shingles, widths = [], [], []
         for item_id, text in items:
-            found = shingles_of(words_of(text), width)
-            if found:
+            words = words_of(text)
+            if words:
                 self.ids.append(item_id)
-                self.shingles.append(found)
+                self.shingles.append(shingles_of(words, width))
+                widths.append(min(width, len(words)))
         vocabulary: dict[bytes, int] = {}
         for found in self.shingles:
             for s in found:
@@ -67,18 +91,13 @@ class ItemBlock:
                     vocabulary.setdefault(w, len(vocabulary))
         self.vocabulary = vocabulary
         self.keys = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary] or [0], dtype=np.uint64)
-        # The minima of all items: hashes in order, and for each the items that have it. Size sets their number only.
-        rows = []
-        for number, found in enumerate(self.shingles):
-            hashes = sorted(self.hash_shingle(s) for s in found)
-            rows += [(h, number) for h in hashes[: minima_count(len(found), share)]]
-        rows.sort()
-        self.hashes = np.array([h for h, _ in rows], dtype=np.uint64)
-        self.items_at = np.array([i for _, i in rows], dtype=np.int64)
-        sizes = np.array([len(f) for f in self.shingles] or [0])
-        lacks = np.array([n - needed(int(n), share) for n in sizes])
-        chosen = np.array([minima_count(int(n), share) for n in sizes])
-        self.least_hits = np.maximum(1, chosen - lacks)
+        sized: dict[tuple[int, int], list] = {}
+        for number, (words, found) in enumerate(zip(widths, self.shingles)):
+            low = 1 << (len(found).bit_length() - 1)
+            sized.setdefault((words, low), []).append((number, sorted(self.hash_shingle(s) for s in found)))
+        self.parts = [SizePart(words, low, rows, share) for (words, low), rows in sorted(sized.items())]
+        # All parts' minima, for one look at each shingle of a text.
+        self.hashes = np.unique(np.concatenate([p.hashes for p in self.parts] or [np.empty(0, np.uint64)]))
 
     def hash_shingle(self, shingle: bytes) -> int:
         h = 0
@@ -105,11 +124,8 @@ class ItemBlock:
         hit = np.unique(hashes[self.hashes[place] == hashes]) if len(self.hashes) else hashes[:0]
         if not len(hit):
             return []
-        first, last = np.searchsorted(self.hashes, hit), np.searchsorted(self.hashes, hit, side="right")
-        numbers = np.concatenate([self.items_at[a:b] for a, b in zip(first, last)])
-        items, hits = np.unique(numbers, return_counts=True)
         out, held = [], None
-        for i in items[hits >= self.least_hits[items]].tolist():
+        for i in sorted(i for part in self.parts if part.width == width and part.least <= len(at) for i in part.candidates(hit)):
             if held is None:
                 held = {b" ".join(words[a:a + width]) for a in at.tolist()}
             wanted = self.shingles[i]

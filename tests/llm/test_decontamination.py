@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import by_row
 
@@ -52,3 +54,24 @@ def test_minima_lose_nothing():
     for n in range(1, 200):
         assert D.needed(n) == max(1, -(-8 * n // 10))
         assert D.minima_count(n) > n - D.needed(n)
+
+
+def test_parts_by_size_find_what_brute_force_finds():
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice((1, 3, 4, 5, 6, 9, 14, 20, 40, 90, 200)))).encode()) for k in range(150)]
+    block = D.ItemBlock(items)
+    for part in block.parts:
+        sizes = [len(block.shingles[i]) for i in part.least_hits]
+        assert max(sizes) < 2 * min(1 << (n.bit_length() - 1) for n in sizes)
+    assert len(block.parts) >= 8
+    docs = []
+    for k in range(200):
+        text = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(1 + len(text) // 12)):
+            text[rng.randrange(len(text))] = rng.choice((b"w1", b"other"))
+        around = [w.encode() for w in rng.choices(words, k=rng.choice((0, 0, 7, 3000)))]
+        docs.append((k, b" ".join(around + text + around).decode()))
+    got = sorted((i, block.ids[j], n, f) for i, t in docs for j, n, f in block.search(t.encode()))
+    want = slow(docs, [(i, t.decode()) for i, t in items])
+    assert got == want and len(want) > 100
