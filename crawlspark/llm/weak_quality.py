@@ -6,8 +6,9 @@ a document of a pattern is good. These probabilities are the labels of a logisti
 shapes of words and ranges of the measures.
 
 The votes and features of all documents are computed once and written; there are at most 3 to the power of the
-labellers many patterns, whatever the input. The scorer is trained on a sample of about ``SAMPLE`` documents (all, if
-they are fewer), drawn by a hash.
+labellers many patterns, whatever the input. The scorer is trained in one task on a sample of about ``SAMPLE`` documents
+with about ``SAMPLE_FEATURES`` features (all, if they are fewer), drawn by a hash: both bounds hold whatever the number
+and length of the documents, and only the weights come to the driver.
 
 Defined cases: a null or empty text has no word, is voted bad by the length labeller and gets a score like any other;
 with a single pattern every document has the prior; repeated rows and equal doc_ids stay as rows; an empty table gives
@@ -29,6 +30,7 @@ from .quality_rules import MEASURES, measure
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 BUCKETS, SAMPLE, EPOCHS, RATE = 1 << 14, 20_000, 200, 2.0
+SAMPLE_FEATURES = 4_000_000
 EM_ROUNDS, PRIOR = 200, 0.8
 THRESHOLD = 0.5
 KEPT_WORDS = 400_000
@@ -150,20 +152,31 @@ def train(rows, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
     return weights
 
 
+def fitted(chosen: DataFrame, posterior: dict[tuple[int, ...], float]) -> np.ndarray:
+    """The weights of ``train`` on the rows (votes, at, value), computed in a task; zero without rows."""
+    def fit(batches):
+        rows = sorted((tuple(votes), at, value) for batch in batches for votes, at, value in zip(*[c.to_pylist() for c in batch.columns]))
+        weights = train([(at, value, posterior[votes]) for votes, at, value in rows])
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype("<f8").tobytes()], pa.binary())})
+
+    made = chosen.select("votes", "at", "value").repartition(1).mapInArrow(fit, "weights binary").first()
+    return np.frombuffer(made.weights, "<f8") if made else np.zeros(BUCKETS + 1)
+
+
 def quality_scores(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, posterior (of the votes), score (of the linear scorer) and kept."""
     spark = docs.sparkSession
     home = shared_dir(spark, "weak-quality")
     votes_and_features(docs).write.parquet(f"{home}/features")
     rows = spark.read.parquet(f"{home}/features")
-    patterns = sorted((tuple(r.votes), r.n) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect())
+    counted = rows.groupBy("votes").agg(F.count("*").alias("n"), F.sum(F.size("at")).alias("features")).collect()
+    patterns = sorted((tuple(r.votes), r.n) for r in counted)
     _, _, good = label_model(patterns) if patterns else (PRIOR, None, [])
     posterior = {p: float(g) for (p, _), g in zip(patterns, good)}
-    # The share of the hashes that holds about ``sample`` rows: no task or driver sorts candidates of all partitions.
-    share = min(1.0, sample / max(1, sum(n for _, n in patterns)))
+    # The share of the hashes that holds about ``sample`` rows: no task sorts candidates of all partitions.
+    share = min(1.0, sample / max(1, sum(r.n for r in counted)), SAMPLE_FEATURES / max(1, sum(r.features for r in counted)))
     drawn = F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 30)) <= int(share * (1 << 30))
-    chosen = sorted(map(tuple, rows.filter(drawn).select("votes", "at", "value").collect()))
-    weights = train([(at, value, posterior[tuple(votes)]) for votes, at, value in chosen])
+    weights = fitted(rows.filter(drawn), posterior)
     shared = spark.sparkContext.broadcast((weights, posterior))  # BUCKETS numbers; one for each pattern
 
     def score(batches):

@@ -40,3 +40,19 @@ def test_agrees_with_labels_it_never_saw(spark):
 
 def test_shapes():
     assert W.shape(b"Hello,") == b"Aaa," and W.shape(b"") == b"" and W.shape("éàü###".encode()) == b"aa##"
+
+
+def test_sample_is_bounded_by_features(docs, monkeypatch):
+    seen = []
+    plain = W.fitted
+    monkeypatch.setattr(W, "fitted", lambda rows, posterior: seen.append(rows.count()) or plain(rows, posterior))
+    n = W.quality_scores(docs).count()
+    assert seen == [n]
+    monkeypatch.setattr(W, "SAMPLE_FEATURES", 500)
+    assert W.quality_scores(docs).count() == n and seen[1] < n / 4
+
+
+def test_fit_in_a_task_is_the_fit(spark):
+    rows = [([1], [3, 5], [0.5, 1.0]), ([-1], [4], [1.0]), ([1], [3], [1.0])]
+    made = W.fitted(spark.createDataFrame(rows, "votes array<int>, at array<int>, value array<float>").repartition(3), {(1,): 0.9, (-1,): 0.1})
+    assert (made == W.train([(at, value, {1: 0.9, -1: 0.1}[v[0]]) for v, at, value in sorted(rows)])).all()
