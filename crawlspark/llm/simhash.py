@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a grid join over per-segment bit counts.
 
 A fingerprint becomes 32 counts of ones, one for each segment of two bits. The Manhattan distance of two such vectors
-never exceeds the Hamming distance of the fingerprints, so it is a lower bound. The vectors are cut into blocks; two
-of them at Manhattan distance ``bits`` or less agree wholly on at least ``blocks - bits`` blocks, so each pair meets in
+never exceeds the Hamming distance of the fingerprints, so it is a lower bound. The vectors are cut into blocks, more of
+them the more fingerprints there are, so that the expected size of the fullest cell stays below a bound; two of them at Manhattan distance ``bits`` or less agree wholly on at least ``blocks - bits`` blocks, so each pair meets in
 a grid cell named by such a set of blocks and their counts. In a cell the Manhattan distance discards, and the Hamming
 distance of the fingerprints decides: no link is missed and none is wrong.
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .common import per_text
 
-SHINGLE_WORDS, SEED, MAX_BITS, BLOCKS = 4, 42, 4, 6
+SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
+CELL_POINTS, MOST_BLOCKS = 4096, 10
+HOT_SHARE = 1000  # a fingerprint with more than this part of all rows is hot: there are fewer of them than this
 SEGMENTS = 32
 LOW_BITS = 0x5555555555555555
 SMALL_CELL = 48
@@ -73,6 +75,19 @@ def block_masks(bits: int, blocks: int) -> list[int]:
     return [signed(sum(chosen)) for chosen in combinations(parts, blocks - bits)]
 
 
+def blocks_for(points: int, bits: int = MAX_BITS, most: int = MOST_BLOCKS) -> int:
+    """The fewest blocks with which the fullest cell holds about ``CELL_POINTS`` of so many fingerprints.
+
+    A segment's likeliest count is one, of half the fingerprints, so cells that agree on m segments hold up to 2^-m.
+    Any number of blocks finds the same links; more of them mean smaller cells and more keys (15 for 6, 210 for 10).
+    """
+    for blocks in range(bits + 2, most):
+        widths = sorted(SEGMENTS * (i + 1) // blocks - SEGMENTS * i // blocks for i in range(blocks))
+        if points >> sum(widths[: blocks - bits]) < CELL_POINTS:
+            return blocks
+    return most
+
+
 def counts_column(fp):
     """The segment counts packed into a long, each in unary (00, 01, 11): their XOR's ones are the Manhattan distance."""
     low, high = fp.bitwiseAND(F.lit(LOW_BITS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW_BITS))
@@ -132,9 +147,12 @@ def links_of_runs(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: i
     return out
 
 
-def fingerprint_links(points: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Links a, b between distinct fingerprints (column ``fp``) whose closure is that of all pairs within ``bits``."""
-    masks = block_masks(bits, blocks)
+def fingerprint_links(points: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
+    """Links a, b between distinct fingerprints (column ``fp``) whose closure is that of all pairs within ``bits``.
+
+    ``blocks`` is by default what the number of fingerprints asks for.
+    """
+    masks = block_masks(bits, blocks or blocks_for(points.count(), bits))
     keys = F.array(*[counts_column(F.col("fp")).bitwiseAND(F.lit(m)) for m in masks])
     cells = points.select("fp", F.posexplode(keys).alias("part", "cell"))
     dealt = cells.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp")
@@ -200,19 +218,27 @@ def components(links: DataFrame, home: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links of ``bits`` or fewer differing bits)."""
     spark = docs.sparkSession
     home = shared_dir(spark, "simhash")
     fingerprints(docs).write.parquet(f"{home}/fingerprints")
     rows = spark.read.parquet(f"{home}/fingerprints")
-    points = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    points = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = components(fingerprint_links(points.select("fp"), bits, blocks), home)
     linked = points.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "root").select("fp", "least_id")
-    classes = points.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    (points.join(named, "fp", "left").select("fp", "n", F.coalesce("least_id", "first_id").alias("component_id"))
+     .write.parquet(f"{home}/classes"))
+    classes = spark.read.parquet(f"{home}/classes")
+    # Rows of a hot fingerprint meet its class where they are; fewer than HOT_SHARE fingerprints can be hot.
+    total = classes.agg(F.sum("n").alias("n")).first().n or 0
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(classes.filter(is_hot).drop("n"))
+    columns = ("doc_id", "fp", "component_id")
+    rest = rows.join(hot, "fp", "left_anti").join(classes.filter(~is_hot), "fp")
+    return rows.join(hot, "fp").select(*columns).unionByName(rest.select(*columns))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

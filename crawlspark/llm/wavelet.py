@@ -8,8 +8,8 @@ The tokenizer is the library's: its normalizer's and pre-tokenizer's results do
 so each distinct piece between ASCII white space is normalized and cut once, and each distinct word goes through the
 library's model once. Text that holds an added token of the tokenizer is encoded whole.
 
-Defined cases: a null or empty text has only the end id; equal doc_ids stay as rows of their own, ordered by their
-text's digest; rows without doc_id come first; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text has only the end id; equal doc_ids stay as rows of their own, ordered by the
+number and a hash of their ids; rows without doc_id come first; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -113,3 +113,24 @@ def test_no_group_loses_all_its_rows(spark):
         kept = H.one_of_each(docs)
         assert kept.columns == docs.columns
         assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(15, t), (15, u), (0, "a text without an id"), (7, u + " and so on")])
+
+
+def test_more_fingerprints_get_more_blocks_and_smaller_cells():
+    chosen = [H.blocks_for(n) for n in (0, 1, 10**6, 10**7, 10**8, 10**9, 10**12)]
+    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[-1] == H.MOST_BLOCKS
+    for n, blocks in zip((10**6, 10**7, 10**8, 10**9), chosen[2:]):
+        widths = sorted(np.diff([H.SEGMENTS * i // blocks for i in range(blocks + 1)]).tolist())
+        assert n / 2 ** sum(widths[: blocks - H.MAX_BITS]) < H.CELL_POINTS
+
+
+def test_any_number_of_blocks_gives_the_same_classes(docs):
+    want = {(r.doc_id, r.component_id) for r in H.near_duplicates(docs).collect()}
+    assert {(r.doc_id, r.component_id) for r in H.near_duplicates(docs, blocks=8).collect()} == want
+
+
+def test_hot_fingerprints_keep_all_rows(spark, docs):
+    copies = spark.range(10_000, 13_000).select(F.col("id").alias("doc_id"), F.lit("one text that is very common").alias("text"))
+    rows = docs.select("doc_id", "text").unionByName(copies)
+    got = H.near_duplicates(rows).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows.collect())
+    assert {r.component_id for r in got if r.doc_id >= 10_000} == {10_000}
