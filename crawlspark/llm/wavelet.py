@@ -39,6 +39,8 @@ END_ID = 2
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
 del BYTE_LETTERS[32]
+LETTER = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
+SPACE = np.array([chr(b) in " \t\n\x0b\x0c\r" for b in range(256)])
 
 
 class WordEncoder:
@@ -66,13 +68,21 @@ class WordEncoder:
         self.find = regex.compile(pattern + r"|\n").findall
         self.latin = re.compile("[!-~\u00a1-\u024f]*").fullmatch
         self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.stops = [(re.compile(rb"(?<=[a-z0-9])" + re.escape(c) + rb"(?=[\x20\t-\r])").sub, b" " + c) for c in (b".", b",")]
         self.pieces = Remembered(kept)
 
-    def apart(self, text: bytes) -> bytes:
-        for put, stop in self.stops:
-            text = put(stop, text)
-        return text
+    @staticmethod
+    def _split(texts: list[bytes]) -> list[list[bytes]]:
+        """Each text's pieces between white space, in lower case; a full stop or comma that ends one is one of its own.
+
+        Neither changes where words are cut, and without them pieces repeat.
+        """
+        joined = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+        stops = np.flatnonzero((joined[1:-1] == ord(".")) | (joined[1:-1] == ord(","))) + 1
+        stops = stops[LETTER[joined[stops - 1]] & SPACE[joined[stops + 1]]]
+        spaced = np.insert(joined, stops, ord(" ")).tobytes()
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        ends += np.searchsorted(stops, ends)
+        return [spaced[a:b].split() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -82,7 +92,9 @@ class WordEncoder:
         out = []
         for i in range(0, len(words), 2048):
             some = words[i:i + 2048]
-            line = " ".join(some).encode().decode("latin-1").translate(BYTE_LETTERS)
+            line = " ".join(some)
+            if not (line.isascii() and line.isprintable()):  # letters of the vocabulary otherwise
+                line = line.encode().decode("latin-1").translate(BYTE_LETTERS)
             ids = np.array(self.model_only.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u2")
             ends = [0, *(2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
             if len(ends) != len(some) + 1 or ends[-1] != 2 * len(ids):
@@ -97,11 +109,13 @@ class WordEncoder:
         known = self.pieces
         letters = [p for p in new if p.isalpha()]  # ASCII letters: one word
         known.update(zip(letters, self._encode_words([p.decode() for p in letters])))
+        rest = [p for p in new if p not in known]
+        try:
+            strings = b"\n".join(rest).decode().split("\n")
+        except UnicodeDecodeError:
+            strings = [p.decode("utf-8", "replace") for p in rest]
         plain, held, cut = [], [], []
-        for piece in new:
-            if piece in known:
-                continue
-            string = piece.decode("utf-8", "replace")
+        for piece, string in zip(rest, strings):
             if string.isascii() and string.isprintable() or self.latin(string):
                 plain.append(piece)
                 held.append(string)
@@ -121,8 +135,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         special = [any(a in t for a in self.added) for t in texts]
-        # Case and a full stop or comma after a letter do not change where words are cut; without them pieces repeat.
-        split = [[] if s else self.apart(t.lower()).split() for t, s in zip(texts, special)]
+        split = self._split([b"" if s else t for t, s in zip(texts, special)])
         known = self.pieces
         known.rest()
         self._learn(known.unknown(set().union(*split)))
