@@ -23,15 +23,21 @@ def _lane_order() -> Column:
     return order
 
 
-def apply_health(attempts: DataFrame, min_len: int = 150) -> DataFrame:
+def apply_health(attempts: DataFrame, min_len: int = 150, facts: str | None = None) -> DataFrame:
     """Q7: judge every attempt by its Markdown (else the visible text of its HTML).
 
+    ``facts`` names a column of :func:`~crawlspark.functions.quality.health_facts` to judge by instead, for attempts whose
+    texts were looked at before: where they are stored once, neither they nor the work on them grows with the attempts.
+
     An unhealthy attempt fails; the message goes to the error column of its lane, to all of them when the
     lane is unknown, and never replaces an earlier message.
     """
-    text = F.when(F.coalesce(F.col("markdown"), F.lit("")) != "", F.col("markdown")).otherwise(
-        visible_text(F.coalesce(F.col("html"), F.lit(""))))
-    judged = attempts.withColumn("health", Q.content_health(text, F.col("status_code"), min_len))
+    if facts is None:
+        text = F.when(F.coalesce(F.col("markdown"), F.lit("")) != "", F.col("markdown")).otherwise(
+            visible_text(F.coalesce(F.col("html"), F.lit(""))))
+        judged = attempts.withColumn("health", Q.content_health(text, F.col("status_code"), min_len))
+    else:
+        judged = attempts.withColumn("health", Q.health_of(facts, F.col("status_code"), min_len))
     bad = ~F.col("health.ok")
     message = F.concat(F.lit("内容健康检测失败: "), F.col("health.reason"))
     known = F.coalesce(F.col("lane").isin(*ERROR_COLUMNS), F.lit(False))
@@ -43,18 +49,18 @@ def apply_health(attempts: DataFrame, min_len: int = 150) -> DataFrame:
     return out
 
 
-def failure_cause(attempts: DataFrame) -> DataFrame:
-    """Q9: cause of every failed attempt."""
+def failure_cause(attempts: DataFrame, facts: str | None = None) -> DataFrame:
+    """Q9: cause of every failed attempt; ``facts`` names a column of :func:`~crawlspark.functions.quality.cause_in_text`."""
     own = F.coalesce(*[F.when(F.col("lane") == lane, F.col(name)) for lane, name in ERROR_COLUMNS.items() if name in attempts.columns])
     n = F.col("text_length") if "text_length" in attempts.columns else None
-    cause = Q.lane_failure_cause("lane", own, "markdown", visible_text(F.coalesce(F.col("html"), F.lit(""))),
-                                 "status_code", n)
+    by_text = facts or Q.cause_in_text("markdown", visible_text(F.coalesce(F.col("html"), F.lit(""))))
+    cause = Q.lane_failure_cause("lane", own, by_text, "status_code", n)
     return attempts.filter(~F.coalesce(F.col("success"), F.lit(False))).withColumn("cause", cause)
 
 
-def with_causes(attempts: DataFrame) -> DataFrame:
+def with_causes(attempts: DataFrame, facts: str | None = None) -> DataFrame:
     """Every attempt with ``cause``, NULL where it succeeded (Q9 as a column)."""
-    failed = failure_cause(attempts.withColumn("_ok", F.col("success")).withColumn("success", F.lit(False)))
+    failed = failure_cause(attempts.withColumn("_ok", F.col("success")).withColumn("success", F.lit(False)), facts)
     bad = ~F.coalesce(F.col("_ok"), F.lit(False))
     return failed.withColumn("success", F.col("_ok")).withColumn("cause", F.when(bad, F.col("cause"))).drop("_ok")
 
