@@ -92,8 +92,9 @@ def decode_bodies(df: DataFrame, body: str = "body", content_type: str = "conten
     """TXT20: adds ``charset`` and ``html`` to rows with a binary body.
 
     Bodies that are valid UTF-8 and that nothing says are in another charset, and those whose header names latin1, are
-    decoded by Spark's own functions; only the others go through Python's codecs, in Arrow batches. Each body is decoded
-    once; the two kinds are filters of the same input, which is read for each.
+    decoded by Spark's own functions; only the others go through Python's codecs. Each body is decoded once; the two kinds
+    are filters of the same input, which is read for each. A worker is handed a hundred bodies at a time, where an Arrow
+    batch would hold ten thousand, of any size, several times over.
     """
     head = F.lower(F.decode(F.substring(body, 1, 1024), "ISO-8859-1"))
     plain = (F.is_valid_utf8(F.col(body).cast("string")) & F.coalesce(F.lower(F.col(content_type)).rlike(r"charset=[\"']?utf-?8\b"), F.lit(False))
@@ -108,16 +109,9 @@ def decode_bodies(df: DataFrame, body: str = "body", content_type: str = "conten
     native = df.filter(in_spark).select(
         *keep, F.when(is_latin1, latin1).otherwise("utf-8").alias("charset"),
         F.when(is_latin1, F.decode(body, "ISO-8859-1")).otherwise(F.col(body).cast("string")).alias("html"))
-    schema = df.select(*keep).schema.add("charset", "string").add("html", "string")
-
-    def decode(batches):
-        for pdf in batches:
-            found = [(None, None) if b is None else decode_body(bytes(b), ct) for b, ct in zip(pdf[body], pdf[content_type])]
-            pdf["charset"], pdf["html"] = [n for n, _ in found], [t for _, t in found]
-            yield pdf.drop(columns=[body])
-
-    rest = df.filter(~in_spark)
-    return native.unionByName(rest.mapInPandas(decode, schema))
+    decode = F.udf(lambda b, named: None if b is None else decode_body(bytes(b), named), "charset string, html string", useArrow=False)
+    rest = df.filter(~in_spark).withColumn("_decoded", decode(body, content_type))
+    return native.unionByName(rest.select(*keep, "_decoded.charset", "_decoded.html"))
 
 
 # Python workers need not have this package installed: what they run is sent along by value.
