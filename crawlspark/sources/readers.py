@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import exploded, let
+
 PAGES = "page_id long, url string, html string"
 ATTEMPTS = ("attempt_id long, request_id long, ts timestamp_ntz, url string, host string, lane string, "
             "success boolean, status_code int, elapsed_s double")
@@ -24,17 +26,25 @@ def read_pages(spark: SparkSession, location: str, *columns: str, fmt: str = "pa
     return df.select(*columns) if columns else df
 
 
-def read_bodies(spark: SparkSession, location: str, glob: str | None = None) -> DataFrame:
-    """SRC4: raw bodies, one file each, with path, length, modification time and content.
+def read_bodies(spark: SparkSession, location: str, glob: str | None = None, packed: bool = False) -> DataFrame:
+    """SRC4: raw bodies with path, length, modification time and content: one file each, or ``packed``.
 
-    Columns that are not used are not read: a listing of paths and lengths opens no file. ``digest`` is made of the
-    content, so that a read can be checked against what was written.
+    Packed files hold many small bodies, each a line of base64, as :func:`writers.write_bodies` makes them: a file for
+    each would cost more than what it holds. Columns that are not used are not read: a listing of paths and lengths opens
+    no file that is not packed. ``digest`` is made of the content, so that a read can be checked against what was written.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(location).select("path", "length", F.col("modificationTime").alias("modified"),
-                                        F.col("content").alias("body"), F.sha2("content", 256).alias("digest"))
+    files = reader.load(location)
+    if packed:
+        # What stands behind the last line end is a line only if it is not empty; an empty line is an empty body.
+        lines = let(F.split(F.col("content").cast("string"), "\n"), lambda ls: F.filter(
+            ls, lambda line, i: (line != "") | (i < F.size(ls) - 1)))
+        files = exploded(files, lines, "pos", "line", "path", "modificationTime").withColumn("content", F.unbase64("line")).withColumn(
+            "length", F.octet_length("content").cast("long"))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"),
+                        F.col("content").alias("body"), F.sha2("content", 256).alias("digest"))
 
 
 def first_bytes(body: str = "body", n: int = 8):

@@ -1,4 +1,4 @@
-"""Sinks (SNK1, SNK2)."""
+"""Sinks (SNK1, SNK2) and raw bodies for SRC4."""
 
 from __future__ import annotations
 
@@ -16,6 +16,23 @@ def write_results(df: DataFrame, location: str, order: str = "pos", lane: str =
      .write.mode(mode).partitionBy(lane).parquet(location))
 
 
+PACK_BELOW, PACK_RECORDS = 32 * 1024, 512
+
+
+def write_bodies(df: DataFrame, location: str, text: str, below: int = PACK_BELOW, records: int = PACK_RECORDS) -> tuple[str, str]:
+    """Each text and a line end as a raw body; returns the folder of single files and that of packed ones.
+
+    Texts of ``below`` bytes and more get a file each. Smaller ones are packed, ``records`` to a file, which so holds less
+    than 22 MB: the number of files grows with the bytes, not with the bodies. NULL is no body.
+    """
+    single, packed = f"{location.rstrip('/')}/single", f"{location.rstrip('/')}/packed"
+    size, body = F.octet_length(text), F.concat(F.col(text), F.lit("\n")).cast("binary")
+    df.filter(size >= below).select(text).write.option("maxRecordsPerFile", 1).text(single)
+    line = F.replace(F.base64(body), F.lit("\r\n"), F.lit(""))  # Spark may part base64 into lines of 76
+    df.filter(size < below).select(line.alias("line")).write.option("maxRecordsPerFile", records).text(packed)
+    return single, packed
+
+
 def _folder(spark: SparkSession, location: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(location)

@@ -1,3 +1,4 @@
+import base64
 import json
 
 import pytest
@@ -65,6 +66,15 @@ def test_binary_files(spark, tmp_path):
     assert got == {"a.bin": (10, "255044462D312E37"), "b.txt": (4, "74657874")}
 
 
+def test_packed_bodies(spark, tmp_path):
+    (tmp_path / "a").write_bytes(base64.b64encode(b"%PDF\n\xff") + b"\n\n" + base64.b64encode(b"x") + b"\n")
+    (tmp_path / "b").write_bytes(b"\n" + base64.b64encode(b"cut"))
+    (tmp_path / "c").write_bytes(b"")
+    got = readers.read_bodies(spark, str(tmp_path), packed=True).select(F.element_at(F.split("path", "/"), -1).alias("n"), "length", "body", "modified").collect()
+    assert sorted((r.n, r.length, bytes(r.body)) for r in got) == [("a", 0, b""), ("a", 1, b"x"), ("a", 6, b"%PDF\n\xff"), ("b", 0, b""), ("b", 3, b"cut")]
+    assert all(r.modified is not None for r in got)
+
+
 def test_results_are_ordered_per_lane(spark, tmp_path):
     n = 5000
     df = spark.range(n).select(F.col("id").alias("pos"), F.when(F.col("id") % 10 == 0, "jina").otherwise("easyget").alias("lane")).repartition(7)
