@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Remembered, kept_in_worker, per_text
 
-SLAB = 6 << 20           # bytes of text whose distinct words are encoded together
+SLAB = 4 << 20           # bytes of text whose distinct words are encoded together
 LONG_WORD = 64           # bytes
-QUERY_BYTES = 1 << 19    # token-position rows of one query
+QUERY_BYTES = 1 << 18    # token-position rows of one query
 KEPT_WORDS = 250_000     # encoded words that a worker remembers
 BREAK = "\u2028"         # white space that separates pieces while they are cut
 WHITE = r"\t-\r \x85\xa0  -     　"

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 PER_CLASS, EPOCHS, WARM_UP, RATE, DAMPING, SEED = 1500, 24, 5, 5.0, 0.02, 1
 THRESHOLD = 0.7
 KEPT_WORDS = 250_000
+BAGGED = 1 << 14  # words whose n-grams are held at a time
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 FOLDS, HELD_OUT = 3, 1
 
@@ -54,17 +56,26 @@ def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
 
 def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Flat buckets of all words and where each word starts."""
-    lists = [subwords(w) for w in words]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.fromiter((b for x in lists for b in x), dtype=np.int64, count=int(sizes.sum()))
-    return flat, np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    flat, starts = array("i"), array("q")  # not lists: a number in a list takes nine times as much memory
+    for w in words:
+        starts.append(len(flat))
+        flat.extend(subwords(w))
+    return np.frombuffer(flat, dtype=np.int32), np.frombuffer(starts, dtype=np.int64)
+
+
+def blocks(flat: np.ndarray, starts: np.ndarray):
+    """Some words at a time: their places, their buckets, and where each starts in these."""
+    for i in range(0, len(starts), BAGGED):
+        some = starts[i:i + BAGGED]
+        stop = starts[i + BAGGED] if i + BAGGED < len(starts) else len(flat)
+        yield slice(i, i + len(some)), flat[some[0]:stop].astype(np.int64), some - some[0]
 
 
 def means(values: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.empty(0)
-    sizes = np.diff(np.concatenate((starts, [len(flat)])))
-    return np.add.reduceat(values[flat], starts) / sizes
+    out = np.empty(len(starts))
+    for at, buckets, first in blocks(flat, starts):
+        out[at] = np.add.reduceat(values[buckets], first) / np.diff(first, append=len(buckets))
+    return out
 
 
 def sigmoid(z):
@@ -97,7 +108,9 @@ class Model:
         if len(self.words) > KEPT_WORDS:
             self.words = {}
         new = [w for w in words if w not in self.words]
-        self.words.update(zip(new, means(self.slope, *bags(new)).tolist()))
+        for i in range(0, len(new), BAGGED):
+            some = new[i:i + BAGGED]
+            self.words.update(zip(some, means(self.slope, *bags(some)).tolist()))
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         split = [words_of(t) for t in texts]
@@ -140,7 +153,6 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     size = np.maximum(1, np.bincount(window_of, minlength=windows))
     flat, starts = bags(list(seen))
     bag = np.diff(np.append(starts, len(flat)))
-    word_of = np.repeat(np.arange(len(starts)), bag)
     embeddings, layer, bias = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 1, (DIM, 2)), np.zeros(2)
     layer /= np.linalg.norm(layer[:, 1] - layer[:, 0])
     target, each = labels[doc_of].astype(float), np.bincount(doc_of)[doc_of]
@@ -149,7 +161,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
 
     def to_buckets(by_window):
         by_word = np.bincount(ids, (by_window / size)[window_of], minlength=len(starts))
-        return np.bincount(flat, (by_word / bag)[word_of], minlength=BUCKETS)
+        share, out = by_word / bag, np.zeros(BUCKETS)
+        for at, buckets, _ in blocks(flat, starts):
+            np.add.at(out, buckets, np.repeat(share[at], bag[at]))
+        return out
 
     scale = np.sqrt(to_buckets(np.ones(windows)) / windows + DAMPING / len(texts))
     largest = 0.0
@@ -181,6 +196,21 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
+def train_in_task(batches):
+    """The model's bytes from batches of doc_id, text and label; nothing with fewer than two classes."""
+    kept_in_worker("toxicity training", lambda: None)  # the tables that an earlier operator left in the worker go
+    ids, texts, labels = [], [], []
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        texts += texts_of(batch.column(1))
+        labels += batch.column(2).to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    labels = np.array([labels[i] for i in order])
+    if len(set(labels.tolist())) == 2:
+        model = train([texts[i] for i in order], labels).to_bytes()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """The model's bytes, or None with fewer than two classes."""
     known = (labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -189,19 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     sample = ranked[0].unionByName(ranked[1])  # at most 2 * per_class rows, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def run(batches):
-        ids, texts, labels = [], [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            texts += texts_of(batch.column(1))
-            labels += batch.column(2).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        labels = np.array([labels[i] for i in order])
-        if len(set(labels.tolist())) == 2:
-            model = train([texts[i] for i in order], labels).to_bytes()
-            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
-
-    made = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(train_in_task, "model binary").first()
     return bytes(made.model) if made else None
 
 

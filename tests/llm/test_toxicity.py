@@ -1,11 +1,15 @@
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD_TEXTS
 
 from crawlspark.llm import toxicity as X
+from crawlspark.llm.common import kept_in_worker
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +123,29 @@ def test_one_word_and_no_word():
     model = X.train([*texts, b"", b"gorblex"], np.append(labels, [0, 1]))
     empty, one, pair = model([b"", b"gorblex", b"gorblex gorblex"])
     assert one == pair > empty == X.sigmoid(model.offset)
+
+
+def test_buckets_take_little_memory():
+    """Of the n-grams of many words only a block is held in full width, and no number is an object."""
+    rng = np.random.default_rng(3)
+    words = ["".join(w).encode() for w in rng.choice(list("abcdefghijklmnop"), (20_000, 9))]
+    tracemalloc.start()
+    flat, starts = X.bags(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(flat)
+    values, ends = rng.random(X.BUCKETS), [*starts[1:].tolist(), len(flat)]
+    assert np.allclose(X.means(values, flat, starts), [values[flat[a:b]].mean() for a, b in zip(starts, ends)])
+    assert X.means(values, *X.bags([])).size == 0
+
+
+def test_training_starts_without_the_tables_of_another_operator():
+    class Table:
+        pass
+
+    left = weakref.ref(kept_in_worker("another operator", Table))
+    texts, labels, _ = toy(20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([t.decode() for t in texts]), pa.array(labels)],
+                                       names=["doc_id", "text", "label"])
+    assert left() is not None
+    assert [m.num_rows for m in X.train_in_task(iter([batch]))] == [1] and left() is None
