@@ -71,18 +71,24 @@ class WordEncoder:
         self.pieces = Remembered(kept)
 
     @staticmethod
-    def _split(texts: list[bytes]) -> list[list[bytes]]:
-        """Each text's pieces between white space, in lower case; a full stop or comma that ends one is one of its own.
+    def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct pieces between white space, in lower case, every piece of the texts as a place among them, and
+        how many pieces end with each text. A full stop or comma that ends a piece is one of its own.
 
         Neither changes where words are cut, and without them pieces repeat.
         """
-        joined = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+        joined = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+        filled = ~SPACE[joined]
+        first = filled.copy()
+        first[1:] &= ~filled[:-1]
         stops = np.flatnonzero((joined[1:-1] == ord(".")) | (joined[1:-1] == ord(","))) + 1
-        stops = stops[LETTER[joined[stops - 1]] & SPACE[joined[stops + 1]]]
-        spaced = np.insert(joined, stops, ord(" ")).tobytes()
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        ends += np.searchsorted(stops, ends)
-        return [spaced[a:b].split() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        first[stops[LETTER[joined[stops - 1]] & SPACE[joined[stops + 1]]]] = True
+        starts, letters = np.flatnonzero(first), joined[filled]
+        offsets = np.append(np.cumsum(filled, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        coded = pieces.dictionary_encode()
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -134,14 +140,21 @@ class WordEncoder:
         known.update(zip(plain, [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in cut]))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
         special = [any(a in t for a in self.added) for t in texts]
-        split = self._split([b"" if s else t for t, s in zip(texts, special)])
+        distinct, places, ends = self._split([b"" if s else t for t, s in zip(texts, special)])
         known = self.pieces
         known.rest()
-        self._learn(known.unknown(set().union(*split)))
-        get = known.__getitem__
-        return [self._encode_whole(t.decode("utf-8", "replace")) if s else b"".join(map(get, ps))
-                for t, s, ps in zip(texts, special, split)]
+        self._learn(known.unknown(distinct))
+        ids = [known[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 2
+        starts, each = np.cumsum(sizes) - sizes, sizes[places]
+        until = np.concatenate(([0], np.cumsum(each)))
+        at = np.arange(until[-1]) + np.repeat(starts[places] - until[:-1], each)
+        stream, cuts = np.frombuffer(b"".join(ids), "<u2")[at].tobytes(), (2 * until[ends]).tolist()
+        return [self._encode_whole(t.decode("utf-8", "replace")) if s else stream[a:b]
+                for t, s, a, b in zip(texts, special, [0, *cuts], cuts)]
 
 
 def rank_counts(packed: np.ndarray) -> np.ndarray:

@@ -65,3 +65,26 @@ def test_odd_rows(odd, none):
         at += r.n_tokens
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(ids_of(t)), crc(ids_of(t))) for _, t in ODD_TEXTS)
     assert W.token_index(none, DEFINITION).count() == 0
+
+
+def test_a_piece_is_looked_up_once_for_many_texts():
+    class Counting(W.Remembered):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+    encoder = W.WordEncoder(DEFINITION)
+    encoder.pieces = Counting(1000)
+    texts = ["one two, three. four " * 500] * 4
+    for text, data in zip(texts, encoder([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(data, "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert encoder.pieces.looked_up < 50
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["", "", ""], ["."], [",", " .", ". "], ["a.", "b,", "c. d, e.f 1, é. ."], [" ", "\n\n", "x"],
+                                   ["a\x0bb\x0cc\x1cd\r\ne\tf", "", "A. B,\n", "end."], ["<|endoftext|> a.", "a. <|endoftext|>", "a."]])
+def test_texts_part_where_they_end(texts):
+    got = W.WordEncoder(DEFINITION)([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
