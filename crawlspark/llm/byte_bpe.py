@@ -10,8 +10,8 @@ Words longer than ``LONG_WORD`` bytes are merged by a heap of (rank, position) o
 contractions in the same order in n log n steps and some hundred bytes of memory for each byte of the word. Their ids are
 decoded by the same query as those of the others, in blocks of rows.
 
-The cuts before single spaces depend on nothing else, so pieces between spaces are cut once each; texts with other white
-space next to a space are cut as a whole. Both forms give the same words.
+Where a run of letters or of white space ends, the pattern cuts whatever stands around it. So texts are parted there in
+Arrow, and each distinct piece, mostly a word, is cut, encoded and looked up once for a slab of texts.
 
 Defined cases: a null or empty text has no token and the digests of no bytes; repeated rows and equal doc_ids stay as
 rows; an empty table gives an empty result; other columns are not read.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from array import array
 
 import duckdb
@@ -35,10 +36,19 @@ from .common import Remembered, kept_in_worker, per_text
 SLAB = 4 << 20           # bytes of text whose distinct words are encoded together
 LONG_WORD = 64           # bytes
 QUERY_BYTES = 1 << 18    # token-position rows of one query
-KEPT_WORDS = 250_000     # encoded words that a worker remembers
+KEPT_WORDS = 600_000     # encoded pieces that a worker remembers
 BREAK = "\u2028"         # white space that separates pieces while they are cut
 WHITE = r"\t-\r \x85\xa0  -     　"
 GID = (1 << 40) - 1
+TEXT_END = b"\xff"       # in no UTF-8 text
+
+# By bytes: ASCII letters, the second byte of a letter from U+00C0 to U+00FF, white space, what ends a run of letters.
+LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
+SPACE = np.array([chr(b) in " \t\n\x0b\x0c\r" for b in range(256)])
+OTHER = np.array([b < 0x80 and not LETTER[b] for b in range(256)])
+# Letters up to U+024F, a space before them or not: one word.
+ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
 
 SHORT_SQL = f"""
 WITH RECURSIVE state(word, gid, tok, live) AS (
@@ -86,6 +96,16 @@ def word_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` that start and are as long as told, in the order of ``places``; where each begins and all end."""
+    each = sizes[places]
+    until = np.concatenate(([0], np.cumsum(each)))
+    kind = np.int32 if max(len(values), until[-1]) < 1 << 31 else np.int64
+    at = np.repeat((starts[places] - until[:-1]).astype(kind), each)
+    at += np.arange(until[-1], dtype=kind)
+    return values[at], until
+
+
 class Codec:
     """Encodes and decodes distinct words in one in-memory database."""
 
@@ -138,11 +158,9 @@ class Codec:
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids: those of its tokens, in the order of their positions."""
-        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
-        sizes = self.lengths[ids]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], sizes)
-        plain = self.letters[at].tobytes()
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        plain, ends = gathered(self.letters, self.starts, self.lengths, ids)
+        plain = plain.tobytes()
         cuts = ends[np.concatenate(([0], np.cumsum([len(x) // 4 for x in encoded], dtype=np.int64)))].tolist()
         return [plain[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -199,25 +217,48 @@ class Codec:
 
 
 class TextCodec:
-    """Whole texts, by way of their distinct pieces and words."""
+    """Whole texts, by way of their distinct pieces: a piece is looked up once for all texts of a call."""
 
     def __init__(self, codec: Codec, pattern: str, kept: int = KEPT_WORDS):
         self.codec = codec
         self.find = word_pattern(pattern).findall
-        self.white = regex.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))
-        self.words, self.pieces_kept = Remembered(kept), Remembered(kept)
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts that the pattern cuts alone: what stands between single spaces, else the whole text."""
-        for c in self.white:
-            if c in text and (c == BREAK or c + " " in text or " " + c in text or text[0] == c or text[-1] == c):
-                return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        self.white = set(regex.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
+        self.other_white = re.compile(b"|".join([c.encode() for c in sorted(self.white) if not c.isascii()]))
+        self.known = Remembered(kept)
+
+    def split(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct pieces, every piece of the texts as a place among them, and how many pieces end with each text.
+
+        The pattern cuts after a letter that something else follows, before white space, before its last character
+        where more text follows, and behind that if it is not a space; what stands between is cut alone as in its text.
+        """
+        data = TEXT_END.join([*texts, b""])
+        joined = np.frombuffer(data, np.uint8)
+        letter, ends, white = LETTER[joined], joined == TEXT_END[0], SPACE[joined]
+        letter[1:] |= (joined[:-1] == 0xC3) & LATIN[joined[1:]]
+        lead = white
+        if (found := self.other_white.search(data)) is not None:
+            white, lead = white.copy(), white.copy()
+            for m in self.other_white.finditer(data, found.start()):
+                white[m.start():m.end()] = lead[m.start()] = True
+        first = ends.copy()
+        first[:1] = True
+        first[1:] |= ends[:-1] | letter[:-1] & OTHER[joined[1:]] | white[1:] & ~white[:-1]
+        behind = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+        behind = behind[~ends[behind]]
+        leads = np.flatnonzero(lead)
+        last = leads[np.searchsorted(leads, behind) - 1]
+        first[last] = True
+        first[behind[joined[last] != 32]] = True
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, len(joined)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+        coded = pieces.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.flatnonzero(ends[starts]) + 1
 
     def cut(self, parts: list[str]) -> list[list[str]]:
         """The words of each part; parts without outer white space are cut in one go, with a break between them."""
-        white = set(self.white)
+        white = self.white
         joined = [p for p in parts if BREAK not in p and p[-1] not in white
                   and (p[0] not in white or p[0] == " " and p[1] not in white)]
         out = {}
@@ -231,22 +272,37 @@ class TextCodec:
             out[p] = words
         return [out[p] if p in out else self.find(p) for p in parts]
 
-    def __call__(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        texts = [self.pieces(t.decode("utf-8", "replace")) if t else [] for t in texts]
-        self.words.rest()
-        self.pieces_kept.rest()
-        known, whole = self.words, self.pieces_kept
-        parts = whole.unknown(set().union(*texts))
-        cut = self.cut(parts)
-        new = known.unknown(set().union(*cut))
-        for w, (ids, plain) in zip(new, self.codec.encode([w.encode() for w in new])):
-            known[w] = ids
-            if plain != w.encode():
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of pieces that are not known yet. A word is its own piece, so both share one table."""
+        known = self.known
+        rest = [p for p in new if ONE_WORD(p) is None and p != TEXT_END]
+        cut = [[w.encode() for w in words] for words in self.cut([p.decode() for p in rest])]
+        held = set(rest)
+        words = list({*known.unknown(set().union(*cut)), *[p for p in new if p not in held and p != TEXT_END]})
+        for w, (ids, plain) in zip(words, self.codec.encode(words)):
+            if plain != w:
                 raise ValueError(f"the ids of {w!r} decode to {plain!r}")
-        for p, words in zip(parts, cut):
-            whole[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-        get = whole.__getitem__
-        encoded = [b"".join(map(get, ps)) for ps in texts]
+            known[w] = ids
+        for p, ws in zip(rest, cut):
+            known[p] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        if not texts:
+            return []
+        try:
+            b"\n".join(texts).decode()
+        except UnicodeDecodeError:
+            texts = [t.decode("utf-8", "replace").encode() for t in texts]
+        distinct, places, ends = self.split(texts)
+        known = self.known
+        known.rest()
+        known[TEXT_END] = b""
+        self.learn(known.unknown(distinct))
+        ids = [known[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        stream, until = gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, places)
+        stream, cuts = stream.tobytes(), (4 * until[ends]).tolist()
+        encoded = [stream[a:b] for a, b in zip([0, *cuts], cuts)]
         return list(zip(encoded, self.codec.decode(encoded)))
 
 

@@ -51,3 +51,32 @@ def test_long_words_take_the_same_merges():
 def test_a_vocabulary_must_hold_every_byte():
     with pytest.raises(ValueError):
         B.Codec({b"a": 0}, B.merge_table({b"a": 0}))
+
+
+def test_a_piece_is_looked_up_once_for_many_texts(monkeypatch):
+    looked_up = []
+
+    class Counting(B.Remembered):
+        def __getitem__(self, key):
+            looked_up.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(B, "Remembered", Counting)
+    texts = ["one two, three's.\nfour " * 500] * 4
+    for text, (ids, plain) in zip(texts, B.TextCodec(CODEC.codec, P.PATTERN)([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(text) and plain == text.encode()
+    assert len(looked_up) < 60
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é×÷ªǅ\u0301½.,'\n\t\r\x0b \xa0\u2028\u3000\u2003日s1\x1c\x00"), max_size=24), max_size=4))
+def test_texts_part_where_the_pattern_cuts(texts):
+    for text, (ids, plain) in zip(texts, CODEC([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(text) and plain == text.encode()
+
+
+def test_broken_utf8_is_read_as_the_library_reads_it():
+    texts = [b"a\xc3", b"\xa9b", b"\xff x\xff\xff", b"", b"ok"]
+    for text, (ids, plain) in zip(texts, CODEC(texts), strict=True):
+        whole = text.decode("utf-8", "replace")
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(whole) and plain == whole.encode()
