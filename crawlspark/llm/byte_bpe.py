@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Remembered, kept_in_worker, per_text
+from .common import Remembered, gathered, kept_in_worker, per_text
 
 SLAB = 4 << 20           # bytes of text whose distinct words are encoded together
 LONG_WORD = 64           # bytes
@@ -42,11 +42,10 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 GID = (1 << 40) - 1
 TEXT_END = b"\xff"       # in no UTF-8 text
 
-# By bytes: ASCII letters, the second byte of a letter from U+00C0 to U+00FF, white space, what ends a run of letters.
-LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
-LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
-SPACE = np.array([chr(b) in " \t\n\x0b\x0c\r" for b in range(256)])
-OTHER = np.array([b < 0x80 and not LETTER[b] for b in range(256)])
+# Kinds of bytes: ASCII letters, the second byte of a letter from U+00C0 to U+00FF, white space, other ASCII, the end.
+LETTER, LATIN, SPACE, OTHER, END = 1, 2, 3, 4, 5
+KINDS = bytes([LETTER if b < 0x80 and chr(b).isalpha() else SPACE if chr(b) in " \t\n\x0b\x0c\r" else OTHER if b < 0x80
+               else LATIN if b < 0xC0 and b not in (0x97, 0xB7) else END if b == TEXT_END[0] else 0 for b in range(256)])
 # Letters up to U+024F, a space before them or not: one word.
 ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
 
@@ -96,16 +95,6 @@ def word_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
 
 
-def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of ``values`` that start and are as long as told, in the order of ``places``; where each begins and all end."""
-    each = sizes[places]
-    until = np.concatenate(([0], np.cumsum(each)))
-    kind = np.int32 if max(len(values), until[-1]) < 1 << 31 else np.int64
-    at = np.repeat((starts[places] - until[:-1]).astype(kind), each)
-    at += np.arange(until[-1], dtype=kind)
-    return values[at], until
-
-
 class Codec:
     """Encodes and decodes distinct words in one in-memory database."""
 
@@ -233,9 +222,9 @@ class TextCodec:
         where more text follows, and behind that if it is not a space; what stands between is cut alone as in its text.
         """
         data = TEXT_END.join([*texts, b""])
-        joined = np.frombuffer(data, np.uint8)
-        letter, ends, white = LETTER[joined], joined == TEXT_END[0], SPACE[joined]
-        letter[1:] |= (joined[:-1] == 0xC3) & LATIN[joined[1:]]
+        joined, kinds = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(KINDS), np.uint8)
+        letter, ends, white, other = kinds == LETTER, kinds == END, kinds == SPACE, kinds == OTHER
+        letter[1:] |= (joined[:-1] == 0xC3) & (kinds[1:] == LATIN)
         lead = white
         if (found := self.other_white.search(data)) is not None:
             white, lead = white.copy(), white.copy()
@@ -243,7 +232,7 @@ class TextCodec:
                 white[m.start():m.end()] = lead[m.start()] = True
         first = ends.copy()
         first[:1] = True
-        first[1:] |= ends[:-1] | letter[:-1] & OTHER[joined[1:]] | white[1:] & ~white[:-1]
+        first[1:] |= ends[:-1] | letter[:-1] & other[1:] | white[1:] & ~white[:-1]
         behind = np.flatnonzero(white[:-1] & ~white[1:]) + 1
         behind = behind[~ends[behind]]
         leads = np.flatnonzero(lead)
@@ -254,7 +243,7 @@ class TextCodec:
         offsets = np.append(starts, len(joined)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
         coded = pieces.dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.flatnonzero(ends[starts]) + 1
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.flatnonzero(ends[starts]) + 1
 
     def cut(self, parts: list[str]) -> list[list[str]]:
         """The words of each part; parts without outer white space are cut in one go, with a break between them."""
@@ -297,8 +286,11 @@ class TextCodec:
         known = self.known
         known.rest()
         known[TEXT_END] = b""
-        self.learn(known.unknown(distinct))
-        ids = [known[p] for p in distinct]
+        ids = list(map(known.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        self.learn(known.unknown([distinct[i] for i in missing]))
+        for i in missing:
+            ids[i] = known[distinct[i]]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         stream, until = gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, places)
         stream, cuts = stream.tobytes(), (4 * until[ends]).tolist()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import Remembered, kept_in_worker, per_text
+from .common import Remembered, gathered, kept_in_worker, per_text
 
 MAGIC, PLANES, BLOCK_BITS = b"WVM1", 16, 512
 FILE_TOKENS = 1 << 18    # a file closes at the first document that reaches it
@@ -39,8 +39,14 @@ END_ID = 2
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
 del BYTE_LETTERS[32]
-LETTER = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
-SPACE = np.array([chr(b) in " \t\n\x0b\x0c\r" for b in range(256)])
+WHITE = b" \t\n\x0b\x0c\r"
+# Kinds of bytes, in lower case: letters and digits, the second byte of a letter from U+00C0 to U+00FF, white space, other ASCII.
+PLAIN, LATIN, SPACE, OTHER = 1, 2, 3, 4
+KINDS = bytes([PLAIN if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else SPACE if b in WHITE else OTHER if b < 0x80
+               else LATIN if b < 0xC0 and b not in (0x97, 0xB7) else 0 for b in range(256)])
+# Letters up to U+024F whose lower case is one letter: one word.
+ONE_WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]"
+                      rb"|\xc9[\x80-\x8f])+").fullmatch
 
 
 class WordEncoder:
@@ -73,22 +79,25 @@ class WordEncoder:
     @staticmethod
     def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The distinct pieces between white space, in lower case, every piece of the texts as a place among them, and
-        how many pieces end with each text. A full stop or comma that ends a piece is one of its own.
+        how many pieces end with each text. What follows a letter or digit and is neither starts a piece of its own.
 
-        Neither changes where words are cut, and without them pieces repeat.
+        Neither changes where words are cut, and pieces repeat more often so.
         """
-        joined = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
-        filled = ~SPACE[joined]
+        data = b"\n".join([*texts, b""]).lower()
+        joined, kinds = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(KINDS), np.uint8)
+        filled = kinds != SPACE
         first = filled.copy()
         first[1:] &= ~filled[:-1]
-        stops = np.flatnonzero((joined[1:-1] == ord(".")) | (joined[1:-1] == ord(","))) + 1
-        first[stops[LETTER[joined[stops - 1]] & SPACE[joined[stops + 1]]]] = True
-        starts, letters = np.flatnonzero(first), joined[filled]
-        offsets = np.append(np.cumsum(filled, dtype=np.int32)[starts] - 1, len(letters)).astype(np.int32)
+        others = np.flatnonzero(kinds == OTHER)
+        before = kinds[others - 1]
+        first[others[(before == PLAIN) | (before == LATIN) & (joined[others - 2] == 0xC3)]] = True
+        starts = np.flatnonzero(first)
+        sizes = np.flatnonzero(filled[:-1] & (first | ~filled)[1:]) + 1 - starts
+        offsets, letters = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), data.translate(None, WHITE)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         coded = pieces.dictionary_encode()
         ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), ends
 
     def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -116,6 +125,13 @@ class WordEncoder:
         letters = [p for p in new if p.isalpha()]  # ASCII letters: one word
         known.update(zip(letters, self._encode_words([p.decode() for p in letters])))
         rest = [p for p in new if p not in known]
+        latin = [p for p in rest if ONE_WORD(p)]  # one word as well, but for its case
+        lowered = b"\n".join(latin).decode().lower().encode().split(b"\n") if latin else []
+        fresh = list(known.unknown(set(lowered)))
+        known.update(zip(fresh, self._encode_words([w.decode() for w in fresh])))
+        known.update(zip(latin, [known[w] for w in lowered]))
+        held = set(latin)
+        rest = [p for p in rest if p not in held]
         try:
             strings = b"\n".join(rest).decode().split("\n")
         except UnicodeDecodeError:
@@ -146,13 +162,14 @@ class WordEncoder:
         distinct, places, ends = self._split([b"" if s else t for t, s in zip(texts, special)])
         known = self.pieces
         known.rest()
-        self._learn(known.unknown(distinct))
-        ids = [known[p] for p in distinct]
+        ids = list(map(known.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        self._learn(known.unknown([distinct[i] for i in missing]))
+        for i in missing:
+            ids[i] = known[distinct[i]]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 2
-        starts, each = np.cumsum(sizes) - sizes, sizes[places]
-        until = np.concatenate(([0], np.cumsum(each)))
-        at = np.arange(until[-1]) + np.repeat(starts[places] - until[:-1], each)
-        stream, cuts = np.frombuffer(b"".join(ids), "<u2")[at].tobytes(), (2 * until[ends]).tolist()
+        stream, until = gathered(np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes, sizes, places)
+        stream, cuts = stream.tobytes(), (2 * until[ends]).tolist()
         return [self._encode_whole(t.decode("utf-8", "replace")) if s else stream[a:b]
                 for t, s, a, b in zip(texts, special, [0, *cuts], cuts)]
 

@@ -88,3 +88,13 @@ def test_a_piece_is_looked_up_once_for_many_texts():
 def test_texts_part_where_they_end(texts):
     got = W.WordEncoder(DEFINITION)([t.encode() for t in texts])
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_letters_part_from_what_follows_them():
+    texts = ["An$$$ an### an! é. é, é&&& 5-5", "an.\nan\n", "≮ a≮ İ. İx", "don't a's"]
+    encoder = W.WordEncoder(DEFINITION)
+    distinct, places, ends = encoder._split([t.encode() for t in texts[:2]])
+    assert {*distinct} == {b"an", b"$$$", b"###", b"!", "é".encode(), b".", b",", b"&&&", b"5", b"-5"}
+    assert [distinct[p] for p in places[ends[0]:ends[1]]] == [b"an", b".", b"an"]
+    for text, data in zip(texts, encoder([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(data, "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
